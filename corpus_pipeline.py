@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import common, decontaminate, line_dedup, quality_rules, simhash
+from vacantia.llm import common, decontaminate, line_dedup, quality_rules, sentencepiece_viterbi, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,7 +39,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("line_dedup", lines), ("simhash", near_copies), ("decontamination", benchmark)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document's text, and the digest of the text that they decode to."""
+    out = sentencepiece_viterbi.encode_documents(docs)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("line_dedup", lines), ("simhash", near_copies), ("decontamination", benchmark), ("sentencepiece", encoding)]
 
 #: The fingerprints of the third stage are not expressible in DuckDB's SQL.
 ORACLE_SQL = None
