@@ -39,16 +39,15 @@ _MARKED = re.compile(rb"[!?*#$%&|<>=~^]{2,}(?:[\s.,]|$)")
 
 def line_fails(line: bytes) -> str | None:
     """The rule that a line with a word fails, or None."""
-    n = len(line)
-    if n - len(line.translate(None, SYMBOLS)) > MAX_SYMBOLS * n:
-        return "punctuation"
-    words = line.count(b" ") + 1
-    if (b"!!" in line or b"??" in line or b"==" in line or b"~~" in line) and len(_MARKED.findall(line)) > MAX_MARKED * words:
-        return "punctuation"
+    n, words = len(line), line.count(b" ") + 1
     if b"|" in line or b">" in line or b"\xc2\xb7" in line or b"\xe2\x80" in line:
         parts = [p for p in _SEPARATOR.split(line) if p.strip()]
         if len(parts) >= NAV_PARTS and words <= NAV_WORDS * len(parts):
             return "navigation"
+    if n - len(line.translate(None, SYMBOLS)) > MAX_SYMBOLS * n:
+        return "punctuation"
+    if (b"!!" in line or b"??" in line or b"==" in line or b"~~" in line) and len(_MARKED.findall(line)) > MAX_MARKED * words:
+        return "punctuation"
     if words <= BOILERPLATE_WORDS and BOILERPLATE.search(line.lower()):
         return "boilerplate"
     return None

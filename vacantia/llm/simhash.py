@@ -10,8 +10,8 @@ fingerprint, are found first (both share a segment then); the join next emits li
 only, so that its rows stay proportional to the fingerprints, not to the square of a family.
 
 Cases: a null or empty text has no words and fingerprint zero, linked like any other. A row with a null ``doc_id`` is
-fingerprinted and given its group's component, but is no representative. Repeated rows are one node. Input
-columns named as a result are replaced.
+fingerprinted and given the component of its fingerprint (null if only such rows have it), but links nothing. Repeated rows
+are one node. Extra columns are ignored.
 """
 
 from __future__ import annotations
