@@ -82,6 +82,7 @@ def test_quality_lines():
     assert fails(b"w%%% x*** y$$$ z###") == "punctuation"
     assert fails(b"BUY!! NOW!! CHEAP!!") == "punctuation"
     assert fails("© 2020 All rights reserved".encode()) == "boilerplate"
+    assert fails(b"no no no no no yes yes yes yes yes or or or") == "boilerplate"
     assert fails(b"A plain sentence, which ends well.") is None
     assert fails("Prix : 5 % de remise, c’est tout.".encode()) is None
     prose = "A plain sentence that has some twelve words in it, as many do."

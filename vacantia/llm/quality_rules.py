@@ -1,7 +1,8 @@
 """Quality rules, lines first.
 
 Each line with a word is judged by three rules: punctuation (symbols, or runs of them, in place of prose; shouting),
-navigation (many short parts between separators) and boilerplate (a phrase of web pages fills the line). Lines that fail are
+navigation (many short parts between separators) and boilerplate (a phrase of web pages fills the line, or words said over
+and over). Lines that fail are
 removed; a document that loses more than ``max_lost`` of the code points of its words is rejected, as is one that
 fails the base rules.
 
@@ -15,6 +16,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ MAX_LOST = 0.5
 #: Phrases that fail a line of at most ``BOILERPLATE_WORDS`` words.
 BOILERPLATE = re.compile(rb"all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|enable javascript|click here to|sign up for our|subscribe to our|skip to (?:main )?content|powered by \w+|lorem ipsum")
 BOILERPLATE_WORDS = 25
+#: Filler: a line of so many words fails if more than this share of them repeat the word before.
+STUTTER_WORDS, MAX_STUTTER = 10, 0.3
 _SEPARATOR = re.compile(rb"[|\xc2\xb7\xbb>]+|\xe2\x80\xa2|\xe2\x80\xba")
 _MARKED = re.compile(rb"[!?*#$%&|<>=~^]{2,}(?:[\s.,]|$)")
 
@@ -50,6 +54,10 @@ def line_fails(line: bytes) -> str | None:
         return "punctuation"
     if words <= BOILERPLATE_WORDS and BOILERPLATE.search(line.lower()):
         return "boilerplate"
+    if words >= STUTTER_WORDS:
+        each = line.split()
+        if sum(map(eq, each, each[1:])) > MAX_STUTTER * len(each):
+            return "boilerplate"
     return None
 
 
