@@ -69,7 +69,7 @@ def job_id(url: Column) -> Column:
         return F.try_element_at(F.transform(F.filter(pairs, lambda p: (p["k"] == k) & (p["v"] != "")), lambda p: p["v"]), F.lit(1))
 
     found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    last = F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1)
+    last = F.try_element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), F.lit(-1))
     return F.coalesce(
         *map(of, ID_KEYS),
         found(F.coalesce(last, F.lit("")), r"(?:^|[_-])((?i:jr|req|rq|r)[-_]?[A-Za-z0-9]+(?:_[A-Za-z0-9]+)?)(?:[-_]\d+)?$"),
