@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet below ``spark.checkpoint.dir`` and read again; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = tempfile.mkdtemp(prefix="vacantia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet into such a folder and read again."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blocks(df: DataFrame, key: str, *shared: str) -> DataFrame:

@@ -83,11 +83,6 @@ def f4_hard_filters(s, d):
     return listing(s, d).filter((F.col("availability") == "closed") | ((F.col("relevance") >= 40) & (F.col("remote") != "onsite") & fresh & F.col("region").isin("AMERICA", "EUROPE"))).select("id")
 
 
-@query(V("listing") + "SELECT id, region, remote FROM listing WHERE region = 'AMERICA' OR remote = 'remote'")
-def f5_location_gate(s, d):
-    return listing(s, d).filter("region = 'AMERICA' or remote = 'remote'").select("id", "region", "remote")
-
-
 @query(V("listing") + "SELECT id, posted_at FROM listing WHERE NOT (CAST(posted_at AS DATE) < DATE '2001-06-01')")
 def f7_two_month_age(s, d):
     return listing(s, d).filter(~dates.too_old(F.col("posted_at").cast("date"), F.lit(NOW).cast("date"))).select("id", "posted_at")

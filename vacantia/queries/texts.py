@@ -350,17 +350,6 @@ def k5_weighted_relevance(s, d):
     return listing(s, d).select("id", k.relevance(F.col("title"), F.col("category"), F.col("description")).alias("score"))
 
 
-@query(V("listing") + "SELECT id, nation AS city, region AS country, remote = 'remote' AS is_remote FROM listing")
-def k6_location_parts(s, d):
-    return listing(s, d).select("id", F.regexp_extract("location", r"^([^,]+), ", 1).alias("city"), F.regexp_extract("location", r", (.+)$", 1).alias("country"), (F.col("remote") == "remote").alias("is_remote"))
-
-
-@query(V("listing") + "SELECT id, CASE WHEN contains(lower(description), 'remote') THEN 'remote' WHEN remote <> 'unknown' THEN remote ELSE 'onsite' END AS status FROM listing")
-def k7_remote_status(s, d):
-    said = F.when(F.contains(F.lower("description"), F.lit("remote")), "remote")
-    return listing(s, d).select("id", F.coalesce(said, F.nullif("remote", F.lit("unknown")), F.lit("onsite")).alias("status"))
-
-
 @query(V("listing") + r"SELECT id, regexp_matches(description, '(?i)\b(?:degree|pursuing|enrolled)\b') AS education, regexp_matches(description, '(?i)\b(?:experience|years)\b') AS experience FROM listing")
 def k9_requirement_facts(s, d):
     return listing(s, d).select("id", k.says(F.col("description"), r"\b(?:degree|pursuing|enrolled)\b").alias("education"), k.says(F.col("description"), r"\b(?:experience|years)\b").alias("experience"))
