@@ -161,3 +161,36 @@ def test_lifecycle_state(spark, tmp_path):
 def test_rate_limit(spark, limit):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "u") for m in (1, 2, 20)], "t timestamp, k string")
     assert sightings.rate_limited(df, "t", "k", limit).count() == (1 if limit == 1 else 0)
+
+
+def test_places(spark):
+    from vacantia.functions import places
+
+    given = ["Toronto, ON", "Richmond", "Richmond, VA", "Remote", "Paris, France", None, "", "San Jose, CA", "Victoria, BC", "Québec, QC, Canada"]
+    got = one(spark, places.parsed, *given)
+    assert [(r.city, r.region, r.country) for r in got[:5]] == [("Toronto", "Ontario", "Canada"), ("Richmond", None, None), ("Richmond", "Virginia", "United States"), (None, None, None), ("Paris", None, "France")]
+    assert got[3].scope == "unspecified" and got[5].country is None and got[6].country is None
+    assert [(r.region, r.country) for r in got[7:]] == [("California", "United States"), ("British Columbia", "Canada"), ("Quebec", "Canada")]
+
+
+def test_feed_parameters():
+    from vacantia.plans.feed import FeedQuery
+
+    assert FeedQuery.parse({}) == FeedQuery()
+    assert FeedQuery.parse({"q": " ABC ", "limit": "100", "season": "fall,unknown", "workMode": "all"}) == FeedQuery(search="abc", limit=100, seasons=("fall", "unknown"))
+    for bad in ({"tab": "x"}, {"limit": "0"}, {"limit": "101"}, {"offset": "-1"}, {"offset": "5000001"}, {"q": "x" * 201}, {"season": "monsoon"}, {"workMode": "sea"}):
+        with pytest.raises(ValueError, match=next(iter(bad)) if "q" not in bad else "search"):
+            FeedQuery.parse(bad)
+
+
+def test_eligibility_of_uncertain_profiles(spark):
+    from vacantia.plans import eligibility as e
+
+    p = e.Profile(degree=None, graduation=2030, or_later=True, study_year="first-year", enrolled="unsure", returning="no")
+    row = spark.range(1).select(
+        e.degree(p, F.array(F.lit("phd"))).alias("degree"), e.graduation(p, F.array(F.lit(2029), F.lit(2031)), F.lit(None).cast("int"), F.lit(None).cast("int")).alias("graduation"),
+        e.study_year(p, F.array().cast("array<string>"), F.lit("yes"), F.lit("unknown")).alias("year"), e.enrollment(p, F.lit("required"), F.lit("unknown")).alias("enrolled"), e.returning(p, F.lit("required")).alias("returning"),
+        e.term(p, F.lit("summer"), F.lit("fall"), F.array(F.lit(2027))).alias("term"), e.status(F.array(e.degree(p, F.array(F.lit("phd"))))).alias("status"),
+    ).first()
+    assert [row[k].state for k in ("degree", "graduation", "year", "enrolled", "returning", "term")] == ["unknown", "pass", "fail", "unknown", "fail", "conflict"]
+    assert row.degree.source == "profile" and row.status == "unclear"

@@ -11,7 +11,7 @@ from ..functions import places, sections
 from ..operators import relations as rel
 from ..operators import windows as win
 from ..operators.stage import folder
-from ..plans import feed
+from ..plans import eligibility, feed
 from ..sources import sinks
 from ..sources.tables import listing, load
 from ..sources.tables import sql_views as V
@@ -147,3 +147,54 @@ def x5_keyed_state(s, d):
 
     stream.lifecycle_state(rows).writeStream.queryName(name).outputMode("update").foreachBatch(write).option("checkpointLocation", folder(s)).trigger(availableNow=True).start().awaitTermination()
     return win.first_of(s.read.parquet(f"{out}/*"), ["id"], F.desc("batch")).select("id", "first_run", "last_run", "misses")
+
+
+# ---- the nine criteria, over facts that each listing's id gives it
+
+PROFILE = eligibility.Profile()
+
+
+def _criteria(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % n + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    where = F.when(i % 3 == 0, F.array(places.parsed(F.lit("Toronto, ON")))).when(i % 3 == 1, F.array(places.parsed(F.lit("Paris, France")))).otherwise(F.array(places.parsed(F.lit("Remote"))))
+    countries = F.when(i % 3 == 0, F.array(F.lit("Canada"))).when(i % 3 == 1, F.array(F.lit("United States"))).otherwise(none)
+    degrees = F.when(i % 4 == 0, none).when(i % 4 == 1, F.array(F.lit("bachelors"), F.lit("masters"))).otherwise(F.array(F.lit("phd")))
+    low, high = F.when(i % 5 < 2, 2027), F.when(i % 5 < 2, F.lit(2027) + (i % 5).cast("int"))
+    listed = F.when(i % 5 == 2, F.array(F.lit(2028))).when(i % 5 == 3, F.array(F.lit(2026))).otherwise(F.array().cast("array<int>"))
+    years = F.when(i % 7 == 0, F.array(F.lit(2027), F.lit(2026))).when(i % 7 < 4, F.array(F.lit(2027))).otherwise(F.array().cast("array<int>"))
+    e, p = eligibility, PROFILE
+    made = {
+        "term": e.term(p, F.when(i % 7 < 5, F.lit("summer")).when(i % 7 == 5, F.lit("winter")), F.lit(None).cast("string"), years), "location": e.location(p, where, F.lit("unknown")),
+        "work_authorization": e.authorization(p, pick(4, "required", "unknown", "preferred", "required"), countries), "sponsorship": e.sponsorship(p, pick(5, "unavailable", "available", "unknown", "conflict", "unavailable"), countries),
+        "degree": e.degree(p, degrees), "graduation": e.graduation(p, listed, low, high), "year_of_study": e.study_year(p, F.when(i % 2 == 0, F.array(F.lit("upper-year"))).otherwise(none), pick(3, "unknown", "yes", "no"), pick(5, "unknown", "unknown", "yes", "unknown", "unknown")),
+        "current_enrollment": e.enrollment(p, pick(3, "unknown", "required", "preferred"), F.lit("unknown")), "returning_to_school": e.returning(p, pick(4, "unknown", "required", "conflict", "preferred")),
+    }
+    return load(s, d, "orders").select(i.alias("id"), *[c.alias(n) for n, c in made.items()])
+
+
+_PLACE3 = "CASE i % 3 WHEN 0 THEN 'Canada' WHEN 1 THEN 'United States' END"
+_NINE = """, f AS (SELECT o_orderkey AS id, o_orderkey AS i FROM orders), c AS (SELECT id,
+ CASE WHEN i % 7 = 0 THEN 'conflict' WHEN i % 7 < 4 THEN 'pass' WHEN i % 7 = 4 THEN 'unknown' WHEN i % 7 = 5 THEN 'fail' ELSE 'unknown' END AS term,
+ CASE i % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'unknown' END AS location,
+ CASE WHEN i % 4 = 1 THEN 'unknown' WHEN i % 4 = 2 THEN 'not_applicable' WHEN i % 3 = 0 THEN 'pass' WHEN i % 3 = 1 THEN 'fail' ELSE 'unknown' END AS work_authorization,
+ CASE WHEN i % 5 = 1 THEN 'pass' WHEN i % 5 = 2 THEN 'unknown' WHEN i % 5 = 3 THEN 'conflict' WHEN i % 3 = 0 THEN 'pass' WHEN i % 3 = 1 THEN 'fail' ELSE 'unknown' END AS sponsorship,
+ CASE i % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'pass' ELSE 'fail' END AS degree,
+ CASE i % 5 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' WHEN 3 THEN 'fail' ELSE 'unknown' END AS graduation,
+ CASE WHEN i % 3 = 1 THEN 'pass' WHEN i % 5 = 2 THEN 'pass' WHEN i % 2 = 0 AND i % 3 <> 2 THEN 'pass' ELSE 'unknown' END AS year_of_study,
+ CASE i % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'pass' ELSE 'not_applicable' END AS current_enrollment,
+ CASE i % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'pass' WHEN 2 THEN 'conflict' ELSE 'not_applicable' END AS returning_to_school FROM f) """
+
+
+@query("WITH " + _NINE[2:] + "SELECT * FROM c")
+def e1_nine_criteria(s, d):
+    return _criteria(s, d).select("id", *[F.col(f"{c}.state").alias(c) for c in eligibility.CRITERIA])
+
+
+_ALL = "[" + ", ".join(eligibility.CRITERIA) + "]"
+
+
+@query("WITH " + _NINE[2:] + f"SELECT id, CASE WHEN list_contains({_ALL}, 'fail') THEN 'not_eligible' WHEN list_contains({_ALL}, 'conflict') THEN 'unclear' WHEN NOT list_contains({_ALL}, 'unknown') THEN 'eligible' ELSE 'likely_eligible' END AS status FROM c")
+def e2_nine_status(s, d):
+    return _criteria(s, d).select("id", eligibility.status(F.array(*eligibility.CRITERIA)).alias("status"))
