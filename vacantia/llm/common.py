@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver's context cleaner drop the shuffle files of finished jobs now."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver's context cleaner drop the shuffle files of finished jobs now.
+
+    What a job leaves is found by one collection and freed by the next.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ascii_lower(c: Column) -> Column:

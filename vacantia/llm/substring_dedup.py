@@ -268,8 +268,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     asked = again.union(copies.select("blk", F.lit(1), "doc_id"))
     rows = dealt.groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(_confirm(window, gram), "w1 bigint, w2 bigint, lo bigint, many boolean")
     by = W.partitionBy("w1", "w2")
-    rows = rows.select("w1", "w2", "lo", F.min("lo").over(by).alias("least"), F.count("*").over(by).alias("n"), F.max("many").over(by).alias("any"))
-    phrases = stored(rows.filter("n > 1 or any").select(_block(n_blocks, F.col("lo"), F.lit(0)).alias("blk"), "w1", "w2", "least"))
+    rows = rows.select("w1", "w2", "lo", "many", F.min("lo").over(by).alias("least"))
+    # the block of the smallest document has nothing to remove unless another of its documents has the window
+    phrases = stored(rows.filter("many or lo > least").select(_block(n_blocks, F.col("lo"), F.lit(0)).alias("blk"), "w1", "w2", "least"))
     release(spark)
 
     own = [c for c in documents.columns if c not in RESULTS]
