@@ -54,15 +54,29 @@ class _Hashes(dict):
         return h
 
 
+def _finish(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= _ODD[2]
+    return h ^ (h >> np.uint64(30))
+
+
 def _chain(h: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
-    """A hash of each ``size`` consecutive values."""
-    n = len(h) - size + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(size if n > 0 else 0):
-        out = (out ^ (out >> np.uint64(29))) * odd + h[k : k + n]
-    out ^= out >> np.uint64(31)
-    out *= _ODD[2]
-    return out ^ (out >> np.uint64(30))
+    """A hash of each ``size`` consecutive values (hashes themselves)."""
+    n = max(0, len(h) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size if n else 0):
+        out *= odd
+        out += h[k : k + n]
+    return _finish(out)
+
+
+def _chain_at(h: np.ndarray, at: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
+    """``_chain`` at some places only."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out *= odd
+        out += h[at + k]
+    return _finish(out)
 
 
 class Words:
@@ -94,7 +108,7 @@ class Words:
     def digests(self, window: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both halves of the digests of the windows ``some``."""
         at = self.first[some]
-        return _chain(self.hash, window, _ODD[0])[at], _chain(self.hash, window, _ODD[1])[at]
+        return _chain_at(self.hash, at, window, _ODD[0]), _chain_at(self.hash, at, window, _ODD[1])
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -156,65 +170,65 @@ def _confirm(window: int, gram: int):
 
 
 def _remove(words: Words, doc: list[int | None], copies: set[int], table: tuple[np.ndarray, ...], window: int) -> list[np.ndarray]:
-    """The removed places of each text, as a mask. table: both digests and the smallest document of recurring windows."""
+    """The removed places of each text, as a mask. table: both digests and the smallest document of recurring windows.
+
+    The table shows which documents have phrases at all; those are streamed through the automata of their shard.
+    """
+    sizes = np.diff(words.start)
+    out = [np.full(n, d is not None and d in copies and n >= window) for d, n in zip(doc, sizes.tolist(), strict=True)]
     t1, t2, least = table
-    every = np.arange(len(words.first))
-    w1, w2 = words.digests(window, every)
-    at = np.minimum(np.searchsorted(t1, w1), max(0, len(t1) - 1))
-    own = np.array([np.iinfo(np.int64).min if d is None or d in copies else d for d in doc], np.int64)[words.doc] if doc else np.zeros(0, np.int64)
-    # first halves are almost never shared by two windows; where they are, the run of equal ones is walked
-    known = np.zeros(len(w1), bool)
-    value = np.zeros(len(w1), np.int64)
-    if len(t1):
-        live = np.flatnonzero(t1[at] == w1)
-        while len(live):
-            same = t2[at[live]] == w2[live]
-            known[live[same]], value[live[same]] = True, least[at[live[same]]]
-            live = live[~same]
-            at[live] += 1
-            live = live[at[live] < len(t1)]
-            live = live[t1[at[live]] == w1[live]]
-    use = np.flatnonzero(known & (value < own))
-    out = []
-    bounds = np.searchsorted(words.doc[use], np.arange(len(doc) + 1)) if len(use) else np.zeros(len(doc) + 1, np.int64)
+    if not len(t1) or not len(words.first):
+        return out
+    own = np.array([np.iinfo(np.int64).min if d is None or d in copies else d for d in doc], np.int64)[words.doc]
+    w1 = _chain(words.hash, window, _ODD[0])[words.first]
+    at = np.minimum(np.searchsorted(t1, w1), len(t1) - 1)
+    live = np.flatnonzero(t1[at] == w1)
+    at, w2 = at[live], _chain_at(words.hash, words.first[live], window, _ODD[1])
+    found, value = [], []
+    while len(live):  # first halves are almost never shared by two windows; where they are, the run of equal ones is walked
+        same = t2[at] == w2
+        found.append(live[same])
+        value.append(least[at[same]])
+        live, at, w2 = live[~same], at[~same] + 1, w2[~same]
+        on = at < len(t1)
+        live, at, w2 = live[on], at[on], w2[on]
+        on = t1[at] == w1[live]
+        live, at, w2 = live[on], at[on], w2[on]
+    use, value = np.concatenate(found or [live]), np.concatenate(value or [live])
+    order = np.argsort(use)
+    use, value = use[order], value[order]
+    hit = value < own[use]
+    use, value = use[hit], value[hit]
+    some, first = np.unique(words.doc[use], return_index=True)
+    bounds = np.append(first, len(use))
     k = 0
-    while k < len(doc):
-        j = k + 1
-        while j < len(doc) and words.start[j + 1] - words.start[k] <= SHARD_WORDS:
+    while k < len(some):
+        j, size = k + 1, int(sizes[some[k]])
+        while j < len(some) and size + int(sizes[some[j]]) <= SHARD_WORDS:
+            size += int(sizes[some[j]])
             j += 1
-        out += _stream(words, doc, copies, use[bounds[k] : bounds[j]], value, range(k, j), window)
+        part = slice(bounds[k], bounds[j])
+        for d, gone in _stream(words, doc, use[part], value[part], some[k:j].tolist(), window):
+            out[d] = gone
         k = j
     return out
 
 
-def _stream(words: Words, doc: list[int | None], copies: set[int], use: np.ndarray, value: np.ndarray, shard: range, window: int) -> list[np.ndarray]:
-    """Compiles the phrases that begin at the windows ``use`` and streams the documents of the shard through them."""
+def _stream(words: Words, doc: list[int | None], use: np.ndarray, value: np.ndarray, shard: list[int], window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Compiles the phrases that begin at the windows ``use`` and streams the shard's documents through them."""
     number: dict[bytes, int] = defaultdict(count(1).__next__)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    ids: dict[int, tuple[int, ...]] = {}
-    for w in use.tolist():
-        d = int(words.doc[w])
-        if d not in ids:
-            ids[d] = tuple(map(number.__getitem__, words.words[d]))
-        s = int(words.first[w] - words.start[d])
-        automaton.add_word(ids[d][s : s + window], int(value[w]))
-    if len(use):
-        automaton.make_automaton()
-    out = []
-    for k in shard:
-        size = len(words.words[k])
-        if doc[k] is not None and doc[k] in copies:
-            out.append(np.full(size, size >= window))
-            continue
-        edge = np.zeros(size + 1, np.int64)
-        if len(use) and doc[k] is not None and size >= window:
-            row = ids.get(k) or tuple(number.get(w, 0) for w in words.words[k])
-            for end, least in automaton.iter(row):
-                if least < doc[k]:
-                    edge[end + 1 - window] += 1
-                    edge[end + 1] -= 1
-        out.append(np.cumsum(edge[:-1]) > 0)
-    return out
+    ids = {d: tuple(map(number.__getitem__, words.words[d])) for d in shard}
+    of = words.doc[use]
+    for d, s, least in zip(of.tolist(), (words.first[use] - words.start[of]).tolist(), value.tolist(), strict=True):
+        automaton.add_word(ids[d][s : s + window], least)
+    automaton.make_automaton()
+    for d in shard:
+        ends = np.array([end for end, least in automaton.iter(ids[d]) if least < doc[d]], np.int64)
+        edge = np.zeros(len(ids[d]) + 1, np.int64)
+        np.add.at(edge, ends + 1 - window, 1)
+        np.add.at(edge, ends + 1, -1)
+        yield d, np.cumsum(edge[:-1]) > 0
 
 
 def _locate(window: int, names: list[str]):
