@@ -23,6 +23,18 @@ def test_main_text():
     assert len(html_extract.main_text("<article>" + "<p>Some words.</p>" * 20000).split("\n\n")) == 20000
 
 
+VARIANTS = {
+    '<body><div id="cookie-banner"><p>We use cookies to improve this site, do accept them all.</p></div><main><article><header class="entry-header"><h1>Head</h1></header><div class="entry-content"><p>First part of it.</p><div class="inline-ad">Buy now, it is cheap.</div><p>Second part, a bit longer than the first.</p></div></article><section class="comments-area"><article class="comment"><p>I have read all of this with great interest and I would like to add that it is a very good text, although it could be a little longer and say more about that.</p></article></section></main></body>': "Head\n\nFirst part of it.\n\nSecond part, a bit longer than the first.",
+    '<div class="site-header"><a href=/>Site</a></div><ul class="topmenu"><li><a href=/a>A</a><li><a href=/b>B</a></ul><div class="story"><h1>Head</h1>Loose text in a div.<br>More of it.<table><tr><td>cell one</td><td>cell two</td></tr></table></div><div class="leftSidebar">Side words here.</div><div>© 2024 The site</div>': "Head\n\nLoose text in a div. More of it.\n\ncell one\n\ncell two",
+    "<article><h1>A &lt;b&gt; C</h1><p>x&nbsp;&nbsp;y &#8212; z<p hidden>no</p><noscript>no</noscript><p>All rights reserved, he said.</p><aside>no</aside><pre>a\n  b</pre></article>": "A <b> C\n\nx y — z\n\nAll rights reserved, he said.\n\na b",
+}
+
+
+@pytest.mark.parametrize("page", VARIANTS)
+def test_page_variants(page):
+    assert html_extract.main_text(page) == VARIANTS[page]
+
+
 def test_minimum_cut_is_least():
     for seed in range(200):
         r = random.Random(seed)

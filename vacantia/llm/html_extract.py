@@ -35,7 +35,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: A start tag of the first ends an open element of the second, up to the nearest of the third.
 _CLOSES = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"})}
 #: The classifier: positive weights speak for content.
-TAG_WEIGHT = {"article": 6.0, "main": 4.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "nav": -16.0, "footer": -16.0, "aside": -16.0, "menu": -16.0, "form": -16.0, "dialog": -16.0, "button": -16.0, "fieldset": -16.0, "header": -9.0}
+TAG_WEIGHT = {"article": 6.0, "main": 4.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "nav": -40.0, "footer": -40.0, "aside": -40.0, "menu": -40.0, "form": -40.0, "dialog": -40.0, "button": -40.0, "fieldset": -40.0, "header": -40.0}
 CONTENT_NAMES = {"article", "articlebody", "content", "entry", "main", "post", "story", "text", "body"}
 BOILERPLATE_NAMES = {
     "ad", "ads", "adbox", "adsense", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
@@ -45,7 +45,10 @@ BOILERPLATE_NAMES = {
 }
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 _BAD_END = re.compile(r"(?:footer|sidebar|navbar|menu|adverts?|comments|newsletter|cookies?)(?:$|[^a-z])")
-NAME_WEIGHT, BAD_NAME_WEIGHT, HIDDEN_WEIGHT = 2.0, -16.0, -30.0
+NAME_WEIGHT, BAD_NAME_WEIGHT, HIDDEN_WEIGHT = 2.0, -40.0, -60.0
+#: A notice of rights outside an article.
+_RIGHTS = re.compile(r"(?i)^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b")
+RIGHTS_WEIGHT = -6.0
 BIAS, LINK_WEIGHT, WORD_WEIGHT, MOST_WORDS, STOP_WEIGHT = 0.0, -4.0, 0.05, 40, 0.5
 NEXT_EDGE, PARENT_EDGE = 0.5, 0.75
 
@@ -57,15 +60,15 @@ class Block:
         self.parent, self.cost, self.parts, self.linked = parent, cost, [], 0
 
 
-def _names(attributes: str) -> tuple[float, bool]:
-    """What an element's attributes add to its blocks' scores; whether it is hidden."""
+def _names(attributes: str, inside: bool) -> tuple[float, bool]:
+    """What an element's attributes add to its blocks' scores; whether it is hidden. inside: it is in an article."""
     weight, hidden = 0.0, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z]+", value))
             bad = words & BOILERPLATE_NAMES or _BAD_END.search(value)
-            if bad and not (bad == {"header"} and words & CONTENT_NAMES):  # an article's header holds its title
+            if bad and not (inside and bad == {"header"} and words & CONTENT_NAMES):  # an article's header holds its title
                 weight += BAD_NAME_WEIGHT
             elif words & CONTENT_NAMES:
                 weight += NAME_WEIGHT
@@ -133,14 +136,16 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
                 links -= e[0] == "a"
             del stack[at:]
         number += 1
-        weight, hidden = _names(m[3]) if m[3].strip() else (0.0, False)
-        above = stack[-1][2]
         inside = any(e[0] in ("article", "main") for e in stack)
-        if tag == "header" and inside:
-            weight -= TAG_WEIGHT["header"] - 1.0  # an article's own header holds its title
+        weight, hidden = _names(m[3], inside) if m[3].strip() else (0.0, False)
+        above, own = stack[-1][2], TAG_WEIGHT.get(tag, 0.0)
+        if inside and tag in ("article", "main"):
+            own = 0.0  # counts once
+        if inside and tag == "header":
+            own = 1.0  # an article's own header holds its title
         if tag in ("html", "body"):
             weight = 0.0
-        stack.append((tag, number, above + TAG_WEIGHT.get(tag, 0.0) + weight + HIDDEN_WEIGHT * hidden))
+        stack.append((tag, number, above + own + weight + HIDDEN_WEIGHT * hidden))
         links += tag == "a"
         silent += tag in SILENT
         if tag in RAW:
@@ -156,6 +161,7 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
         plain = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if plain:
             score = b.cost + BIAS + LINK_WEIGHT * b.linked / len(raw) + WORD_WEIGHT * min(MOST_WORDS, plain.count(" ") + 1) + STOP_WEIGHT * (plain[-1] in ".!?:\"'”»")
+            score += RIGHTS_WEIGHT * (b.cost < TAG_WEIGHT["main"] and bool(_RIGHTS.search(plain)))
             found.append((plain, score, b.parent))
     return found
 
