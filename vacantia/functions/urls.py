@@ -123,3 +123,15 @@ def same_site(a: Column, b: Column) -> Column:
 def company_of(url: Column) -> Column:
     """A company's name guessed from its link: the organization's token with a capital."""
     return F.initcap(organization(url))
+
+
+def is_public(url: Column) -> Column:
+    """Whether a link may be fetched: a web address whose host is neither a local name nor a literal private, loopback, link-local,
+    shared, documentation or multicast address. Names are not resolved."""
+    name = host(url)
+    octet = lambda k: F.try_element_at(F.split(name, r"\."), F.lit(k)).try_cast("int")
+    a, b = octet(1), octet(2)
+    literal = F.regexp_like(name, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$"))
+    closed = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168)) | ((a == 198) & b.isin(18, 19, 51)) | ((a == 203) & (b == 0))
+    local = F.regexp_like(name, F.lit(r"(^|\.)(localhost|local|internal|home\.arpa)$")) | ~F.contains(name, F.lit("."))
+    return (name != "") & ~local & ~(literal & F.coalesce(closed, F.lit(False)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import places, sections
+from ..functions import places, sections, urls
 from ..operators import relations as rel
 from ..operators import windows as win
 from ..operators.stage import folder
@@ -149,6 +149,13 @@ def x5_keyed_state(s, d):
     return win.first_of(s.read.parquet(f"{out}/*"), ["id"], F.desc("batch")).select("id", "first_run", "last_run", "misses")
 
 
+@query("SELECT page_id, page_id % 8 IN (5, 6, 7) AS public FROM pages")
+def l8_public_address(s, d):
+    hosts = ["http://localhost/x", "http://10.1.2.3/", "http://192.168.0.1:80/", "http://172.20.0.1", "http://printer/", "http://172.32.0.1/", "https://example.com/", "http://8.8.8.8"]
+    raw = F.element_at(F.array(*map(F.lit, hosts)), (F.col("page_id") % 8 + 1).cast("int"))
+    return load(s, d, "pages").select("page_id", urls.is_public(raw).alias("public"))
+
+
 # ---- the nine criteria, over facts that each listing's id gives it
 
 PROFILE = eligibility.Profile()
