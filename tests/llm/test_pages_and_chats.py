@@ -35,6 +35,109 @@ def test_page_variants(page):
     assert html_extract.main_text(page) == VARIANTS[page]
 
 
+BODY = "<p>First part of the text, long enough to be one.</p><p>Short</p><p>Another part of it, which goes on for a while.</p>"
+WRAPPERS = [
+    '<article class="post has-comments">%s</article>', '<div id="main-content" class="with-sidebar">%s</div>', '<div class="content no-ads">%s</div>', '<article class="post social-science">%s</article>', '<div class="form-article">%s</div>',
+    '<div class="wp-share-enabled">%s</div>', '<form id="aspnetForm"><nav><a href=x>Home</a></nav>%s<div class=footer>foot</div></form>', '<div class="content-sidebar-wrap"><main><article>%s</article></main><aside>Side words, and more of them.</aside></div>',
+    '<ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul><div class="page">%s</div><div>© 2024 All rights reserved</div>', '<header><h1>Site</h1></header><div id="sidebar-wrapper">%s</div>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_do_not_condemn_the_article(wrapper):
+    assert html_extract.main_text(wrapper % BODY) == "First part of the text, long enough to be one.\n\nShort\n\nAnother part of it, which goes on for a while."
+
+
+def test_boilerplate_names():
+    for name in ("sidebar", "leftSidebar", "topmenu", "cookie-banner", "related-posts", "share-box", "post-navigation", "comment-body", "ad-text", "newsletter-signup", "social", "site-footer"):
+        assert html_extract._named(name)[:2] == (False, True), name
+    for name in ("has-comments", "no-sidebar", "social-science", "entry-header", "wp-share-enabled", "page", "x1", ""):
+        assert not html_extract._named(name)[1], name
+
+
+LONG = {
+    "<a ": 20000, "<div>": 20000, "<ul><li>": 6000, '<a x="': 20000, '<a x=">': 50000, "<p>Some words here now.</p><p>x</p>": 15000, "<b>": 50000, "<": 200_000, "<div class=sidebar>": 20000, "&": 200_000, "<!--": 50_000,
+    "<article><p>a.</p>": 20000, "</x>": 50000, "= ": 100_000,
+}
+
+
+@pytest.mark.parametrize("piece", LONG)
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text("<div>text" + piece * LONG[piece] + "</div></p></x>" * 5000)
+    assert time.process_time() - began < 3
+
+
+def real_pages():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+
+
+def plain_article(page):
+    """The paragraphs of the only article of a simple page, by string search alone."""
+    import html
+    import re
+
+    inner = page[page.index("<article>") + 9 : page.index("</article>")]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_query_against_plain_reading(spark):
+    from vacantia.llm import queries
+
+    want = Counter((r["page_id"], r["url"], plain_article(r["html"]), len(plain_article(r["html"]))) for r in real_pages())
+    assert Counter(map(tuple, queries.op4_html_extract(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def labels(page, weights, edges=True):
+    read = html_extract.Page(page)
+    texts = read.texts()
+    scores, graph = html_extract.graph_of(read, texts, weights)
+    cut = html_extract.minimum_cut(scores, graph if edges else {})
+    return dict(zip(texts, cut, strict=False))
+
+
+def test_edges_change_labels_and_rightly():
+    pages = [r["html"] for r in real_pages()]
+    weights = html_extract.fitted([x for p in pages for x in html_extract.labelled(p)])
+    changed = 0
+    right = {True: 0, False: 0}
+    n = 0
+    for p in pages:
+        truth = set(plain_article(p).split("\n\n"))
+        alone, cut = labels(p, weights, False), labels(p, weights)
+        changed += sum(alone[t] != cut[t] for t in cut)
+        assert all(cut[t] == (t in truth) for t in cut)
+        bare = p.replace("article>", "div>").replace("nav>", "div>").replace("footer>", "div>").replace(' class="ad"', "")  # no marks: text and neighbours only
+        for edges in (True, False):
+            found = labels(bare, weights, edges)
+            right[edges] += sum(v == (t in truth) for t, v in found.items())
+        n += len(found)
+    assert changed >= len(pages) / 2
+    assert right[True] >= right[False] and right[True] / n > 0.85  # what stays is an advert that reads like prose
+
+
+def test_neighbours_decide_without_marks():
+    long = "<p>A paragraph of some length, as articles have them.</p>"
+    half = "<p>See <a href=x>that</a></p>"
+    assert "See that" in html_extract.main_text(f"<div>{long * 3}{half}{long * 3}</div>")
+    assert html_extract.main_text(f"<div>{half}</div>") == ""
+    menu = "<li><a href=/a>Home</a></li>"
+    assert html_extract.main_text(f"<ul>{menu * 4}<li>Now</li>{menu * 4}</ul>") == ""
+
+
+def test_classifier_keeps_to_its_prior_without_rows(spark):
+    assert html_extract.fitted([]) == html_extract.PRIOR
+    none = spark.createDataFrame([], "html string")
+    assert html_extract.classifier(none) == html_extract.PRIOR
+    pages = spark.createDataFrame([(PAGE,)] * 50 + [(None,)], "html string").repartition(3)
+    assert html_extract.classifier(pages) == html_extract.fitted(html_extract.labelled(PAGE))  # copies count once
+
+
 def test_minimum_cut_is_least():
     for seed in range(200):
         r = random.Random(seed)

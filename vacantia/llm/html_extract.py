@@ -1,216 +1,351 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks of text between block-level tags. A linear classifier on each block's tags, class names, link share and
-words gives a cost of calling it boilerplate and one of calling it content: the capacities from the source and to the sink.
-Blocks that follow each other, and blocks close in the DOM, are joined by smoothness edges. The minimum cut, found by maximum
-flow, labels all blocks at once; content blocks are joined in page order.
+A page is read once from front to back into elements and blocks (text between block-level tags). The graph of the cut has a
+node for each block and one for each element whose tag, role or names mark it as the article or as boilerplate.
 
-Blocks whose own cost exceeds all their edges are settled before the flow (their label is the same in every minimum
-cut), which leaves small graphs.
+* Terminal capacities: a block's are the log-odds that a linear classifier gives its text (share of links, words, sentence end,
+  kind of tag, notice of rights), at most ``MOST`` either way; a marked element is tied to its side.
+* Smoothness edges: adjacency between blocks in page order, DOM proximity between blocks whose elements are siblings or cousins,
+  and between a block and the nearest marked element round it. The last is stronger than all others of a block together, so
+  marks hold where they are and text and neighbours decide where none is.
 
-Cases: a null or empty html gives an empty text. Malformed markup (missing end tags, stray ``<``, an unclosed comment or
-script) is read as far as it goes. Very long pages are read whole. Rows are extracted one by one, so repeated rows, ties
-and null ids need no rule. Input columns named as a result are replaced.
+The cut of least cost comes from a maximum flow on every page; blocks on the side of the content are joined in page order.
+
+The classifier starts from ``PRIOR``; its weights of the text (not of tags, which go along with marks) are fitted to blocks of
+a sample of pages whose marks tell their label: the ``SAMPLE_PAGES`` pages of least hash, at most ``SAMPLE_BLOCKS`` blocks of
+each, weighing as ``SAMPLE_WEIGHT`` blocks together.
+
+Names. Of a class or id like ``content-sidebar-wrap`` the last word that is not generic counts; ``has-comments``, ``no-ads`` or
+``wp-share-enabled`` say nothing of the element itself. A boilerplate name does not condemn an element that holds half
+of the article's text (of a page without marked article: most of its text), unless it names comments. An article's
+own header is part of it; a page's header goes, with a heading in it.
+
+Cases: a null or empty html gives an empty text. Malformed markup (missing end tags, stray ``<``, unclosed quotes, comments or
+scripts) is read as far as it goes; a tag that never ends is text. Very long pages are read whole, in linear time. Rows are
+extracted one by one, so repeated rows, ties and null ids need no rule; copies count once in the sample. Input
+columns named as a result are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULTS = ("main_text",)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Bounds of the sample that the classifier is fitted to, and how many blocks it weighs as.
+SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_WEIGHT = 400, 50, 200
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_END = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-#: Elements of which nothing is text.
-SILENT = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "option", "canvas", "audio", "video"}
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
+_TELLING = re.compile(r"(?i)class|\bid\b|role|itemprop|hidden|style")
+#: Elements of which nothing is text, and those of them whose content is not markup.
+SILENT = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "option", "canvas", "audio", "video", "button", "datalist"}
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: A start tag of the first ends an open element of the second, up to the nearest of the third.
-_CLOSES = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"})}
-#: The classifier: positive weights speak for content.
-TAG_WEIGHT = {"article": 6.0, "main": 4.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "nav": -40.0, "footer": -40.0, "aside": -40.0, "menu": -40.0, "form": -40.0, "dialog": -40.0, "button": -40.0, "fieldset": -40.0, "header": -40.0}
-CONTENT_NAMES = {"article", "articlebody", "content", "entry", "main", "post", "story", "text", "body"}
-BOILERPLATE_NAMES = {
-    "ad", "ads", "adbox", "adsense", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
-    "copyright", "disclaimer", "disqus", "discussion", "dropdown", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification",
-    "outbrain", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "skip",
-    "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "trending", "widget", "widgets",
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: Open elements that a start tag ends; others end a paragraph.
+_CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+_PARAGRAPH = {"p"}
+HEADINGS, PARAGRAPHS, ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "blockquote", "pre"}, {"li", "dt", "dd", "td", "th"}
+#: Tags and roles that mark an element. ``SOFT`` marks give way where the element holds the article.
+ARTICLE_TAGS, HARD_TAGS, SOFT_TAGS = {"article", "main"}, {"nav", "footer", "aside", "menu"}, {"form", "dialog", "fieldset", "header"}
+HARD_ROLES, SOFT_ROLES = {"navigation", "contentinfo", "complementary"}, {"banner", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+ARTICLE_NAMES = {"article", "articlebody", "articles", "content", "entry", "main", "post", "story", "maincontent", "bodytext"}
+COMMENT_NAMES = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "responses"}
+BOILERPLATE_NAMES = COMMENT_NAMES | {
+    "ad", "ads", "adbox", "adsense", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "copyright", "disclaimer",
+    "dropdown", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "outbrain", "overlay", "pager", "pagination",
+    "paywall", "popup", "promo", "promotion", "recommended", "related", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar",
+    "topbar", "trending", "widget", "widgets",
 }
-BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-_BAD_END = re.compile(r"(?:footer|sidebar|navbar|menu|adverts?|comments|newsletter|cookies?)(?:$|[^a-z])")
-NAME_WEIGHT, BAD_NAME_WEIGHT, HIDDEN_WEIGHT = 2.0, -40.0, -60.0
-#: A notice of rights outside an article.
+#: These words tell wherever they stand in a name; those of ``STATES`` make a name say nothing of its element.
+TELLING_NAMES = {"cookie", "cookies", "gdpr", "advert", "adverts", "advertisement", "sponsored", "related", "recommended", "newsletter", "disqus", "taboola", "outbrain", "paywall"}
+STATES = {"has", "with", "no", "without", "is", "not", "js", "enabled", "disabled", "hide", "show", "supports", "wp"}
+GENERIC = {"wrap", "wrapper", "container", "inner", "outer", "area", "box", "block", "section", "list", "item", "items", "row", "col", "left", "right", "top", "bottom", "text", "body", "content", "links", "buttons", "button", "bar", "unit", "slot", "panel", "zone", "region", "site", "page", "global", "primary", "secondary", "desktop", "mobile", "v", "x"}
+_SMALL_END = re.compile(r"(?:footer|sidebar|navbar|menu|advert|adverts|comments|newsletter|cookies)$")
+#: A notice of rights.
 _RIGHTS = re.compile(r"(?i)^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b")
-RIGHTS_WEIGHT = -6.0
-BIAS, LINK_WEIGHT, WORD_WEIGHT, MOST_WORDS, STOP_WEIGHT = 0.0, -4.0, 0.05, 40, 0.5
-NEXT_EDGE, PARENT_EDGE = 0.5, 0.75
-
-
-class Block:
-    __slots__ = ("cost", "linked", "parent", "parts")
-
-    def __init__(self, parent: int, cost: float):
-        self.parent, self.cost, self.parts, self.linked = parent, cost, [], 0
-
-
-def _names(attributes: str, inside: bool) -> tuple[float, bool]:
-    """What an element's attributes add to its blocks' scores; whether it is hidden. inside: it is in an article."""
-    weight, hidden = 0.0, False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            bad = words & BOILERPLATE_NAMES or _BAD_END.search(value)
-            if bad and not (inside and bad == {"header"} and words & CONTENT_NAMES):  # an article's header holds its title
-                weight += BAD_NAME_WEIGHT
-            elif words & CONTENT_NAMES:
-                weight += NAME_WEIGHT
-        elif name == "itemprop" and value == "articlebody":
-            weight += 2 * NAME_WEIGHT
-        elif name == "role":
-            weight += BAD_NAME_WEIGHT if value in BOILERPLATE_ROLES else NAME_WEIGHT if value in ("main", "article") else 0
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            hidden = True
-    return weight, hidden
-
-
-def blocks_of(page: str) -> list[tuple[str, float, int]]:
-    """(text, score, number of the parent element) of each block with text, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # open elements: tag, number, score gathered down to it
-    number, pos, block, links, silent = 0, 0, None, 0, 0
-
-    def text(raw: str) -> None:
-        nonlocal block
-        if silent or not raw:
-            return
-        if block is None:
-            if raw.isspace():
-                return
-            holder = next(e for e in reversed(stack) if e[0] not in INLINE)
-            block = Block(holder[1], holder[2])
-            out.append(block)
-        block.parts.append(raw)
-        if links:
-            block.linked += len(raw)
-
-    while m := _TOKEN.search(page, pos):
-        text(page[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
-            continue
-        if tag == "br":
-            text(" ")
-            continue
-        if tag not in INLINE:
-            block = None
-        if m[1]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at and (tag not in INLINE or all(e[0] in INLINE for e in stack[at:])):
-                for e in stack[at:]:
-                    links -= e[0] == "a"
-                    silent -= e[0] in SILENT
-                del stack[at:]
-            continue
-        if tag in VOID or m[3].endswith("/"):
+_STOPS = tuple(".!?:\"'”»…。！？")
+#: Weights of a block's features before the fit (one, share of links, log of words, sentence end, rights, heading, paragraph, item), and how many are fitted.
+PRIOR, FITTED = (-0.4, -4.0, 0.6, 1.0, -4.0, 0.6, 0.9, -0.6), 5
+MOST, NEXT_EDGE, SIBLING_EDGE, COUSIN_EDGE, MARK_EDGE, TIED = 3.0, 0.4, 0.4, 0.2, 6.5, 1e9
+
+
+@lru_cache(8192)
+def _named(names: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id (as written) names an article, boilerplate, comments."""
+    good = bad = comments = False
+    for name in names.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if not words or STATES & set(words):
             continue
-        closes, until = _CLOSES.get(tag, ({"p"}, {""}) if tag not in INLINE else (set(), {""}))
-        at = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in until or stack[k][0] not in closes and stack[k][0] not in INLINE:
+        plain = [w for w in words if w not in GENERIC]
+        head = plain[-1] if plain else words[-1]
+        small = _SMALL_END.search(head)
+        kind = small[0] if small else head
+        if TELLING_NAMES & set(words) or kind in BOILERPLATE_NAMES:
+            if not (kind == "header" and ARTICLE_NAMES & set(words)):  # an entry's own header
+                bad = True
+                comments = comments or kind in COMMENT_NAMES or "disqus" in words
+        elif kind in ARTICLE_NAMES:
+            good = True
+    return good, bad, comments
+
+
+def _mark(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """1 (article), -1 (boilerplate) or 0, and whether that holds whatever the element contains. inside: it is in an article."""
+    good = tag in ARTICLE_TAGS
+    if tag in HARD_TAGS:
+        return -1, True
+    bad, hard = tag in SOFT_TAGS and not (inside and tag == "header"), False
+    if attributes and tag not in ("html", "body") and _TELLING.search(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if name in ("class", "id"):
+                article, boilerplate, comments = _named(value)
+                good, bad, hard = good or article and not comments, bad or boilerplate and not article, hard or comments
+            elif name == "itemprop" and value.lower() == "articlebody":
+                good, bad = True, False
+            elif name == "role":
+                value = value.lower()
+                good, bad, hard = good or value in ("main", "article"), bad or value in SOFT_ROLES, hard or value in HARD_ROLES
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none", value):
+                bad = True
+    if hard or bad and tag not in ARTICLE_TAGS:
+        return -1, hard
+    return int(good), False
+
+
+class Page:
+    """Elements (tag, parent, mark) and blocks (element, text parts, linked code points) of a page."""
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.mark, self.hard = [""], [0], [0], [False]
+        self.at: list[int] = []
+        self.parts: list[list[str]] = []
+        self.linked: list[int] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        open_, count = [0], Counter()  # block-level elements that are open, and how many of each tag
+        link, silent, inside, new = 0, 0, 0, True  # link: depth at which a link was opened
+        pos, size, at, parts, linked = 0, len(page), self.at, self.parts, self.linked
+
+        def text(raw: str) -> None:
+            nonlocal new
+            if silent or not raw:
+                return
+            if "&" in raw:
+                raw = entities.unescape(raw)
+            if new:
+                if raw.isspace():
+                    return
+                at.append(open_[-1])
+                parts.append([])
+                linked.append(0)
+                new = False
+            parts[-1].append(raw)
+            if link:
+                linked[-1] += len(raw)
+
+        def close() -> None:
+            nonlocal link, silent, inside, new
+            e = open_.pop()
+            tag = self.tag[e]
+            count[tag] -= 1
+            if tag in SILENT:
+                silent -= 1
+            else:
+                new = True
+            inside -= tag in ARTICLE_TAGS
+            link = 0 if link > len(open_) else link
+
+        while pos < size:
+            begin = page.find("<", pos)
+            if begin < 0:
                 break
-            if stack[k][0] in closes:
-                at = k
-        if at:
-            for e in stack[at:]:
-                links -= e[0] == "a"
-            del stack[at:]
-        number += 1
-        inside = any(e[0] in ("article", "main") for e in stack)
-        weight, hidden = _names(m[3], inside) if m[3].strip() else (0.0, False)
-        above, own = stack[-1][2], TAG_WEIGHT.get(tag, 0.0)
-        if inside and tag in ("article", "main"):
-            own = 0.0  # counts once
-        if inside and tag == "header":
-            own = 1.0  # an article's own header holds its title
-        if tag in ("html", "body"):
-            weight = 0.0
-        stack.append((tag, number, above + own + weight + HIDDEN_WEIGHT * hidden))
-        links += tag == "a"
-        silent += tag in SILENT
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
-            stack.pop()
-            silent -= 1
-    text(page[pos:])
-
-    found = []
-    for b in out:
-        raw = "".join(b.parts)
-        plain = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-        if plain:
-            score = b.cost + BIAS + LINK_WEIGHT * b.linked / len(raw) + WORD_WEIGHT * min(MOST_WORDS, plain.count(" ") + 1) + STOP_WEIGHT * (plain[-1] in ".!?:\"'”»")
-            score += RIGHTS_WEIGHT * (b.cost < TAG_WEIGHT["main"] and bool(_RIGHTS.search(plain)))
-            found.append((plain, score, b.parent))
-    return found
+            if begin > pos:
+                text(page[pos:begin])
+            sign = page[begin + 1 : begin + 2]
+            if sign in ("!", "?") and sign:
+                if page.startswith("<!--", begin):
+                    end = page.find("-->", begin + 4)
+                    pos = end + 3 if end >= 0 else size
+                elif page.startswith("<![CDATA[", begin):
+                    end = page.find("]]>", begin)
+                    text(page[begin + 9 : end if end >= 0 else size])
+                    pos = end + 3 if end >= 0 else size
+                else:
+                    end = page.find(">", begin)
+                    pos = end + 1 if end >= 0 else size
+                continue
+            m = _NAME.match(page, begin + 1)
+            if not m:
+                text("<")
+                pos = begin + 1
+                continue
+            end = _tag_end(page, m.end())
+            if end < 0:
+                text(page[begin:])
+                pos = size
+                break
+            attributes, pos = page[m.end() : end], end + 1
+            tag = m[0].lower()
+            if tag[0] == "/":
+                tag = tag[1:]
+                if tag == "a":
+                    link = 0
+                elif tag not in INLINE and count[tag] > 0:
+                    while self.tag[open_[-1]] != tag:
+                        close()
+                    close()
+                continue
+            if tag == "br":
+                text(" ")
+                continue
+            if tag in VOID:
+                new = new or tag == "hr"
+                continue
+            if tag == "a":
+                link = len(open_)
+                continue
+            if tag in INLINE:
+                continue
+            if tag in RAW:
+                end = RAW[tag].search(page, pos)
+                close_at = page.find(">", end.end()) if end else -1
+                pos = close_at + 1 if close_at >= 0 else size
+                continue
+            if attributes.endswith("/") and tag in SILENT:
+                continue
+            if tag not in SILENT:
+                closes = _CLOSES.get(tag, _PARAGRAPH)
+                while self.tag[open_[-1]] in closes:
+                    close()
+                new = True
+            mark, hard = _mark(tag, attributes, inside > 0)
+            if inside and tag in ARTICLE_TAGS and mark > 0:
+                mark = 0
+            self.parent.append(open_[-1])
+            open_.append(len(self.tag))
+            self.tag.append(tag)
+            self.mark.append(mark)
+            self.hard.append(hard)
+            count[tag] += 1
+            silent += tag in SILENT
+            inside += tag in ARTICLE_TAGS
+        else:
+            return
+        if pos < size:
+            text(page[pos:])
+
+    def texts(self) -> list[str]:
+        """The text of each block; blocks without any are dropped."""
+        out, keep = [], []
+        for k, p in enumerate(self.parts):
+            plain = " ".join("".join(p).split())
+            if plain:
+                out.append(plain)
+                keep.append(k)
+        self.shares = [self.linked[k] / max(1, sum(map(len, self.parts[k]))) for k in keep]
+        self.at = [self.at[k] for k in keep]
+        return out
+
+    def sides(self, texts: list[str]) -> list[int]:
+        """For each element the nearest marked element round it (or itself), negative for boilerplate; 0 if none."""
+        n = len(self.tag)
+        parent, mark, hard = self.parent, self.mark, self.hard
+        if not any(mark):
+            return [0] * n
+        lost, plus = [False] * n, [False] * n
+        for e in range(1, n):
+            p = parent[e]
+            lost[e] = lost[p] or mark[e] < 0 and hard[e]
+            plus[e] = not lost[e] and (mark[e] > 0 or mark[e] == 0 and plus[p])
+        core, total = [0] * n, [0] * n
+        for e, t in zip(self.at, texts, strict=True):
+            if not lost[e]:
+                total[e] += len(t)
+                core[e] += len(t) * plus[e]
+        for e in range(n - 1, 0, -1):
+            core[parent[e]] += core[e]
+            total[parent[e]] += total[e]
+        out = [0] * n
+        for e in range(1, n):
+            up = out[parent[e]]
+            holds = core[e] >= 0.5 * core[0] if core[0] else total[e] >= 0.8 * total[0] > 0
+            if up < 0 or mark[e] == 0 or mark[e] < 0 and not hard[e] and holds:
+                out[e] = up
+            else:
+                out[e] = e * mark[e]
+        return out
+
+    def features(self, k: int, text: str) -> tuple[float, ...]:
+        tag = self.tag[self.at[k]]
+        words = text.count(" ") + 1
+        return 1.0, self.shares[k], min(6.0, math.log2(1 + words)), float(text.endswith(_STOPS)), float(bool(_RIGHTS.search(text))), float(tag in HEADINGS), float(tag in PARAGRAPHS), float(tag in ITEMS)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the ``>`` of a tag is, -1 if nowhere. Quotes count after ``=``; one that never closes is an ordinary sign."""
+    pos = at
+    while m := _END.search(page, pos):
+        if not m[1]:
+            return m.start()
+        close = page.find(m[1], m.end())
+        pos = close + 1 if close >= 0 else m.end()
+    return page.find(">", at)
+
+
+def graph_of(page: Page, texts: list[str], weights: tuple[float, ...]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Terminal capacities (positive: content) and edges: blocks first, then the marked elements that blocks are in."""
+    scores = [max(-MOST, min(MOST, sum(w * x for w, x in zip(weights, page.features(k, t), strict=True)))) for k, t in enumerate(texts)]
+    sides, parent = page.sides(texts), page.parent
+    edges: dict[tuple[int, int], float] = {}
+    node: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k, e in enumerate(page.at):
+        up = parent[e]
+        if k:
+            edges[k - 1, k] = NEXT_EDGE + (COUSIN_EDGE if parent[up] == parent[parent[page.at[k - 1]]] else 0.0)
+        if up in last:
+            edges[last[up], k] = edges.get((last[up], k), 0.0) + SIBLING_EDGE
+        last[up] = k
+        if s := sides[e]:
+            if s not in node:
+                node[s] = len(scores)
+                scores.append(TIED if s > 0 else -TIED)
+            edges[k, node[s]] = MARK_EDGE
+    return scores, edges
 
 
 def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Labels (True: content) of least cost: a positive score is the cost of False, a negative one of True; an edge
-    costs its weight if its ends differ."""
+    costs its weight if its ends differ. A maximum flow by levels (shortest augmenting paths) finds them."""
     n = len(scores)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for (i, j), w in edges.items():
-        near[i][j] = near[i].get(j, 0.0) + w
-        near[j][i] = near[j].get(i, 0.0) + w
-    cost, bound, label = list(scores), [sum(x.values()) for x in near], [None] * n
-    todo = deque(range(n))
-    while todo:
-        i = todo.popleft()
-        if label[i] is None and abs(cost[i]) > bound[i]:
-            label[i] = cost[i] > 0
-            for j, w in near[i].items():
-                if label[j] is None:
-                    cost[j] += w if label[i] else -w
-                    bound[j] -= w
-                    todo.append(j)
-    open_ = [i for i in range(n) if label[i] is None]
-    if open_:
-        place = {i: k for k, i in enumerate(open_)}
-        links = [(place[i], place[j], w) for i in open_ for j, w in near[i].items() if i < j and label[j] is None]
-        for i, side in zip(open_, _flow([cost[i] for i in open_], links), strict=True):
-            label[i] = side
-    return [bool(x) for x in label]
-
-
-def _flow(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes are on the source's side after a maximum flow (shortest augmenting paths by levels)."""
-    n = len(cost)
     source, sink = n, n + 1
     to: list[int] = []
     room: list[float] = []
     out: list[list[int]] = [[] for _ in range(n + 2)]
 
     def arc(i: int, j: int, there: float, back: float) -> None:
-        for a, b, w in ((i, j, there), (j, i, back)):
-            out[a].append(len(to))
-            to.append(b)
-            room.append(w)
+        out[i].append(len(to))
+        out[j].append(len(to) + 1)
+        to.extend((j, i))
+        room.extend((there, back))
 
-    for i, c in enumerate(cost):
+    for i, c in enumerate(scores):
         arc(source, i, c, 0.0) if c > 0 else arc(i, sink, -c, 0.0)
-    for i, j, w in links:
+    for (i, j), w in edges.items():
         arc(i, j, w, w)
     while True:
         level = [-1] * (n + 2)
@@ -218,7 +353,7 @@ def _flow(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
         while todo:
             i = todo.popleft()
             for e in out[i]:
-                if room[e] > 1e-12 and level[to[e]] < 0:
+                if level[to[e]] < 0 and room[e] > 1e-9:
                     level[to[e]] = level[i] + 1
                     todo.append(to[e])
         if level[sink] < 0:
@@ -227,13 +362,17 @@ def _flow(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
         while True:
             if i == sink:
                 least = min(room[e] for e in path)
-                for e in path:
+                cut = len(path)
+                for k, e in enumerate(path):
                     room[e] -= least
                     room[e ^ 1] += least
-                path, i = [], source
+                    if room[e] <= 1e-9:
+                        cut = min(cut, k)
+                i = to[path[cut] ^ 1]
+                del path[cut:]
             elif tried[i] < len(out[i]):
                 e = out[i][tried[i]]
-                if room[e] > 1e-12 and level[to[e]] == level[i] + 1:
+                if room[e] > 1e-9 and level[to[e]] == level[i] + 1:
                     path.append(e)
                     i = to[e]
                 else:
@@ -245,30 +384,67 @@ def _flow(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
                 tried[i] += 1
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
     """The content blocks of a page, joined by empty lines."""
-    blocks = blocks_of(page or "")
-    edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for k, (_, _, parent) in enumerate(blocks):
-        if k:
-            edges[k - 1, k] = NEXT_EDGE
-        if parent in last:
-            edges[last[parent], k] = edges.get((last[parent], k), 0.0) + PARENT_EDGE
-        last[parent] = k
-    keep = minimum_cut([s for _, s, _ in blocks], edges)
-    return "\n\n".join(t for (t, _, _), k in zip(blocks, keep, strict=True) if k)
+    read = Page(page or "")
+    texts = read.texts()
+    keep = minimum_cut(*graph_of(read, texts, weights)) if texts else []
+    return "\n\n".join(t for t, k in zip(texts, keep, strict=False) if k)
+
+
+def fitted(rows: list[tuple[tuple[float, ...], bool]]) -> tuple[float, ...]:
+    """The weights of greatest posterior for labelled blocks: a logistic model, normal round ``PRIOR``, by Newton's method."""
+    if not rows:
+        return PRIOR
+    x, y = np.array([f for f, _ in rows]), np.array([label for _, label in rows], float)
+    prior, fixed = np.array(PRIOR[:FITTED]), x[:, FITTED:] @ np.array(PRIOR[FITTED:])
+    x, share, w = x[:, :FITTED], SAMPLE_WEIGHT / len(rows), prior.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + fixed, -30, 30)))
+        step = np.linalg.solve(share * (x.T * (p * (1 - p))) @ x + np.eye(FITTED), share * (x.T @ (y - p)) + prior - w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (*w.tolist(), *PRIOR[FITTED:])
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def labelled(page: str | None, most: int = SAMPLE_BLOCKS) -> list[tuple[tuple[float, ...], bool]]:
+    """Features and label of blocks of a page that marks decide, at most so many, spread over the page."""
+    read = Page(page or "")
+    texts = read.texts()
+    sides = read.sides(texts)
+    told = [k for k, e in enumerate(read.at) if sides[e]]
+    return [(read.features(k, texts[k]), sides[read.at[k]] > 0) for k in told[:: -(-len(told) // most) or 1]]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(x) for x in b.column(1).to_pylist()], pa.string())], ["r", *RESULTS])
+        rows = [labelled(x) for x in b.column(1).to_pylist()]
+        flat = [[v for f, label in r for v in (*f, float(label))] for r in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.float64()))], ["h", "x"])
+
+
+def classifier(pages: DataFrame, n_pages: int = SAMPLE_PAGES) -> tuple[float, ...]:
+    """Weights fitted to the sample of ``pages``."""
+    hashed = pages.select(F.xxhash64("html").alias("h"), F.col("html").cast("string").alias("html")).filter("html is not null")
+    last = hashed.select("h").distinct().orderBy("h").limit(n_pages).agg(F.max("h")).first()[0]
+    if last is None:
+        return PRIOR
+    rows = hashed.filter(F.col("h") <= last).mapInArrow(_sampled, "h bigint, x array<double>").groupBy("h").agg(F.first("x").alias("x")).orderBy("h").collect()
+    size = len(PRIOR) + 1
+    return fitted([(tuple(r.x[k : k + size - 1]), r.x[k + size - 1] > 0) for r in rows for k in range(0, len(r.x), size)])
+
+
+def extract(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """``pages`` without ``html``, with ``main_text``; ``weights`` are the classifier's, fitted to ``pages`` if not given."""
+    used = weights or classifier(pages)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(x, used) for x in b.column(1).to_pylist()], pa.string())], ["r", *RESULTS])
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` without ``html``, with ``main_text``."""
     own = [c for c in pages.columns if c not in ("html", *RESULTS)]
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
     rows = pages.select(rest.alias("r"), F.col("html").cast("string").alias("x"))
-    out = rows.mapInArrow(_run, f"r {rows.schema['r'].dataType.simpleString()}, main_text string")
+    out = rows.mapInArrow(run, f"r {rows.schema['r'].dataType.simpleString()}, main_text string")
     return out.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(own)], *RESULTS)
