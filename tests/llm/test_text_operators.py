@@ -120,11 +120,58 @@ def test_suffix_array_and_index():
 
 @pytest.mark.parametrize("block", [4 << 20, 2000])
 def test_substring_dedup(docs, rows, block, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", 40)
     out = substring_dedup.remove_repeats(docs, block_bytes=block)
     same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)), brute.substring_dedup(rows))
 
 
+def test_only_automata_locate(monkeypatch):
+    """What the last phase removes comes from matches alone."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    say = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    passage = say(30)
+    texts = [f"{say(20)} {passage} {say(9)}", f"{passage} {say(30)}", f"{say(3)} {passage}"]
+    left = pa.table({"r": pa.array([1, 2, 3]), "doc_id": pa.array([5, 6, 7]), "text": pa.array(texts), "t": pa.array([1, 2, 3])})
+    places = [20 + k for k in range(18)]  # windows of the passage in the first document
+    right = pa.table({"at": pa.array(places), "value": pa.array([5] * 18), "t": pa.array([None] * 18, pa.int64())})
+    run = substring_dedup._locate(13, ["r", *substring_dedup.RESULTS])
+    assert run(left, right)["n_removed"].to_pylist() == [0, 30, 30]
+    assert run(left, right)["spans"].to_pylist() == [[], [0, 30], [3, 33]]
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", 5)
+    assert run(left, right)["n_removed"].to_pylist() == [0, 30, 30]
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda automaton, text, below: [])
+    assert run(left, right)["n_removed"].to_pylist() == [0, 0, 0]
+
+
+def test_word_hashes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "CHUNK", 16)
+    texts = ["", "one", "two one", " three\tone\n", "x" * 50 + " one", "é one " * 9, "", "one"]
+    h, start = substring_dedup.Hasher().words(pa.array(["skipped", *texts]).slice(1))
+    words = [w for t in texts for w in t.split()]
+    assert start.tolist() == [sum(len(t.split()) for t in texts[:k]) for k in range(len(texts) + 1)]
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    assert len({(w, x) for w, x in zip(words, h.tolist())}) == len(set(words))
+
+
+def test_codes_are_of_one_length():
+    code, other = substring_dedup.codes_of({str(k).encode() for k in range(70_000)})
+    assert {len(c) for c in code.values()} == {3, len(other)} == {3} and len(set(code.values())) == 70_000
+
+
+def test_copies_of_repeated_ids(spark):
+    """A row that repeats the id of a copy, with a text of its own, is compared as any other."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice("abcdefghij") for _ in range(n))
+    copied, own = say(40), say(40)
+    rows = [(1, copied), (5, copied), (5, own), (9, own), (9, f"{say(10)} {copied[:60]}")]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)), brute.substring_dedup(rows))
+
+
 def test_simhash(docs, rows):
     prints = {(i, brute.fingerprint(t)) for i, t in rows}
     root = brute.components(prints)
