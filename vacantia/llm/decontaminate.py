@@ -6,8 +6,11 @@ Burrows-Wheeler transform in a wavelet matrix with rank counts, and every ``SAMP
 block are searched backward at once; occurrences are located by walking to sampled positions, and
 their spans are merged in a difference array over the shard. Documents are never shuffled.
 
-The benchmark travels to the executors in blocks of at most ``BLOCK_BYTES``; a larger one takes several passes over the
-documents, whose results are merged per document.
+The benchmark travels to the executors in blocks of at most ``BLOCK_BYTES`` (or one item), read one after another. Each block is a
+pass of its own over the documents: what the pass before found is written to the shared folder first, so the driver and a
+task hold one block at a time, however large the benchmark is. Most benchmarks are one block, and one map-only pass.
+
+The index numbers the words that the block's items have; a run of other words, which no occurrence can hold, is one number.
 
 Cases: null and empty texts have no words. Rows with repeated or null ``doc_id`` are judged each for itself.
 Repeated items are items of their own; items without words occur nowhere.
@@ -23,16 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+from .terms import words_of
+
 RESULTS = ("n_words", "n_hit", "spans", "items")
 WINDOW, SAMPLE = 10, 8
 #: Words of a piece, bytes of text of a shard, bytes of benchmark text that go along with a task.
 PIECE_WORDS, SHARD_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20, 16 << 20
-#: ASCII letters and digits stay (A-Z lower-cased), other ASCII becomes a space, other bytes belong to words.
-_TABLE = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TABLE).split()
 
 
 def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -229,13 +229,13 @@ def _scan(items: list[tuple[int, str | None]], shard_bytes: int, piece: int) ->
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of at most ``most`` characters of text (or one item), read one after another."""
+    """The items in blocks of at most ``most`` bytes of text (or one item), read one after another."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator():
-        if block and size + len(r[1] or "") > most:
+    for r in benchmark.select(F.col("item_id").cast("bigint"), "text", F.coalesce(F.octet_length("text"), F.lit(0))).toLocalIterator():
+        if block and size + r[2] > most:
             yield block
             block, size = [], 0
-        size += len(r[1] or "")
+        size += r[2]
         block.append((r[0], r[1]))
     yield block
 
@@ -249,8 +249,8 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, shard_bytes:
     own = [c for c in documents.columns if c not in ("text", *RESULTS)]
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
     out = documents.select(rest.alias("r"), F.col("text").cast("string").alias("x"), F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast("array<bigint>").alias(c) for c in ("spans", "items")])
-    for items in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_scan(items, shard_bytes, piece), out.schema)
+    for k, items in enumerate(_blocks(benchmark, block_bytes)):
+        out = (stored(out) if k else out).mapInArrow(_scan(items, shard_bytes, piece), out.schema)
     spans = F.col("spans")
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     back = [F.col("x").alias("text") if c == "text" else F.col(f"r.c{own.index(c)}").alias(c) for c in documents.columns if c not in RESULTS]

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .terms import words_of
+
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 64
 #: Notices of public licenses.
 TEMPLATES = {
@@ -34,14 +36,9 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
-_TABLE = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TABLE).split()
-
-
 def shingles(words: list[bytes]) -> np.ndarray:
     """Hashes of the text's shingles, in order."""
     n = len(words)
