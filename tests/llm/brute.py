@@ -43,6 +43,38 @@ def quality_base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), n, len(words) < 10 or 100 * n > 20 * len(words)
 
 
+PHRASES = """lorem ipsum;all rights reserved;terms of use;terms of service;privacy policy;cookie policy;cookie settings;enable javascript;click here to;sign up for our;subscribe to our;skip to content;skip to main content;
+leave a comment;leave a reply;alle rechte vorbehalten;nutzungsbedingungen;datenschutzerklärung;datenschutzbestimmungen;zum inhalt springen;tous droits réservés;mentions légales;politique de confidentialité;todos los derechos reservados;
+aviso legal;política de privacidad"""
+
+
+def line_fails(line):
+    """Plain reading of the line rules for a stripped line, over code points."""
+    size, words = len(line.encode()), line.count(" ") + 1
+    marks = "|>·•›" + ("" if "«" in line else "»")
+    for c in marks:
+        line_ = line.replace(c, "\0") if c == marks[0] else line_.replace(c, "\0")
+    parts = [p for p in line_.split("\0") if p.strip(" \t\r\x0b\x0c")]
+    if len(parts) > 1 and len(parts) >= 4 and words <= 3 * len(parts):
+        return True
+    if sum(c in "#*$%&|<>" for c in line) > 0.08 * size:
+        return True
+    marked = sum(len(w := x.rstrip(".,")) > 1 and all(c in "!?*#$%&|<>=~^" for c in w[-2:]) for x in re.split("[ \t]+", line))
+    if any(x in line for x in ("!!", "??", "==", "~~")) and marked > 0.3 * words:
+        return True
+    if words <= 25 and any(p.strip() in line.lower() for p in PHRASES.split(";")):
+        return True
+    each = WORD.findall(line)
+    return words >= 10 and sum(a == b for a, b in zip(each, each[1:])) > 0.3 * len(each)
+
+
+def quality_kept(text):
+    text = text or ""
+    lost = sum(len("".join(WORD.findall(x))) for x in text.split("\n") if WORD.search(x) and line_fails(x.strip(" \t\n\x0b\x0c\r")))
+    base = quality_base(text)
+    return not base[5] and lost <= 0.5 * base[1]
+
+
 def contamination(rows, items, size=10):
     windows = defaultdict(set)
     for i, t in items:

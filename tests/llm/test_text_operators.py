@@ -72,6 +72,7 @@ def test_quality(docs, rows):
     out = quality_rules.quality(docs)
     same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), [(i, *brute.quality_base(t)) for i, t in rows])
     assert all(not r.kept for r in out.filter("base_failed").collect())
+    same(out.select("doc_id", "kept"), [(i, brute.quality_kept(t)) for i, t in rows])
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert kept[20] and kept[63] and not kept[60] and not kept[0]
 
@@ -90,6 +91,22 @@ def test_quality_lines():
     assert quality_rules.judge("Home | News | About | Us | More | Login | Top | End | A | B\nshort line")[6] is False
 
 
+def test_quality_rules_read_whole_characters():
+    """Bytes of separators inside other characters are none."""
+    for line in ("Он сказал — «да», и ушёл; всё это было давно, и никто уже не помнит, как звали того человека.", "Η Ελλάδα — η χώρα μας — είναι λίγο μακριά, αλλά θα πάμε σύντομα.", "他说“你好”——然后“再见”——就走了……再也没有回来。", "Elle dit « oui », « non », « peut-être » et « jamais » selon les jours.", "It’s “done” — or so he said… and ‘left’."):
+        assert quality_rules.line_fails(line.encode()) is None and not brute.line_fails(line), line
+        assert quality_rules.judge(f"{line}\n{line} Und noch zwei.\nAnd some ten more English words that make it long enough.")[8] == 0
+    for line in ("Start · News · Sport · Kultur", "Home » News » Sport » More", "Accueil › Actualités › Sport › Culture", "Tous droits réservés.", "TOUS DROITS RÉSERVÉS", "Alle Rechte vorbehalten", "Todos los derechos reservados", "© 2021 Someone"):
+        assert quality_rules.line_fails(line.encode()), line
+
+
+def test_quality_against_plain_rules_on_real_texts():
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pylist():
+        assert quality_rules.judge(r["text"])[6] == brute.quality_kept(r["text"]), r["text"][:200]
+
+
 @pytest.mark.parametrize("piece, block", [(1 << 20, 1 << 20), (64, 80)])
 def test_decontamination(spark, docs, rows, piece, block):
     texts = [t for _, t in rows if t]
@@ -101,6 +118,13 @@ def test_decontamination(spark, docs, rows, piece, block):
     assert left.count() == sum(not r[5] for r in brute.contamination(rows, items))
 
 
+def test_each_block_of_the_benchmark_is_a_pass(spark, docs):
+    items = spark.createDataFrame([(k, f"item {k} é " * 4) for k in range(6)], "item_id bigint, text string")
+    assert [len(b) for b in decontaminate._blocks(items, 76)] == [1] * 6  # bytes: 40 each
+    nodes = lambda size: decontaminate.contaminated_words(docs, items, block_bytes=size)._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert nodes(1 << 20) == 1 and nodes(60) == 1
+
+
 def test_suffix_array_and_index():
     import numpy as np
 

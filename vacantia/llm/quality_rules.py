@@ -1,8 +1,8 @@
 """Quality rules, lines first.
 
 Each line with a word is judged by three rules: punctuation (symbols, or runs of them, in place of prose; shouting),
-navigation (many short parts between separators) and boilerplate (a phrase of web pages fills the line, or words said over
-and over). Lines that fail are
+navigation (many short parts between separators) and boilerplate (a phrase of web pages, by language, in a short line, or words
+said over and over). Lines that fail are
 removed; a document that loses more than ``max_lost`` of the code points of its words is rejected, as is one that
 fails the base rules.
 
@@ -32,28 +32,42 @@ MAX_SYMBOLS, MAX_MARKED = 0.08, 0.3
 NAV_PARTS, NAV_WORDS = 4, 3
 #: A document is rejected beyond this share of its words' code points in failed lines.
 MAX_LOST = 0.5
-#: Phrases that fail a line of at most ``BOILERPLATE_WORDS`` words.
-BOILERPLATE = re.compile(rb"all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|enable javascript|click here to|sign up for our|subscribe to our|skip to (?:main )?content|powered by \w+|lorem ipsum")
+#: Phrases by language that fail a line of at most ``BOILERPLATE_WORDS`` words.
+PHRASES = {
+    "any": r"lorem ipsum|(?:©|\(c\)) ?(?:19|20)\d\d",
+    "en": r"all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|enable javascript|click here to|sign up for our|subscribe to our|skip to (?:main )?content|powered by \w+|share (?:this )?on (?:facebook|twitter)|leave a (?:comment|reply)",
+    "de": r"alle rechte vorbehalten|nutzungsbedingungen|datenschutz(?:erklärung|bestimmungen)|cookie-(?:richtlinie|einstellungen)|aktivieren sie javascript|klicken sie hier|newsletter abonnieren|zum inhalt springen|kommentar hinterlassen",
+    "fr": r"tous droits réservés|conditions (?:générales )?d[’']utilisation|politique de confidentialité|mentions légales|gérer les cookies|activer javascript|cliquez ici pour|abonnez-vous à|aller au contenu|laisser un commentaire",
+    "es": r"todos los derechos reservados|términos (?:de uso|y condiciones)|política de (?:privacidad|cookies)|aviso legal|activar javascript|haga clic aquí|suscríbete a|saltar al contenido|deja un comentario",
+}
+BOILERPLATE = re.compile("|".join(PHRASES.values()))
 BOILERPLATE_WORDS = 25
+#: A phrase has one of these pieces, which are looked for first.
+_PIECES = tuple(x.encode() for x in ("lorem", "©", "(c)", "rights", "terms of", "policy", "cookie", "javascript", "click here", "sign up", "subscribe", "skip to", "powered", "share ", "leave a", "rechte", "nutzungs", "datenschutz", "klicken", "abonn", "springen", "hinterlassen", "droits", "conditions", "politique", "mentions", "cliquez", "contenu", "commentaire", "derechos", "rminos", "pol\u00edtica", "aviso", "haga clic", "suscr", "contenido", "comentario"))
 #: Filler: a line of so many words fails if more than this share of them repeat the word before.
 STUTTER_WORDS, MAX_STUTTER = 10, 0.3
-_SEPARATOR = re.compile(rb"[|\xc2\xb7\xbb>]+|\xe2\x80\xa2|\xe2\x80\xba")
+#: Whole characters, in UTF-8: | > · • › and, in a line without «, ».
+_SEPARATORS = (b"|", b">", b"\xc2\xb7", b"\xe2\x80\xa2", b"\xe2\x80\xba", b"\xc2\xbb")
+_SEPARATOR = re.compile(rb"\||>|\xc2\xb7|\xe2\x80\xa2|\xe2\x80\xba|\xc2\xbb")
+_NO_QUOTE = re.compile(rb"\||>|\xc2\xb7|\xe2\x80\xa2|\xe2\x80\xba")
 _MARKED = re.compile(rb"[!?*#$%&|<>=~^]{2,}(?:[\s.,]|$)")
 
 
 def line_fails(line: bytes) -> str | None:
     """The rule that a line with a word fails, or None."""
     n, words = len(line), line.count(b" ") + 1
-    if b"|" in line or b">" in line or b"\xc2\xb7" in line or b"\xe2\x80" in line:
-        parts = [p for p in _SEPARATOR.split(line) if p.strip()]
+    if any(s in line for s in _SEPARATORS):
+        parts = [p for p in (_NO_QUOTE if b"\xc2\xab" in line else _SEPARATOR).split(line) if p.strip()]
         if len(parts) >= NAV_PARTS and words <= NAV_WORDS * len(parts):
             return "navigation"
     if n - len(line.translate(None, SYMBOLS)) > MAX_SYMBOLS * n:
         return "punctuation"
     if (b"!!" in line or b"??" in line or b"==" in line or b"~~" in line) and len(_MARKED.findall(line)) > MAX_MARKED * words:
         return "punctuation"
-    if words <= BOILERPLATE_WORDS and BOILERPLATE.search(line.lower()):
-        return "boilerplate"
+    if words <= BOILERPLATE_WORDS:
+        low = line.lower() if line.isascii() else line.decode().lower().encode()
+        if any(p in low for p in _PIECES) and BOILERPLATE.search(low.decode()):
+            return "boilerplate"
     if words >= STUTTER_WORDS:
         each = line.split()
         if sum(map(eq, each, each[1:])) > MAX_STUTTER * len(each):
