@@ -38,7 +38,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    for c in ("h", "pos", "n_words", "items", "blk", "fp", "r", "kept_text"):  # names that the operators use
+    for c in ("h", "pos", "n_words", "items", "blk", "fp", "r", "kept_text", "__rank", "row", "id", "t", "k"):  # names that the operators use
         df = df.withColumn(c, F.lit("mine"))
     return df
 
@@ -60,12 +60,30 @@ def test_line_dedup(docs, rows, batches, fanout):
 
 def test_line_runs_are_levelled(spark):
     store = line_dedup.LineRuns(spark, fanout=2)
-    batch = lambda a, b, k: spark.range(a, b).select(F.col("id").cast("string").cast("binary").alias("h"), F.lit(k).cast("bigint").alias("keeper"))
+    batch = lambda a, b, k: spark.range(a, b).select(F.col("id").cast("string").cast("binary").alias("h"), F.lit(k).cast("bigint").alias("keeper"), F.lit(2).cast("bigint").alias("n"))
     assert store.add(batch(0, 10, 3)).count() == 10
     assert store.add(batch(5, 15, 2)).count() == 5  # the first batch has the others
     assert [len(x) for x in store.levels] == [0, 1]
     assert store.add(batch(0, 16, 1)).count() == 1
-    assert sorted(r.keeper for r in store.all().collect()) == [1] + [2] * 5 + [3] * 10
+    assert sorted((r.keeper, r.n) for r in store.all().collect()) == [(1, 2)] + [(2, 4)] * 5 + [(3, 4)] * 5 + [(3, 6)] * 5
+    store.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name in store.names]
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    """A batch meets the stored runs without an exchange on the runs' side."""
+    store = line_dedup.LineRuns(spark, fanout=9)
+    keys = spark.range(1000).select(F.col("id").cast("string").cast("binary").alias("h"), F.col("id").alias("keeper"), F.lit(1).cast("bigint").alias("n"))
+    for k in range(2):
+        store.add(keys.filter(F.col("keeper") % 3 == k))
+    batch = keys.groupBy("h").agg(F.max("keeper").alias("keeper"), F.sum("n").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    for run in store.runs():
+        batch = batch.join(run.table.filter("not known").select("h"), "h", "left_anti")
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") >= 2 and plan.count("Exchange") == 1 and batch.count() == 333
+    store.drop()
 
 
 def test_quality(docs, rows):
@@ -207,7 +225,8 @@ def test_simhash(docs, rows):
     assert sorted(i for i in ids if i is not None) == sorted(set(root.values()) - {None}) and ids.count(None) == 3
 
 
-def test_simhash_links_dense_families(spark):
+@pytest.mark.parametrize("crowd", [20_000, 30, 1])
+def test_simhash_links_dense_families(spark, crowd):
     r = random.Random(5)
     base = r.getrandbits(64)
     prints = {0, base, 0xFFFFFFFF, 1 << 63}
@@ -222,7 +241,7 @@ def test_simhash_links_dense_families(spark):
     nodes = spark.createDataFrame([(signed(p), k) for p, k in ids.items()], "fp bigint, node bigint")
     from vacantia.llm.components import components
 
-    got = {x.node: x.component for x in components(simhash.links(nodes)).collect()}
+    got = {x.node: x.component for x in components(simhash.links(nodes, crowd=crowd)).collect()}
     want = brute.components({(k, p) for p, k in ids.items()})
     assert {k: got.get(k, k) for k in ids.values()} == {k: want[p] for p, k in ids.items()}
 

@@ -7,7 +7,10 @@ Hamming ball of radius one round its segment, and the join keeps what has a comp
 
 Families of near copies have many fingerprints that differ in a few bits. Their links at distance one, at most 64 a
 fingerprint, are found first (both share a segment then); the join next emits links between different components of those
-only, so that its rows stay proportional to the fingerprints, not to the square of a family.
+only, so that its rows stay proportional to the fingerprints, not to the square of a family. Segments that more than ``CROWD``
+fingerprints share are not joined at all: their fingerprints, and those one bit away, are written under every fingerprint that
+differs from them in one bit or in two. A common one of which some are one bit away links all that have it, through its
+least component, without a pair being formed.
 
 Cases: a null or empty text has no words and fingerprint zero, linked like any other. A row with a null ``doc_id`` is
 fingerprinted and given the component of its fingerprint (null if only such rows have it), but links nothing. Repeated rows
@@ -23,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import as_row, stored
 from .components import components
 
 SEED, CHUNK = 42, 1 << 16
+#: Beyond so many fingerprints in a segment common neighbours take the place of pairs.
+CROWD = 20_000
 #: The bits of each byte value, lowest first, and the offset of each byte's counts.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 PLACE = np.arange(8, dtype=np.int64) * 256
@@ -72,14 +78,24 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
+def _neighbours(crowd: DataFrame) -> DataFrame:
+    """Links of up to three bits between the components of ``crowd`` (``fp``, ``component``), by common neighbours."""
+    bits = crowd.select("fp", "component", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("b"))
+    one = bits.select(F.when(F.col("b") < 0, F.col("fp")).otherwise(F.expr("fp ^ shiftleft(1L, b)")).alias("code"), "component", F.lit(True).alias("near"))
+    two = bits.filter("b > 0").select("fp", "component", "b", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("c"))
+    codes = one.union(two.select(F.expr("fp ^ shiftleft(1L, b) ^ shiftleft(1L, c)"), "component", F.lit(False)))
+    least = codes.groupBy("code").agg(F.min("component").alias("v"), F.max("component").alias("most"), F.bool_or("near").alias("near")).filter("near and v < most").select("code", "v")
+    return codes.join(least, "code").filter("component <> v").select(F.col("component").alias("u"), "v").distinct()
+
+
+def links(nodes: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
     """(``u``, ``v``) between the distinct fingerprints of ``nodes`` (``fp``, ``node``), enough for exact components."""
     if distance > 3:
         raise ValueError("two segments with balls of radius one find links of up to three bits")
     tables = [nodes.select(F.lit(t).alias("t"), _segment(F.col("fp"), t).alias("seg"), "fp", "node") for t in (0, 1)]
     table = tables[0].unionByName(tables[1])
-    shared = table.groupBy("t", "seg").agg(F.count("*").alias("n")).filter("n > 1").select("t", "seg")
-    family = stored(table.join(shared, ["t", "seg"]).select("fp", "node").distinct())
+    shared = stored(table.groupBy("t", "seg").agg(F.count("*").alias("n")).filter("n > 1"))
+    family = stored(table.join(shared.select("t", "seg"), ["t", "seg"]).select("fp", "node").distinct())
     flips = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
     near = family.select(F.col("node").alias("u"), "fp", F.explode(flips).alias("bit")).filter(F.col("fp").bitwiseAND(F.col("bit")) == 0)
     near = near.select("u", F.col("fp").bitwiseOR(F.col("bit")).alias("fp")).join(family, "fp").select("u", F.col("node").alias("v"))
@@ -90,12 +106,19 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     tables = [nodes.select(F.lit(t).alias("t"), _segment(F.col("fp"), t).alias("seg"), "fp", "component") for t in (0, 1)]
     table = tables[0].unionByName(tables[1])
     ball = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(32)])
+    crowded = shared.filter(F.col("n") > crowd).select("t", "seg")
+    if crowded.limit(1).count():
+        round_ = crowded.select("t", F.explode(ball).alias("bit"), "seg").select("t", F.col("seg").bitwiseXOR(F.col("bit")).alias("seg")).distinct()
+        near = near.union(_neighbours(table.join(round_, ["t", "seg"]).select("fp", "component").distinct()))
+        pairs = table.join(crowded, ["t", "seg"], "left_anti")
+    else:
+        pairs = table
     probe = table.select("t", "seg", F.col("fp").alias("p_fp"), F.col("component").alias("u"), F.explode(ball).alias("bit"))
     probe = probe.filter(F.col("seg").bitwiseAND(F.col("bit")) == 0)
     probe = probe.select("t", F.col("seg").bitwiseOR(F.col("bit")).alias("seg"), (F.col("bit") == 0).alias("same"), "p_fp", "u")
     found = (
         probe.alias("p")
-        .join(table.alias("q"), (F.col("p.t") == F.col("q.t")) & (F.col("p.seg") == F.col("q.seg")) & (F.col("u") != F.col("component"))
+        .join(pairs.alias("q"), (F.col("p.t") == F.col("q.t")) & (F.col("p.seg") == F.col("q.seg")) & (F.col("u") != F.col("component"))
               & (_distance("p_fp", "fp") <= distance) & (~F.col("same") | (F.col("p_fp") < F.col("fp"))))
         .select("u", F.col("component").alias("v"))
     )
@@ -113,10 +136,8 @@ def near_duplicates(documents: DataFrame, distance: int = 3, words: int = 3) ->
 
 def one_of_each(documents: DataFrame, distance: int = 3) -> DataFrame:
     """``documents`` with one row of each group of near duplicates, that of its smallest ``doc_id``; rows without id stay."""
-    from pyspark.sql import Window as W
-
-    first = near_duplicates(documents, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").select(*[f"`{c}`" for c in documents.columns])
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = named.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    return named.unionByName(documents.filter(F.col("doc_id").isNull()))
+    first = near_duplicates(documents, distance).filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("t"), as_row(documents).alias("row"))
+    named = rows.filter("id is not null").join(first, "id", "left_semi")
+    named = named.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("t"))).filter("k = 1")
+    return named.select("row").union(rows.filter("id is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
