@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import pattern_of
+from .urls import ATS_HOSTS, host, is_under
 
 # The patterns of placements, titles and responsibilities.
 PLACEMENT_TITLE = r"\b(?:intern(?:s|ship(?:s)?)?|co[ -]?ops?|cooperative education|students?|undergrad(?:uate)?s?|graduates?|university|college|campus|placement|work[- ]?term|summer (?:analyst|associate|program)|industrial placement)\b"
@@ -40,7 +44,7 @@ CATEGORIES = {
     "cloud": r"\b(?:cloud engineering|aws|azure|gcp|kubernetes|infrastructure as code)\b",
     "data": r"\b(?:data engineer|data science|data pipeline|etl|analytics engineering|sql)\b",
     "ml": r"\b(?:machine learning|deep learning|tensorflow|pytorch|ml engineer)\b",
-    "ai": r"\b(?:artificial intelligence|applied ai|ai engineer|computer vision|natural language processing|nlp\b|large language model|llm)\b",
+    "ai": r"\b(?:artificial intelligence|applied ai|ai engineer|computer vision|natural language processing|\bnlp\b|large language model|\bllm)\b",
     "security": r"\b(?:cybersecurity|security engineer|application security|penetration test|security automation)\b",
     "embedded": r"\b(?:embedded|firmware|microcontroller|real[ -]?time operating|robotics software)\b",
     "quant": r"\b(?:quantitative developer|quant developer|algorithmic trading|quantitative research)\b",
@@ -48,7 +52,7 @@ CATEGORIES = {
     "swe": r"\b(?:software engineer(?:ing)?|software developer|software development|developer intern|programmer)\b",
 }
 TECHNOLOGIES = {
-    "Python": r"\bpython\b", "Java": r"\bjava\b", "C++": r"\bc\+\+|\bcpp\b", "C#": r"\bc#|\bc sharp\b", "C": r"\bprogramming (?:in|with) c\b|\bc language\b|\bc\/c\+\+",
+    "Python": r"\bpython\b", "Java": r"\bjava(?!script)\b", "C++": r"\bc\+\+|\bcpp\b", "C#": r"\bc#|\bc sharp\b", "C": r"\bprogramming (?:in|with) c\b|\bc language\b|\bc\/c\+\+",
     "JavaScript": r"\b(?:javascript|js)\b", "TypeScript": r"\btypescript\b", "React": r"\breact(?:\.js|js)?\b", "Node.js": r"\bnode(?:\.js|js)\b", "Go": r"\b(?:golang|go programming)\b",
     "Rust": r"\brust\b", "Swift": r"\bswift\b", "Kotlin": r"\bkotlin\b", "Ruby": r"\bruby\b", "PHP": r"\bphp\b", "Scala": r"\bscala\b", "R": r"\br programming\b",
     "SQL": r"\b(?:sql|postgres(?:ql)?|mysql|sqlite)\b", "NoSQL": r"\b(?:nosql|mongodb|dynamodb|cassandra)\b", "Git": r"\b(?:git|github|gitlab|bitbucket)\b",
@@ -59,7 +63,13 @@ TECHNOLOGIES = {
     "Playwright": r"\bplaywright\b", "Cypress": r"\bcypress\b", "Unity": r"\bunity\b", "CUDA": r"\bcuda\b", "ROS": r"\b(?:ros|robot operating system)\b",
 }
 # Keywords of which a listing needs one of each kind.
-TECHNICAL_KEYWORDS = "software|developer|development|frontend|front end|front-end|backend|back end|back-end|full stack|full-stack|fullstack|web|mobile|ios|android|data|analytics|machine learning|ml|artificial intelligence|ai|ai/ml|genai|generative ai|computer vision|nlp|natural language processing|robotics|autonomy|autonomous|perception|computer science|computer engineering|quality assurance|qa|test|testing|automation|sdet|cloud|devops|devsecops|site reliability|sre|platform|infrastructure|systems|network|networking|database|algorithm|algorithmic|graphics|blockchain|scientific computing|information technology|it|technology|technical|programming|programmer".split("|")
+TECHNICAL_KEYWORDS = [
+    "software", "developer", "development", "frontend", "front end", "front-end", "backend", "back end", "back-end", "full stack", "full-stack", "fullstack", "web", "mobile",
+    "ios", "android", "data", "analytics", "machine learning", "ml", "artificial intelligence", "ai", "ai/ml", "genai", "generative ai", "computer vision", "nlp",
+    "natural language processing", "robotics", "autonomy", "autonomous", "perception", "computer science", "computer engineering", "quality assurance", "qa", "test", "testing",
+    "automation", "sdet", "cloud", "devops", "devsecops", "site reliability", "sre", "platform", "infrastructure", "systems", "network", "networking", "database", "algorithm",
+    "algorithmic", "graphics", "blockchain", "scientific computing", "information technology", "it", "technology", "technical", "programming", "programmer",
+]
 PLACEMENT_KEYWORDS = r"intern(?:ship)?s?|co[\s\-–—‑]?ops?|students?|trainees?|placements?|work[\s\-–—‑]+terms?|pey"
 # Weights of terms by field, and the bounds of each field's sum.
 WEIGHTS = {
@@ -72,13 +82,25 @@ WEIGHTS = {
     "snippet_negative": {"cold calling": 28, "social media campaign": 26, "accounts payable": 26, "talent acquisition": 28, "customer tickets": 24, "financial reporting": 24},
 }
 BOUNDS = {"title_ambiguous": 34, "title_negative": 100, "department_positive": 34, "department_negative": 50, "snippet_positive": 28, "snippet_negative": 36}
-# Phrases of pages that are gone, in the order in which they are tried.
-GONE = {
-    "expired": r"\b(?:job|position|posting|listing)\s+(?:has\s+)?(?:expired|closed)\b|\bno longer (?:accepting|available|open)\b",
-    "filled": r"\b(?:position|role|job)\s+(?:has been|is|was)\s+filled\b",
-    "not_found": r"\b(?:page|job|posting)\s+(?:was\s+|could\s+)?not\s+(?:be\s+)?found\b|\b404\b",
-    "blocked": r"\baccess denied\b|\bverify you are (?:a )?human\b|\bcaptcha\b",
-}
+# What pages say that are not found or closed, in the order in which it is tried, and pages that ask for a login or a proof.
+GONE = [
+    ("not-found", "Page not found", r"\bthe page you(?: are|['’]re) (?:looking for|seeking) (?:doesn['’]?t|does not|cannot|can['’]?t) exist\b"),
+    ("not-found", "Page not found", r"\bthe page you(?: are|['’]re) (?:looking for|seeking) (?:couldn['’]?t|could not|cannot|can['’]?t) be found\b"),
+    ("not-found", "Page not found", r"\b(?:the )?(?:requested )?(?:page|resource) (?:doesn['’]?t|does not|cannot|can['’]?t) exist\b"),
+    ("not-found", "Page not found", r"\b(?:page|resource) (?:not found|couldn['’]?t be found|could not be found|cannot be found|can['’]?t be found)\b"),
+    ("not-found", "Page not found", r"\b(?:this|the) (?:page|resource) (?:is|has been|was) (?:removed|unavailable|not available)\b"),
+    ("not-found", "Job not found", r"\b(?:this|the) (?:job|position|listing|opportunity|requisition) (?:doesn['’]?t|does not|cannot|can['’]?t) exist\b"),
+    ("not-found", "Job not found", r"\b(?:this|the) (?:job|position|listing|opportunity|requisition) (?:couldn['’]?t|could not|cannot|can['’]?t) be found\b"),
+    ("not-found", "Page not found", r"\b(?:we|our system) (?:couldn['’]?t|could not|cannot|can['’]?t) find (?:the |this |that )?(?:requested )?(?:page|resource|job|position|listing|opportunity|requisition)\b"),
+    ("not-found", "Page not found", r"\bpage\s+not\s+found\b|\b404\s+not\s+found\b"),
+    ("closed", "Job no longer available", r"\b(?:this|the) (?:job|position|listing|opportunity|requisition) (?:is|has been|was) no longer available\b"),
+    ("closed", "Job expired", r"\b(?:this|the) (?:job|position|listing|opportunity|requisition) has expired\b"),
+    ("closed", "Job posting removed or closed", r"\b(?:this|the) (?:job|position|listing|opportunity|requisition|posting) has been (?:removed|closed)\b"),
+    ("closed", "No longer accepting applications", r"\bno longer accepting applications\b"),
+]
+FOOTER = r"\b(?:site|website|page)\s+footer\b"
+ACCESS = r"(?:complete|solve) the captcha|captcha challenge|verify (?:that )?you are human|access denied|sign in to (?:continue|view)|log in to (?:continue|view)"
+LOGIN_PATH = r"/(?:login|signin|signup)(?:[/?#]|$)"
 
 
 def says(c: Column, pattern: str) -> Column:
@@ -99,22 +121,43 @@ def factor(points: Column | int) -> Column:
     return half_up((points if isinstance(points, Column) else F.lit(points)) * 0.75)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def labels(c: Column, rules: dict[str, str]) -> Column:
-    """The names of the rules that a text meets, in their order."""
-    return F.array_compact(F.array(*[F.when(says(c, p), F.lit(n)) for n, p in rules.items()]))
+    """The names of the rules that a text meets, in their order.
+
+    One pass finds all places at which any rule matches; the single rules are then asked about what was found there.
+    """
+    joined = "|".join(rules.values())
+    found = F.array_join(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?i)(?=({joined}))"), F.lit(1))), "\n")
+    each = lambda x: F.array_compact(F.array(*[F.when(says(x, p), F.lit(n)) for n, p in rules.items()]))
+    return let(found, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(each(x)))
 
 
 def technologies(c: Column) -> Column:
     return labels(c, TECHNOLOGIES)
 
 
+def position_text(c: Column) -> Column:
+    """A description without the sentence that speaks of a site's footer and all that follows."""
+    head = F.regexp_extract(c, rf"(?is)^(.*?){FOOTER}", 1)
+    return F.when(F.contains(F.lower(c), F.lit("footer")) & says(c, FOOTER), F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)).otherwise(c)
+
+
+def _body_says(body: Column) -> Column:
+    return says(body, DIRECT_PLACEMENT) | says(body, STUDY_CONTEXT) | says(body, RELATED_PLACEMENT)
+
+
 def has_placement(title: Column, body: Column) -> Column:
-    return says(F.trim(title), PLACEMENT_TITLE) | says(body, DIRECT_PLACEMENT) | says(body, STUDY_CONTEXT) | says(body, RELATED_PLACEMENT)
+    return says(F.trim(title), PLACEMENT_TITLE) | let(position_text(body), _body_says)
 
 
 def is_placement(title: Column, body: Column) -> Column:
     """A placement by its title, unless that names a permanent job and no placement outright; else by its text."""
-    return F.when(says(title, PLACEMENT_TITLE), ~says(title, PERMANENT_TITLE) | says(title, EXPLICIT_PLACEMENT_TITLE)).otherwise(has_placement(title, body))
+    return F.when(says(title, PLACEMENT_TITLE), ~says(title, PERMANENT_TITLE) | says(title, EXPLICIT_PLACEMENT_TITLE)).otherwise(let(position_text(body), _body_says))
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -128,22 +171,19 @@ def role_score(title: Column, description: Column, studies: Column | None = None
     """0 to 100: placement, term, title, responsibilities, technologies and studies, less what speaks against software."""
     studies = F.lit("") if studies is None else studies
     text = F.concat_ws("\n", title, description, studies)
-    placed = has_placement(title, F.concat_ws("\n", description, studies))
+    placed = says(F.trim(title), PLACEMENT_TITLE) | let(F.concat_ws("\n", position_text(description), position_text(studies)), _body_says)
     n_actions = _sum([says(description, p).cast("int") for p in ACTIONS])
-    n_tech = F.size(technologies(text))
     points = lambda test, n: F.when(test, factor(n)).otherwise(F.lit(0))
-    return clamp(
-        -points(~placed, 60) + points(placed & says(text, TARGET_TERM), 35) + points(says(title, DIRECT_PLACEMENT), 45)
-        + F.when(says(title, SOFTWARE_TITLE), factor(38)).when(says(title, TECHNICAL_TITLE), factor(16)).otherwise(F.lit(0))
-        + F.when(n_actions > 0, F.least(factor(32), factor(n_actions * 9 + 8))).otherwise(F.lit(0)) + F.least(factor(22), factor(n_tech * 4))
-        + points(says(studies, SOFTWARE_STUDIES), 10) - points(says(title, OTHER_TITLE), 55) - points(says(description, OTHER_CONTEXT) & (n_actions == 0), 30)
-    )
+    by_place = let(placed, lambda p: points(p & says(text, TARGET_TERM), 35) - points(~p, 60))
+    work = let(n_actions, lambda n: F.when(n > 0, F.least(factor(32), factor(n * 9 + 8))).otherwise(-points(says(description, OTHER_CONTEXT), 30)))
+    tools = let(F.size(technologies(text)), lambda n: F.least(factor(22), factor(n * 4)))
+    by_title = points(says(title, DIRECT_PLACEMENT), 45) + F.when(says(title, SOFTWARE_TITLE), factor(38)).when(says(title, TECHNICAL_TITLE), factor(16)).otherwise(F.lit(0)) - points(says(title, OTHER_TITLE), 55)
+    return clamp(by_place + by_title + work + tools + points(says(studies, SOFTWARE_STUDIES), 10))
 
 
 def categories(text: Column, score: Column) -> Column:
     """Category labels; ``other-code`` where there is none and the score is at least 45."""
-    found = labels(text, CATEGORIES)
-    return F.when((F.size(found) == 0) & (score >= 45), F.array(F.lit("other-code"))).otherwise(found)
+    return let(labels(text, CATEGORIES), lambda found: F.when((F.size(found) == 0) & (score >= 45), F.array(F.lit("other-code"))).otherwise(found))
 
 
 def keyword_gate(text: Column) -> Column:
@@ -163,6 +203,22 @@ def excluded_title(title: Column) -> Column:
     )
 
 
+def _layers(terms: list[str]) -> list[list[str]]:
+    """Terms in groups of which none begins with another, so that one place matches one term of a group."""
+    out: list[list[str]] = []
+    for t in sorted(terms, key=len):
+        home = next((g for g in out if not any(t.startswith(x) for x in g)), None)
+        if home is None:
+            out.append([t])
+        else:
+            home.append(t)
+    return out
+
+
+def _found(table: Column, key: Column) -> Column:
+    return F.coalesce(F.try_element_at(table, key), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Weighted:
     """Weighted terms of a deployment; the defaults are ``WEIGHTS``."""
@@ -170,9 +226,16 @@ class Weighted:
     terms: dict[str, dict[str, int]]
 
     def total(self, c: Column, field: str) -> Column:
+        """The weights of the field's terms that a text has, each once: a pass per group of terms, and a look-up of what it found."""
+        weights = self.terms[field]
         out = F.lit(0)
-        for term, weight in self.terms[field].items():
-            out = out + F.when(F.regexp_like(F.coalesce(c, F.lit("")), F.lit(pattern_of([term]))), F.lit(weight)).otherwise(F.lit(0))
+        for group in _layers(list(weights)):
+            pattern = pattern_of(group)
+            found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?i)(?=({pattern.removeprefix('(?i)')}))"), F.lit(1))
+            keys = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.lower(x), r"\s+", " ")))
+            table = F.create_map(*[F.lit(v) for t in group for v in (" ".join(t.lower().split()), weights[t])])
+            points = F.transform(keys, partial(_found, table))
+            out = out + F.aggregate(points, F.lit(0), lambda n, x: n + x)
         return F.least(out, F.lit(BOUNDS[field])) if field in BOUNDS else out
 
     def score(self, title: Column, department: Column, snippet: Column) -> Column:
@@ -183,44 +246,76 @@ class Weighted:
     def rejects(self, title: Column, department: Column, snippet: Column) -> Column:
         """Nothing technical in any field, and something that speaks against it."""
         fields = {"title": title, "department": department, "snippet": snippet}
-        no, yes = F.lit(False), F.lit(False)
-        for f in self.terms:
-            found = self.total(fields[f.split("_")[0]], f) > 0
-            no, yes = (no | found, yes) if f.endswith("negative") else (no, yes | found)
-        return no & ~yes
+        any_of = lambda negative: reduce(or_, [F.regexp_like(F.coalesce(fields[f.split("_")[0]], F.lit("")), F.lit(pattern_of(list(t)))) for f, t in self.terms.items() if f.endswith("negative") == negative])
+        return any_of(True) & ~any_of(False)
 
 
 def relevance(title: Column, department: Column, snippet: Column, rules: dict[str, dict[str, int]] | None = None) -> Column:
     return Weighted(rules or WEIGHTS).score(title, department, snippet)
 
 
-def page_state(status: Column, body: Column) -> Column:
-    """open, closed, blocked or unknown from a response's status and text."""
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(GONE.items()):
-        found = F.when(says(body, pattern), F.lit(name)).otherwise(found)
-    return F.when(status.isin(404, 410), "closed").when(status.isin(401, 403, 429) | (found == "blocked"), "blocked").when(found.isNotNull(), "closed").when(status.between(200, 299), "open").otherwise("unknown")
+def page_content(body: Column) -> Column:
+    """(state, reason) of a page that says it is not found or closed, null for any other; the first rule that fits."""
+    out = None
+    for state, reason, pattern in GONE:
+        value = F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
+        out = F.when(says(body, pattern), value) if out is None else out.when(says(body, pattern), value)
+    return F.when(F.length(F.coalesce(body, F.lit(""))) > 0, out)
+
+
+def closed_reason(status: Column, url: Column, body: Column) -> Column:
+    """Why a landed page is closed, null if it is open: its status, a page that is not found, or, on a page of one posting, what it says."""
+    detail = F.regexp_like(url, F.lit(r"(?i)^https?://[^/]+(?:/[^/?#]+)*/(?:jobs?|positions?|requisitions?|job-postings?)/[^/?#]+")) | (is_under(host(url), ATS_HOSTS) & F.regexp_like(url, F.lit(r"^https?://[^/]+/+[^/?#]+/+[^/?#]+")))
+    reason = lambda c: F.when(c.isNotNull() & ((c["state"] == "not-found") | detail), c["reason"])
+    return F.when(status == 404, "HTTP 404").when(status == 410, "HTTP 410 Gone").otherwise(let(page_content(body), reason))
+
+
+def rejected(title: Column, company: Column, description: Column, score: Column, least: int, located: Column, dead: Column) -> Column:
+    """Why a posting is not admitted, the first reason that holds: its title, an incomplete page (a description under 80 characters), no placement,
+    the score, the location, a dead link. Null if it is."""
+    return (
+        F.when(excluded_title(title).isNotNull(), "title").when((F.coalesce(F.trim(title), F.lit("")) == "") | (F.coalesce(F.trim(company), F.lit("")) == "") | (F.length(F.coalesce(description, F.lit(""))) < 80), "incomplete")
+        .when(~is_placement(title, description), "not a placement").when(score < least, "score").when(~located, "location").when(dead, "dead link")
+    )
+
+
+def link_state(status: Column, url: Column, body: Column) -> Column:
+    """closed, access-controlled, reachable or failed: a page that says it is closed, then what keeps visitors out, then what is gone,
+    then the status."""
+    walled = status.isin(401, 403, 407, 429) | says(body, ACCESS) | says(url, LOGIN_PATH)
+    found = lambda c: (
+        F.when(c == "closed", "closed").when(walled, "access-controlled").when(status.isin(404, 410) | (c == "not-found"), "closed")
+        .when((status >= 200) & (status < 400), "reachable").otherwise("failed")
+    )
+    return let(F.coalesce(page_content(body)["state"], F.lit("")), found)
+
+
+_SENTENCE = r"(?<=[.!?])\s+|\n+"
+
+
+def _about(c: Column, word: str) -> Column:
+    """The sentences of a text if it has the word at all, else none."""
+    return F.when(F.contains(F.lower(c), F.lit(word)), F.split(c, _SENTENCE)).otherwise(F.array().cast("array<string>"))
 
 
 def needs_clearance(c: Column) -> Column:
     """A sentence asks for a security clearance and does not deny that it does."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+|\n+")
-    return F.exists(parts, lambda s: says(s, r"\b(?:security|secret|top[- ]secret|ts/sci)\s+clearance\b") & ~says(s, r"\b(?:no|not|without|isn't)\b[^.]{0,40}\bclearance\b|\bclearance\b[^.]{0,30}\bnot (?:required|needed|necessary)\b"))
+    return F.coalesce(F.exists(_about(c, "clearance"), lambda s: says(s, r"\b(?:security|secret|top[- ]secret|ts/sci)\s+clearance\b") & ~says(s, r"\b(?:no|not|without|isn't)\b[^.]{0,40}\bclearance\b|\bclearance\b[^.]{0,30}\bnot (?:required|needed|necessary)\b")), F.lit(False))
 
 
 def sponsorship(c: Column) -> Column:
     """available, unavailable, conflict or unknown, from a text's sentences."""
     denies = r"\b(?:no|not|unable to|cannot|without)\b[^.]{0,40}\bsponsor(?:ship)?\b|\bsponsorship\b[^.]{0,30}\b(?:not|un)\s?(?:available|offered|provided)\b"
     offers = r"\bsponsorship\s+(?:is|will be)\s+(?:available|offered|provided)\b|\b(?:we|will|can)\s+sponsor\b"
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+|\n+")
-    no, yes = F.exists(parts, lambda s: says(s, denies)), F.exists(parts, lambda s: says(s, offers) & ~says(s, denies))
-    return F.when(yes & no, "conflict").when(no, "unavailable").when(yes, "available").otherwise("unknown")
+    said = F.transform(_about(c, "sponsor"), lambda s: F.when(says(s, denies), "no").when(says(s, offers), "yes").otherwise(""))
+    state = lambda x: F.when(F.array_contains(x, "yes") & F.array_contains(x, "no"), "conflict").when(F.array_contains(x, "no"), "unavailable").when(F.array_contains(x, "yes"), "available").otherwise("unknown")
+    return F.coalesce(let(said, state), F.lit("unknown"))
 
 
 def requirement(c: Column, topic: str) -> Column:
     """required, preferred, not_required, conflict or unknown: what the sentences on a topic say."""
-    parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: says(s, topic))
-    denied = F.exists(parts, lambda s: says(s, r"\bnot (?:required|necessary|needed)\b"))
-    asked = F.exists(parts, lambda s: says(s, r"\b(?:required|requires?|must)\b") & ~says(s, r"\bnot (?:required|necessary|needed)\b"))
-    wished = F.exists(parts, lambda s: says(s, r"\b(?:preferred|nice to have|a plus|asset|desired)\b"))
-    return F.when(asked & denied, "conflict").when(asked, "required").when(denied, "not_required").when(wished, "preferred").otherwise("unknown")
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), _SENTENCE), lambda s: says(s, topic))
+    none = r"\b(?:not|no longer) (?:required|necessary|needed)\b|\bno\b[^.]{0,40}\brequire"
+    said = F.transform(parts, lambda s: F.when(says(s, none), "no").when(says(s, r"\b(?:preferred|nice to have|a plus|asset|desired)\b"), "wish").when(says(s, r"\b(?:required|requires?|must|need(?:s|ed)? to)\b"), "yes").otherwise(""))
+    has = lambda x, v: F.array_contains(x, v)
+    return let(said, lambda x: F.when(has(x, "yes") & has(x, "no"), "conflict").when(has(x, "yes"), "required").when(has(x, "no"), "not_required").when(has(x, "wish"), "preferred").otherwise("unknown"))

@@ -111,3 +111,28 @@ def retry_delay(header: Column, now_ms: Column, attempt: Column, base_ms: int =
     at = F.unix_millis(F.try_to_timestamp(F.regexp_extract(header, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss")))
     doubled = F.least(F.lit(float(most_ms)), F.lit(float(base_ms)) * F.pow(F.lit(2.0), attempt - 1)).cast("bigint")
     return F.coalesce(seconds, F.when(at.isNotNull(), F.greatest(at - now_ms, F.lit(0))), doubled)
+
+
+# Explicit dates, durations and money in sentences.
+EXPLICIT_DATE = rf"(?:20\d{{2}}[-/]\d{{1,2}}(?:[-/]\d{{1,2}})?|{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+20\d{{2}})?|\d{{1,2}}\s+{MONTH}(?:\s+20\d{{2}})?|(?:today|yesterday|\d+\s+(?:hours?|days?|weeks?)\s+ago))"
+DURATION = r"(?:\d{1,2}(?:\s*(?:-|–|to)\s*\d{1,2})?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)[ -]?(?:week|month)s?"
+_PROGRAM, _SEASON = r"(?:internship|co-?op|placement|program)", r"(?:spring|summer|fall|autumn|winter)"
+POSTED = rf"\b(?:posting date|date posted|posted(?: on)?)\s*:?\s*{EXPLICIT_DATE}\b"
+DEADLINE = rf"\b(?:application deadline|priority application date|apply by|applications? close|closing date)\s*:?\s*[^.\n]{{0,40}}\b{EXPLICIT_DATE}\b"
+LASTING = rf"\b(?:duration\s*:?\s*{DURATION}|{DURATION}[^.\n]{{0,35}}(?:internship|co-?op|placement|program)|(?:internship|co-?op|placement|program)[^.\n]{{0,35}}{DURATION}|from\s+{MONTH}\s+(?:to|through)\s+{MONTH})\b"
+SALARY = r"(?:[$€£]\s?\d[\d,.]*(?:\s?(?:-|–|to)\s?[$€£]?\s?\d[\d,.]*)?\s?(?:per|\/)\s?(?:hour|year|annum)|\bCAD\s?\$?\d[\d,.]*|\bUSD\s?\$?\d[\d,.]*)"
+YEAR_CONTEXTS = [
+    r"\b(?:starting|start) date\s*:?\s*[^.\n]{0,30}\b(20[2-3]\d)\b", r"\b(?:spring|summer|fall|autumn|winter)\s+(20[2-3]\d)\b", r"\b(20[2-3]\d)\s+(?:spring|summer|fall|autumn|winter)\b",
+    r"\b(?:internship|co-?op|placement)\s+(?:program\s+)?(?:for\s+)?(20[2-3]\d)\b", r"\b(20[2-3]\d)\s+(?:internship|co-?op|placement)\b",
+]
+
+
+def temporal(title: Column, text: Column, sentences: Column) -> Column:
+    """(term, year, duration, posted, deadline, salary) of a posting; the last four are whole sentences. ``sentences`` are those of the text."""
+    none = lambda c: F.nullif(c, F.lit(""))
+    first = lambda ss, p: F.try_element_at(F.filter(ss, lambda s: F.regexp_like(s, F.lit(f"(?i){p}"))), F.lit(1))
+    season = rf"(?i)\b({_SEASON[3:-1]})\b"
+    context = first(sentences, rf"\b{_PROGRAM}\b[^.]{{0,80}}\b{_SEASON}\b|\b{_SEASON}\b[^.]{{0,80}}\b{_PROGRAM}\b")
+    term = F.initcap(F.coalesce(none(F.regexp_extract(title, season, 1)), none(F.regexp_extract(context, season, 1))))
+    year = F.coalesce(none(F.regexp_extract(title, r"\b(20[2-3]\d)\b", 1)), *[none(F.regexp_extract(text, f"(?i){p}", 1)) for p in YEAR_CONTEXTS])
+    return F.struct(term.alias("term"), year.alias("year"), first(F.concat(F.array(F.coalesce(title, F.lit(""))), sentences), LASTING).alias("duration"), first(sentences, POSTED).alias("posted"), first(sentences, DEADLINE).alias("deadline"), first(sentences, SALARY).alias("salary"))

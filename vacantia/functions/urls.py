@@ -120,9 +120,22 @@ def same_site(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & ((x == y) | F.endswith(x, F.concat(F.lit("."), y)) | F.endswith(y, F.concat(F.lit("."), x)))
 
 
+# Tokens of links that stand for a company's own name.
+COMPANY_NAMES = {
+    "axontalentcommunity": "Axon", "caicambiumassessmentinc": "Cambium Assessment", "cambiumassessment": "Cambium Assessment", "geocomply2": "GeoComply", "globalhr": "RTX", "joinbytedance": "ByteDance", "ibmsoftware": "IBM",
+    "object": "Object Tech, Inc.", "objecttechinc": "Object Tech, Inc.", "wd": "Western Digital",
+}
+
+
 def company_of(url: Column) -> Column:
-    """A company's name guessed from its link: the organization's token with a capital."""
-    return F.initcap(organization(url))
+    """A company's name guessed from its link: the first part of the path or the tenant on applicant systems, else the second-level
+    domain, its words with capitals; null if it is no web address."""
+    name, slug = bare_host(url), F.regexp_extract(path(url), r"^/+([^/]+)", 1)
+    tenant = F.substring_index(name, ".", 1)
+    token = F.when(F.regexp_like(name, F.lit(r"(?:greenhouse\.io|lever\.co|ashbyhq\.com)$")) & (slug != ""), slug)
+    token = token.when(F.endswith(name, F.lit("myworkdayjobs.com")) & ~F.regexp_like(tenant, F.lit(r"^wd\d+$")) & (tenant != "myworkdayjobs"), tenant).otherwise(F.regexp_extract(name, r"([^.]+)(?:\.[^.]+)?$", 1))
+    names = F.create_map(*[F.lit(x) for pair in COMPANY_NAMES.items() for x in pair])
+    return F.when(name != "", F.coalesce(F.try_element_at(names, F.regexp_replace(F.lower(token), "[^a-z0-9]+", "")), F.initcap(F.trim(F.regexp_replace(token, "[-_]+", " ")))))
 
 
 def is_public(url: Column) -> Column:

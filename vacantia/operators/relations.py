@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stage import stored
 from .windows import first_of
 
 LIFECYCLE_RANK = {"REMOVED": 4, "NEW": 3, "UPDATED": 2}
@@ -87,3 +88,16 @@ def repointed(links: DataFrame, key: str, merged: DataFrame, member: str) -> Dat
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return first_of(df, [key], F.desc(order))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row in an order of all rows, from 1, without a task that sees them all.
+
+    The sort deals rows into ranges; each range numbers its own rows, and the sizes of the ranges before it (one small row a range) are added.
+    """
+    own = [f"`{c}`" for c in df.columns if c != name]
+    rows = stored(df.orderBy(*order).select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("i")))
+    rows = rows.select("row", F.shiftrightunsigned("i", 33).alias("range"), F.col("i").bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    return rows.join(sizes, "range").select(*[F.col(f"row.{c}") for c in own], (F.col("before") + F.col("i") + 1).cast("int").alias(name))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relations import numbered
+
 
 @dataclass(frozen=True)
 class Preferences:
@@ -61,3 +63,26 @@ def total(status: Column, points: Column) -> Column:
 
 def verdict(status: Column, overlap: Column, uncertain: Column) -> Column:
     return F.when(status == "not_eligible", "excluded").when(~overlap, "insufficient_fit").when(uncertain, "recommended_with_uncertainty").otherwise("recommended")
+
+
+#: Words that tell nothing of a job.
+STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was"]
+
+
+def keywords(text: Column) -> Column:
+    """The distinct words of three or more signs of a short text, without stop words."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9+#.]{3,})"), F.lit(1))), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def ranked(items: DataFrame, key: str, corpus: DataFrame, skills: dict[str, list[str]]) -> DataFrame:
+    """``items`` (``key``, ``words``) with their score against a corpus (``word``, distinct) and their place: one point for a shared
+    word, five for each skill of which any alias stands in the text; ties by key.
+
+    Words meet the corpus in an equi-join, counted per item before they are ranked. Places are dealt by ranges of the order.
+    """
+    shared = items.select(key, F.explode("words").alias("word")).join(corpus, "word").groupBy(key).agg(F.count("*").alias("shared"))
+    bonus = F.lit(0)
+    for aliases in skills.values():
+        bonus = bonus + F.when(F.arrays_overlap("words", F.array(*map(F.lit, aliases))), 5).otherwise(0)
+    scored = items.join(shared, key, "left").select(key, (F.coalesce("shared", F.lit(0)) + bonus).cast("bigint").alias("score"))
+    return numbered(scored, [F.desc("score"), F.col(key)], "place")

@@ -7,6 +7,8 @@ from pyspark.sql.types import StringType
 
 from ..functions import classify as k
 from ..functions import dates, text, urls
+from ..functions import requirements as req
+from ..plans import matching as match
 from ..sources.tables import listing, load
 from ..sources.tables import sql_views as V
 from .registry import query
@@ -23,7 +25,8 @@ def pages(s, d):
 
 
 def _sql_says(c: str, pattern: str) -> str:
-    return f"regexp_matches({c}, '(?i){pattern}')".replace("(?:", "(?:")
+    """The rule for an engine without look-ahead: a word boundary follows where Java's has it."""
+    return f"regexp_matches({c}, '(?i){pattern.replace('(?!script)', '')}')"
 
 
 # ---- text
@@ -42,9 +45,9 @@ def c2_decode_entities(s, d):
     return load(s, d, "part").select(F.col("p_partkey").alias("id"), text.decode_entities(raw).alias("decoded"))
 
 
-@query("SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents WHERE lang IN ('fr', 'es', 'en')")
+@query("SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents")
 def c3_strip_diacritics(s, d):
-    return load(s, d, "documents").filter("lang in ('fr', 'es', 'en')").select("doc_id", F.md5(text.without_diacritics(F.col("text"))).alias("plain"))
+    return docs(s, d).select("doc_id", F.md5(text.without_diacritics(F.col("text"))).alias("plain"))
 
 
 @query("SELECT p_partkey AS id, p_name AS item FROM part")
@@ -53,9 +56,9 @@ def c4_list_item(s, d):
     return load(s, d, "part").select(F.col("p_partkey").alias("id"), text.list_item(raw).alias("item"))
 
 
-@query(V("listing") + "SELECT id, CASE WHEN description = '' THEN 0 ELSE CAST(len(string_split_regex(description, '[.!?]\\s+')) AS INT) END AS n FROM listing WHERE id % 12 IN (0, 1, 2, 5, 7, 8, 9, 11)")
+@query(V("listing") + r"SELECT id, CASE WHEN description = '' THEN 0 ELSE CAST(len(string_split(regexp_replace(description, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS INT) END AS n FROM listing")
 def c5_sentences(s, d):
-    return listing(s, d).filter("id % 12 in (0, 1, 2, 5, 7, 8, 9, 11)").select("id", F.size(text.sentences(F.col("description"))).alias("n"))
+    return listing(s, d).select("id", F.size(text.sentences(F.col("description"))).alias("n"))
 
 
 @query(V("listing") + r"SELECT id, trim(regexp_replace(regexp_replace(lower(title), '\b(internship|intern|co-?op|student)\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM listing")
@@ -104,9 +107,15 @@ def c14_listing_id(s, d):
     return listing(s, d).select("id", text.listing_id(F.col("company"), F.col("title"), F.col("location"), F.col("id"), F.lit(None)).alias("key"))
 
 
-@query(V("listing") + "SELECT count(DISTINCT title || '|' || description || '|' || CAST(relevance AS VARCHAR)) AS n FROM listing")
+#: Of the stable fields of a listing's content, those that the view has, in order.
+_STABLE = {"company": "company", "title": "title", "location": "location", "remoteStatus": "remote", "applicationUrl": "url", "description": "description", "internshipTerm": "term", "internshipYear": "year", "categories": "[category]", "relevanceScore": "relevance"}
+
+
+@query(V("listing") + "SELECT id, sha256(CAST(to_json(struct_pack(" + ", ".join(f'"{k}" := {v}' for k, v in _STABLE.items()) + ")) AS VARCHAR)) AS hash FROM listing")
 def c15_content_hash(s, d):
-    return listing(s, d).agg(F.count_distinct(text.content_hash(F.col("title"), F.col("description"), F.col("relevance"))).alias("n"))
+    """Every listing's hash; nulls stay in the JSON, as a field that goes missing is a change."""
+    fields = [F.array("category").alias(k) if v == "[category]" else F.col(v).alias(k) for k, v in _STABLE.items()]
+    return listing(s, d).select("id", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("hash"))
 
 
 @query("SELECT event_id, event_type || '_total_ms' AS metric FROM events")
@@ -143,9 +152,9 @@ def l2_job_url(s, d):
     return listing(s, d).select("id", urls.job_url(F.col("url")).alias("job_url"))
 
 
-@query(V("listing") + r"SELECT id, CASE WHEN contains(url, 'gh_jid=7') THEN '7' ELSE CAST(id AS VARCHAR) END AS job_id FROM listing WHERE id >= 100 OR id % 3 = 0")
+@query(V("listing") + r"SELECT id, CASE WHEN contains(url, 'gh_jid=7') THEN '7' WHEN id >= 100 THEN CAST(id AS VARCHAR) END AS job_id FROM listing")
 def l3_job_id(s, d):
-    return listing(s, d).filter("id >= 100 or id % 3 = 0").select("id", urls.job_id(F.col("url")).alias("job_id"))
+    return listing(s, d).select("id", urls.job_id(F.col("url")).alias("job_id"))
 
 
 @query(V("listing") + "SELECT id, CASE id % 6 WHEN 0 THEN 'company' || CAST(company_id AS VARCHAR) WHEN 1 THEN 'company' || CAST(company_id AS VARCHAR) WHEN 2 THEN 'linkedin' WHEN 3 THEN 'jobright' WHEN 4 THEN 'acme' ELSE 'example' END AS organization FROM listing")
@@ -168,9 +177,9 @@ def l7_provider(s, d):
     return listing(s, d).select("id", urls.provider(F.col("url")).alias("provider"))
 
 
-@query(V("listing") + "SELECT id, CASE id % 6 WHEN 2 THEN 'Linkedin' WHEN 3 THEN 'Jobright' WHEN 4 THEN 'Acme' ELSE 'Example' END AS company FROM listing WHERE id % 6 > 1")
+@query(V("listing") + "SELECT id, CASE id % 6 WHEN 0 THEN 'Company ' || company_id WHEN 1 THEN 'Company ' || company_id WHEN 2 THEN 'Linkedin' WHEN 3 THEN 'Jobright' WHEN 4 THEN 'Acme' ELSE 'Example' END AS company FROM listing")
 def l9_company_from_url(s, d):
-    return listing(s, d).filter("id % 6 > 1").select("id", urls.company_of(F.col("url")).alias("company"))
+    return listing(s, d).select("id", urls.company_of(F.col("url")).alias("company"))
 
 
 @query()
@@ -195,13 +204,12 @@ def t1_posting_date(s, d):
     return df.select(F.col("o_orderkey").alias("id"), dates.posting_ms(raw, F.lit(NOW_MS)).alias("ms"))
 
 
-@query("SELECT o_orderkey AS id, epoch_ms(CAST(o_orderdate AS DATE)) + CASE WHEN o_orderkey % 4 = 3 THEN 17 * 3600000 + 4 * 3600000 ELSE 86399999 END AS ms FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 OR year(o_orderdate) >= 2000 THEN epoch_ms(CAST(o_orderdate AS DATE)) + CASE WHEN o_orderkey % 4 = 3 THEN 17 * 3600000 + 4 * 3600000 ELSE 86399999 END END AS ms FROM orders")
 def t2_deadline(s, d):
+    """A named month needs a year from 2000; other years are no deadline."""
     day = F.col("o_orderdate")
     raw = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "M/d/yyyy")).when(F.col("o_orderkey") % 4 == 2, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "MMM d, yyyy '5:00 PM EDT'"))
-    # years before 2000 are outside the named form
-    return load(s, d, "orders").filter("o_orderdate >= '2000-01-01' or o_orderkey % 4 < 2").select(F.col("o_orderkey").alias("id"), dates.deadline_ms(raw).alias("ms")).union(
-        load(s, d, "orders").filter("not (o_orderdate >= '2000-01-01' or o_orderkey % 4 < 2)").select("o_orderkey", dates.millis(day.cast("date")) + F.when(F.col("o_orderkey") % 4 == 3, 21 * 3_600_000).otherwise(86_399_999)))
+    return load(s, d, "orders").select(F.col("o_orderkey").alias("id"), dates.deadline_ms(raw).alias("ms"))
 
 
 @query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) - INTERVAL 2 MONTHS AS DATE) AS cutoff FROM orders")
@@ -215,10 +223,35 @@ def t4_buckets(s, d):
     return load(s, d, "events").select("event_id", dates.bucket(dates.millis(F.col("ts"))).alias("bucket"), F.date_format("ts", "yyyy-M-d").alias("day"))
 
 
-@query(V("listing") + r"SELECT id, nullif(regexp_extract(title, '\b(20[23]\d)\b', 1), '') AS year, nullif(regexp_extract(description, '(?i)duration:? *(\d{1,2} (?:week|month)s?)', 1), '') AS duration, nullif(regexp_extract(description, '([$€£] ?\d[\d,.]*(?: ?- ?[$€£]? ?\d[\d,.]*)? ?per ?(?:hour|year))', 1), '') AS salary FROM listing")
+#: Sentences by detail, each with what is read from it.
+_TIMES = {
+    "duration": ["Duration: 4 months.", "A 12-week internship awaits you.", "The placement runs for 8 to 16 weeks.", "We move from May to August.", "No length is given.", ""],
+    "posted": ["Posted on June 3, 2026.", "Date posted: 2026-05-04.", "Posted: 3 days ago.", "It was posted somewhere."],
+    "deadline": ["Apply by June 30, 2027.", "Applications close on 2027-01-15.", "Closing date: 5 March 2027.", "Apply soon.", ""],
+    "salary": ["Pay is $30 - $40 per hour.", "We pay $90,000 per year.", "USD 45 an hour.", "Pay is fair.", "Paid €20/hour.", ""],
+}
+_NONE = {"No length is given.", "It was posted somewhere.", "Apply soon.", "Pay is fair.", ""}
+
+
+def _picked(values: list[str], key: str, none: set[str] | None = None) -> str:
+    """SQL of both engines for a value by a key modulo their number; null for those in ``none``."""
+    quoted = ["CAST(NULL AS STRING)" if none and v in none else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"CASE ({key}) % {len(values)} " + " ".join(f"WHEN {i} THEN {q}" for i, q in enumerate(quoted)) + " END"
+
+
+_TIME_KEYS = {k: f"o_orderkey + {7 * i} * o_custkey" for i, k in enumerate(_TIMES)}
+
+
+@query("SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN 'Summer' WHEN 1 THEN 'Fall' END AS term, CASE o_custkey % 3 WHEN 0 THEN '2027' WHEN 1 THEN '2026' END AS year, " + ", ".join(f"{_picked(v, _TIME_KEYS[k], _NONE)} AS {k}" for k, v in _TIMES.items()) + " FROM orders")
 def t5_temporal_details(s, d):
-    got = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    return listing(s, d).select("id", got("title", r"\b(20[23]\d)\b").alias("year"), got("description", r"(?i)duration:? *(\d{1,2} (?:week|month)s?)").alias("duration"), got("description", r"([$€£] ?\d[\d,.]*(?: ?- ?[$€£]? ?\d[\d,.]*)? ?per ?(?:hour|year))").alias("salary"))
+    season = F.when(F.col("o_custkey") % 3 == 1, "Our internship program starts in fall.").otherwise("")
+    start = F.when(F.col("o_custkey") % 3 == 1, "Start date: September 2026.").otherwise("")
+    title = F.when(F.col("o_custkey") % 3 == 0, "Software Intern, summer 2027").otherwise("Software Intern")
+    body = F.array_join(F.filter(F.array(F.lit("About us."), season, start, *[F.expr(_picked(v, _TIME_KEYS[k])) for k, v in _TIMES.items()]), lambda x: x != ""), " ")
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), title.alias("title"), body.alias("body"))
+    rows = rows.select("id", "title", "body", text.sentences(F.col("body")).alias("ss"))
+    t = rows.select("id", dates.temporal(F.col("title"), F.col("body"), F.col("ss")).alias("t"))
+    return t.select("id", "t.term", "t.year", "t.duration", "t.posted", "t.deadline", "t.salary")
 
 
 @query(V("listing") + """SELECT id, concat_ws(',', CASE WHEN regexp_matches(t, '\\bwinter\\b') THEN 'winter' END, CASE WHEN regexp_matches(t, '\\bspring\\b') THEN 'spring' END, CASE WHEN regexp_matches(t, '\\bsummer\\b') THEN 'summer' END, CASE WHEN regexp_matches(t, '\\b(fall|autumn)\\b') THEN 'fall' END) AS seasons FROM (SELECT id, lower(concat_ws(chr(10), title, description, term)) AS t FROM listing)""")
@@ -309,7 +342,7 @@ def _labels_sql(rules: dict[str, str], c: str) -> str:
 
 @query(V("listing") + f"SELECT id, {_IS} AS placement FROM listing")
 def k1_placement(s, d):
-    return listing(s, d).select("id", k.is_placement(F.col("title"), F.col("description")).alias("placement"))
+    return listing(s, d, heavy=True).select("id", k.is_placement(F.col("title"), F.col("description")).alias("placement"))
 
 
 _ACT = " + ".join(f"CAST({_sql_says('description', p)} AS INT)" for p in k.ACTIONS)
@@ -322,18 +355,18 @@ _SCORED = V("listing") + f", x AS (SELECT *, concat_ws(chr(10), title, descripti
 
 @query(_SCORED + f"SELECT id, {_SCORE} AS score FROM y")
 def k2_role_score(s, d):
-    return listing(s, d).select("id", k.role_score(F.col("title"), F.col("description")).alias("score"))
+    return listing(s, d, heavy=True).select("id", k.role_score(F.col("title"), F.col("description")).alias("score"))
 
 
 @query(_SCORED + f", z AS (SELECT id, {_SCORE} AS score, {_labels_sql(k.CATEGORIES, 't')} AS c FROM y) SELECT id, CASE WHEN c = '' AND score >= 45 THEN 'other-code' ELSE c END AS categories FROM z")
 def k3_categories(s, d):
     body = F.concat_ws("\n", "title", "description", F.lit(""))
-    return listing(s, d).select("id", F.array_join(k.categories(body, k.role_score(F.col("title"), F.col("description"))), ",").alias("categories"))
+    return listing(s, d, heavy=True).select("id", F.array_join(k.categories(body, k.role_score(F.col("title"), F.col("description"))), ",").alias("categories"))
 
 
 @query(V("listing") + f"SELECT id, {_labels_sql(k.TECHNOLOGIES, 'description')} AS technologies FROM listing")
 def k4_technologies(s, d):
-    return listing(s, d).select("id", F.array_join(k.technologies(F.col("description")), ",").alias("technologies"))
+    return listing(s, d, heavy=True).select("id", F.array_join(k.technologies(F.col("description")), ",").alias("technologies"))
 
 
 def _weights_sql(field: str, c: str) -> str:
@@ -347,39 +380,113 @@ _REL = f"""CAST(least(100, greatest(0, least(100, {_weights_sql('title_positive'
 
 @query(V("listing") + f"SELECT id, {_REL} AS score FROM listing")
 def k5_weighted_relevance(s, d):
-    return listing(s, d).select("id", k.relevance(F.col("title"), F.col("category"), F.col("description")).alias("score"))
+    return listing(s, d, heavy=True).select("id", k.relevance(F.col("title"), F.col("category"), F.col("description")).alias("score"))
+
+
+#: Sentences with what they tell: e(ducation), g(raduation), x (experience).
+_FACTS = [
+    ("Currently pursuing a degree in computer science.", "e"), ("Minimum Qualifications: Enrolled at a university.", "e"), ("Graduating between 2027 and 2028.", "g"), ("Returning to school in fall.", "g"), ("Two years of professional experience.", "x"),
+    ("Experience with Python is needed.", "x"), ("Hands-on experience using Spark and a Bachelor's degree.", "ex"), ("You like to learn.", ""), ("Class of 2027, third year students.", "g"), ("We are a team of five.", ""), ("Prior experience is a plus.", "x"),
+]
+_HEADED = "Minimum Qualifications: "
+
+
+def _sentence_at(k: int) -> str:
+    return _picked([t for t, _ in _FACTS], f"o_orderkey + {k} * o_custkey + {3 * k}")
+
+
+def _told(kind: str) -> str:
+    these = ", ".join("'" + t.replace("'", "''") + "'" for t, x in _FACTS if kind in x)
+    return f"list_transform(list_filter(list_distinct3, lambda v: v IN ({these})), lambda v: replace(v, '{_HEADED}', ''))"
+
 
+def _facts(s, d):
+    body = F.concat_ws(" ", *[F.expr(_sentence_at(k)) for k in range(3)])
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body"))
+    return rows.select("id", text.sentences(F.col("body")).alias("ss"))
 
-@query(V("listing") + r"SELECT id, regexp_matches(description, '(?i)\b(?:degree|pursuing|enrolled)\b') AS education, regexp_matches(description, '(?i)\b(?:experience|years)\b') AS experience FROM listing")
+
+@query(f"""WITH x AS (SELECT o_orderkey AS id, {_sentence_at(0)} AS a, {_sentence_at(1)} AS b, {_sentence_at(2)} AS c FROM orders),
+y AS (SELECT id, list_filter([a, CASE WHEN b <> a THEN b END, CASE WHEN c NOT IN (a, b) THEN c END], lambda v: v IS NOT NULL) AS list_distinct3 FROM x)
+SELECT id, array_to_string({_told('e')}, '|') AS education, array_to_string({_told('g')}, '|') AS graduation, array_to_string({_told('x')}, '|') AS experience FROM y""")
 def k9_requirement_facts(s, d):
-    return listing(s, d).select("id", k.says(F.col("description"), r"\b(?:degree|pursuing|enrolled)\b").alias("education"), k.says(F.col("description"), r"\b(?:experience|years)\b").alias("experience"))
+    f = _facts(s, d).select("id", req.facts(F.col("ss")).alias("f"))
+    return f.select("id", *[F.array_join(F.col(f"f.{c}"), "|").alias(c) for c in ("education", "graduation", "experience")])
 
 
-@query(V("listing") + r"SELECT id, CAST(list_min(y) AS INT) AS first_year, CAST(list_max(y) AS INT) AS last_year FROM (SELECT id, list_transform(regexp_extract_all(title, '\b(20\d\d)\b', 1), lambda v: CAST(v AS INT)) AS y FROM listing)")
+@query("""WITH x AS (SELECT o_orderkey AS id, 2020 + o_orderkey % 6 AS a, o_custkey % 4 AS w, o_orderkey % 5 AS k FROM orders)
+SELECT id, CAST(CASE k WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN w < 2 THEN a END ELSE a END AS INT) AS first_year, CAST(CASE k WHEN 0 THEN a WHEN 1 THEN a + w WHEN 2 THEN a + w WHEN 4 THEN CASE WHEN w < 2 THEN a + w END END AS INT) AS last_year FROM x""")
 def k10_year_range(s, d):
-    years = F.transform(F.regexp_extract_all("title", F.lit(r"\b(20\d\d)\b"), F.lit(1)), lambda y: y.cast("int"))
-    return listing(s, d).select("id", F.array_min(years).alias("first_year"), F.array_max(years).alias("last_year"))
+    """One year, two kinds of explicit ranges, a year that speaks of no graduation, and two years that are a range only if contiguous."""
+    a, b = (2020 + F.col("o_orderkey") % 6).cast("string"), (2020 + F.col("o_orderkey") % 6 + F.col("o_custkey") % 4).cast("string")
+    k = F.col("o_orderkey") % 5
+    body = F.when(k == 0, F.concat(F.lit("Class of "), a, F.lit("."))).when(k == 1, F.concat(F.lit("Expected graduation between "), a, F.lit(" and "), b, F.lit("."))).when(k == 2, F.concat(F.lit("You graduate in "), a, F.lit("–"), b, F.lit(".")))
+    body = body.when(k == 3, F.concat(F.lit("Founded in "), a, F.lit("."))).otherwise(F.concat(F.lit("Graduating in "), a, F.lit(". Degree completion by "), b, F.lit(".")))
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), text.sentences(F.concat(F.lit("Since 1999. "), body)).alias("ss"))
+    return rows.select("id", req.graduation(F.col("ss")).alias("g")).select("id", F.col("g.first").alias("first_year"), F.col("g.last").alias("last_year"))
+
 
+#: Sentences on years of study, with the years, whether first years may apply and whether upper years are asked for.
+_STUDY = [
+    ("First-year students are welcome.", "first-year", "yes", "unknown"), ("Not open to freshmen.", "first-year", "no", "unknown"), ("Must be a junior.", "third-year", "unknown", "yes"), ("Rising seniors preferred.", "fourth-year,upper-year", "unknown", "no"),
+    ("Second year or above, sophomore.", "second-year", "unknown", "yes"), ("Third-year or above only.", "third-year", "unknown", "yes"), ("Penultimate year required.", "upper-year", "unknown", "yes"), ("Year 1 applicants may apply.", "first-year", "yes", "unknown"), ("All are students here.", "", "unknown", "unknown"),
+]
 
-@query(V("listing") + "SELECT id, CASE WHEN contains(description, 'current students') THEN 'any' WHEN contains(description, 'Pursuing a degree') THEN 'enrolled' ELSE 'unknown' END AS study FROM listing")
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"{_picked([x[k] for x in _STUDY], 'o_orderkey')} AS {n}" for k, n in enumerate(("study", "first_year", "upper_year"), 1)) + " FROM orders")
 def k11_study_year(s, d):
-    return listing(s, d).select("id", F.when(k.says(F.col("description"), r"\bcurrent students\b"), "any").when(k.says(F.col("description"), r"\bpursuing a degree\b"), "enrolled").otherwise("unknown").alias("study"))
+    body = F.concat(F.lit("We hire often. "), F.expr(_picked([x[0] for x in _STUDY], "o_orderkey")))
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), text.sentences(body).alias("ss"))
+    return rows.select("id", req.study_years(F.col("ss")).alias("y")).select("id", F.array_join("y.values", ",").alias("study"), "y.first_year", "y.upper_year")
+
 
+#: Sentences on being a student, on enrollment and on returning to school, with their states.
+_ASKED = [
+    ("You must be a student.", "required", "unknown", "unknown"), ("Students only.", "required", "unknown", "unknown"), ("Being a student is a plus.", "preferred", "unknown", "unknown"), ("You do not need to be a student.", "not_required", "unknown", "unknown"),
+    ("You must be registered in a college.", "unknown", "required", "unknown"), ("You must return to school afterwards.", "unknown", "unknown", "required"), ("Returning to college is nice to have.", "unknown", "unknown", "preferred"), ("You need not apply.", "unknown", "unknown", "unknown"),
+    ("You must be a student. Candidates who are not a student may write too.", "conflict", "unknown", "unknown"),
+]
 
-@query(V("listing") + "SELECT id, CASE WHEN contains(description, 'citizenship is not required') THEN 'not_required' ELSE 'unknown' END AS citizenship FROM listing")
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"{_picked([x[k] for x in _ASKED], 'o_orderkey')} AS {n}" for k, n in enumerate(("student", "enrollment", "returning"), 1)) + " FROM orders")
 def k12_requirement_state(s, d):
-    return listing(s, d).select("id", k.requirement(F.col("description"), "citizenship").alias("citizenship"))
+    body = F.expr(_picked([x[0] for x in _ASKED], "o_orderkey"))
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), text.sentences(body).alias("ss"))
+    return rows.select("id", *[req.state(F.col("ss"), t).alias(t) for t in req.TOPICS])
 
 
 @query(V("listing") + "SELECT id, CASE WHEN contains(description, 'No visa sponsorship') THEN 'unavailable' WHEN contains(description, 'Sponsorship is available') THEN 'available' ELSE 'unknown' END AS sponsorship FROM listing")
 def k13_sponsorship(s, d):
-    return listing(s, d).select("id", k.sponsorship(F.col("description")).alias("sponsorship"))
+    return listing(s, d, heavy=True).select("id", k.sponsorship(F.col("description")).alias("sponsorship"))
+
+
+#: Texts of pages, with the state and the reason that they mean (empty: an ordinary page).
+_SAID = [
+    ("Sorry, the page you are looking for does not exist.", "not-found", "Page not found"), ("This job has expired.", "closed", "Job expired"), ("We are no longer accepting applications.", "closed", "No longer accepting applications"), ("404 Not Found", "not-found", "Page not found"),
+    ("The position has been closed; the page could not be found.", "not-found", "Page not found"), ("This listing was no longer available.", "closed", "Job no longer available"), ("Applications remain open until the position is filled.", "", ""), ("This requisition cannot be found", "not-found", "Job not found"),
+    ("The posting has been removed", "closed", "Job posting removed or closed"), ("Please complete the captcha.", "", ""), ("Our system could not find the requested page", "not-found", "Page not found"), ("Log in to continue", "", ""), ("", "", ""),
+]
+_WALLED = {"Please complete the captcha.", "Log in to continue"}
+_STATUS = [200, 404, 403, 301, 500, 410, 429]
+
+
+def _page_sql(k: int) -> str:
+    return _picked([x[k] for x in _SAID], "page_id")
+
+
+_PAGE_STATE = f"SELECT page_id, {_page_sql(0)} AS t, {_page_sql(1)} AS c, {_page_sql(2)} AS r, [{', '.join(map(str, _STATUS))}][page_id % {len(_STATUS)} + 1] AS status, page_id % 11 = 3 AS login FROM pages"
+
+
+def _landed(s, d):
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.col("page_id") % len(_STATUS) + 1).cast("int"))
+    url = F.concat(F.lit("https://jobs.lever.co/acme/"), F.when(F.col("page_id") % 11 == 3, "login").otherwise(F.col("page_id").cast("string")))
+    return load(s, d, "pages").select("page_id", F.concat(F.lit("Careers. "), F.expr(_page_sql(0)), F.lit(" Thanks!")).alias("body"), status.alias("status"), url.alias("url"))
+
 
 
-@query(V("listing") + "SELECT id, CASE WHEN availability = 'closed' THEN 'closed' WHEN contains(description, 'Cold call') THEN 'blocked' ELSE 'open' END AS state FROM listing")
+@query(f"SELECT page_id, CASE WHEN status = 404 THEN 'HTTP 404' WHEN status = 410 THEN 'HTTP 410 Gone' ELSE nullif(r, '') END AS reason FROM ({_PAGE_STATE})")
 def k16_closed_page(s, d):
-    status = F.when(F.col("availability") == "closed", 404).when(F.contains("description", F.lit("Cold call")), 403).otherwise(200)
-    return listing(s, d).select("id", k.page_state(status, F.col("description")).alias("state"))
+    return _landed(s, d).select("page_id", k.closed_reason(F.col("status"), F.col("url"), F.col("body")).alias("reason"))
 
 
 def _keyword_sql() -> str:
@@ -392,7 +499,7 @@ def _keyword_sql() -> str:
 
 @query(V("listing") + f"SELECT id, {_keyword_sql()} AS kept FROM (SELECT id, concat_ws(chr(10), title, description) AS t FROM listing)")
 def f2_keyword_gate(s, d):
-    return listing(s, d).select("id", k.keyword_gate(F.concat_ws("\n", "title", "description")).alias("kept"))
+    return listing(s, d, heavy=True).select("id", k.keyword_gate(F.concat_ws("\n", "title", "description")).alias("kept"))
 
 
 @query(V("listing") + "SELECT id, title NOT LIKE '%Sales%' AND (url NOT LIKE '%linkedin.com%' OR id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')) AS allowed FROM listing")
@@ -413,15 +520,15 @@ def f17_sponsorship_shown(s, d):
     return listing(s, d).select("id", F.when((F.col("id") % 24 == 6) | (state == "unknown"), "not_stated").otherwise(state).alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bcaptcha\\b|\\baccess denied\\b') THEN 'blocked' WHEN contains(text, 'zzz404') THEN 'closed' ELSE 'open' END AS state FROM documents")
+@query(f"SELECT page_id, nullif(c, '') AS state, nullif(r, '') AS reason FROM ({_PAGE_STATE})")
 def f19_unavailable_page(s, d):
-    return docs(s, d).select("doc_id", k.page_state(F.lit(200), F.col("text")).alias("state"))
+    return _landed(s, d).select("page_id", k.page_content(F.col("body")).alias("c")).select("page_id", "c.state", "c.reason")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'closed' WHEN page_id % 10 = 1 THEN 'blocked' WHEN page_id % 10 = 2 THEN 'unknown' ELSE 'open' END AS state FROM pages")
+@query(f"""SELECT page_id, CASE WHEN c = 'closed' THEN 'closed' WHEN status IN (401, 403, 407, 429) OR t IN ({', '.join(repr(x) for x in sorted(_WALLED))}) OR login THEN 'access-controlled'
+ WHEN status IN (404, 410) OR c = 'not-found' THEN 'closed' WHEN status BETWEEN 200 AND 399 THEN 'reachable' ELSE 'failed' END AS state FROM ({_PAGE_STATE})""")
 def f20_link_state(s, d):
-    m = F.col("page_id") % 10
-    return pages(s, d).select("page_id", k.page_state(F.when(m == 0, 410).when(m == 1, 429).when(m == 2, 500).otherwise(200), F.lit("")).alias("state"))
+    return _landed(s, d).select("page_id", k.link_state(F.col("status"), F.col("url"), F.col("body")).alias("state"))
 
 
 @query(V("listing") + "SELECT id, contains(description, 'security clearance') AS clearance FROM listing")
@@ -429,27 +536,38 @@ def f21_clearance(s, d):
     return listing(s, d).select("id", k.needs_clearance(F.col("description")).alias("clearance"))
 
 
-@query(V("listing") + f"SELECT id, CASE WHEN regexp_matches(title, '(?i)\\bph\\.?\\s*d|new grad') OR (contains(title, '2026') AND NOT contains(title, '2027')) OR contains(title, '12 months') THEN 'title' WHEN length(description) < 20 THEN 'incomplete' WHEN NOT ({_IS}) THEN 'not a placement' WHEN relevance < 20 THEN 'score' END AS reason FROM listing")
+@query(V("listing") + f"""SELECT id, CASE WHEN regexp_matches(title, '(?i)\\bph\\.?\\s*d|new grad') OR (contains(title, '2026') AND NOT contains(title, '2027')) OR contains(title, '12 months') THEN 'title' WHEN length(description) < 80 THEN 'incomplete'
+ WHEN NOT ({_IS}) THEN 'not a placement' WHEN relevance < 20 THEN 'score' WHEN region = 'EUROPE' AND remote <> 'remote' THEN 'location' WHEN availability = 'closed' THEN 'dead link' END AS reason FROM listing""")
 def f26_admission(s, d):
     t, b = F.col("title"), F.col("description")
-    reason = F.when(k.excluded_title(t).isNotNull(), "title").when(F.length(b) < 20, "incomplete").when(~k.is_placement(t, b), "not a placement").when(F.col("relevance") < 20, "score")
-    return listing(s, d).select("id", reason.alias("reason"))
+    dead = k.link_state(F.when(F.col("availability") == "closed", 404).otherwise(200), F.col("url"), F.lit("")) == "closed"
+    reason = k.rejected(t, F.col("company"), b, F.col("relevance"), 20, (F.col("region") != "EUROPE") | (F.col("remote") == "remote"), dead)
+    return listing(s, d, heavy=True).select("id", reason.alias("reason"))
 
 
 @query(V("listing") + f"SELECT id, NOT ({' + '.join(_weights_sql(f, {'title': 'title', 'department': 'category', 'snippet': 'description'}[f.split('_')[0]]) for f in k.WEIGHTS if f.endswith('negative'))} > 0 AND {' + '.join(_weights_sql(f, {'title': 'title', 'department': 'category', 'snippet': 'description'}[f.split('_')[0]]) for f in k.WEIGHTS if not f.endswith('negative'))} = 0) AS fetch FROM listing")
 def f27_acquisition(s, d):
-    return listing(s, d).select("id", (~k.Weighted(k.WEIGHTS).rejects(F.col("title"), F.col("category"), F.col("description"))).alias("fetch"))
+    return listing(s, d, heavy=True).select("id", (~k.Weighted(k.WEIGHTS).rejects(F.col("title"), F.col("category"), F.col("description"))).alias("fetch"))
 
 
-@query(V("listing") + f"SELECT id, {_IS} AND relevance >= 20 AS accepted, {_labels_sql(k.TECHNOLOGIES, 'description')} AS technologies, CASE WHEN contains(description, 'No visa sponsorship') THEN 'unavailable' WHEN contains(description, 'Sponsorship is available') THEN 'available' ELSE 'unknown' END AS sponsorship FROM listing WHERE length(description) >= 20")
+@query(V("listing") + f"""SELECT id, {_IS} AND relevance >= 20 AS accepted, {_labels_sql(k.TECHNOLOGIES, 'description')} AS technologies, CASE WHEN contains(description, 'No visa sponsorship') THEN 'unavailable' WHEN contains(description, 'Sponsorship is available') THEN 'available' ELSE 'unknown' END AS sponsorship,
+ {_labels_sql(k.CATEGORIES, "concat_ws(chr(10), title, description, '')")} AS categories, CASE WHEN contains(description, 'per hour') THEN 'Salary $30 - $40 per hour.' END AS salary, CASE WHEN contains(description, 'Apply by') THEN 'Apply by June 30, 2027.' END AS deadline FROM listing WHERE length(description) >= 80""")
 def k14_analyze(s, d):
+    """The analysed listing: admission, technologies, categories, sponsorship and the sentences on pay and deadline, from one reading of its sentences."""
     t, b = F.col("title"), F.col("description")
-    return listing(s, d).filter(F.length(b) >= 20).select("id", (k.is_placement(t, b) & (F.col("relevance") >= 20)).alias("accepted"), F.array_join(k.technologies(b), ",").alias("technologies"), k.sponsorship(b).alias("sponsorship"))
+    df = listing(s, d, heavy=True).filter(F.length(b) >= 80).select("id", "title", "description", "relevance", text.sentences(b).alias("ss"))
+    df = df.select("*", dates.temporal(t, b, F.col("ss")).alias("when"))
+    return df.select("id", (k.is_placement(t, b) & (F.col("relevance") >= 20)).alias("accepted"), F.array_join(k.technologies(b), ",").alias("technologies"), k.sponsorship(b).alias("sponsorship"),
+                     F.array_join(k.labels(F.concat_ws("\n", t, b, F.lit("")), k.CATEGORIES), ",").alias("categories"), "when.salary", "when.deadline")
 
 
-@query("""SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w IN ('of', 'the', 'there', 'then', 'with') AND w NOT IN ('the', 'of')))) AS INT) AS score FROM documents""")
+@query(r"""WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#.]{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was'))) AS w FROM benchmark), c AS (SELECT DISTINCT unnest(w) AS w FROM b WHERE item_id % 4 = 0),
+t AS (SELECT item_id, unnest(w) AS w FROM b), n AS (SELECT t.item_id, count(*) AS shared FROM t JOIN c ON c.w = t.w GROUP BY t.item_id), x AS (SELECT b.item_id, coalesce(shared, 0) + 5 * (CAST(list_contains(w, 'that.') AS INT) + CAST(list_contains(w, 'ing') OR list_contains(w, 'tion') AS INT)) AS score FROM b LEFT JOIN n ON n.item_id = b.item_id)
+SELECT item_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INT) AS place FROM x""")
 def e16_keyword_rank(s, d):
-    tokens = F.array_except(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")), F.array(*map(F.lit, ("the", "of"))))
-    return docs(s, d).select("doc_id", F.size(F.array_intersect(tokens, F.array(*map(F.lit, ("there", "then", "with", "the"))))).alias("score"))
+    """Benchmark items as short texts against the words of every fourth, with two skills, of which one has an alias."""
+    items = load(s, d, "benchmark").select("item_id", match.keywords(F.col("text")).alias("words"))
+    corpus = items.filter("item_id % 4 = 0").select(F.explode("words").alias("word")).distinct()
+    return match.ranked(items, "item_id", corpus, {"that.": ["that."], "ing": ["ing", "tion"]}).select("item_id", "score", "place")
 
 

@@ -86,9 +86,20 @@ def _placed(sql: str, tables: tuple[str, ...]) -> str:
     return sql
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Listings: id, company, title, description, availability, lifecycle, relevance, dates, place, category, stage, term, url."""
-    return _view(spark, folder, _listing_sql("make_dt_interval(0, CAST({} AS INT))", "make_dt_interval(CAST({} AS INT))"), "orders", "customer", "nation", "region")
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that fills fewer tasks than there are cores, dealt over them: for work that is heavy for each row. Large inputs stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def listing(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """Listings: id, company, title, description, availability, lifecycle, relevance, dates, place, category, stage, term, url.
+
+    ``heavy``: what follows reads texts, so a small table is dealt over all cores first.
+    """
+    sql = _placed(_listing_sql("make_dt_interval(0, CAST({} AS INT))", "make_dt_interval(CAST({} AS INT))"), ("orders", "customer", "nation", "region"))
+    tables = {t: load(spark, folder, t) for t in ("orders", "customer", "nation", "region")}
+    return spark.sql(sql, **tables | ({"orders": spread(tables["orders"])} if heavy else {}))
 
 
 def sighting(spark: SparkSession, folder: str) -> DataFrame:
