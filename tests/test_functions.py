@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 import random
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,19 +102,10 @@ def test_relations(spark):
     assert [(r.id, r.total, r.has_more, r.next_offset) for r in page] == [(8, 10, False, None), (9, 10, False, None)]
 
 
-def test_blocks_and_fold(spark):
+def test_blocks(spark):
     rows = [(1, "u1", "c1"), (2, "u1", "c2"), (3, "u9", "c2"), (4, "u4", "c4"), (5, None, None)]
     df = spark.createDataFrame(rows, "id bigint, url string, company string")
     assert {r.id: r.block for r in stage.blocks(df, "id", "url", "company").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
-    r = random.Random(2)
-    records = [(i, f"u{r.randrange(60)}" if r.random() < 0.7 else None, "p", f"c{r.randrange(6)}", f"r{r.randrange(9)}" if r.random() < 0.4 else None, f"t{r.randrange(3)}", f"l{r.randrange(2)}") for i in range(150)]
-    names = ["id", "url", "provider", "company", "job_id", "title", "location"]
-    want = {i: m.first for m in identity.fold(SimpleNamespace(**dict(zip(names, x, strict=True))) for x in records) for i in m.members}
-    df = spark.createDataFrame(records, "id bigint, url string, provider string, company string, job_id string, title string, location string")
-    got = identity.deduplicated(df.join(stage.blocks(df, "id", "url", "company"), "id"), "block")
-    assert {x.id: x.merged_id for x in got.collect()} == want
-    pairs = {(x.id, x.other) for x in identity.matches(df).collect()}
-    assert {(i, m) for i, m in want.items() if i != m} and pairs
 
 
 def test_readers(spark):
@@ -149,6 +139,23 @@ def test_merged_batches(spark, tmp_path):
     assert {r.id: r.seen for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()} == {0: 10, 1: 11, 2: 12, 7: 2}
 
 
+def test_a_failing_state_read_stops_the_stream(spark, tmp_path):
+    """A state that cannot be read is not an empty one."""
+    from pyspark.errors import StreamingQueryException
+
+    spark.createDataFrame([(1, 1)], "id bigint, seen bigint").coalesce(1).write.parquet(str(tmp_path / "in"))
+    start = lambda: sightings.merged_batches(spark, str(tmp_path / "in"), "id bigint, seen bigint", str(tmp_path / "out"), lambda batch, old: batch if old is None else batch.union(old), str(tmp_path / "log"))
+    start().awaitTermination(120)
+    for f in (tmp_path / "out" / "0").glob("*.parquet"):
+        f.write_bytes(b"not a parquet file")
+    for f in (tmp_path / "out" / "0").glob(".*.crc"):
+        f.unlink()
+    spark.createDataFrame([(2, 2)], "id bigint, seen bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination(120)
+    assert not (tmp_path / "out" / "1" / "_SUCCESS").exists()
+
+
 def test_lifecycle_state(spark, tmp_path):
     spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, False), (2, 3, True)], "id bigint, run_id bigint, seen boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("id bigint, run_id bigint, seen boolean").parquet(str(tmp_path / "in"))
@@ -194,3 +201,53 @@ def test_eligibility_of_uncertain_profiles(spark):
     ).first()
     assert [row[k].state for k in ("degree", "graduation", "year", "enrolled", "returning", "term")] == ["unknown", "pass", "fail", "unknown", "fail", "conflict"]
     assert row.degree.source == "profile" and row.status == "unclear"
+
+
+def test_rules_found_in_one_pass(spark):
+    """``labels`` and weights, which look at what one pass finds, against each rule asked by itself."""
+    import re
+
+    r = random.Random(3)
+    pieces = ["Python", "java", "JavaScript", "c++", "C/C++", "c#", "node.js", "React.js", "r programming in c", "CI / CD", "ci/cd", "rest api", "RESTful API", "apache spark", "go programming", "google cloud", "golang", "sql", "nosql", "postgres", "k8s", "front-end", "full stack", "data engineering", "data engineer", "machine  learning", "ml engineer", "nlp", "swift", "software engineer", "software engineering", "security automation", "robotics software", "research intern", "sre", "HR", "hr.", "human resources", "write code", "api", "apis", "data pipeline", "cloud", "xpythonx", "front end engineering"]
+    texts = [" ".join(r.choice(pieces) + r.choice(["", ",", ".", "\n"]) for _ in range(r.randint(0, 9))) for _ in range(300)]
+    says = lambda p, t: re.search(p, t, re.I) is not None
+    for rules in (classify.TECHNOLOGIES, classify.CATEGORIES):
+        assert one(spark, lambda c, rules=rules: classify.labels(c, rules), *texts) == [[n for n, p in rules.items() if says(p, t)] for t in texts]
+    w = classify.Weighted(classify.WEIGHTS)
+    for name, terms in classify.WEIGHTS.items():
+        want = [sum(v for k, v in terms.items() if re.search(text.pattern_of([k]), t)) for t in texts]
+        assert one(spark, lambda c, name=name: w.total(c, name), *texts) == [min(x, classify.BOUNDS[name]) if name in classify.BOUNDS else x for x in want]
+    nested = classify.Weighted({"title_positive": {"data": 1, "data science": 10, "data science lead": 100}})
+    assert one(spark, lambda c: nested.total(c, "title_positive"), "data", "data science", "Data Science Lead", "database") == [1, 11, 111, 0]
+
+
+def test_the_footer_of_a_site_says_nothing(spark):
+    footer = "Bake bread. Our site footer: internship program, students welcome."
+    assert one(spark, lambda c: classify.is_placement(F.lit("Baker"), c), footer, "Bake bread. Internship program.", "The page footer says intern", None) == [False, True, False, False]
+    assert one(spark, classify.position_text, "One. Two! The website footer is here. Three.", "site footer", "no such words") == ["One. Two!", "", "no such words"]
+    assert one(spark, lambda c: classify.role_score(F.lit("Software Engineer"), c), footer, "Internship. Write code.") == [0, 29 + 13]
+
+
+def test_page_states(spark):
+    given = ["Sorry, this job has expired.", "Page not found", "The position is open until filled.", "", None, "we cannot find the requested page", "No longer accepting applications"]
+    assert [r and r.state for r in one(spark, classify.page_content, *given)] == ["closed", "not-found", None, None, None, "not-found", "closed"]
+    state = lambda status, url: lambda c: classify.link_state(F.lit(status), F.lit(url), c)
+    assert one(spark, state(200, "https://x.org/job/1"), *given) == ["closed", "closed", "reachable", "reachable", "reachable", "closed", "closed"]
+    assert one(spark, state(403, "https://x.org/job/1"), *given) == ["closed"] + ["access-controlled"] * 5 + ["closed"]
+    assert one(spark, state(500, "https://x.org/login?x"), "") == ["access-controlled"] and one(spark, state(500, "https://x.org/a"), "") == ["failed"] and one(spark, state(410, "https://x.org/a"), "") == ["closed"]
+    why = lambda url: lambda c: classify.closed_reason(F.lit(200), F.lit(url), c)
+    assert one(spark, why("https://x.org/about"), "This job has expired.", "Page not found") == [None, "Page not found"]
+    assert one(spark, why("https://x.org/jobs/12"), "This job has expired.", "fine") == ["Job expired", None]
+
+
+def test_requirements(spark):
+    from vacantia.functions import requirements as req
+
+    on = lambda f: lambda c: f(text.sentences(c))
+    g = one(spark, on(req.graduation), "Graduating 2026 or 2027.", "Graduating 2025 or 2027.", "Class of 2025. Graduation between 2026 and 2028.", "Founded in 2020.", None)
+    assert [(r.first, r.last) for r in g] == [(2026, 2027), (None, None), (2026, 2028), (None, None), (None, None)] and g[2].years == [2025, 2026, 2028]
+    y = one(spark, on(req.study_years), "Freshmen are welcome. Not open to first-year students.", "At least a sophomore.", "Upper-year students preferred.", "Seniors may apply.")
+    assert [(r["values"], r.first_year, r.upper_year) for r in y] == [(["first-year"], "no", "unknown"), (["second-year"], "unknown", "yes"), (["upper-year"], "unknown", "no"), (["fourth-year"], "unknown", "unknown")]
+    for topic, cases in {"student": {"Must be a student.": "required", "Students only.": "required", "": "unknown", "A student is ideal.": "preferred"}, "enrollment": {"You must be enrolled.": "required", "Recent graduates are welcome.": "not_required"}, "returning": {"You must return to school.": "required"}}.items():
+        assert one(spark, on(lambda c, topic=topic: req.state(c, topic)), *cases) == list(cases.values()), topic
+    assert one(spark, urls.company_of, "https://boards.greenhouse.io/acme-labs/jobs/1", "https://wd.wd5.myworkdayjobs.com/x", "https://www.big-corp.com/x", "https://jobs.lever.co/", "no link", None) == ["Acme Labs", "Western Digital", "Big Corp", "Lever", None, None]

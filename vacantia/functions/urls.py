@@ -58,7 +58,12 @@ def canonical(url: Column) -> Column:
 
 def job_url(url: Column) -> Column:
     """The canonical link of the posting itself: no ``/apply`` or ``/application`` at the end of its path."""
-    return F.regexp_replace(canonical(url), r"/(?i:apply|application)/?(?=\?|$)", "")
+    return without_form(canonical(url))
+
+
+def without_form(link: Column) -> Column:
+    """A canonical link without the application form's part."""
+    return F.regexp_replace(link, r"/(?i:apply|application)/?(?=\?|$)", "")
 
 
 def job_id(url: Column) -> Column:

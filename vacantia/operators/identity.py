@@ -1,8 +1,10 @@
 """Identity of listings and their deduplication.
 
-Keys narrow what can match; a residual rule decides on pairs. The ordered merge (the earliest matching record takes a later one
-and its keys) is not a transitive closure, so blocks that merging cannot leave are found first (components over links and
-companies) and folded each in order. A block is folded by one task that streams its rows in order and holds the merged records.
+A listing is described by its links, requisition ids, provider, company, role and places. Buckets (link; company and id; company, role
+and place) hold every pair that can match; a residual rule decides. The ordered merge (the earliest record that takes a
+listing merges with it, field by field, and gets its buckets) is not a transitive closure, so blocks that merging cannot leave are found
+first (components over links and companies). Each block is folded in order by one task through an index of buckets: a listing meets only
+records that share one with it.
 """
 
 from __future__ import annotations
@@ -14,90 +16,226 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 
+#: What a listing brings along, apart from its identity; all of it is merged.
+PAYLOAD = {"description": "string", "skills": "array<string>", "relevance": "int", "reason": "string", "sponsorship": "string", "discovered": "timestamp_ntz", "verified": "timestamp_ntz"}
 
-def keys(url: Column, provider: Column, company: Column, job_id: Column, title: Column, location: Column) -> Column:
-    """``url:``, ``provider-job:`` and ``role-location:`` keys of a listing; the last needs a location."""
-    full = lambda *cs: [c.isNotNull() & (c != "") for c in cs]
 
-    def key(kind: str, *cs: Column) -> Column:
-        ok = F.lit(True)
-        for x in full(*cs):
-            ok = ok & x
-        return F.when(ok, F.concat(F.lit(f"{kind}:"), F.concat_ws("|", *cs)))
+def _some(*columns: Column) -> Column:
+    return F.array_distinct(F.filter(F.array(*columns), lambda x: x.isNotNull() & (x != "")))
 
-    return F.array_compact(F.array(F.when(~urls.is_landing(url), key("url", url)), key("provider-job", provider, company, job_id), key("role-location", company, title, location)))
+
+def described(records: DataFrame) -> DataFrame:
+    """Adds a listing's descriptor to ``id``, ``posting_url``, ``application_url``, ``provider``, ``company``, ``title``, ``locations``, ``job_id``.
+
+    ``urls`` (without landing pages), ``ids``, ``direct`` (ids that no aggregator gave), ``provider``, ``company_key``, ``title_key``, ``places``,
+    ``aggregator`` (either link is one), ``posting_aggregator`` and ``application_aggregator``.
+    """
+    own = F.lower("job_id")
+    # each stage names what the next one uses more than once
+    df = records.select("*", *[urls.canonical(F.col(c)).alias(f"link{i}") for i, c in enumerate(("posting_url", "application_url"))], text.company_identity(F.col("company")).alias("company_key"), text.role_identity(F.col("title")).alias("title_key"))
+    df = df.select("*", *[urls.without_form(F.col(f"link{i}")).alias(f"form{i}") for i in (0, 1)], *[urls.host_class(F.col(f"link{i}")).alias(f"class{i}") for i in (0, 1)], *[urls.is_landing(F.col(f"link{i}")).alias(f"landing{i}") for i in (0, 1)])
+    df = df.select("*", *[F.lower(F.coalesce(urls.job_id(F.col(f"form{i}")), urls.job_id(F.col(f"link{i}")))).alias(f"id{i}") for i in (0, 1)], *[F.coalesce(F.col(f"class{i}") == "aggregator", F.lit(False)).alias(f"agg{i}") for i in (0, 1)])
+    direct = [F.when(~F.col(f"agg{i}") & ~F.coalesce(f"landing{i}", F.lit(False)), F.col(f"id{i}")) for i in (0, 1)]
+    shown = [F.when(~F.col(f"landing{i}"), F.col(c)) for i in (0, 1) for c in (f"link{i}", f"form{i}")]
+    return df.select(
+        *records.columns, _some(*shown).alias("urls"), _some(own, F.col("id0"), F.col("id1")).alias("ids"), _some(F.when(~F.col("agg0") & ~F.col("agg1"), own), *direct).alias("direct"), _some(F.col("id0"), F.col("id1")).alias("url_ids"), _some(*direct).alias("direct_url_ids"),
+        F.coalesce(F.lower("provider"), urls.provider(F.col("link0")), urls.provider(F.col("link1"))).alias("provider_key"), "company_key", "title_key", F.array_distinct(F.filter(F.transform("locations", text.identity_ascii), lambda x: x != "")).alias("places"),
+        (F.col("agg0") | F.col("agg1")).alias("aggregator"), F.col("agg0").alias("posting_aggregator"), F.col("agg1").alias("application_aggregator"),
+    )
+
+
+def keys() -> Column:
+    """``url:``, ``provider-job:`` and ``role-location:`` keys of a described listing; the last needs a place."""
+    full = lambda *cs: F.forall(F.array(*[F.col(c) for c in cs]), lambda x: x.isNotNull() & (x != ""))
+    jobs = F.when(full("provider_key", "company_key"), F.transform("ids", lambda i: F.concat(F.lit("provider-job:"), F.concat_ws("|", "provider_key", "company_key", i))))
+    role = F.when(full("company_key", "title_key") & (F.size("places") > 0), F.array(F.concat(F.lit("role-location:"), F.concat_ws("|", "company_key", "title_key", F.array_join(F.array_sort("places"), ";")))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.transform("urls", lambda u: F.concat(F.lit("url:"), u)), F.coalesce(jobs, none), F.coalesce(role, none))
+
+
+def buckets() -> Column:
+    """Every alias by which two described listings can match."""
+    company, title, none = F.col("company_key"), F.col("title_key"), F.array().cast("array<string>")
+    ids = F.when(company != "", F.transform("ids", lambda i: F.concat_ws("|", F.lit("id"), "company_key", i)))
+    roles = F.when((company != "") & (title != ""), F.transform("places", lambda p: F.concat_ws("|", F.lit("role"), "company_key", "title_key", p)))
+    return F.concat(F.transform("urls", lambda u: F.concat(F.lit("url|"), u)), F.coalesce(ids, none), F.coalesce(roles, none))
 
 
 def same(a: str, b: str) -> Column:
-    """The rules on two records (aliases): one link, or one requisition of a company (same provider, or same role and place);
-    else different requisitions part them, and equal company, role and place join them."""
+    """The rules on two described records (aliases): a shared link; or a shared requisition of one company and provider (or role and place);
+    else different direct requisitions part them, and one company, role and place join them."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    eq = lambda c: x(c).isNotNull() & (x(c) == y(c))
-    role = eq("company") & eq("title") & eq("location")
-    apart = x("job_id").isNotNull() & y("job_id").isNotNull() & (x("job_id") != y("job_id"))
-    return eq("url") | (eq("job_id") & eq("company") & (eq("provider") | role)) | (~apart & role)
+    eq = lambda c: x(c).isNotNull() & (x(c) != "") & (x(c) == y(c))
+    meet = lambda c: F.coalesce(F.arrays_overlap(x(c), y(c)), F.lit(False))
+    role = eq("title_key") & meet("places")
+    apart = (F.size(x("direct")) > 0) & (F.size(y("direct")) > 0) & ~meet("direct")
+    return F.coalesce(meet("urls") | (meet("ids") & eq("company_key") & (eq("provider_key") | role)) | (~apart & eq("company_key") & role), F.lit(False))
+
+
+_DESCRIPTOR = ["id", "urls", "ids", "direct", "provider_key", "company_key", "title_key", "places"]
 
 
 def matches(records: DataFrame) -> DataFrame:
-    """(id, other) of the matching pairs, found by shared keys."""
-    keyed = records.withColumn("key", F.explode(keys(*[F.col(c) for c in ("url", "provider", "company", "job_id", "title", "location")])))
+    """(id, other) of the matching pairs of described records, found by shared buckets."""
+    keyed = records.select(*_DESCRIPTOR, F.explode(buckets()).alias("key"))
     left, right = keyed.alias("a"), keyed.alias("b")
     return left.join(right, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & same("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
 
 
+def store_matches(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(id, old, kind): which stored records (``old``, with ``first_seen``) each new one may be: by link, by a provider's requisition, or by role.
+
+    By role only between an aggregator's copy and a direct record, or two aggregators' copies in one place; those in one place
+    win, else a single candidate is taken.
+    """
+    n, o = new.alias("n"), old.alias("o")
+    pair = lambda j, kind: j.select(F.col("n.id").alias("id"), F.col("o.id").alias("old"), F.lit(kind).alias("kind"))
+    keyed = lambda df, c: df.select("id", F.explode(c).alias("key"))
+    by = lambda c, kind: pair(keyed(new, c).alias("n").join(keyed(old, c).alias("o"), F.col("n.key") == F.col("o.key")), kind).distinct()
+    jobs = F.filter(keys(), lambda k: F.startswith(k, F.lit("provider-job:")))
+    role = n.join(o, (F.col("n.company_key") == F.col("o.company_key")) & (F.col("n.title_key") == F.col("o.title_key")))
+    near = F.coalesce(F.arrays_overlap("n.places", "o.places"), F.lit(False))
+    role = role.filter((F.col("n.application_aggregator") != F.col("o.application_aggregator")) | (F.col("n.application_aggregator") & near)).select(F.col("n.id").alias("id"), F.col("o.id").alias("old"), near.alias("near"))
+    count = role.groupBy("id").agg(F.bool_or("near").alias("any"), F.count("*").alias("count"))
+    role = role.join(count, "id").filter(F.when(F.col("any"), F.col("near")).otherwise(F.col("count") == 1)).select("id", "old", F.lit("role").alias("kind"))
+    return by(F.col("urls"), "url").unionByName(by(jobs, "provider")).unionByName(role)
+
+
+def existing(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(id, old): the stored record that each new one is, if any: by link, else the oldest of its store matches, else by requisition of the
+    company, else company, role and all places, else company, role and a common place; the last two unless requisitions conflict."""
+    found = store_matches(new, old).join(old.select(F.col("id").alias("old"), "first_seen"), "old")
+    ranked = found.select("id", "old", F.when(F.col("kind") == "url", 0).otherwise(1).alias("rank"), F.when(F.col("kind") == "url", F.lit(None).cast("timestamp_ntz")).otherwise(F.col("first_seen")).alias("seen"))
+    n, o = new.alias("n"), old.alias("o")
+    pair = lambda j, rank: j.select(F.col("n.id").alias("id"), F.col("o.id").alias("old"), rank.alias("rank"), F.lit(None).cast("timestamp_ntz").alias("seen"))
+    job = pair(n.join(o, (F.col("n.job_id") == F.col("o.job_id")) & (F.col("n.company_key") == F.col("o.company_key"))), F.lit(2))
+    apart = (F.size("n.direct") > 0) & (F.size("o.direct") > 0) & ~F.coalesce(F.arrays_overlap("n.direct", "o.direct"), F.lit(False))
+    role = n.join(o, (F.col("n.company_key") == F.col("o.company_key")) & (F.col("n.title_key") == F.col("o.title_key")) & ~apart & F.arrays_overlap("n.places", "o.places"))
+    role = pair(role, F.when(F.array_sort("n.places") == F.array_sort("o.places"), 3).otherwise(4))
+    return ranked.unionByName(job).unionByName(role).groupBy("id").agg(F.min_by("old", F.struct("rank", "seen", "old")).alias("old"))
+
+
 def quality(url: Column, description: Column, qualifications: Column) -> Column:
     """What makes one record of a listing better than another."""
     kind = urls.host_class(url)
     return F.when(kind == "ats", 40).otherwise(0) + F.when(kind.isin("ats", "other"), 30).otherwise(0) - F.when(kind == "aggregator", 35).otherwise(0) + F.least(F.lit(25), F.floor(F.length(description) / 500).cast("int")) + qualifications
 
 
+def merged_fields(primary: Column, secondary: Column) -> dict[str, Column]:
+    """The merge of two listings (structs with ``PAYLOAD``, ``company``, ``job_id``, ``locations``, ``posting_aggregator``), the first the better one.
+
+    The first one's values, the other's where it has none; a description under 100 characters gives way to a longer one; lists are joined;
+    the greater relevance with its reason; first discovery, last verification. The company comes from the direct record. Sponsorship may
+    change: it is the direct record's, among equals that of the later verification.
+    """
+    p, q = primary, secondary
+    union = lambda c: F.array_distinct(F.concat(p[c], q[c]))
+    prefer = F.when(p["posting_aggregator"] != q["posting_aggregator"], ~p["posting_aggregator"]).otherwise(q["verified"].isNull() | F.coalesce(p["verified"] >= q["verified"], F.lit(False)))
+    short = lambda c: F.coalesce(F.length(c["description"]), F.lit(0)) < 100
+    return {
+        "company": F.when(p["posting_aggregator"] & ~q["posting_aggregator"], q["company"]).otherwise(p["company"]), "job_id": F.coalesce(p["job_id"], q["job_id"]), "locations": union("locations"),
+        "description": F.when(short(p) & ~short(q), q["description"]).otherwise(p["description"]), "skills": union("skills"), "relevance": F.greatest(p["relevance"], q["relevance"]), "reason": F.when(p["relevance"] >= q["relevance"], p["reason"]).otherwise(q["reason"]),
+        "sponsorship": F.when(prefer, p["sponsorship"]).otherwise(q["sponsorship"]), "discovered": F.least(p["discovered"], q["discovered"]), "verified": F.greatest(p["verified"], q["verified"]),
+    }
+
+
 @dataclass
-class Merged:
-    """A record with the links, requisitions and sources that it has taken."""
-
-    first: int
-    company: str | None
-    title: str | None
-    urls: set = field(default_factory=set)
-    job_ids: set = field(default_factory=set)
-    places: set = field(default_factory=set)
+class Record:
+    """A listing, or what several have become."""
+
+    v: dict
     members: list = field(default_factory=list)
 
-    def takes(self, r) -> bool:
-        if r.url in self.urls:
+    def buckets(self) -> list[tuple]:
+        v = self.v
+        out = [("url", u) for u in v["urls"]]
+        if v["company_key"]:
+            out += [("id", v["company_key"], i) for i in v["ids"]]
+            if v["title_key"]:
+                out += [("role", v["company_key"], v["title_key"], p) for p in v["places"]]
+        return out
+
+    def takes(self, other: Record) -> bool:
+        a, b = self.v, other.v
+        if not a["urls"].isdisjoint(b["urls"]):
             return True
-        role = self.company is not None and self.company == r.company and self.title == r.title and r.location in self.places
-        if r.job_id is not None and r.job_id in self.job_ids and self.company == r.company:
+        company = bool(a["company_key"]) and a["company_key"] == b["company_key"]
+        role = company and bool(a["title_key"]) and a["title_key"] == b["title_key"] and not a["places"].isdisjoint(b["places"])
+        if company and not a["ids"].isdisjoint(b["ids"]) and (role or a["provider_key"] and a["provider_key"] == b["provider_key"]):
             return True
-        return role and not (r.job_id is not None and self.job_ids and r.job_id not in self.job_ids)
-
-    def add(self, r) -> None:
-        self.members.append(r.id)
-        for known, value in ((self.urls, r.url), (self.job_ids, r.job_id), (self.places, r.location)):
-            if value is not None:
-                known.add(value)
-
-
-def fold(rows: Iterator) -> list[Merged]:
-    """Rows in order: each goes to the earliest record that takes it, or begins one."""
-    out: list[Merged] = []
-    for r in rows:
-        home = next((m for m in out if m.takes(r)), None)
+        return role and not (a["direct"] and b["direct"] and a["direct"].isdisjoint(b["direct"]))
+
+
+def _joined(a: list, b: list) -> list:
+    return list(dict.fromkeys([*a, *b]))
+
+
+def merge(a: Record, b: Record) -> None:
+    """``a`` becomes the merge of both: the better one is primary (``a`` if they are equal). As ``merged_fields``, with the identity of the result."""
+    p, q = (b.v, a.v) if b.v["quality"] > a.v["quality"] else (a.v, b.v)
+    v = dict(p)
+    direct = p["posting_aggregator"] and not q["posting_aggregator"]
+    v["company"], v["company_key"] = (q if direct else p)["company"], (q if direct else p)["company_key"]
+    v["job_id"] = p["job_id"] if p["job_id"] is not None else q["job_id"]
+    v["locations"], v["skills"], v["places"] = _joined(p["locations"], q["locations"]), _joined(p["skills"], q["skills"]), p["places"] | q["places"]
+    job = {v["job_id"].lower()} if v["job_id"] else set()
+    v["ids"], v["direct"] = p["url_ids"] | job, p["direct_url_ids"] | (set() if p["aggregator"] else job)
+    if len(p["description"] or "") < 100 <= len(q["description"] or ""):
+        v["description"] = q["description"]
+    v["relevance"], v["reason"] = max(p["relevance"], q["relevance"]), (p if p["relevance"] >= q["relevance"] else q)["reason"]
+    if p["posting_aggregator"] != q["posting_aggregator"]:
+        keep = not p["posting_aggregator"]
+    else:
+        keep = q["verified"] is None or (p["verified"] is not None and p["verified"] >= q["verified"])
+    v["sponsorship"] = (p if keep else q)["sponsorship"]
+    v["discovered"] = min((x for x in (p["discovered"], q["discovered"]) if x is not None), default=None)
+    v["verified"] = max((x for x in (p["verified"], q["verified"]) if x is not None), default=None)
+    v["quality"] = v["base_quality"] + min(25, len(v["description"] or "") // 500)
+    a.v = v
+    a.members += b.members
+
+
+def fold(rows: Iterator[dict]) -> list[Record]:
+    """Listings in order: each goes to the earliest record that takes it, which is merged and indexed anew, or begins one."""
+    out: list[Record] = []
+    index: dict[tuple, list[int]] = {}
+    for v in rows:
+        r = Record(v, [v["id"]])
+        possible = sorted({n for b in r.buckets() for n in index.get(b, ())})
+        home = next((n for n in possible if out[n].takes(r)), None)
         if home is None:
-            home = Merged(r.id, r.company, r.title)
-            out.append(home)
-        home.add(r)
+            home = len(out)
+            out.append(r)
+        else:
+            merge(out[home], r)
+        for b in out[home].buckets():
+            held = index.setdefault(b, [])
+            if home not in held:
+                held.append(home)
     return out
 
 
+SETS = ("urls", "ids", "direct", "url_ids", "direct_url_ids", "places")
+_KEPT = {"company": "string", "title": "string", "posting_url": "string", "job_id": "string", "locations": "array<string>", **PAYLOAD}
+
+
 def deduplicated(records: DataFrame, block: str) -> DataFrame:
-    """(id, merged_id) by the ordered fold inside each block; ``block`` is a column that matches cannot leave."""
+    """(merged_id, members, and the merged record's fields) by the ordered fold inside each block of described ``records``.
+
+    ``block`` is a column that merging cannot leave; ``base_quality`` a record's quality but for its description.
+    """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id").astype(object).where(lambda x: x.notna(), None)
-        done = fold(df.itertuples(index=False))
-        return pd.DataFrame([(int(i), int(m.first)) for m in done for i in m.members], columns=["id", "merged_id"])
-
-    return records.groupBy(block).applyInPandas(run, "id bigint, merged_id bigint")
+        rows = df.to_dict("records")
+        for v in rows:
+            for c in SETS:
+                v[c] = set(v[c])
+            for c in ("locations", "skills"):
+                v[c] = list(v[c]) if v[c] is not None else []
+            v["quality"] = v["base_quality"] + min(25, len(v["description"] or "") // 500)
+        return pd.DataFrame([(int(r.members[0]), [int(i) for i in r.members], *[r.v[c] for c in _KEPT]) for r in fold(rows)], columns=["merged_id", "members", *_KEPT])
+
+    return records.groupBy(block).applyInPandas(run, "merged_id bigint, members array<bigint>, " + ", ".join(f"{c} {t}" for c, t in _KEPT.items()))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where that is unset and Spark
+    runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="vacantia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -25,14 +28,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blocks(df: DataFrame, key: str, *shared: str) -> DataFrame:
-    """(key, block): components of rows that share a value in any of the columns; the block is its smallest key.
+def components(links: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, block): components of keys that share a value, over (``key``, ``value``) rows; the block is its smallest key.
 
     Labels spread over values, and each round also jumps to the label of the label, so rounds grow with the logarithm
-    of the longest chain.
+    of the longest chain. Minima are counted per value before they are joined; joins have plain exchanges, which AQE can split.
     """
-    links = stored(df.select(F.col(key).alias("id"), F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in shared]))).alias("value")).distinct())
-    label = stored(df.select(F.col(key).alias("id"), F.col(key).alias("block")))
+    links = stored(links.select(F.col(key).alias("id"), F.col(value).alias("value")).distinct())
+    label = stored(links.select("id", F.col("id").alias("block")).distinct())
     while True:
         low = links.join(label, "id").groupBy("value").agg(F.min("block").alias("low"))
         new = links.join(low, "value").groupBy("id").agg(F.min("low").alias("low"))
@@ -42,3 +45,9 @@ def blocks(df: DataFrame, key: str, *shared: str) -> DataFrame:
         if not nxt.join(label.withColumnRenamed("block", "old"), "id").filter("block <> old").limit(1).count():
             return nxt.withColumnRenamed("id", key)
         label = nxt
+
+
+def blocks(df: DataFrame, key: str, *shared: str) -> DataFrame:
+    """``components`` of rows that share a value in any of the columns; rows that share nothing are blocks of their own."""
+    values = F.array(F.concat(F.lit("="), F.col(key).cast("string")), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in shared])
+    return components(df.select(key, F.explode(F.array_compact(values)).alias("value")), key, "value")

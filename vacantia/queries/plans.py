@@ -10,7 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import identity as ident
 from ..operators import relations as rel
 from ..operators import windows as win
-from ..operators.stage import blocks
+from ..operators.stage import components, stored
 from ..plans import matching as match
 from ..plans import operations as ops
 from ..sources import extract
@@ -46,7 +46,8 @@ def s6_extractor_dispatch(s, d):
 
 @query(V("listing") + "SELECT id AS page_id, title, company, nation AS location, url, strftime(posted_at, '%Y-%m-%d') AS posted FROM listing WHERE id % 3 = 0")
 def s7_jsonld(s, d):
-    return extract.postings(_pages(s, d).filter("id % 3 = 0"), (extract.structured,)).select("page_id", "title", "company", "location", "url", "posted")
+    """All pages are read; only every third has such data."""
+    return extract.postings(_pages(s, d), (extract.structured,)).select("page_id", "title", "company", "location", "url", "posted")
 
 
 @query(V("listing") + "SELECT id AS page_id, title FROM listing WHERE id % 3 = 2")
@@ -124,27 +125,37 @@ def s20_cache_state(s, d):
 
 
 def _records(s, d):
-    """Listings folded to few companies and links, so that they repeat."""
-    df = listing(s, d).filter("id < 3000")
-    few = F.concat(F.lit("c"), (F.col("company_id") % 37).cast("string"))
-    return df.select("id", F.concat(F.lit("u"), F.col("id") % 997, F.lit("-"), F.col("company_id") % 37).alias("url"), urls.provider(F.col("url")).alias("provider"), few.alias("company"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("r"), F.col("id") % 41)).alias("job_id"), "title", F.col("region").alias("location"))
-
-
-_REC = V("listing") + """, rec AS (SELECT id, 'u' || CAST(id % 997 AS VARCHAR) || '-' || CAST(company_id % 37 AS VARCHAR) AS url,
- CASE id % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'linkedin.com' WHEN 3 THEN 'jobright.ai' WHEN 4 THEN 'workday' ELSE 'careers.example.com' END AS provider,
- 'c' || CAST(company_id % 37 AS VARCHAR) AS company, CASE WHEN id % 3 = 0 THEN 'r' || CAST(id % 41 AS VARCHAR) END AS job_id, title, region AS location FROM listing WHERE id < 3000) """
-
-
-@query(_REC + "SELECT id, 2 + CAST(job_id IS NOT NULL AS INT) AS n, 'url:' || url AS first_key FROM rec")
+    """Listings whose links, requisitions, roles and places repeat within their company: direct pages of four hosts and an aggregator's copies."""
+    i, c, n = F.col("id"), F.concat(F.lit("c"), "company_id"), F.concat(F.lit("100"), (F.col("id") % 5).cast("string"))
+    board = F.concat(F.lit("https://boards.greenhouse.io/"), c, F.lit("/jobs/"), n, F.lit("?utm_source=x"))
+    posting = F.when(i % 4 == 0, board).when(i % 4 == 1, F.concat(F.lit("https://jobs.lever.co/"), c, F.lit("/"), n, F.lit("/apply"))).when(i % 4 == 2, F.concat(F.lit("https://jobright.ai/info/z"), i, F.lit("z")))
+    posting = posting.otherwise(F.concat(F.lit("https://www.careers.example.com/jobs/"), n, F.lit("?team="), c))
+    title = F.when(i % 3 == 0, "Software Engineering Intern").when(i % 3 == 1, "Data Analyst (Co-op)").otherwise("Platform Developer")
+    return listing(s, d).select(
+        "id", posting.alias("posting_url"), F.when(i % 8 == 2, board).otherwise(posting).alias("application_url"), F.lit(None).cast("string").alias("provider"), F.concat(c, F.lit(", Inc.")).alias("company"), title.alias("title"),
+        F.array(F.when(F.floor(i / 3) % 2 == 0, "Toronto").otherwise("Austin")).alias("locations"), F.when(i % 3 == 0, F.concat(F.lit("R"), (i % 4).cast("string"))).alias("job_id"), "description", F.array(F.col("category"), F.coalesce("term", F.lit("none"))).alias("skills"),
+        "relevance", F.concat(F.lit("r"), F.col("relevance").cast("string")).alias("reason"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("sponsorship"), F.col("first_seen").alias("discovered"), F.col("last_seen").alias("verified"), (F.col("relevance") % 7).alias("base_quality"), "first_seen", "availability",
+    )
+
+
+_REC = V("listing") + """, r0 AS (SELECT *, 'c' || company_id AS c, '100' || (id % 5) AS n, id % 4 = 2 AS agg, CASE id % 3 WHEN 0 THEN 'software engineer' WHEN 1 THEN 'data analyst' ELSE 'platform developer' END AS role, CASE WHEN id // 3 % 2 = 0 THEN 'toronto' ELSE 'austin' END AS place,
+ CASE WHEN id % 3 = 0 THEN 'r' || (id % 4) END AS jid, CASE id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'jobright.ai' ELSE 'careers.example.com' END AS provider FROM listing),
+r1 AS (SELECT *, CASE id % 4 WHEN 0 THEN ['g' || c || n] WHEN 1 THEN ['l' || c || n, 'a' || c || n] WHEN 2 THEN list_filter(['j' || id, CASE WHEN id % 8 = 2 THEN 'g' || c || n END], lambda x: x IS NOT NULL) ELSE ['e' || c || n] END AS urls, CASE WHEN id % 8 <> 6 THEN n END AS nid FROM r0),
+rec AS (SELECT *, list_filter([jid, nid], lambda x: x IS NOT NULL) AS ids, list_filter([CASE WHEN NOT agg THEN jid END, nid], lambda x: x IS NOT NULL) AS direct, id % 8 = 6 AS app_agg FROM r1) """
+_APART = "(len({a}.direct) > 0 AND len({b}.direct) > 0 AND NOT list_has_any({a}.direct, {b}.direct))"
+
+
+@query(_REC + "SELECT id, CAST(len(urls) + len(ids) + 1 AS INT) AS n, 'role-location:' || c || '|' || role || '|' || place AS last_key, CASE WHEN len(ids) > 0 THEN 'provider-job:' || provider || '|' || c || '|' || ids[1] END AS job_key FROM rec")
 def d1_identity_keys(s, d):
-    found = ident.keys(*[F.col(c) for c in ("url", "provider", "company", "job_id", "title", "location")])
-    return _records(s, d).select("id", F.size(found).alias("n"), found[0].alias("first_key"))
+    df = ident.described(_records(s, d)).select("id", ident.keys().alias("keys"))
+    job = F.try_element_at(F.filter("keys", lambda k: F.startswith(k, F.lit("provider-job:"))), F.lit(1))
+    return df.select("id", F.size("keys").alias("n"), F.element_at("keys", -1).alias("last_key"), job.alias("job_key"))
 
 
-@query(_REC + """SELECT a.id, b.id AS other FROM rec a JOIN rec b ON a.company = b.company AND a.id < b.id WHERE a.url = b.url OR (a.job_id = b.job_id AND (a.provider = b.provider OR (a.title = b.title AND a.location = b.location)))
- OR (a.title = b.title AND a.location = b.location AND NOT coalesce(a.job_id <> b.job_id, false))""")
+@query(_REC + f"""SELECT a.id, b.id AS other FROM rec a JOIN rec b ON a.c = b.c AND a.id < b.id WHERE list_has_any(a.urls, b.urls) OR (list_has_any(a.ids, b.ids) AND (a.provider = b.provider OR (a.role = b.role AND a.place = b.place)))
+ OR (a.role = b.role AND a.place = b.place AND NOT {_APART.format(a='a', b='b')})""")
 def d2_pair_matches(s, d):
-    return ident.matches(_records(s, d))
+    return ident.matches(stored(ident.described(_records(s, d))))
 
 
 @query(V("listing") + "SELECT company, title, region, min(id) AS id FROM listing GROUP BY company, title, region")
@@ -154,8 +165,11 @@ def d3_first_wins(s, d):
 
 @query()
 def d4_dedup_fold(s, d):
-    df = _records(s, d)
-    return ident.deduplicated(df.join(blocks(df, "id", "url", "company"), "id"), "block")
+    """The merged records; blocks are components over links and companies."""
+    df = stored(ident.described(_records(s, d)))
+    keyed = df.select("id", F.explode(F.concat("urls", F.array("company_key"))).alias("value")).select("id", "value")
+    out = ident.deduplicated(df.join(components(keyed, "id", "value"), "id"), "block")
+    return out.select("merged_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "company", "posting_url", F.array_join("locations", ",").alias("locations"), F.array_join("skills", ",").alias("skills"), "relevance", "reason", "sponsorship", F.length("description").alias("n_description"), "discovered", "verified")
 
 
 @query(V("listing") + "SELECT id, CAST(CASE WHEN id % 6 IN (0, 1, 4) THEN 70 WHEN id % 6 = 3 THEN -35 WHEN id % 6 = 5 THEN 30 ELSE 0 END + least(25, CAST(floor(length(description) / 500.0) AS INT)) + 2 AS INT) AS quality FROM listing")
@@ -163,28 +177,48 @@ def d5_quality_score(s, d):
     return listing(s, d).select("id", ident.quality(F.col("url"), F.col("description"), F.lit(2)).alias("quality"))
 
 
-@query(V("listing") + "SELECT company, arg_min(title, id) AS title, max(relevance) AS relevance, min(first_seen) AS first_seen, max(last_seen) AS last_seen, count(DISTINCT url) AS links FROM listing GROUP BY company")
+_MERGE = _REC + """, w AS (SELECT *, relevance % 7 AS q, lead(id) OVER (PARTITION BY c ORDER BY id) AS nxt FROM rec), pq AS (SELECT CASE WHEN b.q > a.q THEN b ELSE a END AS p, CASE WHEN b.q > a.q THEN a ELSE b END AS s FROM w a JOIN w b ON b.id = a.nxt)
+SELECT p.id AS id, s.id AS other, coalesce(upper(p.jid), upper(s.jid)) AS job_id, array_to_string(list_distinct3, ',') AS locations, CASE WHEN length(p.description) < 100 AND length(s.description) >= 100 THEN s.description ELSE p.description END AS description, CASE WHEN p.agg AND NOT s.agg THEN s.id ELSE p.id END AS company_of,
+ greatest(p.relevance, s.relevance) AS relevance, 'r' || greatest(p.relevance, s.relevance) AS reason, CASE WHEN CASE WHEN p.agg <> s.agg THEN NOT p.agg ELSE p.last_seen >= s.last_seen END THEN 's' || (p.id % 3) ELSE 's' || (s.id % 3) END AS sponsorship, least(p.first_seen, s.first_seen) AS discovered, greatest(p.last_seen, s.last_seen) AS verified
+FROM (SELECT *, CASE WHEN p.place = s.place THEN [initcap1(p.place)] ELSE [initcap1(p.place), initcap1(s.place)] END AS list_distinct3 FROM pq)"""
+_MERGE = _MERGE.replace("initcap1(p.place)", "upper(p.place[1]) || p.place[2:]").replace("initcap1(s.place)", "upper(s.place[1]) || s.place[2:]")
+
+
+@query(_MERGE)
 def d6_field_merge(s, d):
-    return listing(s, d).groupBy("company").agg(F.min_by("title", "id").alias("title"), F.max("relevance").alias("relevance"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count_distinct("url").alias("links"))
+    """Each listing merged with the next of its company, the better one first."""
+    from pyspark.sql import Window as W
+
+    df = _records(s, d).withColumn("posting_aggregator", F.col("id") % 4 == 2).withColumn("key", F.regexp_extract("company", r"^c(\d+)", 1)).withColumn("company", F.col("id").cast("string"))
+    rows = df.select("key", "id", F.col("base_quality").alias("q"), F.struct("id", "company", "job_id", "locations", "posting_aggregator", *ident.PAYLOAD).alias("v"))
+    by = W.partitionBy("key").orderBy("id")
+    pairs = rows.select("q", "v", F.lead("q").over(by).alias("q2"), F.lead("v").over(by).alias("v2")).filter("q2 is not null")
+    better = F.col("q2") > F.col("q")
+    pairs = pairs.select(F.when(better, F.col("v2")).otherwise(F.col("v")).alias("p"), F.when(better, F.col("v")).otherwise(F.col("v2")).alias("s"))
+    m = ident.merged_fields(F.col("p"), F.col("s"))
+    return pairs.select(F.col("p.id").alias("id"), F.col("s.id").alias("other"), m["job_id"].alias("job_id"), F.array_join(m["locations"], ",").alias("locations"), m["description"].alias("description"), m["company"].cast("bigint").alias("company_of"), *[m[c].alias(c) for c in ("relevance", "reason", "sponsorship", "discovered", "verified")])
+
+
+_STORE = _REC + f""", n AS (SELECT * FROM rec WHERE availability = 'open'), o AS (SELECT * FROM rec WHERE availability = 'closed'), role AS (SELECT n.id, o.id AS old, n.place = o.place AS near FROM n JOIN o ON n.c = o.c AND n.role = o.role AND (n.app_agg <> o.app_agg OR (n.app_agg AND n.place = o.place))),
+ rc AS (SELECT id, bool_or(near) AS anynear, count(*) AS k FROM role GROUP BY id), m AS (SELECT n.id, o.id AS old, 'url' AS kind FROM n JOIN o ON n.c = o.c AND list_has_any(n.urls, o.urls) UNION ALL SELECT n.id, o.id, 'provider' FROM n JOIN o ON n.c = o.c AND n.provider = o.provider AND list_has_any(n.ids, o.ids)
+ UNION ALL SELECT role.id, old, 'role' FROM role JOIN rc ON rc.id = role.id WHERE CASE WHEN anynear THEN near ELSE k = 1 END) """
 
 
-def _existing(s, d):
-    """Candidates of each open listing among closed ones, by rank: same link's company and title, else company."""
-    df = listing(s, d).select("id", "company", "title", "availability")
-    old, new = df.filter("availability = 'closed'"), df.filter("availability = 'open'")
-    exact = new.join(old.select("company", "title", F.col("id").alias("old")), ["company", "title"]).select("id", "old", F.lit(0).alias("rank"))
-    loose = new.join(old.select("company", F.col("id").alias("old")), "company").select("id", "old", F.lit(1).alias("rank"))
-    return exact.union(loose)
+def _stores(s, d):
+    df = stored(ident.described(_records(s, d)))
+    return df.filter("availability = 'open'"), df.filter("availability = 'closed'")
 
 
-@query(V("listing") + "SELECT a.id, count(*) AS n FROM listing a JOIN listing b ON a.company = b.company AND a.availability = 'open' AND b.availability = 'closed' GROUP BY a.id")
+@query(_STORE + "SELECT id, old, kind FROM m")
 def d7_store_match(s, d):
-    return _existing(s, d).select("id", "old").distinct().groupBy("id").agg(F.count("*").alias("n"))
+    return ident.store_matches(*_stores(s, d))
 
 
-@query(V("listing") + "SELECT a.id, arg_min(b.id, CASE WHEN a.title = b.title THEN 0 ELSE 1000000000 END + b.id) AS old FROM listing a JOIN listing b ON a.company = b.company AND a.availability = 'open' AND b.availability = 'closed' GROUP BY a.id")
+@query(_STORE + f""", cand AS (SELECT m.id, old, CASE kind WHEN 'url' THEN 0 ELSE 1 END AS rank, CASE WHEN kind <> 'url' THEN o.first_seen ELSE TIMESTAMP '1970-01-01' END AS seen FROM m JOIN o ON o.id = m.old
+ UNION ALL SELECT n.id, o.id, 2, TIMESTAMP '1970-01-01' FROM n JOIN o ON n.c = o.c AND n.jid = o.jid UNION ALL SELECT n.id, o.id, 3, TIMESTAMP '1970-01-01' FROM n JOIN o ON n.c = o.c AND n.role = o.role AND n.place = o.place AND NOT {_APART.format(a='n', b='o')})
+SELECT id, old FROM (SELECT id, old, row_number() OVER (PARTITION BY id ORDER BY rank, seen, old) AS k FROM cand) WHERE k = 1""")
 def d8_find_existing(s, d):
-    return _existing(s, d).groupBy("id").agg(F.min_by("old", F.struct("rank", "old")).alias("old"))
+    return ident.existing(*_stores(s, d))
 
 
 @query(V("listing") + "SELECT id, CASE WHEN m IS NULL THEN 'NEW' WHEN availability = 'closed' OR relevance <> m % 101 THEN 'UPDATED' ELSE 'UNCHANGED' END AS lifecycle FROM listing LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS m FROM lineitem GROUP BY l_orderkey) ON l_orderkey = id")
@@ -304,11 +338,11 @@ _SOFT = f"CASE WHEN category IN ('machinery', 'building') THEN 12 ELSE 0 END + {
 
 
 def _matched(s, d):
-    tech = k.technologies(F.col("description"))
-    points = match.term_points(P, F.lower("term"), F.col("year")) + match.place_points(P, F.col("region"), F.concat_ws("", "nation"), F.col("remote")) + match.soft_points(P, F.col("category"), tech, F.col("relevance"), F.col("lifecycle"))
-    status = match.eligibility(_states(), F.lit(True))
-    overlap = F.col("category").isin(*P.categories) | (F.size(F.array_intersect(F.transform(tech, F.lower), F.array(*map(F.lit, P.technologies)))) > 0)
-    return listing(s, d).select("id", "relevance", match.total(status, points).alias("score"), match.verdict(status, overlap, F.array_contains(_states(), "unknown")).alias("verdict"))
+    df = listing(s, d, heavy=True).select("*", F.transform(k.technologies(F.col("description")), F.lower).alias("tech"), _states().alias("states"))
+    df = df.select("*", match.eligibility(F.col("states"), F.lit(True)).alias("status"))
+    points = match.term_points(P, F.lower("term"), F.col("year")) + match.place_points(P, F.col("region"), F.concat_ws("", "nation"), F.col("remote")) + match.soft_points(P, F.col("category"), F.col("tech"), F.col("relevance"), F.col("lifecycle"))
+    overlap = F.col("category").isin(*P.categories) | (F.size(F.array_intersect("tech", F.array(*map(F.lit, P.technologies)))) > 0)
+    return df.select("id", "relevance", match.total(F.col("status"), points).alias("score"), match.verdict(F.col("status"), overlap, F.array_contains("states", "unknown")).alias("verdict"))
 
 
 _MATCH = _ELIG + f", g AS (SELECT id, relevance, CAST(CASE WHEN status = 'not_eligible' THEN 0 ELSE least(100, {_TERM} + {_PLACE} + {_SOFT}) END AS INT) AS score, CASE WHEN status = 'not_eligible' THEN 'excluded' WHEN category NOT IN ('machinery', 'building') AND {_TECH} = 0 THEN 'insufficient_fit' WHEN 'unknown' IN (c1, c2, c3) THEN 'recommended_with_uncertainty' ELSE 'recommended' END AS verdict FROM f) "

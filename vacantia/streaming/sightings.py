@@ -62,16 +62,14 @@ def lifecycle_state(rows: DataFrame, timeout_ms: int = 0) -> DataFrame:
 
 
 def merged_batches(spark: SparkSession, folder: str, schema: str, target: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str, files: int = 1) -> StreamingQuery:
-    """Runs a merge for each micro-batch of files; versions are folders numbered by batch, so a repeated batch rewrites its own."""
+    """Runs a merge for each micro-batch of files; versions are folders numbered by batch, so a repeated batch rewrites its own.
 
-    def write(batch: DataFrame, number: int) -> None:
-        from py4j.protocol import Py4JJavaError
-        from pyspark.errors import AnalysisException
+    Only the first batch of a checkpoint has no state before it. Where a later one cannot read the version before, for whatever
+    reason, the batch fails and the query stops; started again it repeats that batch.
+    """
 
-        try:
-            old = batch.sparkSession.read.parquet(f"{target}/{number - 1}") if number else None
-        except (AnalysisException, Py4JJavaError):
-            old = None
+    def write(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{target}/{number - 1}") if number else None
         merge(batch, old).write.mode("overwrite").parquet(f"{target}/{number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
