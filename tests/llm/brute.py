@@ -137,3 +137,28 @@ def components(prints, distance=3):
         if i is not None:
             least[find(p)] = min(i, least.get(find(p), i))
     return {p: least.get(find(p)) for p in known}
+
+
+def licenses(rows, templates, share=0.8, size=5):
+    """Every window of two blocks of each text against every template, by sets of shingles."""
+    def grams(text):
+        w = TERM.findall((text or "").translate(LOWER))
+        return [tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))] if w else []
+
+    out = []
+    for name, template in templates.items():
+        t = set(grams(template))
+        block = 1 << (len(t) - 1).bit_length()
+        for i, text in rows:
+            g, best, before = grams(text), None, None
+            for n, k in enumerate(range(0, len(g), block)):
+                x = len(t & set(g[k : k + 2 * block])) / len(t)
+                if x >= share:
+                    if best is not None and before != n - 1:
+                        out.append((i, name, *best))
+                        best = None
+                    best = (x, k) if best is None or x > best[0] else best
+                    before = n
+            if best is not None:
+                out.append((i, name, *best))
+    return out

@@ -3,13 +3,17 @@
 Words are ASCII letters and digits (lower-cased) and other characters than ASCII. A template's size class is the next power
 of two of its number of five-word shingles; each document is cut into blocks of that many shingles, and every two blocks
 in a row are a window, so that a run as long as a template lies in one. Of each window ``BANDS`` minima are taken, one row
-a band. A window that contains 0.8 of a template has a Jaccard similarity J of at least 0.8 t / (2 s + 0.2 t) with it, 0.26
+a band, and looked up in the band's index of the templates' minima, so a large list of licenses costs what a small one does. A window
+that contains 0.8 of a template has a Jaccard similarity J of at least 0.8 t / (2 s + 0.2 t) with it, 0.26
 for the worst s < 2 t; one of the bands then agrees with probability 1 - (1 - J) ** 64, over 0.99999999. What
 is retrieved is confirmed by the exact share of the template's shingles that the window has.
 
+Templates are a parameter (a dict, or a DataFrame of ``name`` and ``text`` of at most ``MOST_BYTES``, which travels with the tasks);
+``TEMPLATES`` are the notices that files of public licenses carry.
+
 Cases: a null or empty text has no words; a text or template of fewer than five words is one shingle, its whole sequence.
-Rows are scanned one by one, so repeated rows are reported each. Of windows of equal share the first is reported. Extra
-columns are ignored.
+Rows are scanned one by one, so repeated rows are reported each. Every occurrence is reported; of overlapping windows that all
+hold the license the one of the greatest share is, the first of equal ones. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from .terms import words_of
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 64
+#: Bytes of a table of templates.
+MOST_BYTES = 32 << 20
 #: Notices of public licenses.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -34,6 +40,22 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "BSD-3-Clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,52 +77,74 @@ def _mix(h: np.ndarray, odd: np.uint64) -> np.ndarray:
 
 
 class Templates:
-    """Templates by size class, with the minima of their bands."""
+    """Templates by size class; for each class and band the templates' minima, sorted, and whose they are."""
 
     def __init__(self, texts: dict[str, str]):
         self.classes: dict[int, list[tuple[str, np.ndarray]]] = {}
-        for name, text in texts.items():
+        for name, text in sorted(texts.items()):
             found = np.unique(shingles(words_of(text)))
             if len(found):
                 self.classes.setdefault(1 << (len(found) - 1).bit_length(), []).append((name, found))
-        self.minima = {s: np.array([[_mix(f, o).min() for o in _ODD] for _, f in ts]) for s, ts in self.classes.items()}
+        self.index = {}
+        for size, templates in self.classes.items():
+            low = np.array([[_mix(f, o).min() for o in _ODD] for _, f in templates])
+            order = np.argsort(low, axis=0, kind="stable")
+            self.index[size] = [(low[order[:, k], k], order[:, k]) for k in range(BANDS)]
 
     def scan(self, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, str, float, int]]:
-        """(text, template, share, first shingle of the window) of the best window of each text and template found.
+        """(text, template, share, first shingle of the window) of each occurrence.
 
         ``h`` are the shingles of all texts one after another; ``starts`` where each begins, and the end.
         """
-        best: dict[tuple[int, str], tuple[float, int]] = {}
+        out: list[tuple[int, str, float, int]] = []
         if not len(h):
-            return []
-        mixed = None
+            return out
+        sizes = np.diff(starts)
         for size, templates in self.classes.items():
-            sizes = np.diff(starts)
             per = -(-sizes // size)  # blocks of each text
             first = np.repeat(np.cumsum(per) - per, per)
             text = np.repeat(np.arange(len(sizes)), per)
             head = starts[text] + (np.arange(len(text)) - first) * size
-            pair = np.concatenate((text[1:] == text[:-1], [False]))  # a block and the next
-            hit = np.zeros((len(templates), len(head)), bool)
-            for k, odd in enumerate(_ODD):
-                mixed = _mix(h, odd)
-                low = np.minimum.reduceat(mixed, head)
-                low[pair] = np.minimum(low[pair], low[np.flatnonzero(pair) + 1])
-                for t in range(len(templates)):
-                    hit[t] |= low == self.minima[size][t, k]
-            for t, (name, found) in enumerate(templates):
-                for w in np.flatnonzero(hit[t]).tolist():
-                    d, a = int(text[w]), int(head[w])
-                    b = min(a + 2 * size, int(starts[d + 1]))
-                    share = float(np.isin(found, h[a:b]).mean())
-                    if share >= SIMILARITY and share > best.get((d, name), (0.0, 0))[0]:
-                        best[d, name] = share, a - int(starts[d])
-        return [(d, name, share, at) for (d, name), (share, at) in sorted(best.items())]
-
-
-def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(``doc_id``, ``license``, ``containment``, ``first_word`` of the window) of each license found in each row."""
-    texts = templates or TEMPLATES
+            pair = np.flatnonzero(text[1:] == text[:-1])  # a block and the next
+            found = []
+            for odd, (values, owner) in zip(_ODD, self.index[size], strict=True):
+                low = np.minimum.reduceat(_mix(h, odd), head)
+                low[pair] = np.minimum(low[pair], low[pair + 1])
+                at = np.searchsorted(values, low)
+                hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == low)
+                while len(hit):  # several templates may share a minimum
+                    found.append(owner[at[hit]] * len(head) + hit)
+                    at[hit] += 1
+                    hit = hit[(at[hit] < len(values)) & (values[np.minimum(at[hit], len(values) - 1)] == low[hit])]
+            last: tuple[int, int, int] | None = None  # template, text and window of the occurrence that is open
+            for code in np.unique(np.concatenate(found)).tolist() if found else ():
+                t, w = divmod(code, len(head))
+                d, a = int(text[w]), int(head[w])
+                share = float(np.isin(templates[t][1], h[a : min(a + 2 * size, int(starts[d + 1]))]).mean())
+                if share < SIMILARITY:
+                    continue
+                row = d, templates[t][0], share, a - int(starts[d])
+                if last == (t, d, w - 1):  # overlaps the window before
+                    if share > out[-1][2]:
+                        out[-1] = row
+                else:
+                    out.append(row)
+                last = t, d, w
+        return sorted(out)
+
+
+def _texts(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
+    if not isinstance(templates, DataFrame):
+        return TEMPLATES if templates is None else templates
+    size = templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {MOST_BYTES} travel with the tasks")
+    return {r.name: r.text for r in templates.select("name", "text").collect() if r.text}
+
+
+def scan_licenses(documents: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """(``doc_id``, ``license``, ``containment``, ``first_word`` of the window) of each occurrence of a license in each row."""
+    texts = _texts(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(texts)
