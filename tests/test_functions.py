@@ -251,3 +251,73 @@ def test_requirements(spark):
     for topic, cases in {"student": {"Must be a student.": "required", "Students only.": "required", "": "unknown", "A student is ideal.": "preferred"}, "enrollment": {"You must be enrolled.": "required", "Recent graduates are welcome.": "not_required"}, "returning": {"You must return to school.": "required"}}.items():
         assert one(spark, on(lambda c, topic=topic: req.state(c, topic)), *cases) == list(cases.values()), topic
     assert one(spark, urls.company_of, "https://boards.greenhouse.io/acme-labs/jobs/1", "https://wd.wd5.myworkdayjobs.com/x", "https://www.big-corp.com/x", "https://jobs.lever.co/", "no link", None) == ["Acme Labs", "Western Digital", "Big Corp", "Lever", None, None]
+
+
+RUN = "run_id bigint, status string, started_at timestamp_ntz, finished_at timestamp_ntz, heartbeat_at timestamp_ntz, cancelled boolean, requested bigint, settled bigint, completed bigint, discovered bigint, closed bigint, skipped bigint"
+OUTCOME = "run_id bigint, source_id bigint, settled_at timestamp_ntz, status string, completed boolean, coverage boolean, stale boolean, trusted boolean, suspicious boolean, excluded boolean, inventory bigint, duration_ms bigint, rate_limits bigint, http_status int, fallbacks bigint, fallback_successes bigint, error string"
+START = dt.datetime(2026, 1, 1)
+
+
+def crawl_run(n, minutes=1, status="COMPLETED", closed=1, discovered=100, skipped=10, beat=None):
+    begun = START + dt.timedelta(hours=n)
+    end = begun + dt.timedelta(minutes=minutes)
+    return (n, status, begun, None if status == "RUNNING" else end, beat or end, False, 1, 1, 1, discovered, closed, skipped)
+
+
+def source_outcome(n, source=1, ok=True, inventory=10, duration=1000, status="ok", limits=0, http=200, fallbacks=0, helped=0, excluded=False):
+    return (n, source, START + dt.timedelta(hours=n), status, ok, ok, False, ok, False, excluded, inventory, duration, limits, http, fallbacks, helped, None if ok else "boom")
+
+
+def run_codes(spark, runs, now="2026-01-01 12:00:00", outcomes=((1, 1),), age=0):
+    r, o = spark.createDataFrame(runs, RUN).coalesce(1), spark.createDataFrame(outcomes, "a int, b int").coalesce(1)
+    fresh = spark.createDataFrame([(age, 1)], "age_ms bigint, full_run_id bigint").coalesce(1)
+    return {x.code: x.severity for x in operations.run_anomalies(r, o, fresh, F.col("status") == "COMPLETED", now).collect()}
+
+
+def test_run_anomalies(spark):
+    calm = [crawl_run(n) for n in range(6)]
+    assert run_codes(spark, [], outcomes=[]) == {"NO_DATA": "info"}
+    assert run_codes(spark, calm[:2]) == {"WARMUP": "info"}
+    assert run_codes(spark, calm, age=86_400_001) == {"STALE_DATABASE": "warning"}
+    assert run_codes(spark, [*calm, crawl_run(6, status="RUNNING")]) == {"STUCK_RUN": "critical"}
+    assert run_codes(spark, [*calm, crawl_run(9, status="RUNNING", beat=dt.datetime(2026, 1, 1, 11, 50))]) == {}
+    assert run_codes(spark, [*calm, crawl_run(6, minutes=6, closed=5, skipped=40)]) == {"DURATION_REGRESSION": "warning", "CLOSURE_SPIKE": "warning", "DEDUP_DRIFT": "warning"}
+    assert run_codes(spark, [*calm, crawl_run(6, minutes=4, closed=4, skipped=30)]) == {}  # over twice the median, three times the mean, twice the ratio; under the least of each
+
+
+def test_source_anomalies(spark):
+    """One source for each case: six good outcomes and then what the case adds."""
+    cases = [
+        ([source_outcome(6, inventory=0)], {"ZERO_YIELD": "warning"}), ([source_outcome(6, inventory=2)], {"LOW_YIELD": "warning"}), ([source_outcome(6, limits=2)], {"RATE_LIMITED": "warning"}), ([source_outcome(6, http=429)], {"RATE_LIMITED": "warning"}),
+        ([source_outcome(6, fallbacks=2)], {"BROWSER_FALLBACK": "warning"}), ([source_outcome(6, fallbacks=2, helped=1)], {"BROWSER_FALLBACK": "info"}), ([source_outcome(6, duration=300_001)], {"SLOW_SOURCE": "warning"}), ([source_outcome(6, duration=299_999)], {}),
+        ([source_outcome(6, inventory=0, limits=2, fallbacks=1, duration=400_000), source_outcome(7)], {}), ([source_outcome(n, ok=False) for n in (6, 7, 8)], {"REPEATED_FAILURES": "warning"}), ([source_outcome(n, ok=False) for n in (6, 7)], {}), ([], {}),
+    ]
+    rows = [(x[0], k, *x[2:]) for k, (more, _) in enumerate(cases) for x in [*[source_outcome(n) for n in range(6)], *more]]
+    rows += [(1, 50, *source_outcome(1, ok=False)[2:]), (1, 51, *source_outcome(1)[2:])]
+    o = spark.createDataFrame(rows, OUTCOME)
+    configured = spark.createDataFrame([(k,) for k in range(51)], "source_id bigint")
+    got = {}
+    for x in operations.source_anomalies(o, configured, "2026-01-01 12:00:00").collect():
+        got.setdefault(x.source_id, {})[x.code] = x.severity
+    assert got == {k: want for k, (_, want) in enumerate(cases) if want} | {50: {"STALE_SOURCE": "warning"}}  # 51 is not configured
+    late = {x.source_id for x in operations.source_anomalies(o, configured, "2026-01-03 12:00:00").filter("code = 'STALE_SOURCE'").collect()}
+    assert late == {*range(len(cases)), 50}
+
+
+@pytest.mark.parametrize("runs, outcomes, now, sources, state", [
+    ([crawl_run(n) for n in range(4)], [source_outcome(n) for n in range(4)], "2026-01-01 12:00:00", (1,), "fresh"), ([crawl_run(n) for n in range(4)], [source_outcome(n) for n in range(4)], "2026-01-01 12:00:00", (1, 2), "partial"),
+    ([crawl_run(3, status="FAILED")], [source_outcome(3)], "2026-01-01 12:00:00", (1,), "partial"), ([crawl_run(1)], [source_outcome(1, ok=False)], "2026-01-01 12:00:00", (1,), "unknown"), ([crawl_run(1)], [source_outcome(1)], "2026-01-09 12:00:00", (1,), "stale"),
+])
+def test_freshness(spark, runs, outcomes, now, sources, state):
+    row = operations.freshness(spark.createDataFrame(runs, RUN), spark.createDataFrame(outcomes, OUTCOME), spark.createDataFrame([(s,) for s in sources], "source_id bigint"), now).first()
+    assert row.state == state and (row.full_run_id == 3) == (state == "fresh")
+
+
+def test_health_looks_back_where_it_has_to(spark):
+    rows = [source_outcome(0, inventory=7, fallbacks=1, helped=1), *[source_outcome(n, ok=False, status="partial", fallbacks=1, limits=1) for n in range(1, 31)], source_outcome(31, excluded=True)]
+    h = operations.health(spark.createDataFrame(rows, OUTCOME), "2026-01-02 12:00:00").first()
+    assert (h.attempts, h.successes, h.failures, h.consecutive_failures) == (24, 0, 24, 24)
+    assert h.last_success_at == START and h.trusted_inventory == 7 and h.fallback_streak == 30 and h.fallback_count == 24 and h.rate_limit_count == 24 and h.partial_rate == 1.0 and h.success_rate == 0.0
+    assert h.cooldown_ms == 86_400_000 and h.cooling_down and h.is_stale and h.last_error == "boom" and h.fallback_success_rate == 0.0
+    once = operations.health(spark.createDataFrame([source_outcome(5, source=2)], OUTCOME), "2026-01-01 06:00:00").first()
+    assert (once.consecutive_failures, once.cooldown_until, once.cooling_down, once.is_stale, once.listing_yield, once.fallback_success_rate) == (0, None, False, False, 10.0, None)

@@ -14,7 +14,7 @@ from ..operators.stage import components, stored
 from ..plans import matching as match
 from ..plans import operations as ops
 from ..sources import extract
-from ..sources.tables import NOW, account, listing, load, run, sighting
+from ..sources.tables import NOW, account, configured, crawl, listing, load, outcome, run, sighting
 from ..sources.tables import sql_views as V
 from ..streaming import sightings as stream
 from .registry import query
@@ -376,34 +376,66 @@ def e6_owner_snapshot(s, d):
     return account(s, d).agg(F.count("*").alias("users"), agg.count_where(F.col("last_active") >= ts(CUT) - F.expr("INTERVAL 30 DAYS")).alias("active"), agg.count_where(F.col("signed_up") >= ts(CUT) - F.expr("INTERVAL 7 DAYS")).alias("recent"))
 
 
-_HEALTH = V("run") + f""", el AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS rn FROM run WHERE NOT excluded), rec AS (SELECT * FROM el WHERE rn <= 24),
-lt AS (SELECT source_id, max(CASE WHEN trusted THEN run_id END) AS m FROM rec GROUP BY source_id),
-st AS (SELECT rec.source_id, count_if(run_id > coalesce(m, -1)) AS streak FROM rec JOIN lt ON lt.source_id = rec.source_id GROUP BY rec.source_id),
-la AS (SELECT source_id, max(CASE WHEN trusted THEN settled_at END) AS last_success FROM el GROUP BY source_id),
-h AS (SELECT rec.source_id, count(*) AS attempts, CAST(count_if(trusted) AS BIGINT) AS successes, CAST(count_if(failed) AS BIGINT) AS failures, round(avg(duration_ms), 4) AS mean_ms, CAST(sum(inventory) AS BIGINT) AS inventory FROM rec GROUP BY rec.source_id),
-hh AS (SELECT h.*, CAST(streak AS BIGINT) AS streak, last_success, CAST(CASE WHEN streak < 3 THEN 0 ELSE least(86400000, 900000 * pow(2, streak - 3)) END AS BIGINT) AS cooldown_ms, coalesce(last_success < TIMESTAMP '{CUT}' - INTERVAL 24 HOURS, attempts > 0) AS stale FROM h JOIN st ON st.source_id = h.source_id JOIN la ON la.source_id = h.source_id) """
+OPS_NOW = "2024-01-31 12:00:00"
+_OK = "completed AND coverage AND NOT stale AND trusted AND NOT suspicious AND status NOT IN ('partial', 'rate_limited', 'parse_error')"
+_HEALTH = V("outcome") + f""", w AS (SELECT *, {_OK} AS ok, least(fallbacks, fallback_successes) AS useful, greatest(rate_limits, CASE WHEN status = 'rate_limited' OR http_status = 429 THEN 1 ELSE 0 END) AS limits, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS rn FROM outcome WHERE NOT excluded),
+g AS (SELECT source_id, list(w ORDER BY rn) AS r, list(w ORDER BY rn)[1:24] AS h FROM w GROUP BY source_id),
+k AS (SELECT source_id, len(h) AS attempts, len(list_filter(h, lambda x: x.ok)) AS successes, len(list_filter(h, lambda x: NOT x.ok)) AS failures, r[1].settled_at AS last_attempt_at, list_filter(r, lambda x: x.ok)[1].settled_at AS last_success_at, list_filter(r, lambda x: NOT x.ok)[1].settled_at AS last_failure_at,
+ list_filter(r, lambda x: x.fallbacks > 0)[1].settled_at AS last_fallback_at, coalesce(list_filter(r, lambda x: x.useful > 0)[1].rn, 1000000) AS helped, r, list_avg(list_transform(list_filter(h, lambda x: x.ok), lambda x: x.inventory)) AS listing_yield, list_avg(list_transform(h, lambda x: x.duration_ms)) AS latency_ms,
+ len(h) AS latency_samples, list_sum(list_transform(h, lambda x: x.limits)) AS rate_limit_count, list_sum(list_transform(h, lambda x: x.fallbacks)) AS fallback_count, list_sum(list_transform(h, lambda x: x.useful)) AS fallback_successes,
+ len(list_filter(h, lambda x: NOT x.ok AND (x.status = 'partial' OR (x.completed AND NOT x.coverage) OR x.suspicious))) AS partial_count, len(list_filter(h, lambda x: x.stale)) AS stale_count, len(list_filter(h, lambda x: x.suspicious)) AS suspicious_count, r[1].inventory AS last_inventory,
+ list_filter(r, lambda x: x.ok)[1].inventory AS trusted_inventory, r[1].status AS last_status, r[1].http_status AS last_http_status, r[1].error AS last_error, r[1].stale AS last_stale, least(len(h), coalesce(list_filter(r, lambda x: x.ok)[1].rn - 1, len(h))) AS consecutive_failures FROM g),
+c AS (SELECT *, CASE WHEN consecutive_failures < 3 THEN 0 ELSE CAST(least(86400000, 900000 * pow(2, consecutive_failures - 3)) AS BIGINT) END AS cooldown_ms, coalesce(list_sum(list_transform(list_filter(r, lambda x: x.rn < helped), lambda x: x.fallbacks)), 0) AS fallback_streak FROM k),
+hh AS (SELECT source_id, attempts, successes, failures, last_attempt_at, last_success_at, last_failure_at, last_fallback_at, CAST(fallback_streak AS BIGINT) AS fallback_streak, listing_yield, latency_ms, latency_samples, CAST(rate_limit_count AS BIGINT) AS rate_limit_count, CAST(fallback_count AS BIGINT) AS fallback_count,
+ CAST(fallback_successes AS BIGINT) AS fallback_successes, partial_count, stale_count, suspicious_count, last_inventory, trusted_inventory, last_status, last_http_status, last_error, consecutive_failures, cooldown_ms, CASE WHEN cooldown_ms > 0 THEN last_failure_at + to_milliseconds(cooldown_ms) END AS cooldown_until,
+ coalesce(TIMESTAMP '{OPS_NOW}' < CASE WHEN cooldown_ms > 0 THEN last_failure_at + to_milliseconds(cooldown_ms) END, false) AS cooling_down, last_stale OR CASE WHEN last_success_at IS NULL THEN attempts > 0 ELSE epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(last_success_at) // 1000 > 86400000 END AS is_stale,
+ successes / attempts AS success_rate, fallback_count / attempts AS fallback_rate, fallback_successes / nullif(fallback_count, 0) AS fallback_success_rate, partial_count / attempts AS partial_rate, stale_count / attempts AS stale_rate FROM c) """
 
 
 @query(_HEALTH + "SELECT * FROM hh")
 def a18_source_health(s, d):
-    return ops.health(run(s, d), CUT)
+    return ops.health(outcome(s, d), OPS_NOW)
 
 
-_ANOM = _HEALTH + """, y AS (SELECT source_id, max(CASE WHEN rn = 1 THEN inventory END) AS y, count(CASE WHEN rn > 1 THEN 1 END) AS ys, avg(CASE WHEN rn > 1 THEN inventory END) AS ym FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS rn FROM run WHERE trusted) GROUP BY source_id),
-t AS (SELECT source_id, max(CASE WHEN rn = 1 THEN duration_ms END) AS d, count(CASE WHEN rn > 1 THEN 1 END) AS ds, median(CASE WHEN rn > 1 THEN duration_ms END) AS dm FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS rn FROM run) GROUP BY source_id),
-a AS (SELECT hh.source_id, unnest(list_filter([CASE WHEN hh.source_id % 2 = 0 AND stale THEN 'STALE_SOURCE' END, CASE WHEN hh.source_id % 2 = 0 AND streak >= 3 THEN 'REPEATED_FAILURES' END, CASE WHEN ys >= 3 AND ym >= 1 AND y = 0 THEN 'ZERO_YIELD' END,
- CASE WHEN ys >= 3 AND ym >= 1 AND y > 0 AND y < ym * 0.25 THEN 'LOW_YIELD' END, CASE WHEN ds >= 3 AND d > greatest(dm * 2, 300000) THEN 'SLOW_SOURCE' END], lambda x: x IS NOT NULL)) AS code FROM hh LEFT JOIN y ON y.source_id = hh.source_id LEFT JOIN t ON t.source_id = hh.source_id) """
+_GOOD = "completed AND coverage AND NOT stale AND NOT excluded AND trusted"
+_FRESH = V("outcome", "crawl") + f""", conf AS (SELECT DISTINCT source_id FROM outcome WHERE source_id % 2 = 0), kn AS (SELECT run_id, source_id, settled_at FROM outcome WHERE {_GOOD} AND source_id % 2 = 0), cov AS (SELECT run_id FROM kn GROUP BY run_id HAVING count(*) >= (SELECT count(*) FROM conf)),
+full_ AS (SELECT max(run_id) AS full_run_id, arg_max(coalesce(finished_at, started_at), run_id) AS full_at FROM crawl WHERE status = 'COMPLETED' AND NOT cancelled AND run_id IN (SELECT run_id FROM cov)),
+fr AS (SELECT coalesce(full_at, (SELECT max(settled_at) FROM kn)) AS last_crawl_at, full_run_id, (SELECT count(DISTINCT source_id) FROM kn) AS trusted_sources, (SELECT count(*) FROM conf) AS expected_sources FROM full_),
+fresh AS (SELECT CASE WHEN epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(last_crawl_at) // 1000 > 86400000 THEN 'stale' WHEN full_run_id IS NOT NULL AND trusted_sources >= expected_sources THEN 'fresh' WHEN trusted_sources > 0 THEN 'partial' ELSE 'unknown' END AS state, last_crawl_at, epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(last_crawl_at) // 1000 AS age_ms, expected_sources, trusted_sources, full_run_id FROM fr) """
 
 
-@query(_ANOM + "SELECT source_id, code, 'warning' AS severity FROM a")
-def e7_anomalies(s, d):
-    return ops.anomalies(run(s, d), CUT)
+def _fresh(s, d):
+    o = outcome(s, d)
+    return ops.freshness(crawl(s, d), o, configured(o).select("source_id").distinct(), OPS_NOW)
 
 
-@query(_HEALTH + f"SELECT source_id, CASE WHEN last_success < TIMESTAMP '{CUT}' - INTERVAL 24 HOURS THEN 'stale' WHEN streak = 0 THEN 'fresh' WHEN successes > 0 THEN 'partial' ELSE 'unknown' END AS state FROM hh")
+@query(_FRESH + "SELECT * FROM fresh")
 def e8_freshness(s, d):
-    h = ops.health(run(s, d), CUT)
-    return h.select("source_id", ops.freshness(F.col("last_success"), ts(CUT), F.col("streak") == 0, F.col("successes")).alias("state"))
+    return _fresh(s, d)
+
+
+_ANOM = _FRESH + f""", o AS (SELECT *, {_GOOD} AS good, greatest(rate_limits, CASE WHEN status = 'rate_limited' OR http_status = 429 THEN 1 ELSE 0 END) AS limits, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS rn FROM outcome WHERE source_id % 2 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS gn FROM o WHERE good),
+n AS (SELECT o.*, (SELECT min(rn) FROM o p WHERE p.source_id = o.source_id AND p.good) AS fg, (SELECT count(*) FROM o p WHERE p.source_id = o.source_id) AS cnt FROM o WHERE rn = 1),
+b AS (SELECT source_id, max(CASE WHEN gn = 1 THEN settled_at END) AS last, max(CASE WHEN gn = 1 THEN inventory END) AS y, avg(CASE WHEN gn > 1 THEN inventory END) AS ym, count(CASE WHEN gn > 1 THEN 1 END) AS ys, median(CASE WHEN gn > 1 THEN duration_ms END) AS dm FROM t GROUP BY source_id),
+q AS (SELECT n.source_id, n.run_id, epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(last) // 1000 AS age, coalesce(fg - 1, cnt) AS streak, y, ym, coalesce(ys, 0) AS ys, n.duration_ms AS d, dm, limits, fallbacks AS fb, least(fallbacks, fallback_successes) AS fs FROM n LEFT JOIN b ON b.source_id = n.source_id),
+cmp AS (SELECT *, CASE WHEN finished_at >= started_at THEN (epoch_us(finished_at) // 1000) - (epoch_us(started_at) // 1000) END AS dur, CASE WHEN discovered > 0 THEN skipped / discovered ELSE 0 END AS ratio, row_number() OVER (ORDER BY run_id DESC) AS rn FROM crawl WHERE status = 'COMPLETED' AND NOT cancelled),
+z AS (SELECT max(CASE WHEN rn = 1 THEN run_id END) AS id, max(CASE WHEN rn = 1 THEN dur END) AS d, median(CASE WHEN rn > 1 THEN dur END) AS dm, count(CASE WHEN rn > 1 THEN dur END) AS ds, max(CASE WHEN rn = 1 THEN closed END) AS cl, avg(CASE WHEN rn > 1 THEN closed END) AS cm, count(CASE WHEN rn > 1 THEN 1 END) AS k,
+ max(CASE WHEN rn = 1 THEN ratio END) AS ra, avg(CASE WHEN rn > 1 THEN ratio END) AS rm, max(CASE WHEN rn = 1 THEN skipped END) AS sk, avg(CASE WHEN rn > 1 THEN discovered END) AS gm, count(*) AS n FROM cmp), run_ AS (SELECT arg_max(run_id, run_id) AS id, arg_max(heartbeat_at, run_id) AS beat, arg_max(started_at, run_id) AS begun FROM crawl WHERE status = 'RUNNING'),
+a AS (SELECT 'source' AS scope, run_id, source_id, 'STALE_SOURCE' AS code, 'warning' AS severity, age AS observed, 86400000 AS baseline, 86400000 AS threshold FROM q WHERE coalesce(age > 86400000, true)
+ UNION ALL SELECT 'source', run_id, source_id, 'REPEATED_FAILURES', 'warning', streak, NULL, 3 FROM q WHERE streak >= 3 UNION ALL SELECT 'source', run_id, source_id, 'ZERO_YIELD', 'warning', 0, ym, 0 FROM q WHERE ys >= 3 AND ym >= 1 AND y = 0
+ UNION ALL SELECT 'source', run_id, source_id, 'LOW_YIELD', 'warning', y, ym, ym * 0.25 FROM q WHERE ys >= 3 AND ym >= 1 AND y > 0 AND y < ym * 0.25 UNION ALL SELECT 'source', run_id, source_id, 'RATE_LIMITED', 'warning', limits, NULL, 1 FROM q WHERE limits > 0
+ UNION ALL SELECT 'source', run_id, source_id, 'BROWSER_FALLBACK', CASE WHEN fs > 0 THEN 'info' ELSE 'warning' END, fb, fs, NULL FROM q WHERE fb > 0 UNION ALL SELECT 'source', run_id, source_id, 'SLOW_SOURCE', 'warning', d, dm, greatest(dm * 2, 300000) FROM q WHERE ys >= 3 AND d > greatest(dm * 2, 300000)
+ UNION ALL SELECT 'database', (SELECT max(run_id) FROM crawl), NULL, 'WARMUP', 'info', n, 3, 3 FROM z WHERE n < 3 UNION ALL SELECT 'database', full_run_id, NULL, 'STALE_DATABASE', 'warning', age_ms, 86400000, 86400000 FROM fresh WHERE age_ms > 86400000
+ UNION ALL SELECT 'run', id, NULL, 'STUCK_RUN', 'critical', greatest(epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(beat) // 1000, epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(begun) // 1000), NULL, 21600000 FROM run_ WHERE epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(beat) // 1000 > 1200000 OR epoch_ms(TIMESTAMP '{OPS_NOW}') - epoch_us(begun) // 1000 > 21600000
+ UNION ALL SELECT 'run', id, NULL, 'DURATION_REGRESSION', 'warning', d, dm, greatest(dm * 2, 300000) FROM z WHERE ds >= 3 AND d > greatest(dm * 2, 300000) UNION ALL SELECT 'run', id, NULL, 'CLOSURE_SPIKE', 'warning', cl, cm, greatest(5, cm * 3) FROM z WHERE k >= 3 AND cl >= greatest(5, cm * 3) AND cl > cm
+ UNION ALL SELECT 'run', id, NULL, 'DEDUP_DRIFT', 'warning', ra, rm, greatest(rm + 0.2, rm * 2) FROM z WHERE k >= 3 AND ra > greatest(rm + 0.2, rm * 2) AND sk > gm * 0.1) """
+
+
+@query(_ANOM + "SELECT scope, run_id, source_id, code, severity, CAST(observed AS DOUBLE) AS observed, CAST(baseline AS DOUBLE) AS baseline, CAST(threshold AS DOUBLE) AS threshold FROM a")
+def e7_anomalies(s, d):
+    o = outcome(s, d)
+    found = ops.source_anomalies(o, configured(o).select("source_id").distinct(), OPS_NOW)
+    return found.unionByName(ops.run_anomalies(crawl(s, d), o, _fresh(s, d), (F.col("status") == "COMPLETED") & ~F.col("cancelled"), OPS_NOW))
 
 
 @query(V("run") + "SELECT day FROM (SELECT CAST(settled_at AS DATE) AS day, bool_and(NOT failed OR inventory > 0) AS ok, count(DISTINCT source_id) AS n FROM run GROUP BY 1) WHERE ok AND n >= 5")
@@ -417,9 +449,11 @@ def e10_duration_trend(s, d):
     return win.latest_and_rest(run(s, d), "source_id", "run_id", "duration_ms").select("source_id", ops.trend(F.col("latest"), F.col("median")).alias("trend"))
 
 
-@query(_HEALTH + "SELECT source_id, cooldown_ms > 0 AND streak >= 3 AS is_open, successes = 0 AS suppressed FROM hh")
+@query(_HEALTH + "SELECT source_id, cooling_down AS is_open, fallback_streak >= 4 AND coalesce(fallback_success_rate, 0) = 0 AS suppressed FROM hh")
 def e11_circuit(s, d):
-    return ops.health(run(s, d), CUT).select("source_id", ((F.col("cooldown_ms") > 0) & (F.col("streak") >= 3)).alias("is_open"), (F.col("successes") == 0).alias("suppressed"))
+    """A source is left alone while it cools down, and without a browser where that has not helped for long."""
+    h = ops.health(outcome(s, d), OPS_NOW)
+    return h.select("source_id", F.col("cooling_down").alias("is_open"), ((F.col("fallback_streak") >= 4) & (F.coalesce("fallback_success_rate", F.lit(0.0)) == 0)).alias("suppressed"))
 
 
 @query(V("run") + "SELECT run_id, CASE WHEN trusted THEN inventory END AS inventory, CASE WHEN failed THEN 'failed' WHEN trusted AND inventory = 0 THEN 'empty' WHEN trusted THEN 'trusted' ELSE 'partial' END AS status FROM run")

@@ -64,12 +64,20 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 _SIGHTING = "SELECT l_orderkey AS id, l_suppkey AS source_id, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) AS sightings FROM lineitem GROUP BY l_orderkey, l_suppkey"
 _RUN = """SELECT user_id AS source_id, event_id AS run_id, ts AS settled_at, event_type AS outcome, event_type = 'error' AS failed, event_type = 'purchase' AS trusted,
   event_type = 'view' AS excluded, CAST(floor(value) AS BIGINT) AS inventory, CAST(floor(value * 1000) AS BIGINT) AS duration_ms FROM events"""
+#: A source's outcome in a day's run, and the run: both count that day's events.
+_OUTCOME = """SELECT *, err < 4 AS completed, err < 3 AS coverage, (run_id + source_id) % 17 = 0 AS stale, views < 6 AS trusted, clicks > 5 AS suspicious, (run_id + 2 * source_id) % 23 = 0 AS excluded,
+  CASE WHEN err >= 4 THEN 'parse_error' WHEN clicks > 4 THEN 'rate_limited' WHEN err = 3 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN signups = 0 THEN 429 ELSE 200 END AS http_status, CASE WHEN clicks > 3 THEN clicks - 3 ELSE 0 END AS rate_limits,
+  CASE WHEN views > 3 THEN 2 ELSE 0 END AS fallbacks, CASE WHEN signups > 2 THEN 1 ELSE 0 END AS fallback_successes, CASE WHEN err > 0 THEN concat('e', CAST(err AS STRING)) END AS error
+FROM (SELECT day(ts) AS run_id, user_id % 25 AS source_id, max(ts) AS settled_at, CAST(floor(sum(value) * 1000) AS BIGINT) AS duration_ms, count_if(event_type = 'error') AS err, count_if(event_type = 'click') AS clicks, count_if(event_type = 'view') AS views,
+  count_if(event_type = 'signup') AS signups, count_if(event_type = 'purchase') AS inventory FROM events GROUP BY day(ts), user_id % 25)"""
+_CRAWL = """SELECT *, CASE WHEN run_id = 30 THEN 'RUNNING' WHEN run_id % 6 = 5 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN run_id < 30 THEN heartbeat_at END AS finished_at, run_id % 11 = 7 AS cancelled, settled AS requested, settled AS completed
+FROM (SELECT day(ts) AS run_id, min(ts) AS started_at, max(ts) AS heartbeat_at, count(DISTINCT user_id % 25) AS settled, count(*) AS discovered, count_if(event_type = 'purchase') AS closed, count_if(event_type = 'click') AS skipped FROM events GROUP BY day(ts))"""
 _ACCOUNT = "SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) AS signed_up, max(ts) AS last_active, count(*) AS actions FROM events GROUP BY user_id"
 
 
 def sql_views(*names: str) -> str:
     """``WITH`` clause with the named views, for the comparing engine."""
-    views = {"listing": _listing_sql("to_hours({})", "to_days(CAST({} AS INT))"), "sighting": _SIGHTING, "run": _RUN, "account": _ACCOUNT}
+    views = {"listing": _listing_sql("to_hours({})", "to_days(CAST({} AS INT))"), "sighting": _SIGHTING, "run": _RUN, "account": _ACCOUNT, "outcome": _OUTCOME, "crawl": _CRAWL}
     return "WITH " + ", ".join(f"{n} AS ({views[n]})" for n in names) + " "
 
 
@@ -112,6 +120,16 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, folder, _RUN, "events")
 
 
+def outcome(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of sources in runs, as ``plans.operations`` reads them."""
+    return _view(spark, folder, _OUTCOME, "events")
+
+
+def crawl(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs over all sources, as ``plans.operations`` reads them."""
+    return _view(spark, folder, _CRAWL, "events")
+
+
 def account(spark: SparkSession, folder: str) -> DataFrame:
     """Accounts: first signup, last activity, number of actions."""
     return _view(spark, folder, _ACCOUNT, "events")
