@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from vacantia.queries import basics, more, plans, registry, texts  # noqa: F401
+from vacantia.queries import basics, boards, more, plans, registry, texts  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -55,6 +55,18 @@ def keys() -> Column:
     return F.concat(F.transform("urls", lambda u: F.concat(F.lit("url:"), u)), F.coalesce(jobs, none), F.coalesce(role, none))
 
 
+def action_keys() -> Column:
+    """Every identity under which an action on a described listing is remembered."""
+    none = F.array().cast("array<string>")
+    role = lambda kind, place: F.concat(F.lit(f"{kind}:"), F.concat_ws("|", "company_key", "title_key", place))
+    own = F.when(F.col("job_id").isNotNull(), F.array(F.concat(F.lit("job:"), F.concat_ws("|", "company_key", F.lower("job_id")))))
+    embedded = F.transform("url_ids", lambda i: F.concat(F.lit("embedded:"), F.concat_ws("|", "company_key", i)))
+    jobs = F.transform("ids", lambda i: F.concat(F.lit("provider-job:"), F.concat_ws("|", "provider_key", "company_key", i)))
+    urls_ = F.transform("urls", lambda u: F.concat(F.lit("url:"), u))
+    where = F.concat(F.array(role("role", F.array_join(F.array_sort("places"), ";"))), F.transform("places", lambda p: role("role-location", p)), F.transform("places", lambda p: role("role-city", p)))
+    return F.array_distinct(F.concat(where, urls_, jobs, F.coalesce(own, none), embedded))
+
+
 def buckets() -> Column:
     """Every alias by which two described listings can match."""
     company, title, none = F.col("company_key"), F.col("title_key"), F.array().cast("array<string>")

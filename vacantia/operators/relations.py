@@ -21,13 +21,14 @@ def any_key(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def all_in(links: DataFrame, key: str, member: str, known: DataFrame) -> DataFrame:
     """Keys whose members are all in ``known`` (one column ``member``, distinct)."""
-    marked = links.join(known.withColumn("__in", F.lit(True)), member, "left")
-    return marked.groupBy(key).agg(F.bool_and(F.col("__in").isNotNull()).alias("__all")).filter("__all").select(key)
+    marked = links.select(F.col(key).alias("k"), F.col(member).alias("m")).join(known.select(F.col(member).alias("m"), F.lit(True).alias("in")), "m", "left")
+    return marked.groupBy("k").agg(F.bool_and(F.col("in").isNotNull()).alias("all")).filter("all").select(F.col("k").alias(key))
 
 
 def exactly_one(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) of the keys with one distinct value."""
-    return df.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("__most")).filter(F.col(value) == F.col("__most")).drop("__most")
+    ends = df.groupBy(F.col(key).alias("k")).agg(F.min(value).alias("least"), F.max(value).alias("most")).filter("least = most")
+    return ends.select(F.col("k").alias(key), F.col("least").alias(value))
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -101,3 +102,15 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
     return rows.join(sizes, "range").select(*[F.col(f"row.{c}") for c in own], (F.col("before") + F.col("i") + 1).cast("int").alias(name))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, values: list[str], revision: str) -> DataFrame:
+    """(key, change, revision): rows that were inserted, updated or deleted between two states, with the revision that follows ``old``'s."""
+    o, n = old.alias("o"), new.alias("n")
+    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    gone, came = F.col(f"n.{key}").isNull(), F.col(f"o.{key}").isNull()
+    differs = F.lit(False)
+    for v in values:
+        differs = differs | ~F.col(f"o.{v}").eqNullSafe(F.col(f"n.{v}"))
+    change = F.when(came, "insert").when(gone, "delete").when(differs, "update")
+    return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), change.alias("change"), (F.coalesce(f"o.{revision}", F.lit(0)) + 1).cast("bigint").alias("revision")).filter("change is not null")

@@ -14,13 +14,15 @@ def newest(df: DataFrame, key: str, order: str, n: int, rank: str = "rn") -> Dat
 
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in that order."""
-    return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
+    ranked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias("rn"))
+    return ranked.filter("rn = 1").select("row.*")
 
 
 def streaks(df: DataFrame, key: str, order: str, stops: Column, counted: Column, name: str) -> DataFrame:
     """(key, name): the sum of ``counted`` over the newest rows of each key before the first that ``stops``."""
     stopped = F.max(stops.cast("int")).over(W.partitionBy(key).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("__stopped", stopped).groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("__stopped") == 0, counted)), F.lit(0)).alias(name))
+    marked = df.select(F.col(key).alias("k"), stopped.alias("stopped"), counted.alias("counted"))
+    return marked.groupBy("k").agg(F.coalesce(F.sum(F.when(F.col("stopped") == 0, F.col("counted"))), F.lit(0)).alias(name)).withColumnRenamed("k", key)
 
 
 def latest_where(condition: Column, order: str, value: str) -> Column:

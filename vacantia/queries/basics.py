@@ -144,24 +144,11 @@ def f23_optional_closed(s, d, include_closed: bool = False):
     return (df if include_closed else df.filter("availability <> 'closed'")).select("id", "availability")
 
 
-@query(V("listing") + "SELECT id, url FROM listing WHERE availability = 'open' AND relevance >= 60 AND url LIKE 'https://%' AND url NOT LIKE '%jobright.ai%'")
-def f24_report_filter(s, d):
-    c = F.col("url")
-    return listing(s, d).filter((F.col("availability") == "open") & (F.col("relevance") >= 60) & c.like("https://%") & ~c.like("%jobright.ai%")).select("id", "url")
-
-
 @query(V("listing") + "SELECT CASE WHEN url LIKE '%linkedin.com%' THEN 'linkedin' ELSE 'other' END AS kind, count(*) AS n FROM listing GROUP BY 1")
 def f25_host_like(s, d):
     return listing(s, d).groupBy(F.when(F.col("url").like("%linkedin.com%"), "linkedin").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(V("run") + f"""SELECT run_id, CASE WHEN outcome = 'error' AND inventory % 2 = 0 THEN 'TERMINATED' WHEN outcome = 'error' THEN 'FAILED' WHEN outcome = 'click' AND settled_at < {CUT} - INTERVAL 20 MINUTES THEN 'STALE' WHEN outcome = 'click' THEN 'RUNNING' ELSE 'COMPLETED' END AS shown FROM run""")
-def f28_run_status(s, d):
-    o = F.col("outcome")
-    late = F.col("settled_at") < cut() - F.expr("INTERVAL 20 MINUTES")
-    return run(s, d).select("run_id", F.when((o == "error") & (F.col("inventory") % 2 == 0), "TERMINATED").when(o == "error", "FAILED").when((o == "click") & late, "STALE").when(o == "click", "RUNNING").otherwise("COMPLETED").alias("shown"))
-
-
 # ---- joins
 
 
@@ -220,12 +207,6 @@ def j8_anti_handled(s, d):
     return listing(s, d).select("id").join(hidden, "id", "left_anti")
 
 
-@query(V("listing") + "SELECT DISTINCT a.id, e.event_id FROM listing a JOIN events e ON e.user_id = a.company_id WHERE e.event_type = 'click' AND e.event_id % 7 = a.id % 7")
-def j9_identity_with_guard(s, d):
-    stored = load(s, d, "events").filter("event_type = 'click'").select(F.col("user_id").alias("company_id"), "event_id")
-    return listing(s, d).select("id", "company_id").join(stored, "company_id").filter(F.col("event_id") % 7 == F.col("id") % 7).select("id", "event_id").distinct()
-
-
 @query(V("listing") + "SELECT id, min(other) AS found FROM (SELECT a.id, b.id AS other FROM listing a JOIN listing b ON a.company = b.company AND a.category = b.category AND b.id < a.id AND a.relevance = b.relevance) GROUP BY id")
 def j10_first_match(s, d):
     df = listing(s, d).select("id", "company", "category", "relevance")
@@ -542,42 +523,47 @@ def o1_posted_sort_topk(s, d):
     return posted(listing(s, d).filter("availability = 'open'")).select("id", "posted_at", "relevance").limit(40)
 
 
-@query(V("listing") + "SELECT id, relevance, company, title FROM listing ORDER BY relevance DESC, company, title, id LIMIT 50")
+def _place(order: str, *columns: str) -> str:
+    return V("listing") + f"SELECT {', '.join(columns)}, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place FROM listing"
+
+
+@query(_place("relevance DESC, company, title, id", "id", "relevance"))
 def o2_relevance_sort(s, d):
-    return listing(s, d).select("id", "relevance", "company", "title").orderBy(F.desc("relevance"), "company", "title", "id").limit(50)
+    return rel.numbered(listing(s, d).select("id", "relevance", "company", "title"), [F.desc("relevance"), F.col("company"), F.col("title"), F.col("id")], "place").select("id", "relevance", "place")
 
 
-@query(V("listing") + "SELECT id, lifecycle, posted_at, relevance FROM listing ORDER BY lifecycle = 'NEW' DESC, CASE WHEN lifecycle = 'NEW' THEN posted_at END DESC NULLS LAST, relevance DESC, company, title, id LIMIT 50")
+@query(_place("lifecycle = 'NEW' DESC, CASE WHEN lifecycle = 'NEW' THEN posted_at END DESC NULLS LAST, relevance DESC, company, title, id", "id", "lifecycle"))
 def o3_default_sort(s, d):
     new = F.col("lifecycle") == "NEW"
-    df = listing(s, d).orderBy(new.desc(), F.when(new, F.col("posted_at")).desc_nulls_last(), F.desc("relevance"), "company", "title", "id")
-    return df.select("id", "lifecycle", "posted_at", "relevance").limit(50)
+    order = [new.desc(), F.when(new, F.col("posted_at")).desc_nulls_last(), F.desc("relevance"), F.col("company"), F.col("title"), F.col("id")]
+    return rel.numbered(listing(s, d).select("id", "lifecycle", "posted_at", "relevance", "company", "title"), order, "place").select("id", "lifecycle", "place")
 
 
-@query(V("listing") + "SELECT id, company, last_seen FROM listing ORDER BY last_seen DESC NULLS LAST, relevance DESC, company, title, id LIMIT 50")
+@query(_place("last_seen DESC NULLS LAST, relevance DESC, company, title, id", "id", "last_seen"))
 def o4_last_seen_sort(s, d):
-    return listing(s, d).orderBy(F.col("last_seen").desc_nulls_last(), F.desc("relevance"), "company", "title", "id").select("id", "company", "last_seen").limit(50)
+    order = [F.col("last_seen").desc_nulls_last(), F.desc("relevance"), F.col("company"), F.col("title"), F.col("id")]
+    return rel.numbered(listing(s, d).select("id", "last_seen", "relevance", "company", "title"), order, "place").select("id", "last_seen", "place")
 
 
-@query(V("listing") + "SELECT id, term, year FROM listing ORDER BY term IS NULL, CASE term WHEN 'Winter' THEN 1 WHEN 'Spring' THEN 2 WHEN 'Summer' THEN 3 WHEN 'Fall' THEN 4 END, CASE WHEN term IS NULL THEN NULL ELSE year END NULLS LAST, relevance DESC, company, title, id LIMIT 60")
+@query(_place("term IS NULL, CASE term WHEN 'Winter' THEN 1 WHEN 'Spring' THEN 2 WHEN 'Summer' THEN 3 WHEN 'Fall' THEN 4 END, CASE WHEN term IS NULL THEN NULL ELSE year END NULLS LAST, relevance DESC, company, title, id", "id", "term", "year"))
 def o5_season_sort(s, d):
-    rank = dates.season_rank(dates.seasons(F.coalesce("term", F.lit(""))))
-    df = listing(s, d).orderBy(rank.isNull(), rank, F.when(rank.isNotNull(), F.col("year")).asc_nulls_last(), F.desc("relevance"), "company", "title", "id")
-    return df.select("id", "term", "year").limit(60)
+    df = listing(s, d).select("id", "term", "year", "relevance", "company", "title", dates.season_rank(dates.seasons(F.coalesce("term", F.lit("")))).alias("rank"))
+    order = [F.col("rank").isNull(), F.col("rank"), F.when(F.col("rank").isNotNull(), F.col("year")).asc_nulls_last(), F.desc("relevance"), F.col("company"), F.col("title"), F.col("id")]
+    return rel.numbered(df, order, "place").select("id", "term", "year", "place")
 
 
-@query(V("listing") + "SELECT id, availability, relevance FROM listing ORDER BY availability = 'open' DESC, relevance DESC, lower(company), lower(title), id LIMIT 50")
+@query(_place("availability = 'open' DESC, relevance DESC, lower(company), lower(title), id", "id", "availability"))
 def o6_stored_order(s, d):
     from ..functions.text import ascii_fold
 
-    df = listing(s, d).orderBy((F.col("availability") == "open").desc(), F.desc("relevance"), ascii_fold(F.col("company")), ascii_fold(F.col("title")), "id")
-    return df.select("id", "availability", "relevance").limit(50)
+    order = [(F.col("availability") == "open").desc(), F.desc("relevance"), ascii_fold(F.col("company")), ascii_fold(F.col("title")), F.col("id")]
+    return rel.numbered(listing(s, d).select("id", "availability", "relevance", "company", "title"), order, "place").select("id", "availability", "place")
 
 
-@query(V("listing") + "SELECT id, lifecycle, company FROM listing ORDER BY CASE lifecycle WHEN 'NEW' THEN 0 WHEN 'UPDATED' THEN 1 WHEN 'UNCHANGED' THEN 2 ELSE 3 END, lower(company), id LIMIT 50")
+@query(_place("CASE lifecycle WHEN 'NEW' THEN 0 WHEN 'UPDATED' THEN 1 WHEN 'UNCHANGED' THEN 2 ELSE 3 END, lower(company), id", "id", "lifecycle"))
 def o7_lifecycle_rank_sort(s, d):
     rank = F.array_position(F.array(*map(F.lit, ("NEW", "UPDATED", "UNCHANGED", "REMOVED"))), F.col("lifecycle"))
-    return listing(s, d).orderBy(rank, F.lower("company"), "id").select("id", "lifecycle", "company").limit(50)
+    return rel.numbered(listing(s, d).select("id", "lifecycle", "company"), [rank, F.lower("company"), F.col("id")], "place").select("id", "lifecycle", "place")
 
 
 @query(V("listing") + "SELECT company_id, id FROM (SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY CASE WHEN availability = 'open' THEN 0 WHEN availability = 'unknown' THEN 1 ELSE 2 END, relevance DESC, id) AS rn FROM listing) WHERE rn = 1")

@@ -81,9 +81,7 @@ def s21_json_and_csv(s, d):
 @query(V("listing") + """SELECT id, '## ' || CAST(row_number() OVER (ORDER BY relevance DESC, id) AS VARCHAR) || '. ' || company || ' — ' || title || chr(10) || chr(10) || 'Location: ' || location || chr(10) || 'Term: ' || coalesce(term, 'Unknown') || chr(10) || chr(10) || 'Technologies:' || chr(10) || '- Not stated' AS entry
 FROM listing WHERE availability = 'open' AND relevance > 95""")
 def s22_report(s, d):
-    from pyspark.sql import Window as W
-
-    df = listing(s, d).filter("availability = 'open' and relevance > 95").withColumn("n", F.row_number().over(W.orderBy(F.desc("relevance"), "id")))
+    df = rel.numbered(listing(s, d).filter("availability = 'open' and relevance > 95").select("id", "company", "title", "location", "term", "relevance"), [F.desc("relevance"), F.col("id")], "n")
     entry = sinks.report_entry(F.col("n"), F.col("company"), F.col("title"), {"Location": F.col("location"), "Term": F.col("term")}, {"Technologies": F.array().cast("array<string>")})
     return df.select("id", entry.alias("entry"))
 

@@ -69,58 +69,12 @@ def s10_page_state(s, d):
     return extract.postings(_pages(s, d), (extract.page_state,)).select("page_id", "title", "company", "location")
 
 
-@query(V("listing") + "SELECT id, CASE id % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 4 THEN 'workday' END AS provider, title FROM listing WHERE id % 6 IN (0, 1, 4)")
-def s11_ats_pages(s, d):
-    return listing(s, d).select("id", urls.provider(F.col("url")).alias("provider"), "title").filter(F.col("provider").isin(*set(urls.PROVIDERS.values())))
-
-
-@query(V("listing") + "SELECT id, title, company, location FROM listing WHERE id % 11 <> 0")
-def s12_ats_feed(s, d):
-    jobs = F.to_json(F.struct(F.collect_list(F.struct("id", "title", "company", "location", "url")).alias("jobs")))
-    feeds = listing(s, d).groupBy("company_id", (F.col("id") % 11 == 0).alias("broken")).agg(jobs.alias("body"))
-    body = F.when(F.col("broken"), F.lit("{not json")).otherwise(F.col("body"))
-    return feeds.select(F.explode(extract.feed(body)).alias("j")).select("j.id", "j.title", "j.company", "j.location")
-
-
-@query("SELECT o_custkey AS id, 'https://x.example/' || CAST(o_orderkey AS VARCHAR) AS link FROM orders")
-def s13_sitemap(s, d):
-    loc = F.concat(F.lit("<url><loc> https://x.example/"), "o_orderkey", F.lit(" </loc></url>"))
-    maps = load(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(F.collect_list(loc), "\n").alias("xml"))
-    return maps.select("id", F.explode(extract.sitemap_links(F.col("xml"))).alias("link"))
-
-
 @query(V("listing") + "SELECT id FROM listing WHERE region IN ('AMERICA', 'ASIA') AND year IN ('2027')")
 def s14_source_filter(s, d):
     df = listing(s, d).select("id", F.array("region").alias("places"), F.array_compact(F.array("year")).alias("years"))
     return extract.filtered_feed(df, ["AMERICA", "ASIA"], ["2027"]).select("id")
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines FROM documents")
-def s16_repository_text(s, d):
-    return load(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
-
-
-@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref=[\"'']?([^\"''\\s>]+)', 1))) AS n FROM pages")
-def s17_page_links(s, d):
-    return load(s, d, "pages").select("page_id", F.size(extract.page_links(F.col("html"))).cast("bigint").alias("n"))
-
-
-@query(V("listing") + "SELECT id, company, 'stored' AS origin FROM listing UNION ALL SELECT p_partkey, p_name, 'board' FROM part")
-def s18_second_source(s, d):
-    board = load(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("company"), F.lit("board").alias("origin"))
-    return listing(s, d).select("id", "company", F.lit("stored").alias("origin")).unionByName(board)
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def s19_json_snapshot(s, d):
-    return load(s, d, "events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k"))
-
-
-@query(V("run") + f"SELECT run_id, settled_at < TIMESTAMP '{CUT}' - INTERVAL 6 HOURS AS stale, NOT failed AS from_cache FROM run")
-def s20_cache_state(s, d):
-    return run(s, d).select("run_id", (F.col("settled_at") < ts(CUT) - F.expr("INTERVAL 6 HOURS")).alias("stale"), (~F.col("failed")).alias("from_cache"))
-
-
 # ---- identity and lifecycle
 
 
@@ -255,13 +209,6 @@ def d13_close_by_url(s, d):
     return listing(s, d).filter((urls.provider(F.col("url")) == "lever") & (F.col("availability") == "open")).select("id").join(protected, "id", "left_anti")
 
 
-@query(V("listing") + "SELECT kind, count(*) AS n FROM (SELECT unnest(['role', 'role-location', 'role-city', 'url', 'provider']) AS kind FROM listing) GROUP BY kind")
-def d14_action_identities(s, d):
-    kinds = {"role": ["company", "title"], "role-location": ["company", "title", "location"], "role-city": ["company", "title", "nation"], "url": ["url"], "provider": ["company", "url"]}
-    tagged = F.array(*[F.concat(F.lit(f"{n}:"), F.concat_ws("|", *c)) for n, c in kinds.items()])
-    return listing(s, d).select("id", F.explode(tagged).alias("key")).groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT user_id, max(ts) AS visited FROM events GROUP BY user_id")
 def d15_monotone_visit(s, d):
     e = load(s, d, "events").select("user_id", "ts", "event_id")
@@ -280,32 +227,12 @@ def d17_sparse_refresh(s, d):
     return listing(s, d).join(prior, "id", "left").select("id", F.coalesce("p_name", "description").alias("description"), F.coalesce("p_type", "url").alias("url"), F.lit("unknown").alias("availability"))
 
 
-@query(V("listing") + "SELECT listing.id, best AS description FROM listing JOIN (SELECT company_id, arg_max(description, length(description) * 1000000 - id) AS best FROM listing GROUP BY company_id) b ON b.company_id = listing.company_id")
-def d18_richest_description(s, d):
-    df = listing(s, d).select("id", "company_id", "description")
-    best = df.groupBy("company_id").agg(F.max_by("description", F.length("description") * F.lit(1_000_000).cast("bigint") - F.col("id")).alias("best"))
-    return df.join(best, "company_id").select("id", F.col("best").alias("description"))
-
-
 @query(V("listing") + "SELECT listing.id, title, CASE WHEN length(p_name) >= 9 THEN p_name ELSE description END AS description FROM listing LEFT JOIN part ON p_partkey = listing.id")
 def d19_detail_enrichment(s, d):
     detail = load(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
     return listing(s, d).join(detail, "id", "left").select("id", "title", F.when(F.length("p_name") >= 9, F.col("p_name")).otherwise(F.col("description")).alias("description"))
 
 
-@query(V("listing") + "SELECT id, CAST(relevance % 2 AS INT) AS derived FROM listing WHERE relevance % 2 <> id % 2")
-def d20_rederived(s, d):
-    df = listing(s, d).withColumn("derived", (F.col("relevance") % 2).cast("int"))
-    return df.filter(F.col("derived") != F.col("id") % 2).select("id", "derived")
-
-
-@query(V("listing") + "SELECT origin, count(*) AS n FROM (SELECT 'stored' AS origin FROM listing UNION ALL SELECT 'board' FROM part WHERE p_partkey NOT IN (SELECT company_id FROM listing)) GROUP BY origin")
-def u4_board_merge(s, d):
-    stored_ = listing(s, d)
-    board = load(s, d, "part").select(F.col("p_partkey").alias("company_id")).join(stored_.select("company_id"), "company_id", "left_anti")
-    return stored_.select(F.lit("stored").alias("origin")).union(board.select(F.lit("board"))).groupBy("origin").agg(F.count("*").alias("n"))
-
-
 # ---- matching
 
 P = match.Preferences()
@@ -371,11 +298,6 @@ def o14_match_ranking(s, d):
 # ---- operations
 
 
-@query(V("account") + f"SELECT count(*) AS users, CAST(count_if(last_active >= TIMESTAMP '{CUT}' - INTERVAL 30 DAYS) AS BIGINT) AS active, CAST(count_if(signed_up >= TIMESTAMP '{CUT}' - INTERVAL 7 DAYS) AS BIGINT) AS recent FROM account")
-def e6_owner_snapshot(s, d):
-    return account(s, d).agg(F.count("*").alias("users"), agg.count_where(F.col("last_active") >= ts(CUT) - F.expr("INTERVAL 30 DAYS")).alias("active"), agg.count_where(F.col("signed_up") >= ts(CUT) - F.expr("INTERVAL 7 DAYS")).alias("recent"))
-
-
 OPS_NOW = "2024-01-31 12:00:00"
 _OK = "completed AND coverage AND NOT stale AND trusted AND NOT suspicious AND status NOT IN ('partial', 'rate_limited', 'parse_error')"
 _HEALTH = V("outcome") + f""", w AS (SELECT *, {_OK} AS ok, least(fallbacks, fallback_successes) AS useful, greatest(rate_limits, CASE WHEN status = 'rate_limited' OR http_status = 429 THEN 1 ELSE 0 END) AS limits, row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) AS rn FROM outcome WHERE NOT excluded),
@@ -480,13 +402,6 @@ def e15_feed_stats(s, d):
     return listing(s, d).agg(F.count("*").alias("total"), agg.count_where(F.col("availability") == "open").alias("open"), agg.count_where(F.col("lifecycle") == "NEW").alias("new"), agg.count_where(F.col("lifecycle") == "UPDATED").alias("updated"))
 
 
-@query(V("listing") + "SELECT id, concat_ws(',', CASE WHEN q THEN 'quant' END, CASE WHEN NOT q THEN 'main' END, CASE WHEN NOT q AND region = 'AMERICA' THEN 'canada' END, CASE WHEN NOT q AND term = 'Summer' THEN 'summer' END) AS tabs FROM (SELECT *, contains(lower(title), 'quant') AS q FROM listing)")
-def f15_tabs(s, d):
-    q = F.contains(F.lower("title"), F.lit("quant"))
-    tabs = F.concat_ws(",", F.when(q, "quant"), F.when(~q, "main"), F.when(~q & (F.col("region") == "AMERICA"), "canada"), F.when(~q & (F.col("term") == "Summer"), "summer"))
-    return listing(s, d).select("id", tabs.alias("tabs"))
-
-
 # ---- incremental runs
 
 
@@ -521,11 +436,6 @@ def x8_rate_limit(s, d):
     return stream.rate_limited(load(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", 2, "1 day")
 
 
-@query("SELECT user_id, count(*) AS revision FROM events WHERE event_type <> 'view' GROUP BY user_id")
-def x9_revisions(s, d):
-    return load(s, d, "events").filter("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("revision"))
-
-
 @query("SELECT source_id, run_id, attempt FROM (SELECT user_id AS source_id, event_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS attempt FROM events WHERE event_type = 'error') WHERE attempt <= 2")
 def x10_retry_pass(s, d):
     from pyspark.sql import Window as W
@@ -533,10 +443,3 @@ def x10_retry_pass(s, d):
     failed = run(s, d).filter("failed").select("source_id", "run_id", F.row_number().over(W.partitionBy("source_id").orderBy("run_id")).alias("attempt"))
     return failed.filter("attempt <= 2")
 
-
-@query("SELECT host, count(*) AS n FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS link FROM pages WHERE NOT contains(url, 'spam')) GROUP BY host")
-def x11_frontier_admission(s, d):
-    links = load(s, d, "pages").filter(~F.contains("url", F.lit("spam"))).select(urls.host(F.col("url")).alias("host"), F.regexp_replace("url", r"[?#].*$", "").alias("link")).dropDuplicates(["host", "link"])
-    return links.groupBy("host").agg(F.count("*").alias("n"))
-
-
