@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stage import folder as shared_dir
+from ..operators.stage import stored
+
+__all__ = ["LOWER", "SPACE", "UPPER", "as_row", "ascii_lower", "others", "shared_dir", "stored"]
+
 #: The white space of all word and line rules: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (a local session, as in tests) is a temporary folder taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="vacantia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: cuts lineage, outlives executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver's context cleaner drop the shuffle files of finished jobs now.
-
-    What a job leaves is found by one collection and freed by the next.
-    """
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only; texts without other characters take the faster built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
