@@ -85,7 +85,7 @@ def _records(s, d):
     posting = F.when(i % 4 == 0, board).when(i % 4 == 1, F.concat(F.lit("https://jobs.lever.co/"), c, F.lit("/"), n, F.lit("/apply"))).when(i % 4 == 2, F.concat(F.lit("https://jobright.ai/info/z"), i, F.lit("z")))
     posting = posting.otherwise(F.concat(F.lit("https://www.careers.example.com/jobs/"), n, F.lit("?team="), c))
     title = F.when(i % 3 == 0, "Software Engineering Intern").when(i % 3 == 1, "Data Analyst (Co-op)").otherwise("Platform Developer")
-    return listing(s, d).select(
+    return listing(s, d, heavy=True).select(
         "id", posting.alias("posting_url"), F.when(i % 8 == 2, board).otherwise(posting).alias("application_url"), F.lit(None).cast("string").alias("provider"), F.concat(c, F.lit(", Inc.")).alias("company"), title.alias("title"),
         F.array(F.when(F.floor(i / 3) % 2 == 0, "Toronto").otherwise("Austin")).alias("locations"), F.when(i % 3 == 0, F.concat(F.lit("R"), (i % 4).cast("string"))).alias("job_id"), "description", F.array(F.col("category"), F.coalesce("term", F.lit("none"))).alias("skills"),
         "relevance", F.concat(F.lit("r"), F.col("relevance").cast("string")).alias("reason"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("sponsorship"), F.col("first_seen").alias("discovered"), F.col("last_seen").alias("verified"), (F.col("relevance") % 7).alias("base_quality"), "first_seen", "availability",

@@ -36,7 +36,8 @@ def element(page: Column, *marks: str) -> Column:
     for mark in marks:
         name, _, value = mark.partition("=")
         pattern = rf'(?is)<(\w+)\b[^>]*\b{name}=["\'](?:[^"\']*\s)?{value}(?:\s[^"\']*)?["\'][^>]*>(.*?)</\1\s*>' if value else rf"(?is)<({name})\b[^>]*>(.*?)</\1\s*>"
-        found.append(F.nullif(stripped(F.regexp_extract(page, pattern, 2)), F.lit("")))
+        inner = F.nullif(stripped(F.regexp_extract(page, pattern, 2)), F.lit(""))
+        found.append(F.when(F.contains(page, F.lit(value)), inner) if value else inner)  # a mark that the page lacks is not searched for
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
@@ -70,7 +71,8 @@ def ats_postings(pages: DataFrame) -> DataFrame:
             fields[f] = F.when(here, F.nullif(v, F.lit(""))).otherwise(fields[f])
         fields.setdefault("job_id", F.lit(None).cast("string"))
         fields["job_id"] = F.when(here, F.nullif(after(code), F.lit(""))).otherwise(fields["job_id"])
-    df = df.select("page_id", "url", "provider", *[v.alias(f) for f, v in fields.items()])
+    read = F.explode(F.array(F.struct(*[v.alias(f) for f, v in fields.items()]))).alias("read")  # read once: a filter is not pushed below it
+    df = df.select("page_id", "url", "provider", read).select("page_id", "url", "provider", "read.*")
     df = df.filter((F.length("title") > 0) & (F.length("description") >= MIN_DESCRIPTION) & says(F.concat_ws("\n", "title", "description"), PLACEMENT))
     return df.select("page_id", "provider", "title", F.coalesce("company", urls.company_of(F.col("url"))).alias("company"), "location", "description", F.coalesce("job_id", urls.job_id(F.col("url"))).alias("job_id"), "posted")
 
