@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hard_negatives, html_extract, license_scan, line_dedup, quality_rules, sentencepiece_viterbi, simhash, substring_dedup, warc
+from . import chat_format, decontaminate, hard_negatives, html_extract, license_scan, line_dedup, prefix_trie, quality_rules, sentencepiece_viterbi, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_heads(turns)).drop("place", "subtree_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_license_scan, op3_quality_rules, op4_html_extract, op5_sentencepiece, op6_decontaminate, op7_chat_format, op8_substring_dedup, op9_warc, op10_simhash, op11_hard_negatives)
+    for f in (op1_line_dedup, op2_license_scan, op3_quality_rules, op4_html_extract, op5_sentencepiece, op6_decontaminate, op7_chat_format, op8_substring_dedup, op9_warc, op10_simhash, op11_hard_negatives, op12_prefix_trie)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,6 +106,26 @@ p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHE
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10""",
+    "op12_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t)
+), h AS (SELECT conv_id, base, xor(crc, 4294967295) % 9 AS h FROM c),
+r AS (
+  SELECT h.conv_id, n, x FROM h JOIN t ON t.conv_id = h.base AND n <= h UNION ALL SELECT h.conv_id, n, x FROM h JOIN t ON t.conv_id = h.conv_id AND n > h
+), s AS (SELECT h.conv_id, coalesce(list(x ORDER BY n) FILTER (WHERE n IS NOT NULL), []) AS s FROM h LEFT JOIN r ON r.conv_id = h.conv_id GROUP BY h.conv_id),
+p AS (SELECT conv_id, len(s) AS length, d, list_slice(s, 1, d) AS path FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+m AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = d), '')) AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(path[d].text)) END AS saved
+  FROM p GROUP BY path, d
+), k AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n FROM m WHERE d > 0 GROUP BY 1),
+a AS (SELECT list_slice(path, 1, top) AS path, sum(saved) AS saved, count_if(leaf) AS leaves FROM (SELECT m.path, m.saved, k.n IS NULL AS leaf, unnest(range(0, m.d + 1)) AS top FROM m LEFT JOIN k ON k.path = m.path) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN a ON a.path = m.path LEFT JOIN k ON k.path = m.path LEFT JOIN m AS u ON m.d > 0 AND u.path = list_slice(m.path, 1, m.d - 1)""",
     "op6_decontaminate": rf"""
 WITH b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
