@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hard_negatives, html_extract, license_scan, line_dedup, prefix_trie, quality_rules, sentencepiece_viterbi, simhash, substring_dedup, warc
+from . import chat_format, decontaminate, hard_negatives, html_extract, license_scan, line_dedup, personal_data, prefix_trie, quality_rules, sentencepiece_viterbi, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +74,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_heads(turns)).drop("place", "subtree_end")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_license_scan, op3_quality_rules, op4_html_extract, op5_sentencepiece, op6_decontaminate, op7_chat_format, op8_substring_dedup, op9_warc, op10_simhash, op11_hard_negatives, op12_prefix_trie)
+    for f in (op1_line_dedup, op2_license_scan, op3_quality_rules, op4_html_extract, op5_sentencepiece, op6_decontaminate, op7_chat_format, op8_substring_dedup, op9_warc, op10_simhash, op11_hard_negatives, op12_prefix_trie, op13_personal_data)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
