@@ -18,8 +18,10 @@ letters count. Extra columns are ignored. A text is scanned in time proportional
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -154,7 +156,7 @@ def _shape(y: str, text: str, s: int, e: int) -> list[str]:
     if y == "card":
         f += [f"luhn={luhn(digits)},{'long' if n > 15 else 'short' if n > 12 else 'no'}", f"first={digits[0]}"]
     elif y == "ip":
-        f += [f"parts={len(groups) == 4 and all(map(small, groups))}", f"dots={signs == {'.'}}", f"zeros={any(len(g) > 1 and g[0] == '0' for g in groups)}"]
+        f.append(f"zeros={any(len(g) > 1 and g[0] == '0' for g in groups)}")
     else:
         f += [f"zero={digits[:2] if digits[0] == '0' else 'no'}", f"plus={between[0][:1] == '+'}", f"date={bool(re.fullmatch('(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](19|20)[0-9]{2}.*', body))}", f"luhn16={n > 15 and luhn(digits)}"]
     return f
@@ -178,31 +180,47 @@ def candidates(text: str, region: tuple, taken: list[Span]) -> tuple[list[int],
     low, high, addresses = region
     edges = [low, *(m.end() for m in TOKEN.finditer(text, low, high))]
     place, out = {x: k for k, x in enumerate(edges)}, []
-    free = lambda s, e: all(e <= a or s >= b for _, a, b in taken)
-    for i, s in enumerate(edges[:-1]):
-        c = text[s]
-        if not ("0" <= c <= "9" or c in "+(") or (c in "+(" and not re.match(r"\+? ?\(?[0-9]", text[s : s + 4])):
+    used = [0] * len(edges)  # before each boundary, how many tokens belong to the rules' spans
+    spans, k = sorted((a, b) for _, a, b in taken), 0
+    ends = list(itertools.accumulate((b for _, b in spans), max))
+    for j in range(1, len(edges)):
+        while k < len(spans) and spans[k][0] < edges[j]:
+            k += 1
+        used[j] = used[j - 1] + (k > 0 and ends[k - 1] > edges[j - 1])
+    tokens = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    number = [t[0] in "0123456789" for t in tokens]
+    for i, c in enumerate(tokens):
+        if not number[i] and (c not in "+(" or not re.match(r"\+? ?\(?[0-9]", text[edges[i] : edges[i] + 4])):
             continue
-        n = 0
-        for j in range(i + 1, min(i + MOST, len(edges) - 1) + 1):
-            piece = text[edges[j - 1] : edges[j]]
-            if piece[0].isdigit() and piece.isascii():
-                n += len(piece)
-                if n > 19:
+        n, sizes, dots, gap = 0, [], True, 0
+        for j in range(i, min(i + MOST, len(tokens))):
+            t = tokens[j]
+            if not number[j]:
+                gap += 1
+                if t not in " \xa0.()/+-" or gap > 3:
                     break
-                if n >= 4 and free(s, edges[j]):
-                    for y in ("ip", "card", "phone"):
-                        if (y == "phone" and 7 <= n <= 15) or (c not in "+(" and (y == "ip" and n <= 12 or y == "card" and n >= 13)):
-                            out.append((i, j, y, _shape(y, text, s, edges[j])))
-            elif piece not in " \xa0.()/+-":
+                dots = dots and t == "."
+                continue
+            n, gap = n + len(t), 0
+            sizes.append(len(t))
+            # a number has at most two groups of one digit, a card one, and an address four small ones between points
+            if n > 19 or len(sizes) > 7 or sizes.count(1) > (4 if dots and len(sizes) <= 4 else 2):
                 break
+            kinds = (
+                (len(sizes) == 4 and dots and number[i] and all(map(small, tokens[i : j + 1 : 2])), "ip"),
+                (n >= 13 and number[i] and sizes.count(1) < 2 and len(sizes) <= 6, "card"),
+                (7 <= n <= 15 and sizes.count(1) < 3, "phone"),
+            )
+            for fits, y in kinds:
+                if fits and used[j + 1] == used[i]:
+                    out.append((i, j + 1, y, _shape(y, text, edges[i], edges[j + 1])))
     for whole in addresses:
         first, sign, host, end = whole
         starts = [first, *(first + m.end() for m in DOT.finditer(text[first:sign]))]
         ends = [*(host + m.start() for m in DOT.finditer(text[host:end])), end][1:]
         for s in starts:
             for e in ends:
-                if s in place and e in place and place[e] - place[s] <= MOST and free(s, e):
+                if s in place and e in place and place[e] - place[s] <= MOST and used[place[e]] == used[place[s]]:
                     out.append((place[s], place[e], "email", _address(text, s, sign, host, e, whole)))
     return edges, sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
@@ -237,7 +255,7 @@ def best_spans(edges: list[int], options: list, weights: dict[str, float], held:
 
 
 def _held(edges: list[int], taken: list[Span]) -> dict[int, str]:
-    return {next((k for k, x in enumerate(edges) if x >= e), len(edges) - 1): y for y, _, e in taken}
+    return {min(bisect.bisect_left(edges, e), len(edges) - 1): y for y, _, e in taken}
 
 
 def all_spans(text: str | None, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
