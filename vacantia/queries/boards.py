@@ -19,27 +19,41 @@ from .texts import _IS, _sql_says
 
 # ---- boards
 
-_BODY = "This internship lets you learn a trade. You work with a team of people on real products, and you are paid for it. "
-_SYSTEM = "CASE id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'workday' WHEN 3 THEN 'ashby' END"
+_BODY = "This internship lets you learn a trade. You work with a team of people on real products, and you are paid for it."
+_SYSTEM = "CASE id % 7 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'workday' WHEN 3 THEN 'ashby' WHEN 4 THEN 'bytedance' WHEN 5 THEN 'oracle' END"
 
 
 def _ats_pages(s, d):
-    """Pages of four systems, and every fifth of none; every seventh is too short to be a posting."""
-    m, name = F.col("id") % 5, F.regexp_replace("company", "#", "-")
-    body = F.when(F.col("id") % 7 == 0, "Short internship.").otherwise(F.concat(F.lit(_BODY), "description"))
-    tag = lambda attribute, value, inner: F.concat(F.lit(f'<div {attribute}="{value} x">'), inner, F.lit("</div>"))
-    page = F.when(m == 0, F.concat(F.lit('<h1 class="app-title">'), "title", F.lit("</h1>"), tag("class", "company-name", F.col("company")), tag("class", "location", F.col("location")), F.lit('<section id="content"><p>'), body, F.lit("</p></section>")))
-    page = page.when(m == 1, F.concat(tag("class", "posting-headline", F.concat(F.lit("<h2>"), "title", F.lit("</h2>"))), tag("class", "location", F.col("location")), tag("class", "posting-page", body)))
-    page = page.when(m == 2, F.concat(tag("data-automation-id", "jobPostingHeader", F.col("title")), tag("data-automation-id", "locations", F.col("location")), tag("data-automation-id", "company", F.col("company")), tag("data-automation-id", "jobPostingDescription", body), tag("data-automation-id", "postedOn", F.lit("Posted 3 Days Ago"))))
-    page = page.when(m == 3, F.concat(tag("data-testid", "job-title", F.col("title")), tag("data-testid", "job-location", F.col("location")), tag("data-testid", "company-name", F.col("company")), tag("data-testid", "job-description", body))).otherwise(F.concat(F.lit("<h1>"), "title", F.lit("</h1>"), body))
-    host = F.when(m == 0, F.concat(F.lit("https://boards.greenhouse.io/"), name)).when(m == 1, F.concat(F.lit("https://jobs.lever.co/"), name)).when(m == 2, F.lit("https://acme.wd5.myworkdayjobs.com/en")).when(m == 3, F.concat(F.lit("https://jobs.ashbyhq.com/"), name)).otherwise(F.lit("https://example.org"))
-    return listing(s, d, heavy=True).select(F.col("id").alias("page_id"), F.concat(host, F.lit("/jobs/"), F.col("id") + 100000).alias("url"), F.concat(F.lit("<html><body>"), page, F.lit("</body></html>")).alias("html"))
-
-
-@query(V("listing") + f"""SELECT id AS page_id, {_SYSTEM} AS provider, title, CASE id % 5 WHEN 1 THEN replace(replace(company, '#', ' '), '-', ' ') ELSE company END AS company, location, length('{_BODY}') + length(rtrim(description)) - CASE WHEN description = '' THEN 1 ELSE 0 END AS n_description, CAST(id + 100000 AS VARCHAR) AS job_id,
- CASE WHEN id % 5 = 2 THEN 'Posted 3 Days Ago' END AS posted FROM listing WHERE id % 5 < 4 AND id % 7 <> 0""")
+    """Pages of six systems, with elements of one name inside each other, and of none; every eleventh is too short to be a posting."""
+    m, name, html = F.col("id") % 7, F.regexp_replace("company", "#", "-"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and p[:1] in "<\n" else p for p in parts])
+    short = F.col("id") % 11 == 0
+    body = F.when(short, "<div>Short internship.</div>").otherwise(html("<div><div>Who we are.</div></div><p>", F.lit(_BODY), "</p><nav>Menu</nav><ul><li>", "availability", "</li></ul><div>", "region", "</div>"))
+    page = {
+        0: html('<header><h1>Careers</h1></header><h1 class="big app-title">', "title", '</h1><div class="company-name"><span>', "company", '</span></div><div class="location">', "location", '</div><div id="content">', body, '</div><a href="/apply/1">Apply Now</a>'),
+        1: html('<div class="posting-headline"><h2>', "title", '</h2></div><div class="posting-categories"><div class="location">', "location", '</div></div><div class="posting-page">', body, "</div>"),
+        2: html("<div data-automation-id='jobPostingHeader'><h2>", "title", "</h2></div><div data-automation-id=\"locations\"><div>", "location", '</div></div><div data-automation-id="company">', "company", '</div><div data-automation-id="jobPostingDescription">', body, "</div><div data-automation-id=postedOn>Posted 3 Days Ago</div>"),
+        3: html('<h1 data-testid="job-title">', "title", '</h1><div data-testid="job-location">', "location", '</div><div data-testid="company-name">', "company", '</div><div data-testid="job-description">', body, "</div>"),
+    }
+    text = F.when(short, "Short internship.").otherwise(html(F.lit(_BODY), "\n", "availability", "\n", "region"))
+    lines = {
+        4: html("\n", F.lit("Life"), "\n", "title", "\nLocation:\n", "location", "\nJob Code:\n", html(F.lit("A"), F.col("id").cast("string")), "\nResponsibilities\n", text, "\nAbout Us\nWe make things."),
+        5: html("\nView More Jobs\n", "title", "\nTRENDING\nJOB INFORMATION\nJob Identification\n", F.col("id").cast("string"), "\nPosting Date\n08/11/2026\nLocations\n", "location", "\nJob Schedule\nFull time\nJOB DESCRIPTION\n", text, "\nABOUT US\nWe make things."),
+    }
+    laid = lambda c: html("<div>", F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit("<div>"), x, F.lit("</div>"))), ""), "</div>")
+    page |= {k: laid(c) for k, c in lines.items()} | {6: html("<h1>", "title", "</h1>", body)}
+    host = {0: html(F.lit("https://boards.greenhouse.io/"), name), 1: html(F.lit("https://jobs.lever.co/"), name), 2: F.lit("https://acme.wd5.myworkdayjobs.com/en"), 3: html(F.lit("https://jobs.ashbyhq.com/"), name), 4: F.lit("https://joinbytedance.com/search"), 5: F.lit("https://acme.fa.us6.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1"), 6: F.lit("https://example.org")}
+    pick = lambda of: F.coalesce(*[F.when(m == k, c) for k, c in of.items()])
+    heading = F.when(m == 5, html(F.lit("<title>"), "title", F.lit(" - "), "company", F.lit(" Careers</title>"))).otherwise("")
+    return listing(s, d, heavy=True).select(F.col("id").alias("page_id"), F.concat(pick(host), F.lit("/jobs/"), F.col("id") + 100000).alias("url"), html("<html><head>", heading, "</head><body>", pick(page), "</body></html>").alias("html"))
+
+
+@query(V("listing") + f"""SELECT id AS page_id, {_SYSTEM} AS provider, title, CASE id % 7 WHEN 1 THEN replace(replace(company, '#', ' '), '-', ' ') WHEN 4 THEN 'ByteDance' ELSE company END AS company, location AS locations,
+ CASE WHEN id % 7 IN (4, 5) THEN '' ELSE 'Who we are.' || chr(10) END || '{_BODY}' || chr(10) || CASE WHEN id % 7 IN (4, 5) THEN '' ELSE '• ' END || availability || chr(10) || region AS description, CASE id % 7 WHEN 4 THEN 'A' || id WHEN 5 THEN CAST(id AS VARCHAR) ELSE CAST(id + 100000 AS VARCHAR) END AS job_id,
+ CASE id % 7 WHEN 2 THEN 'Posted 3 Days Ago' WHEN 5 THEN '08/11/2026' END AS posted, CASE id % 7 WHEN 0 THEN 'boards.greenhouse.io' WHEN 1 THEN 'jobs.lever.co' WHEN 2 THEN 'acme.wd5.myworkdayjobs.com' WHEN 3 THEN 'jobs.ashbyhq.com' WHEN 4 THEN 'joinbytedance.com' ELSE 'acme.fa.us6.oraclecloud.com' END AS form_host,
+ CASE id % 7 WHEN 0 THEN '1' WHEN 1 THEN 'apply' WHEN 3 THEN 'application' ELSE CAST(id + 100000 AS VARCHAR) END AS form_end FROM listing WHERE id % 7 < 6 AND id % 11 <> 0""")
 def s11_ats_pages(s, d):
-    return boards.ats_postings(_ats_pages(s, d)).select("page_id", "provider", "title", "company", "location", F.length("description").alias("n_description"), "job_id", "posted")
+    df = boards.ats_postings(_ats_pages(s, d))
+    return df.select("page_id", "provider", "title", "company", F.array_join("locations", "|").alias("locations"), "description", "job_id", "posted", urls.host(F.col("application_url")).alias("form_host"), F.substring_index("application_url", "/", -1).alias("form_end"))
 
 
 @query(V("listing") + """SELECT company_id AS source, CASE company_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS provider, CAST(id AS VARCHAR) AS job_id, title, CASE WHEN company_id % 3 = 0 THEN location ELSE location || '|' || region END AS locations, url, CAST(epoch_ms(posted_at) AS VARCHAR) AS posted FROM listing WHERE id % 11 <> 0""")

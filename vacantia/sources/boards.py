@@ -2,43 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.classify import says
+from .selectors import scan
 
-# How elements of the systems' pages are marked, in the order in which they are tried. A mark is an attribute with a word of its value.
+# Where the systems' pages have what, in the order in which it is tried.
 MARKS = {
-    "greenhouse": {"title": ["class=app-title", "class=job__title", "h1"], "location": ["class=location", "class=job__location"], "description": ["id=content", "class=job__description", "class=job-post"], "company": ["class=company-name", "class=job__company"], "posted": []},
-    "lever": {"title": ["class=posting-headline", "h1"], "location": ["class=location", "class=sort-by-location"], "description": ["class=posting-page", "class=content"], "company": ["class=company-name"], "posted": []},
-    "workday": {"title": ["data-automation-id=jobPostingHeader", "h1"], "location": ["data-automation-id=locations", "data-automation-id=location"], "description": ["data-automation-id=jobPostingDescription", "main"], "company": ["data-automation-id=company", "data-automation-id=jobPostingCompany"], "posted": ["data-automation-id=postedOn"]},
-    "ashby": {"title": ["data-testid=job-title", "h1"], "location": ["data-testid=job-location"], "description": ["data-testid=job-description", "main", "article"], "company": ["data-testid=company-name", "class=company-name"], "posted": []},
+    "greenhouse": {"title": ["h1.app-title", ".job__title h1", "main h1", "h1"], "location": [".location", ".job__location"], "description": ["#content", ".job__description", ".job-post", "main"], "company": [".company-name", ".job__company"], "posted": [], "logo": ["img[alt*='Logo']", "img[alt*='logo']"]},
+    "lever": {"title": [".posting-headline h2", "main h1", "h1"], "location": [".posting-categories .location", ".posting-categories .sort-by-location", ".location"], "description": [".posting-page", ".content", "main"], "company": [".company-name"], "posted": [], "logo": []},
+    "workday": {"title": ["[data-automation-id='jobPostingHeader'] h2", "[data-automation-id='jobPostingHeader']", "main h1", "h1"], "location": ["[data-automation-id='locations']", "[data-automation-id='location']"], "description": ["[data-automation-id='jobPostingDescription']", "main", "[role='main']"], "company": ["[data-automation-id='company']", "[data-automation-id='jobPostingCompany']"], "posted": ["[data-automation-id='postedOn']"], "logo": ["header img[alt]", "[data-automation-id='navigation'] img[alt]"]},
+    "ashby": {"title": ["[data-testid='job-title']", "main h1", "h1"], "location": ["[data-testid='job-location']", "[class*='location']"], "description": ["[data-testid='job-description']", "main", "article"], "company": ["[data-testid='company-name']", ".company-name"], "posted": [], "logo": ["img[alt*='Logo']", "img[alt*='logo']"]},
 }
-# The lines between which pages in plain text hold what is read; (start, end) of the description, label of the place and of the id.
-TEXTS = {"bytedance": ("Responsibilities", r"About Us|About USDS|Apply to this job", "Location:", "Job Code:"), "oracle": ("JOB DESCRIPTION", r"ABOUT US|APPLY NOW|JOB INFO", "Locations", "Job Identification")}
+#: Links that lead to a form, by attribute; links whose text says so come first.
+APPLY = ["a[data-automation-id*='apply']", "a[data-testid*='apply']", "a.apply-button", "a[href*='/apply']"]
+APPLY_TEXTS = ("Apply Now", "Apply now", "Apply for this job", "Apply for this position")
 PLACEMENT = r"\b(?:intern(?:ship)?|co[ -]?op|student)\b"
-MIN_DESCRIPTION = 100
-
-
-def stripped(fragment: Column) -> Column:
-    """A fragment's text on one line: tags as blanks, the named references decoded."""
-    c = F.regexp_replace(fragment, r"<[^>]*>", " ")
-    for name, sign in text.ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(sign)) if name != "amp" else c
-    return F.trim(F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"[\s ]+", " "))
-
-
-def element(page: Column, *marks: str) -> Column:
-    """The text of the first element that one of the marks names: ``attribute=word`` or a tag."""
-    found = []
-    for mark in marks:
-        name, _, value = mark.partition("=")
-        pattern = rf'(?is)<(\w+)\b[^>]*\b{name}=["\'](?:[^"\']*\s)?{value}(?:\s[^"\']*)?["\'][^>]*>(.*?)</\1\s*>' if value else rf"(?is)<({name})\b[^>]*>(.*?)</\1\s*>"
-        inner = F.nullif(stripped(F.regexp_extract(page, pattern, 2)), F.lit(""))
-        found.append(F.when(F.contains(page, F.lit(value)), inner) if value else inner)  # a mark that the page lacks is not searched for
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+MIN_DESCRIPTION, MIN_CONTENT = 100, 80
 
 
 def system_of(url: Column) -> Column:
@@ -50,31 +37,110 @@ def system_of(url: Column) -> Column:
     )
 
 
+READ = "page_id bigint, url string, provider string, title string, company string, locations array<string>, description string, posted string, apply string, heading string, lines string"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages -> what the elements of their system hold; pages of systems without elements of their own -> their lines."""
+    names = [x.split()[0] for x in READ.split(", ")]
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), *[pa.string()] * 5]
+    common = ["title", "a[href]", "meta[property='og:site_name']", *APPLY]
+    for b in batches:
+        rows = []
+        for page_id, url, page, system in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            marks = MARKS.get(system, {})
+            s = scan(page or "", [*common, *[x for f in marks.values() for x in f]])
+            heading = s.first_text(["title"])
+            if not marks:
+                rows.append((page_id, url, system, None, None, [], None, None, None, heading, s.lines()))
+                continue
+            logo = next((re.sub(r"(?i)\s+logo$", "", e.attributes["alt"]).strip() for x in marks["logo"] for e in s.found[x][:1]), "")
+            site = next((e.attributes.get("content", "").strip() for e in s.found["meta[property='og:site_name']"]), "") if system == "workday" else ""
+            named = s.first_text(marks["company"]) or ""
+            at = re.search(r"\sat\s+(.+?)\s*$", heading or "") if system in ("greenhouse", "ashby") else None
+            order = (logo, named) if system == "greenhouse" else (named, site, logo)
+            company = next((x for x in (*order, at[1] if at else "") if x), None)
+            labels = [(s.text(e), e.attributes["href"]) for e in s.found["a[href]"]]
+            apply_ = next((h for t in APPLY_TEXTS for label, h in labels if t in label and h), None) or next((e.attributes["href"] for x in APPLY for e in s.found[x] if e.attributes.get("href")), None)
+            apply_ = apply_ or next((h for label, h in labels if re.search(r"(?i)\bapply\b", label) and h), None)
+            rows.append((page_id, url, system, s.first_text(marks["title"]), company, s.texts(marks["location"]), s.first_content(marks["description"], MIN_CONTENT), s.first_text(marks["posted"]), apply_, heading, None))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _between(lines: Column, start: str, end: str) -> Column:
+    """What stands between the first line ``start`` and the next line ``end``, or the end of the page."""
+    return F.trim(F.regexp_extract(lines, rf"(?is)\n{start}\n(.*?)(?:\n(?:{end})(?:\n|\z)|\z)", 1))
+
+
+def _line_after(lines: Column, label: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(lines, rf"(?i)\n{label}\n([^\n]+)", 1)), F.lit(""))
+
+
+def _some_lines(part: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.split(part, "\n"), F.trim), lambda x: x != ""))
+
+
+def _or_none(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def _bytedance(df: DataFrame) -> DataFrame:
+    """Postings read by lines; between what and what they stand are fixed values."""
+    df = df.withColumn("lines", F.concat(F.lit("\n"), "lines", F.lit("\n")))
+    lines, none = F.col("lines"), F.lit(None).cast("string")
+    second = F.contains("url", F.lit("careers.tiktokusds.com"))
+    before = _or_none(F.regexp_extract(lines, r"(?i)\n([^\n]+)\nLocation:\n", 1))
+    place = F.coalesce(_line_after(lines, "Location:"), _or_none(F.regexp_extract(lines, r"\n([A-Za-z][A-Za-z .'-]{1,80})(?:Intern|Regular)(?:R&D|Product|Operations|Corporate|Design)", 1)))
+    about = _between(lines, "Responsibilities", "About Us|About USDS|Apply to this job|Company\nAbout")
+    pay = _or_none(F.regexp_replace(F.regexp_extract(lines, r"(?i)(?:hourly rate range|base salary range)[^$]{0,100}(\$[\d,.]+\s*(?:-|–|to)\s*\$?[\d,.]+[^\n.]*)", 1), r"[.\s]+$", ""))
+    return df.select(
+        "page_id", "url", "provider", F.coalesce(before, _or_none(F.when(second, F.regexp_replace("heading", r"(?i)\s+-\s+TikTok$", "")).otherwise(F.col("heading")))).alias("title"),
+        F.when(second, "TikTok USDS Joint Venture").otherwise("ByteDance").alias("company"), F.array_compact(F.array(place)).alias("locations"), about.alias("description"), none.alias("posted"), none.alias("apply"),
+        F.coalesce(_line_after(lines, "Job Code:"), _or_none(F.regexp_extract(lines, r"(?i)Job ID:\s*([A-Z0-9]+)", 1))).alias("job_id"), none.alias("deadline"), pay.alias("salary"),
+    )
+
+
+def _oracle(df: DataFrame) -> DataFrame:
+    """Postings read by lines; between what and what they stand are fixed values."""
+    df = df.withColumn("lines", F.concat(F.lit("\n"), "lines", F.lit("\n")))
+    lines, none = F.col("lines"), F.lit(None).cast("string")
+    header = _some_lines(_between(lines, "View More Jobs", "APPLY NOW|JOB INFORMATION|JOB DESCRIPTION"))
+    df = df.select("*", header.alias("header"), _between(lines, "Locations", "Apply Before|Job Schedule|Base Pay/Salary|JOB DESCRIPTION").alias("listed"))
+    titled = F.filter("header", lambda x: ~F.regexp_like(x, F.lit(r"(?i)^(?:trending|[A-Z][a-z]+(?:, [A-Z]{2})?, .+)$")))
+    title = F.coalesce(F.get(titled, 0), _or_none(F.regexp_replace("heading", r"(?i)\s+-\s+.+ Careers(?: loaded)?$", "")))
+    df = df.withColumn("title", title)
+    where = F.filter(_some_lines(F.col("listed")), lambda x: ~F.regexp_like(x, F.lit(r"(?i):$|\b(?:locations? you may join|job information)\b")))
+    shown = F.filter("header", lambda x: (x != F.col("title")) & (F.lower(x) != "trending"))
+    site = F.when(F.startswith("heading", F.concat("title", F.lit(" - "))), F.expr("substr(heading, length(title) + 4)"))
+    site = F.regexp_replace(F.regexp_replace(F.regexp_replace(site, r"(?i)\s+Careers(?: loaded)?$", ""), r"(?i)\s+Candidate Experience page$", ""), r"(?i)^JPMC$", "JPMorganChase")
+    about = _between(lines, "JOB DESCRIPTION", "ABOUT US|APPLY NOW|JOB INFO")
+    pay = F.coalesce(_or_none(_between(lines, "Base Pay/Salary", "JOB DESCRIPTION")), _or_none(F.regexp_extract(about, r"(?i)(?:expected pay range|hourly range)[^$]{0,100}(\$[\d,.]+\s*(?:-|–|to)\s*\$?[\d,.]+\s*/\s*hour(?:ly)?)", 1)))
+    return df.select(
+        "page_id", "url", "provider", "title", _or_none(site).alias("company"), F.when(F.size(where) > 0, where).otherwise(F.slice(shown, 1, 1)).alias("locations"), about.alias("description"),
+        _line_after(lines, "Posting Date").alias("posted"), none.alias("apply"), _line_after(lines, "Job Identification").alias("job_id"), _line_after(lines, "Apply Before").alias("deadline"), pay.alias("salary"),
+    )
+
+
 def ats_postings(pages: DataFrame) -> DataFrame:
-    """(page_id, provider, title, company, location, description, job_id, posted) of pages (``page_id``, ``url``, ``html``) of applicant systems that hold
-    a placement: a title and a description of ``MIN_DESCRIPTION`` characters that speak of one. Pages of no system are not looked at."""
-    df = pages.select("page_id", "url", "html", system_of(F.col("url")).alias("provider")).filter("provider is not null")
-    fields = {}
-    for f in ("title", "location", "description", "company", "posted"):
-        value = None
-        for system, marks in MARKS.items():
-            one = element(F.col("html"), *marks[f])
-            value = F.when(F.col("provider") == system, one) if value is None else value.when(F.col("provider") == system, one)
-        fields[f] = value
-    plain = F.regexp_replace(F.col("html"), r"(?i)<br\s*/?>", "\n")
-    after = lambda label: F.trim(F.regexp_extract(plain, rf"(?im)^{label}\s*\n([^\n]+)", 1))
-    for system, (start, end, place, code) in TEXTS.items():
-        body = F.trim(F.regexp_extract(plain, rf"(?is)\n{start}\n(.*?)\n(?:{end})\n", 1))
-        title = F.trim(F.regexp_extract(plain, rf"(?im)^([^\n]+)\n{place}\s*$", 1)) if system == "bytedance" else F.trim(F.regexp_extract(plain, r"(?i)(?:^|\n)View More Jobs\n([^\n]+)", 1))
-        here = F.col("provider") == system
-        for f, v in {"title": title, "location": after(place), "description": body, "company": F.lit("ByteDance") if system == "bytedance" else F.lit(None).cast("string"), "posted": after("Posting Date")}.items():
-            fields[f] = F.when(here, F.nullif(v, F.lit(""))).otherwise(fields[f])
-        fields.setdefault("job_id", F.lit(None).cast("string"))
-        fields["job_id"] = F.when(here, F.nullif(after(code), F.lit(""))).otherwise(fields["job_id"])
-    read = F.explode(F.array(F.struct(*[v.alias(f) for f, v in fields.items()]))).alias("read")  # read once: a filter is not pushed below it
-    df = df.select("page_id", "url", "provider", read).select("page_id", "url", "provider", "read.*")
+    """(page_id, provider, title, company, locations, description, job_id, posted, deadline, salary, application_url) of pages (``page_id``, ``url``, ``html``) of applicant systems that
+    hold a placement: a title and a description of ``MIN_DESCRIPTION`` characters that speak of one.
+
+    Pages of no system are left aside before anything is read; the others are read in one pass each.
+    """
+    known = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", system_of(F.col("url")).alias("provider")).filter("provider is not null")
+    read = lambda of: known.filter(F.col("provider").isin(*of)).mapInArrow(_read, READ)
+    none = F.lit(None).cast("string")
+    columns = ["page_id", "url", "provider", "title", "company", "locations", "description", "posted", "apply"]
+    df = read(MARKS).select(*columns, none.alias("job_id"), none.alias("deadline"), none.alias("salary"))
+    df = df.unionByName(_bytedance(read(["bytedance"]))).unionByName(_oracle(read(["oracle"])))
     df = df.filter((F.length("title") > 0) & (F.length("description") >= MIN_DESCRIPTION) & says(F.concat_ws("\n", "title", "description"), PLACEMENT))
-    return df.select("page_id", "provider", "title", F.coalesce("company", urls.company_of(F.col("url"))).alias("company"), "location", "description", F.coalesce("job_id", urls.job_id(F.col("url"))).alias("job_id"), "posted")
+    link = F.when(F.regexp_like("apply", F.lit("(?i)^https?://")), F.col("apply")).when(F.startswith("apply", F.lit("/")), F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), "apply"))
+    plain = F.regexp_replace("url", "/$", "")
+    form = F.when(F.col("provider") == "lever", F.concat(plain, F.lit("/apply"))).when(F.col("provider") == "ashby", F.concat(plain, F.lit("/application"))).otherwise(F.col("url"))
+    return df.select(
+        "page_id", "provider", "title", F.coalesce("company", urls.company_of(F.col("url"))).alias("company"), "locations", "description", F.coalesce("job_id", urls.job_id(F.col("url"))).alias("job_id"), "posted", "deadline", "salary", F.coalesce(link, form).alias("application_url"),
+    )
 
 
 #: Shapes of the systems' feeds.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fragment_text
+from .selectors import scan
 
 FIELDS = ["title", "company", "location", "url", "posted"]
 _LD = re.compile(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>")
@@ -65,11 +66,13 @@ def page_state(page: str) -> list[dict]:
 
 
 def semantic(page: str) -> list[dict]:
-    """One posting from the heading of a page whose text is long enough and speaks of a placement and a job."""
-    text = fragment_text(page)
-    title = re.search(r"(?is)<h1\b[^>]*>(.*?)</h1>", page)
+    """One posting from the first shown heading of a page whose text is long enough and speaks of a placement and a job."""
+    marks = ["h1", ".banner__text__title", "main h2", "main", "article", "body"]
+    s = scan(page, marks)
+    shown = [e for m in marks[:3] for e in s.found[m] if not re.search(r"\b(?:visibility--hidden|visually-hidden|sr-only)", e.attributes.get("class", "")) and s.text(e)]
+    text = s.first_content(marks[3:], 100) or fragment_text(page)
     signals = re.search(r"(?i)\bintern|co-?op|student", text) and re.search(r"(?i)\brole|position|responsibilit|qualification|apply", text)
-    return [{"title": fragment_text(title[1])}] if title and len(text) >= 100 and signals else []
+    return [{"title": s.text(shown[0])}] if shown and len(text) >= 100 and signals else []
 
 
 READERS: tuple[Callable[[str], list[dict]], ...] = (structured, page_state, semantic)
@@ -89,7 +92,9 @@ def postings(pages: DataFrame, readers: tuple[Callable[[str], list[dict]], ...]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "place", "reader", *FIELDS])
 
     schema = T.StructType.fromDDL("page_id bigint, place int, reader string, " + ", ".join(f"{f} string" for f in FIELDS))
-    return pages.select(F.col("page_id").cast("bigint"), "html").mapInArrow(run, schema)
+    # what no reader can read stays in the JVM
+    may = F.regexp_like("html", F.lit("(?i)<h[12]|ld\\+json|__NEXT_DATA__"))
+    return pages.filter(may).select(F.col("page_id").cast("bigint"), "html").mapInArrow(run, schema)
 
 
 def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -104,21 +109,7 @@ def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "row", company.alias("company"), F.col("c")[1].alias("title"), F.col("c")[2].alias("location")).filter(~F.contains("title", F.lit("🔒")))
 
 
-def feed(text: Column) -> Column:
-    """Jobs of an applicant system's JSON feed, as an array of structs; null if it is malformed."""
-    return F.from_json(text, "struct<jobs:array<struct<id:bigint,title:string,company:string,location:string,url:string>>>")["jobs"]
-
-
 def filtered_feed(df: DataFrame, places: list[str], years: list[str]) -> DataFrame:
     """Feed rows in any of the places and years; an empty list does not filter."""
     keep = lambda c, values: F.arrays_overlap(F.col(c), F.array(*map(F.lit, values))) if values else F.lit(True)
     return df.filter(keep("places", places) & keep("years", years))
-
-
-def sitemap_links(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
-
-
-def page_links(page: Column) -> Column:
-    """Links of a page in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(page, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']?([^\"'\s>]+)"), F.lit(1)))
