@@ -76,7 +76,7 @@ def test_pages_of_systems_read_by_lines(spark):
     laid = lambda text: "".join(f"<div><span>{x}</span></div>" for x in text.split("\n"))
     first = laid(f"Life here\nMachine Learning Intern - 2027\nLocation:\nSan Jose\nTeam:\nTech\nJob Code:\nA221977\nResponsibilities\n{LONG}\nMinimum Qualifications\nAbout Us\nWe are.")
     second = "<title>Software Intern - 2027 Summer - TikTok</title>" + laid(f"Company\nSan JoseInternR&amp;DFuture Talent Job ID: A134948A\nResponsibilities\n{LONG}\nThe hourly rate range for this position is $45- $45.\nApply to this job\n")
-    oracle = "<title>Research Internship - AI - Acme Home Careers</title>" + laid(f"View More Jobs\nSan Jose, CA, United States\nResearch Internship - AI\nTRENDING\nJOB DESCRIPTION\n{LONG}\nABOUT US\nold")
+    oracle = "<title>Research Internship - AI - Acme Home Careers</title>" + laid(f"View More Jobs\nResearch Internship - AI\nSan Jose, CA, United States\nTRENDING\nJOB DESCRIPTION\n{LONG}\nABOUT US\nold")
     whole = "<title>2027 Data Program - Internship - JPMC Candidate Experience page</title>" + laid(f"View More Jobs\n2027 Data Program - Internship\nChicago, IL, United States and 1 more\nAPPLY NOW\nJOB INFORMATION\nJob Identification\n210773869\nPosting Date\n08/11/2026, 12:19 PM\nLocations\nChicago, IL, United States\nNew York, NY, United States\nApply Before\n11/06/2026, 12:00 AM\nBase Pay/Salary\nChicago, IL $45.67-$45.67\nJOB DESCRIPTION\n{LONG}")
     site = "https://{}.fa.us6.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1/job/{}"
     got = read(spark, ("https://joinbytedance.com/search/7671291260529821957", first), ("https://careers.tiktokusds.com/usds/position/76/detail", second), (site.format("ehac", 15762), oracle), (site.format("jpmc", 210773869), whole))

@@ -3,23 +3,38 @@
 A listing is described by its links, requisition ids, provider, company, role and places. Buckets (link; company and id; company, role
 and place) hold every pair that can match; a residual rule decides. The ordered merge (the earliest record that takes a
 listing merges with it, field by field, and gets its buckets) is not a transitive closure, so blocks that merging cannot leave are found
-first (components over links and companies). Each block is folded in order by one task through an index of buckets: a listing meets only
-records that share one with it.
+first (``merge_blocks``). Each block is folded in order by one task through an index whose keys hold all that a rule asks for, requisitions of a
+role included: a listing meets the records that it matches, not all of its role.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text, urls
-
-#: What a listing brings along, apart from its identity; all of it is merged.
-PAYLOAD = {"description": "string", "skills": "array<string>", "relevance": "int", "reason": "string", "sponsorship": "string", "discovered": "timestamp_ntz", "verified": "timestamp_ntz"}
+from .stage import components
+
+_TEXT, _LIST = "string", "array<string>"
+#: What a listing brings along, apart from its identity, and how two values become one: ``joined`` lists (once each, but for case), the better one's value
+#: if it has one (``first``; ``known``: if it is not "unknown"), the longer list, the record's that may speak of sponsorship (``policy``), or a rule of the field's own.
+PAYLOAD = {
+    "description": (_TEXT, "description"), "skills": (_LIST, "joined"), "sources": (_LIST, "joined"), "responsibilities": (_LIST, "joined"), "required": (_LIST, "joined"), "preferred": (_LIST, "joined"),
+    "education": (_LIST, "joined"), "graduation": (_LIST, "joined"), "experience": (_LIST, "joined"), "authorization": (_LIST, "joined"), "categories": (_LIST, "joined"), "study_years": (_LIST, "joined"), "degrees": (_LIST, "joined"), "normalized": (_LIST, "longer"),
+    "term": (_TEXT, "first"), "year": (_TEXT, "first"), "duration": (_TEXT, "first"), "salary": (_TEXT, "first"), "posted": (_TEXT, "first"), "deadline": (_TEXT, "first"), "expected_graduation": (_TEXT, "first"),
+    "first_year": (_TEXT, "known"), "upper_year": (_TEXT, "known"), "student_status": (_TEXT, "known"), "enrollment": (_TEXT, "known"), "returning": (_TEXT, "known"), "work_authorization": (_TEXT, "known"), "modality": (_TEXT, "known"),
+    "sponsorship": (_TEXT, "policy"), "relevance": ("int", "relevance"), "reason": (_TEXT, "relevance"), "discovered": ("timestamp_ntz", "earliest"), "verified": ("timestamp_ntz", "latest"),
+    "provenance": ("array<struct<field:string,value:string,page:string>>", "evidence"),
+}
+LISTS = [c for c, (t, rule) in PAYLOAD.items() if t == _LIST]
 
 
 def _some(*columns: Column) -> Column:
@@ -129,28 +144,44 @@ def existing(new: DataFrame, old: DataFrame) -> DataFrame:
     return ranked.unionByName(job).unionByName(role).groupBy("id").agg(F.min_by("old", F.struct("rank", "seen", "old")).alias("old"))
 
 
-def quality(url: Column, description: Column, qualifications: Column) -> Column:
-    """What makes one record of a listing better than another."""
-    kind = urls.host_class(url)
-    return F.when(kind == "ats", 40).otherwise(0) + F.when(kind.isin("ats", "other"), 30).otherwise(0) - F.when(kind == "aggregator", 35).otherwise(0) + F.least(F.lit(25), F.floor(F.length(description) / 500).cast("int")) + qualifications
+def link_quality(posting: Column, application: Column) -> Column:
+    """What a record's links say of its quality: a form at an applicant system, a posting and a form that are no aggregator's, a form of its own."""
+    aggregator = lambda u: F.coalesce(urls.host_class(u) == "aggregator", F.lit(False))
+    return (
+        F.when(urls.host_class(application) == "ats", 40).otherwise(0) + F.when(~aggregator(posting), 30).otherwise(0) - F.when(aggregator(application), 35).otherwise(0)
+        + F.when(~application.eqNullSafe(posting), 15).otherwise(0)
+    )
+
+
+def quality(posting: Column, application: Column, description: Column, requirements: Column) -> Column:
+    """What makes one record of a listing better than another: its links, its text, and how many requirements it names."""
+    return link_quality(posting, application) + F.least(F.lit(25), F.floor(F.coalesce(F.length(description), F.lit(0)) / 500).cast("int")) + requirements
 
 
 def merged_fields(primary: Column, secondary: Column) -> dict[str, Column]:
     """The merge of two listings (structs with ``PAYLOAD``, ``company``, ``job_id``, ``locations``, ``posting_aggregator``), the first the better one.
 
-    The first one's values, the other's where it has none; a description under 100 characters gives way to a longer one; lists are joined;
-    the greater relevance with its reason; first discovery, last verification. The company comes from the direct record. Sponsorship may
-    change: it is the direct record's, among equals that of the later verification.
+    The fields' rules are in ``PAYLOAD``. A description under 100 characters gives way to a longer one; the greater relevance keeps its reason; first
+    discovery, last verification. The company comes from the direct record. Sponsorship may change: it is the direct record's, among equals that of the
+    later verification. Evidence of either stays where its value is still the field's.
     """
     p, q = primary, secondary
-    union = lambda c: F.array_distinct(F.concat(p[c], q[c]))
+    full = lambda c: F.coalesce(c, F.array())
+    union = lambda c: text.unique_items(F.concat(full(p[c]), full(q[c])))
     prefer = F.when(p["posting_aggregator"] != q["posting_aggregator"], ~p["posting_aggregator"]).otherwise(q["verified"].isNull() | F.coalesce(p["verified"] >= q["verified"], F.lit(False)))
     short = lambda c: F.coalesce(F.length(c["description"]), F.lit(0)) < 100
-    return {
-        "company": F.when(p["posting_aggregator"] & ~q["posting_aggregator"], q["company"]).otherwise(p["company"]), "job_id": F.coalesce(p["job_id"], q["job_id"]), "locations": union("locations"),
-        "description": F.when(short(p) & ~short(q), q["description"]).otherwise(p["description"]), "skills": union("skills"), "relevance": F.greatest(p["relevance"], q["relevance"]), "reason": F.when(p["relevance"] >= q["relevance"], p["reason"]).otherwise(q["reason"]),
-        "sponsorship": F.when(prefer, p["sponsorship"]).otherwise(q["sponsorship"]), "discovered": F.least(p["discovered"], q["discovered"]), "verified": F.greatest(p["verified"], q["verified"]),
+    of_company = p["posting_aggregator"] & ~q["posting_aggregator"]
+    out = {"company": F.when(of_company, q["company"]).otherwise(p["company"]), "job_id": F.coalesce(p["job_id"], q["job_id"]), "locations": union("locations")}
+    rules = {
+        "description": lambda c: F.when(short(p) & ~short(q), q[c]).otherwise(p[c]), "joined": union, "first": lambda c: F.coalesce(p[c], q[c]),
+        "known": lambda c: F.coalesce(F.nullif(p[c], F.lit("unknown")), q[c], p[c]), "longer": lambda c: F.when(F.size(full(p[c])) >= F.size(full(q[c])), p[c]).otherwise(q[c]),
+        "policy": lambda c: F.when(prefer, p[c]).otherwise(q[c]), "relevance": lambda c: F.when(F.coalesce(p["relevance"] >= q["relevance"], q["relevance"].isNull()), p[c]).otherwise(q[c]),
+        "earliest": lambda c: F.least(p[c], q[c]), "latest": lambda c: F.greatest(p[c], q[c]),
     }
+    out |= {c: rules[rule](c) for c, (_, rule) in PAYLOAD.items() if rule != "evidence"}
+    told = F.concat(F.coalesce(p["provenance"], F.array().cast(PAYLOAD["provenance"][0])), F.coalesce(q["provenance"], F.array().cast(PAYLOAD["provenance"][0])))
+    holds = lambda e: F.coalesce(*[F.when(e["field"] == c, e["value"].eqNullSafe(v)) for c, v in out.items() if PAYLOAD.get(c, (_LIST if c == "locations" else _TEXT,))[0] == _TEXT], *[F.when(e["field"] == c, F.array_contains(F.transform(v, F.lower), F.lower(e["value"]))) for c, v in out.items() if c == "locations" or c in LISTS], F.lit(False))
+    return out | {"provenance": F.array_distinct(F.filter(told, lambda e: F.coalesce(holds(e), F.lit(False))))}
 
 
 @dataclass
@@ -160,15 +191,31 @@ class Record:
     v: dict
     members: list = field(default_factory=list)
 
-    def buckets(self) -> list[tuple]:
+    def _keys(self, asks: bool) -> list[tuple]:
+        """The keys a record is found by or asks for: each is all that one rule needs. In a role a record with direct requisitions is found by each of them, and
+        by any record without; so it asks for its own requisitions and for records without."""
         v = self.v
         out = [("url", u) for u in v["urls"]]
-        if v["company_key"]:
-            out += [("id", v["company_key"], i) for i in v["ids"]]
-            if v["title_key"]:
-                out += [("role", v["company_key"], v["title_key"], p) for p in v["places"]]
+        company, title = v["company_key"], v["title_key"]
+        if company:
+            if v["provider_key"]:
+                out += [("provider", company, v["provider_key"], i) for i in v["ids"]]
+            if title:
+                for p in v["places"]:
+                    out += [("id", company, title, p, i) for i in v["ids"]]
+                    role = ("role", company, title, p)
+                    if asks:
+                        out += [(*role, i) for i in v["direct"]] + [(*role, None)] if v["direct"] else [role]
+                    else:
+                        out += [role, *((*role, i) for i in v["direct"] or (None,))]
         return out
 
+    def found_by(self) -> list[tuple]:
+        return self._keys(False)
+
+    def asks_for(self) -> list[tuple]:
+        return self._keys(True)
+
     def takes(self, other: Record) -> bool:
         a, b = self.v, other.v
         if not a["urls"].isdisjoint(b["urls"]):
@@ -180,8 +227,19 @@ class Record:
         return role and not (a["direct"] and b["direct"] and a["direct"].isdisjoint(b["direct"]))
 
 
-def _joined(a: list, b: list) -> list:
-    return list(dict.fromkeys([*a, *b]))
+def _key(x: str) -> str:
+    return x.lower().rstrip(".!;:")
+
+
+def _joined(a: list | None, b: list | None) -> list:
+    out: dict[str, str] = {}
+    for x in [*(a or ()), *(b or ())]:
+        out.setdefault(_key(x), x)
+    return list(out.values())
+
+
+def _quality(v: dict) -> int:
+    return v["base_quality"] + min(25, len(v["description"] or "") // 500) + len(v["required"] or ()) + len(v["preferred"] or ())
 
 
 def merge(a: Record, b: Record) -> None:
@@ -191,63 +249,140 @@ def merge(a: Record, b: Record) -> None:
     direct = p["posting_aggregator"] and not q["posting_aggregator"]
     v["company"], v["company_key"] = (q if direct else p)["company"], (q if direct else p)["company_key"]
     v["job_id"] = p["job_id"] if p["job_id"] is not None else q["job_id"]
-    v["locations"], v["skills"], v["places"] = _joined(p["locations"], q["locations"]), _joined(p["skills"], q["skills"]), p["places"] | q["places"]
+    v["locations"], v["places"] = _joined(p["locations"], q["locations"]), p["places"] | q["places"]
     job = {v["job_id"].lower()} if v["job_id"] else set()
     v["ids"], v["direct"] = p["url_ids"] | job, p["direct_url_ids"] | (set() if p["aggregator"] else job)
-    if len(p["description"] or "") < 100 <= len(q["description"] or ""):
-        v["description"] = q["description"]
-    v["relevance"], v["reason"] = max(p["relevance"], q["relevance"]), (p if p["relevance"] >= q["relevance"] else q)["reason"]
     if p["posting_aggregator"] != q["posting_aggregator"]:
         keep = not p["posting_aggregator"]
     else:
         keep = q["verified"] is None or (p["verified"] is not None and p["verified"] >= q["verified"])
-    v["sponsorship"] = (p if keep else q)["sponsorship"]
-    v["discovered"] = min((x for x in (p["discovered"], q["discovered"]) if x is not None), default=None)
-    v["verified"] = max((x for x in (p["verified"], q["verified"]) if x is not None), default=None)
-    v["quality"] = v["base_quality"] + min(25, len(v["description"] or "") // 500)
+    more = q["relevance"] is None or (p["relevance"] is not None and p["relevance"] >= q["relevance"])
+    some = lambda c: [x[c] for x in (p, q) if x[c] is not None]
+    for c, (_, rule) in PAYLOAD.items():
+        x, y = p[c], q[c]
+        if rule == "joined":
+            v[c] = _joined(x, y)
+        elif rule == "description":
+            v[c] = y if len(x or "") < 100 <= len(y or "") else x
+        elif rule == "first":
+            v[c] = x if x is not None else y
+        elif rule == "known":
+            v[c] = x if x not in (None, "unknown") else y if y is not None else x
+        elif rule == "longer":
+            v[c] = x if len(x or ()) >= len(y or ()) else y
+        elif rule == "policy":
+            v[c] = x if keep else y
+        elif rule == "relevance":
+            v[c] = x if more else y
+        elif rule == "earliest":
+            v[c] = min(some(c), default=None)
+        elif rule == "latest":
+            v[c] = max(some(c), default=None)
+    v["provenance"] = [e for e in dict.fromkeys([*(p["provenance"] or ()), *(q["provenance"] or ())]) if _holds(v, *e[:2])]
+    v["quality"] = _quality(v)
     a.v = v
     a.members += b.members
 
 
+def _holds(v: dict, field_: str, value: str | None) -> bool:
+    """Whether a piece of evidence still gives the field's value."""
+    own = v.get(field_) if field_ in ("company", "job_id", "locations") or field_ in PAYLOAD else None
+    if isinstance(own, list):
+        return value is not None and value.lower() in {x.lower() for x in own if isinstance(x, str)}
+    return field_ in ("company", "job_id") or PAYLOAD.get(field_, ("",))[0] == _TEXT if own == value else False
+
+
 def fold(rows: Iterator[dict]) -> list[Record]:
-    """Listings in order: each goes to the earliest record that takes it, which is merged and indexed anew, or begins one."""
+    """Listings in order: each goes to the earliest record that takes it, which is merged and indexed anew, or begins one.
+
+    What the index finds may have changed since, so it is asked; the least record of each key comes first, the next one only if it refuses.
+    """
     out: list[Record] = []
     index: dict[tuple, list[int]] = {}
     for v in rows:
         r = Record(v, [v["id"]])
-        possible = sorted({n for b in r.buckets() for n in index.get(b, ())})
-        home = next((n for n in possible if out[n].takes(r)), None)
+        heads = [(held[0], 0, held) for held in (index.get(k) for k in set(r.asks_for())) if held]
+        heapq.heapify(heads)
+        home, asked = None, -1
+        while heads and home is None:
+            n, at, held = heads[0]
+            if n != asked and out[n].takes(r):
+                home = n
+            asked = n
+            if at + 1 < len(held):
+                heapq.heapreplace(heads, (held[at + 1], at + 1, held))
+            else:
+                heapq.heappop(heads)
         if home is None:
             home = len(out)
             out.append(r)
         else:
             merge(out[home], r)
-        for b in out[home].buckets():
-            held = index.setdefault(b, [])
-            if home not in held:
-                held.append(home)
+        for k in out[home].found_by():
+            held = index.setdefault(k, [])
+            at = bisect.bisect_left(held, home)
+            if at == len(held) or held[at] != home:
+                held.insert(at, home)
     return out
 
 
+def merge_blocks(records: DataFrame) -> DataFrame:
+    """(id, block): blocks of described records that the ordered merge cannot leave.
+
+    A merge takes links and title from one record and may take the company from the other, so companies that share a link are one family; within
+    a family only a common title or requisition, and anywhere a common link, lead from one record to another. An employer's roles are blocks of their own, dealt over tasks.
+    """
+    named = records.filter("company_key <> ''")
+    shared = named.select("company_key", F.explode("urls").alias("value"))
+    family = components(shared, "company_key", "value").withColumnRenamed("block", "family")
+    known = records.select("id", "urls", "ids", "title_key", "company_key").join(family, "company_key", "left")
+    of = F.nullif(F.coalesce("family", "company_key"), F.lit(""))
+    role = F.when(F.col("title_key") != "", F.concat_ws("|", F.lit("role"), of, "title_key"))
+    values = F.concat(F.transform("urls", lambda u: F.concat(F.lit("url|"), u)), F.array(F.when(of.isNotNull(), role), F.concat(F.lit("="), F.col("id").cast("string"))), F.transform("ids", lambda i: F.when(of.isNotNull(), F.concat_ws("|", F.lit("id"), of, i))))
+    return components(known.select("id", F.explode(F.array_compact(values)).alias("value")), "id", "value")
+
+
 SETS = ("urls", "ids", "direct", "url_ids", "direct_url_ids", "places")
-_KEPT = {"company": "string", "title": "string", "posting_url": "string", "job_id": "string", "locations": "array<string>", **PAYLOAD}
+_KEPT = {"company": "string", "title": "string", "posting_url": "string", "job_id": "string", "locations": "array<string>", **{c: t for c, (t, _) in PAYLOAD.items()}}
 
 
 def deduplicated(records: DataFrame, block: str) -> DataFrame:
     """(merged_id, members, and the merged record's fields) by the ordered fold inside each block of described ``records``.
 
-    ``block`` is a column that merging cannot leave; ``base_quality`` a record's quality but for its description.
+    ``block`` is a column that merging cannot leave; ``base_quality`` a record's quality but for its description and requirements.
     """
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("id").astype(object).where(lambda x: x.notna(), None)
-        rows = df.to_dict("records")
+    columns = [*dict.fromkeys(["id", "base_quality", *SETS, "provider_key", "company_key", "title_key", "aggregator", "posting_aggregator", *_KEPT])]
+    out_names = ["merged_id", "members", *_KEPT]
+    schema = StructType.fromDDL("merged_id bigint, members array<bigint>, " + ", ".join(f"{c} {t}" for c, t in _KEPT.items()))
+    kinds = to_arrow_schema(schema)
+
+    def folded(rows: list[dict]) -> pa.RecordBatch:
         for v in rows:
             for c in SETS:
                 v[c] = set(v[c])
-            for c in ("locations", "skills"):
-                v[c] = list(v[c]) if v[c] is not None else []
-            v["quality"] = v["base_quality"] + min(25, len(v["description"] or "") // 500)
-        return pd.DataFrame([(int(r.members[0]), [int(i) for i in r.members], *[r.v[c] for c in _KEPT]) for r in fold(rows)], columns=["merged_id", "members", *_KEPT])
-
-    return records.groupBy(block).applyInPandas(run, "merged_id bigint, members array<bigint>, " + ", ".join(f"{c} {t}" for c, t in _KEPT.items()))
+            v["locations"] = v["locations"] or []
+            v["provenance"] = [(e["field"], e["value"], e["page"]) for e in v["provenance"] or ()]
+            v["quality"] = _quality(v)
+        found = fold(rows)
+        for r in found:
+            r.v["provenance"] = [dict(zip(("field", "value", "page"), e, strict=True)) for e in r.v["provenance"]]
+        data = {"merged_id": [r.members[0] for r in found], "members": [r.members for r in found]} | {c: [r.v[c] for r in found] for c in _KEPT}
+        return pa.RecordBatch.from_arrays([pa.array(data[c], kinds.field(c).type) for c in out_names], names=out_names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block and id: one block is held at a time."""
+        now, held = None, []
+        for b in batches:
+            for v in b.to_pylist():
+                if v["block"] != now and held:
+                    yield folded(held)
+                    held = []
+                now = v["block"]
+                held.append(v)
+        if held:
+            yield folded(held)
+
+    clean = {c: text.unique_items(F.col(c)) for c in ("locations", *LISTS)}
+    rows = records.withColumns(clean).select(F.col(block).alias("block"), *columns)
+    return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, schema)

@@ -78,6 +78,16 @@ def s14_source_filter(s, d):
 # ---- identity and lifecycle
 
 
+def _payload(i):
+    """The fields that a listing brings along, which differ by its number; some are missing."""
+    word = lambda name, n: F.concat(F.lit(name), (i % n).cast("string"))
+    lists = {c: F.when(i % k != 0, F.array(word(c, k), F.lit("Shared item."), F.lit("shared ITEM"))) for k, c in enumerate((c for c in ident.LISTS if c != "skills"), 2)}
+    rest = {c: F.when(i % k != 1, word(c, k)) for k, (c, (_, rule)) in enumerate(ident.PAYLOAD.items(), 3) if rule == "first"}
+    known = {c: F.when(i % k != 1, F.when(i % 2 == 0, F.lit("unknown")).otherwise(word(c, k))) for k, (c, (_, rule)) in enumerate(ident.PAYLOAD.items(), 3) if rule == "known"}
+    told = F.array(*[F.struct(F.lit(c).alias("field"), v.alias("value"), word("page", 9).alias("page")) for c, v in (("term", rest["term"]), ("salary", rest["salary"]), ("required", F.lit("shared item.")))])
+    return [v.alias(c) for c, v in (lists | rest | known | {"provenance": told}).items()]
+
+
 def _records(s, d):
     """Listings whose links, requisitions, roles and places repeat within their company: direct pages of four hosts and an aggregator's copies."""
     i, c, n = F.col("id"), F.concat(F.lit("c"), "company_id"), F.concat(F.lit("100"), (F.col("id") % 5).cast("string"))
@@ -88,7 +98,7 @@ def _records(s, d):
     return listing(s, d, heavy=True).select(
         "id", posting.alias("posting_url"), F.when(i % 8 == 2, board).otherwise(posting).alias("application_url"), F.lit(None).cast("string").alias("provider"), F.concat(c, F.lit(", Inc.")).alias("company"), title.alias("title"),
         F.array(F.when(F.floor(i / 3) % 2 == 0, "Toronto").otherwise("Austin")).alias("locations"), F.when(i % 3 == 0, F.concat(F.lit("R"), (i % 4).cast("string"))).alias("job_id"), "description", F.array(F.col("category"), F.coalesce("term", F.lit("none"))).alias("skills"),
-        "relevance", F.concat(F.lit("r"), F.col("relevance").cast("string")).alias("reason"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("sponsorship"), F.col("first_seen").alias("discovered"), F.col("last_seen").alias("verified"), (F.col("relevance") % 7).alias("base_quality"), "first_seen", "availability",
+        "relevance", F.concat(F.lit("r"), F.col("relevance").cast("string")).alias("reason"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("sponsorship"), F.col("first_seen").alias("discovered"), F.col("last_seen").alias("verified"), (F.col("relevance") % 7).alias("base_quality"), "first_seen", "availability", *_payload(i),
     )
 
 
@@ -119,21 +129,29 @@ def d3_first_wins(s, d):
 
 @query()
 def d4_dedup_fold(s, d):
-    """The merged records; blocks are components over links and companies."""
+    """The merged records; blocks are what merging cannot leave."""
     df = stored(ident.described(_records(s, d)))
-    keyed = df.select("id", F.explode(F.concat("urls", F.array("company_key"))).alias("value")).select("id", "value")
-    out = ident.deduplicated(df.join(components(keyed, "id", "value"), "id"), "block")
+    out = ident.deduplicated(df.join(ident.merge_blocks(df), "id"), "block")
     return out.select("merged_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "company", "posting_url", F.array_join("locations", ",").alias("locations"), F.array_join("skills", ",").alias("skills"), "relevance", "reason", "sponsorship", F.length("description").alias("n_description"), "discovered", "verified")
 
 
-@query(V("listing") + "SELECT id, CAST(CASE WHEN id % 6 IN (0, 1, 4) THEN 70 WHEN id % 6 = 3 THEN -35 WHEN id % 6 = 5 THEN 30 ELSE 0 END + least(25, CAST(floor(length(description) / 500.0) AS INT)) + 2 AS INT) AS quality FROM listing")
+@query(V("listing") + f"""SELECT id, CAST(points[1 + id % 5] + shown[1 + id // 5 % 5] + CASE WHEN id % 5 <> id // 5 % 5 THEN 15 ELSE 0 END + least(25, length(repeat(description, 12)) // 500) + relevance % 4 AS INT) AS quality
+FROM (SELECT *, [40, 0, -35, 0, 0] AS points, [30, 30, 0, 30, 30] AS shown FROM listing)""")
 def d5_quality_score(s, d):
-    return listing(s, d).select("id", ident.quality(F.col("url"), F.col("description"), F.lit(2)).alias("quality"))
+    """Forms and postings on hosts of five kinds, each with each; of the points above a form's host gives the first, a posting's the second."""
+    hosts = F.array(*[F.lit(f"https://{h}/1") for h in ("boards.greenhouse.io/a/jobs", "www.linkedin.com/jobs/view", "jobright.ai/jobs/info", "github.com/a/jobs", "careers.example.com/jobs")])
+    at = lambda c: F.get(hosts, (c % 5).cast("int"))
+    i = F.col("id")
+    return listing(s, d).select("id", ident.quality(at(F.floor(i / 5)), at(i), F.repeat("description", 12), F.col("relevance") % 4).cast("int").alias("quality"))
 
 
-_MERGE = _REC + """, w AS (SELECT *, relevance % 7 AS q, lead(id) OVER (PARTITION BY c ORDER BY id) AS nxt FROM rec), pq AS (SELECT CASE WHEN b.q > a.q THEN b ELSE a END AS p, CASE WHEN b.q > a.q THEN a ELSE b END AS s FROM w a JOIN w b ON b.id = a.nxt)
+_MERGE = _REC + """, w AS (SELECT *, relevance % 7 AS q, CASE WHEN id % 17 <> 1 THEN 'term' || id % 17 END AS term17, CASE WHEN id % 20 <> 1 THEN 'salary' || id % 20 END AS salary20, CASE WHEN id % 26 <> 1 THEN CASE WHEN id % 2 = 0 THEN 'unknown' ELSE 'student_status' || id % 26 END END AS student, CASE WHEN id % 4 <> 0 THEN ['required' || id % 4, 'Shared item.'] ELSE [] END AS req, lead(id) OVER (PARTITION BY c ORDER BY id) AS nxt FROM rec), pq AS (SELECT CASE WHEN b.q > a.q THEN b ELSE a END AS p, CASE WHEN b.q > a.q THEN a ELSE b END AS s FROM w a JOIN w b ON b.id = a.nxt)
 SELECT p.id AS id, s.id AS other, coalesce(upper(p.jid), upper(s.jid)) AS job_id, array_to_string(list_distinct3, ',') AS locations, CASE WHEN length(p.description) < 100 AND length(s.description) >= 100 THEN s.description ELSE p.description END AS description, CASE WHEN p.agg AND NOT s.agg THEN s.id ELSE p.id END AS company_of,
- greatest(p.relevance, s.relevance) AS relevance, 'r' || greatest(p.relevance, s.relevance) AS reason, CASE WHEN CASE WHEN p.agg <> s.agg THEN NOT p.agg ELSE p.last_seen >= s.last_seen END THEN 's' || (p.id % 3) ELSE 's' || (s.id % 3) END AS sponsorship, least(p.first_seen, s.first_seen) AS discovered, greatest(p.last_seen, s.last_seen) AS verified
+ greatest(p.relevance, s.relevance) AS relevance, 'r' || greatest(p.relevance, s.relevance) AS reason, CASE WHEN CASE WHEN p.agg <> s.agg THEN NOT p.agg ELSE p.last_seen >= s.last_seen END THEN 's' || (p.id % 3) ELSE 's' || (s.id % 3) END AS sponsorship, least(p.first_seen, s.first_seen) AS discovered, greatest(p.last_seen, s.last_seen) AS verified,
+ coalesce(p.term17, s.term17) AS term, coalesce(p.salary20, s.salary20) AS salary, coalesce(nullif(p.student, 'unknown'), s.student, p.student) AS student_status, array_to_string(list_concat(p.req, list_filter(s.req, lambda x: NOT list_contains(p.req, x))), ',') AS required,
+ CAST(len(list_distinct(list_filter([CASE WHEN p.term17 IS NOT DISTINCT FROM coalesce(p.term17, s.term17) THEN 't' || coalesce(p.term17, '') || p.id % 9 END, CASE WHEN s.term17 IS NOT DISTINCT FROM coalesce(p.term17, s.term17) THEN 't' || coalesce(s.term17, '') || s.id % 9 END,
+  CASE WHEN p.salary20 IS NOT DISTINCT FROM coalesce(p.salary20, s.salary20) THEN 's' || coalesce(p.salary20, '') || p.id % 9 END, CASE WHEN s.salary20 IS NOT DISTINCT FROM coalesce(p.salary20, s.salary20) THEN 's' || coalesce(s.salary20, '') || s.id % 9 END,
+  CASE WHEN len(p.req) + len(s.req) > 0 THEN 'r' || p.id % 9 END, CASE WHEN len(p.req) + len(s.req) > 0 THEN 'r' || s.id % 9 END], lambda x: x IS NOT NULL))) AS INT) AS n_provenance
 FROM (SELECT *, CASE WHEN p.place = s.place THEN [initcap1(p.place)] ELSE [initcap1(p.place), initcap1(s.place)] END AS list_distinct3 FROM pq)"""
 _MERGE = _MERGE.replace("initcap1(p.place)", "upper(p.place[1]) || p.place[2:]").replace("initcap1(s.place)", "upper(s.place[1]) || s.place[2:]")
 
@@ -150,7 +168,7 @@ def d6_field_merge(s, d):
     better = F.col("q2") > F.col("q")
     pairs = pairs.select(F.when(better, F.col("v2")).otherwise(F.col("v")).alias("p"), F.when(better, F.col("v")).otherwise(F.col("v2")).alias("s"))
     m = ident.merged_fields(F.col("p"), F.col("s"))
-    return pairs.select(F.col("p.id").alias("id"), F.col("s.id").alias("other"), m["job_id"].alias("job_id"), F.array_join(m["locations"], ",").alias("locations"), m["description"].alias("description"), m["company"].cast("bigint").alias("company_of"), *[m[c].alias(c) for c in ("relevance", "reason", "sponsorship", "discovered", "verified")])
+    return pairs.select(F.col("p.id").alias("id"), F.col("s.id").alias("other"), m["job_id"].alias("job_id"), F.array_join(m["locations"], ",").alias("locations"), m["description"].alias("description"), m["company"].cast("bigint").alias("company_of"), *[m[c].alias(c) for c in ("relevance", "reason", "sponsorship", "discovered", "verified", "term", "salary", "student_status")], F.array_join(m["required"], ",").alias("required"), F.size(m["provenance"]).alias("n_provenance"))
 
 
 _STORE = _REC + f""", n AS (SELECT * FROM rec WHERE availability = 'open'), o AS (SELECT * FROM rec WHERE availability = 'closed'), role AS (SELECT n.id, o.id AS old, n.place = o.place AS near FROM n JOIN o ON n.c = o.c AND n.role = o.role AND (n.app_agg <> o.app_agg OR (n.app_agg AND n.place = o.place))),
