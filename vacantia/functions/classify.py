@@ -303,15 +303,6 @@ def needs_clearance(c: Column) -> Column:
     return F.coalesce(F.exists(_about(c, "clearance"), lambda s: says(s, r"\b(?:security|secret|top[- ]secret|ts/sci)\s+clearance\b") & ~says(s, r"\b(?:no|not|without|isn't)\b[^.]{0,40}\bclearance\b|\bclearance\b[^.]{0,30}\bnot (?:required|needed|necessary)\b")), F.lit(False))
 
 
-def sponsorship(c: Column) -> Column:
-    """available, unavailable, conflict or unknown, from a text's sentences."""
-    denies = r"\b(?:no|not|unable to|cannot|without)\b[^.]{0,40}\bsponsor(?:ship)?\b|\bsponsorship\b[^.]{0,30}\b(?:not|un)\s?(?:available|offered|provided)\b"
-    offers = r"\bsponsorship\s+(?:is|will be)\s+(?:available|offered|provided)\b|\b(?:we|will|can)\s+sponsor\b"
-    said = F.transform(_about(c, "sponsor"), lambda s: F.when(says(s, denies), "no").when(says(s, offers), "yes").otherwise(""))
-    state = lambda x: F.when(F.array_contains(x, "yes") & F.array_contains(x, "no"), "conflict").when(F.array_contains(x, "no"), "unavailable").when(F.array_contains(x, "yes"), "available").otherwise("unknown")
-    return F.coalesce(let(said, state), F.lit("unknown"))
-
-
 def requirement(c: Column, topic: str) -> Column:
     """required, preferred, not_required, conflict or unknown: what the sentences on a topic say."""
     parts = F.filter(F.split(F.coalesce(c, F.lit("")), _SENTENCE), lambda s: says(s, topic))

@@ -65,28 +65,46 @@ def year_in(*texts: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(t, r"\b(20\d{2})\b", 1), F.lit("")) for t in texts]).cast("int")
 
 
-def deadline_ms(c: Column) -> Column:
-    """Milliseconds of a deadline: ISO, month/day/year, or a named month; a bare day ends at 23:59:59.999 UTC."""
-    text = F.trim(c)
-    iso = F.try_to_timestamp(F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d")), text))
-    numbers = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{4})", 1)
-    named = F.regexp_extract(text, rf"(?i)\b({MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+20\d{{2}})", 1)
-    tidy = F.regexp_replace(named, r"(?i)^([a-z]{3})[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(20\d{2})$", "$1 $2 $3")
-    day = F.coalesce(
-        F.try_to_timestamp(F.nullif(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})$", 1), F.lit("")), F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(F.nullif(numbers, F.lit("")), F.lit("M/d/yyyy")), F.try_to_timestamp(F.nullif(F.initcap(tidy), F.lit("")), F.lit("MMM d yyyy")),
+#: A time of day after a date, with its zone.
+CLOCK = r"(?i)\b(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?\s*(am|pm)?\b(?:\s*(UTC|GMT|EST|EDT|CST|CDT|MST|MDT|PST|PDT))?"
+
+
+def deadline_ms(c: Column, now_ms: Column) -> Column:
+    """Milliseconds of the date in a deadline: ISO at the beginning, month/day/year at the end, or a named month before or behind its day anywhere; a named
+    month without a year is of the year of ``now_ms``. What follows the date may give a time and a zone (UTC without one); a bare day ends at 23:59:59.999.
+    Days that the calendar lacks, and texts without a date, give null."""
+    text = F.trim(F.regexp_replace(c, r"\s+", " "))
+    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    whole = lambda x: F.try_to_number(x, F.lit("9999")).cast("int")
+    iso, numeric = r"^(\d{4})-(\d{2})-(\d{2})$", r"\b(\d{1,2})[/-](\d{1,2})[/-](20\d{2})([^\d].*)?$"
+    named, behind = rf"(?i)\b({MONTH})\s+(\d{{1,2}})(?!\d)(?:st|nd|rd|th)?(?:,?\s+(20\d{{2}}))?(.*)$", rf"(?i)\b(\d{{1,2}})\s+({MONTH})\b(?:\s+(20\d{{2}}))?(.*)$"
+    month = lambda x: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("int")
+    this_year = F.year(F.timestamp_millis(now_ms))
+
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    found = lambda year, month_, day, rest: F.struct(year.alias("year"), month_.alias("month"), day.alias("day"), F.coalesce(rest, F.lit("")).alias("rest"))
+
+    def at(p: Column) -> Column:
+        date = F.try_to_timestamp(F.concat_ws("-", p["year"].cast("string"), F.lpad(p["month"].cast("string"), 2, "0"), F.lpad(p["day"].cast("string"), 2, "0")), F.lit("yyyy-MM-dd"))
+        clock = let(F.array(*[F.nullif(F.regexp_extract(p["rest"], CLOCK, k), F.lit("")) for k in range(1, 6)]), lambda x: time_of(*[F.get(x, k) for k in range(5)]))
+        return F.unix_millis(date) + F.coalesce(clock, F.lit(DAY_MS - 1)).cast("bigint")
+
+    def time_of(hour: Column, minute: Column, second: Column, half: Column, zone: Column) -> Column:
+        hour, minute, second, half, zone = whole(hour), F.coalesce(whole(minute), F.lit(0)), F.coalesce(whole(second), F.lit(0)), F.lower(half), F.lower(zone)
+        hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+        shift = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for z in ZONES.items() for x in z]), F.coalesce(zone, F.lit("utc"))), F.lit(0))
+        return F.when((hour < 24) & (minute < 60) & (second < 60), (hour - shift) * 3_600_000 + minute * 60_000 + second * 1000)
+
+    like = lambda pattern: F.regexp_like(text, F.lit(pattern))
+    stamp = F.try_to_timestamp(F.when(like(r"^\d{4}-\d{2}-\d{2}[T ]\d"), text))
+    numbers = F.when(like(numeric), found(*[whole(part(numeric, k)) for k in (3, 1, 2)], part(numeric, 4)))
+    day = (
+        F.when(like(r"^\d{4}-\d{2}-\d{2}$"), found(*[whole(part(iso, k)) for k in (1, 2, 3)], F.lit("")))
+        .when(numbers["month"].between(1, 12) & numbers["day"].between(1, 31), numbers)
+        .when(like(named), found(F.coalesce(whole(part(named, 3)), this_year), month(part(named, 1)), whole(part(named, 2)), part(named, 4)))
+        .when(like(behind), found(F.coalesce(whole(part(behind, 3)), this_year), month(part(behind, 2)), whole(part(behind, 1)), part(behind, 4)))
     )
-    clock = F.regexp_extract(text, r"(?i)\b(\d{1,2}):(\d{2})\s*(am|pm)?", 1)
-    hour = F.try_to_number(F.nullif(clock, F.lit("")), F.lit("99")).cast("int")
-    half = F.lower(F.regexp_extract(text, r"(?i)\b(\d{1,2}):(\d{2})\s*(am|pm)?", 3))
-    minute = F.try_to_number(F.nullif(F.regexp_extract(text, r"(?i)\b(\d{1,2}):(\d{2})\s*(am|pm)?", 2), F.lit("")), F.lit("99")).cast("int")
-    hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
-    zone = F.lower(F.regexp_extract(text, r"\b(UTC|GMT|[ECMP][SD]T)\b", 1))
-    shift = F.lit(0)
-    for name, hours in ZONES.items():
-        shift = F.when(zone == name, F.lit(hours)).otherwise(shift)
-    at = F.when(hour.isNull(), F.lit(DAY_MS - 1)).otherwise((hour - shift) * 3_600_000 + minute * 60_000)
-    return F.coalesce(F.unix_millis(iso), F.unix_millis(day) + at.cast("bigint"))
+    return F.coalesce(F.unix_millis(stamp), let(day, at))
 
 
 def closing_soon(deadline: Column, now_ms: Column, within_ms: int = DAY_MS) -> Column:
@@ -116,7 +134,8 @@ def retry_delay(header: Column, now_ms: Column, attempt: Column, base_ms: int =
 # Explicit dates, durations and money in sentences.
 EXPLICIT_DATE = rf"(?:20\d{{2}}[-/]\d{{1,2}}(?:[-/]\d{{1,2}})?|{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+20\d{{2}})?|\d{{1,2}}\s+{MONTH}(?:\s+20\d{{2}})?|(?:today|yesterday|\d+\s+(?:hours?|days?|weeks?)\s+ago))"
 DURATION = r"(?:\d{1,2}(?:\s*(?:-|–|to)\s*\d{1,2})?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)[ -]?(?:week|month)s?"
-_PROGRAM, _SEASON = r"(?:internship|co-?op|placement|program)", r"(?:spring|summer|fall|autumn|winter)"
+_SEASON_WORDS = r"spring|summer|fall|autumn|winter"
+_PROGRAM, _SEASON = r"(?:internship|co-?op|placement|program)", rf"(?:{_SEASON_WORDS})"
 POSTED = rf"\b(?:posting date|date posted|posted(?: on)?)\s*:?\s*{EXPLICIT_DATE}\b"
 DEADLINE = rf"\b(?:application deadline|priority application date|apply by|applications? close|closing date)\s*:?\s*[^.\n]{{0,40}}\b{EXPLICIT_DATE}\b"
 LASTING = rf"\b(?:duration\s*:?\s*{DURATION}|{DURATION}[^.\n]{{0,35}}(?:internship|co-?op|placement|program)|(?:internship|co-?op|placement|program)[^.\n]{{0,35}}{DURATION}|from\s+{MONTH}\s+(?:to|through)\s+{MONTH})\b"
@@ -131,7 +150,7 @@ def temporal(title: Column, text: Column, sentences: Column) -> Column:
     """(term, year, duration, posted, deadline, salary) of a posting; the last four are whole sentences. ``sentences`` are those of the text."""
     none = lambda c: F.nullif(c, F.lit(""))
     first = lambda ss, p: F.try_element_at(F.filter(ss, lambda s: F.regexp_like(s, F.lit(f"(?i){p}"))), F.lit(1))
-    season = rf"(?i)\b({_SEASON[3:-1]})\b"
+    season = rf"(?i)\b({_SEASON_WORDS})\b"
     context = first(sentences, rf"\b{_PROGRAM}\b[^.]{{0,80}}\b{_SEASON}\b|\b{_SEASON}\b[^.]{{0,80}}\b{_PROGRAM}\b")
     term = F.initcap(F.coalesce(none(F.regexp_extract(title, season, 1)), none(F.regexp_extract(context, season, 1))))
     year = F.coalesce(none(F.regexp_extract(title, r"\b(20[2-3]\d)\b", 1)), *[none(F.regexp_extract(text, f"(?i){p}", 1)) for p in YEAR_CONTEXTS])

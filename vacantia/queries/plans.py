@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import sponsorship, urls
 from ..functions import classify as k
 from ..operators import aggregates as agg
 from ..operators import identity as ident
 from ..operators import relations as rel
 from ..operators import windows as win
-from ..operators.stage import components, stored
+from ..operators.stage import stored
 from ..plans import matching as match
 from ..plans import operations as ops
 from ..sources import extract
@@ -256,14 +256,14 @@ def d19_detail_enrichment(s, d):
 P = match.Preferences()
 _TERM = "CASE WHEN term IS NOT NULL AND year IS NOT NULL THEN CASE WHEN lower(term) || ':' || year IN ('summer:2027', 'fall:2027') THEN 30 ELSE 0 END WHEN lower(term) IN ('summer', 'fall') OR year IN ('2027') THEN 14 ELSE 0 END"
 _PLACE = "greatest(CASE WHEN region = 'AMERICA' AND nation = 'NATION_1' THEN 30 WHEN region = 'AMERICA' THEN 20 ELSE 0 END, CASE WHEN remote = 'remote' THEN 24 ELSE 0 END)"
-_STATE = "CASE WHEN term IS NULL THEN 'unknown' WHEN lower(term) IN ('summer', 'fall') THEN 'pass' ELSE 'fail' END AS c1, CASE WHEN region = 'AMERICA' OR remote = 'remote' THEN 'pass' ELSE 'fail' END AS c2, CASE WHEN contains(description, 'No visa sponsorship') THEN 'fail' WHEN contains(description, 'Sponsorship is available') THEN 'pass' ELSE 'unknown' END AS c3"
+_STATE = "CASE WHEN term IS NULL THEN 'unknown' WHEN lower(term) IN ('summer', 'fall') THEN 'pass' ELSE 'fail' END AS c1, CASE WHEN region = 'AMERICA' OR remote = 'remote' THEN 'pass' ELSE 'fail' END AS c2, CASE WHEN contains(description, 'No visa sponsorship') THEN 'fail' WHEN contains(description, 'Employer sponsorship is available') THEN 'pass' ELSE 'unknown' END AS c3"
 _ELIG = V("listing") + f", e AS (SELECT *, {_STATE} FROM listing), f AS (SELECT *, CASE WHEN 'fail' IN (c1, c2, c3) THEN 'not_eligible' WHEN 'unknown' NOT IN (c1, c2, c3) THEN 'eligible' ELSE 'likely_eligible' END AS status FROM e) "
 
 
 def _states():
     term = match.criterion(F.col("term").isNotNull(), F.lower("term").isin("summer", "fall"))
     place = match.criterion(F.lit(True), (F.col("region") == "AMERICA") | (F.col("remote") == "remote"))
-    offer = k.sponsorship(F.col("description"))
+    offer = sponsorship.state(F.col("description"))
     return F.array(term, place, match.criterion(offer.isin("available", "unavailable"), offer == "available", offer == "conflict"))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import classify as k
-from ..functions import dates, text, urls
+from ..functions import dates, sponsorship, text, urls
 from ..functions import requirements as req
 from ..plans import matching as match
-from ..sources.tables import listing, load
+from ..sources.tables import listing, load, spread
 from ..sources.tables import sql_views as V
 from .registry import query
 
@@ -204,12 +204,23 @@ def t1_posting_date(s, d):
     return df.select(F.col("o_orderkey").alias("id"), dates.posting_ms(raw, F.lit(NOW_MS)).alias("ms"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 OR year(o_orderdate) >= 2000 THEN epoch_ms(CAST(o_orderdate AS DATE)) + CASE WHEN o_orderkey % 4 = 3 THEN 17 * 3600000 + 4 * 3600000 ELSE 86399999 END END AS ms FROM orders")
+#: Ways to write a deadline: Spark's format and what stands round it, and the answer in the comparing engine's SQL over the day ``d`` (a day of 2026, given twice: with and without year).
+_DUE = [
+    ("yyyy-MM-dd", "{}", "e"), ("M/d/yyyy", "Apply by {}", "e"), ("MMMM d, yyyy", "Closing date: {}", "e"), ("MMM d, yyyy", "{} 5:00 PM EDT", "epoch_ms(d) + 21 * 3600000"), ("d MMMM yyyy", "Applications close {}.", "e"), ("d MMM", "before {}", "e"), ("MMMM d", "{}", "e"),
+    ("MM/dd/yyyy", "{}, 12:00 AM", "epoch_ms(d)"), ("d MMM yyyy", "until {} at 11:59 pm PST", "epoch_ms(d) + (23 + 8) * 3600000 + 59 * 60000"), ("M-d-yyyy", "{}", "e"), ("MMMM", "in {}", "NULL"), ("yyyy", "someday in {}", "NULL"), ("d/yyyy", "{}", "NULL"), ("'Feb 30,' yyyy", "{}", "NULL"),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "{}", "epoch_ms(d)"), ("MMMM d'th', yyyy", "{} 25:00", "e"), ("d'.' MMM yyyy", "{}", "NULL"), ("MMM d 'at' H", "{}", "epoch_ms(d)"),
+]
+
+
+@query(f"SELECT id, CASE k " + " ".join(f"WHEN {k} THEN {'epoch_ms(d) + 86399999' if x[2] == 'e' else x[2]}" for k, x in enumerate(_DUE)) + f" END AS ms FROM (SELECT o_orderkey AS id, o_orderkey % {len(_DUE)} AS k, TIMESTAMP '2026-01-01' + to_days(CAST(o_orderkey % 365 AS INT)) AS d FROM orders)")
 def t2_deadline(s, d):
-    """A named month needs a year from 2000; other years are no deadline."""
-    day = F.col("o_orderdate")
-    raw = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "M/d/yyyy")).when(F.col("o_orderkey") % 4 == 2, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "MMM d, yyyy '5:00 PM EDT'"))
-    return load(s, d, "orders").select(F.col("o_orderkey").alias("id"), dates.deadline_ms(raw).alias("ms"))
+    day = F.expr("timestamp_ntz'2026-01-01' + make_dt_interval(CAST(o_orderkey % 365 AS INT))")
+    raw = None
+    for n, (pattern, frame, _) in enumerate(_DUE):
+        before, after = frame.split("{}")
+        one = F.concat(F.lit(before), F.date_format(day, pattern), F.lit(after))
+        raw = F.when(F.col("o_orderkey") % len(_DUE) == n, one) if raw is None else raw.when(F.col("o_orderkey") % len(_DUE) == n, one)
+    return load(s, d, "orders").select(F.col("o_orderkey").alias("id"), dates.deadline_ms(raw, F.lit(1782864000000)).alias("ms"))
 
 
 @query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) - INTERVAL 2 MONTHS AS DATE) AS cutoff FROM orders")
@@ -455,9 +466,24 @@ def k12_requirement_state(s, d):
     return rows.select("id", *[req.state(F.col("ss"), t).alias(t) for t in req.TOPICS])
 
 
-@query(V("listing") + "SELECT id, CASE WHEN contains(description, 'No visa sponsorship') THEN 'unavailable' WHEN contains(description, 'Sponsorship is available') THEN 'available' ELSE 'unknown' END AS sponsorship FROM listing")
+#: Statements on sponsorship and the right to work: state, how many sentences offer and deny, and the right to work.
+_SPONSOR = [
+    ("Visa sponsorship will not be provided.", "unavailable", 0, 1, "unknown"), ("Sponsorship: available.", "available", 1, 0, "unknown"), ("We cannot provide visa sponsorship. Must be legally authorized to work in Canada.", "unavailable", 0, 1, "required"),
+    ("Employer sponsorship is available for eligible candidates.", "available", 1, 0, "unknown"), ("Sponsorship is available.", "unknown", 0, 0, "unknown"), ("Security clearance sponsorship is available.", "unknown", 0, 0, "unknown"), ("Visa sponsorship may be available.", "unknown", 0, 0, "unknown"),
+    ("Will you now or in the future require sponsorship?", "unknown", 0, 0, "unknown"), ("We provide sponsorship for campus events.", "unknown", 0, 0, "unknown"), ("The company will not pursue visa sponsorship for this position.", "unavailable", 0, 1, "unknown"), ("Candidates must not require U.S. Venture's sponsorship now.", "unavailable", 0, 1, "unknown"),
+    ("Visa sponsorship is available, but this employer will not provide it for this role.", "conflict", 1, 1, "unknown"), ("Immigration sponsorship will be provided. We do not sponsor visas.", "conflict", 1, 1, "unknown"), ("Visa sponsorship is available for select roles.", "unknown", 0, 0, "unknown"),
+    ("Our history includes offering visa sponsorship. We do not guarantee sponsorship for this role.", "unknown", 0, 0, "unknown"), ("The position does not require sponsorship.", "unknown", 0, 0, "unknown"), ("The right to work is preferred.", "unknown", 0, 0, "preferred"), ("This role does not require work authorization.", "unknown", 0, 0, "not_required"), ("", "unknown", 0, 0, "unknown"),
+]
+_FRAMES = [("Join us. ", " Benefits are good."), ("• Python\n• ", "\n• SQL"), ("", ""), ("We build robots!\n\n", "\nApply by June 30, 2027.")]
+
+
+@query(f"SELECT o_orderkey AS id, {_picked([x[1] for x in _SPONSOR], 'o_orderkey')} AS sponsorship, " + ", ".join(f"CAST({_picked([str(x[n]) for x in _SPONSOR], 'o_orderkey')} AS INT) AS {name}" for n, name in ((2, "n_offers"), (3, "n_denials"))) + f", {_picked([x[4] for x in _SPONSOR], 'o_orderkey')} AS authorization FROM orders")
 def k13_sponsorship(s, d):
-    return listing(s, d, heavy=True).select("id", k.sponsorship(F.col("description")).alias("sponsorship"))
+    """Statements in four kinds of surroundings."""
+    frame = lambda n: F.expr(_picked([x[n] for x in _FRAMES], "o_custkey"))
+    body = F.concat(frame(0), F.expr(_picked([x[0] for x in _SPONSOR], "o_orderkey")), frame(1))
+    rows = spread(load(s, d, "orders")).select(F.col("o_orderkey").alias("id"), sponsorship.evidence(body).alias("e"), sponsorship.state(body).alias("sponsorship"), sponsorship.work_authorization(body).alias("authorization"))
+    return rows.select("id", "sponsorship", F.size("e.available").alias("n_offers"), F.size("e.unavailable").alias("n_denials"), "authorization")
 
 
 #: Texts of pages, with the state and the reason that they mean (empty: an ordinary page).
@@ -514,9 +540,9 @@ def f6_excluded_title(s, d):
     return listing(s, d).select("id", k.excluded_title(F.col("title")).alias("reason"))
 
 
-@query(V("listing") + "SELECT id, CASE WHEN contains(description, 'No visa sponsorship') THEN CASE WHEN id % 24 = 6 THEN 'not_stated' ELSE 'unavailable' END WHEN contains(description, 'Sponsorship is available') THEN 'available' ELSE 'not_stated' END AS shown FROM listing")
+@query(V("listing") + "SELECT id, CASE WHEN contains(description, 'No visa sponsorship') THEN CASE WHEN id % 24 = 6 THEN 'not_stated' ELSE 'unavailable' END WHEN contains(description, 'Employer sponsorship is available') THEN 'available' ELSE 'not_stated' END AS shown FROM listing")
 def f17_sponsorship_shown(s, d):
-    state = k.sponsorship(F.col("description"))
+    state = sponsorship.state(F.col("description"))
     return listing(s, d).select("id", F.when((F.col("id") % 24 == 6) | (state == "unknown"), "not_stated").otherwise(state).alias("shown"))
 
 
@@ -550,14 +576,14 @@ def f27_acquisition(s, d):
     return listing(s, d, heavy=True).select("id", (~k.Weighted(k.WEIGHTS).rejects(F.col("title"), F.col("category"), F.col("description"))).alias("fetch"))
 
 
-@query(V("listing") + f"""SELECT id, {_IS} AND relevance >= 20 AS accepted, {_labels_sql(k.TECHNOLOGIES, 'description')} AS technologies, CASE WHEN contains(description, 'No visa sponsorship') THEN 'unavailable' WHEN contains(description, 'Sponsorship is available') THEN 'available' ELSE 'unknown' END AS sponsorship,
+@query(V("listing") + f"""SELECT id, {_IS} AND relevance >= 20 AS accepted, {_labels_sql(k.TECHNOLOGIES, 'description')} AS technologies, CASE WHEN contains(description, 'No visa sponsorship') THEN 'unavailable' WHEN contains(description, 'Employer sponsorship is available') THEN 'available' ELSE 'unknown' END AS sponsorship,
  {_labels_sql(k.CATEGORIES, "concat_ws(chr(10), title, description, '')")} AS categories, CASE WHEN contains(description, 'per hour') THEN 'Salary $30 - $40 per hour.' END AS salary, CASE WHEN contains(description, 'Apply by') THEN 'Apply by June 30, 2027.' END AS deadline FROM listing WHERE length(description) >= 80""")
 def k14_analyze(s, d):
     """The analysed listing: admission, technologies, categories, sponsorship and the sentences on pay and deadline, from one reading of its sentences."""
     t, b = F.col("title"), F.col("description")
     df = listing(s, d, heavy=True).filter(F.length(b) >= 80).select("id", "title", "description", "relevance", text.sentences(b).alias("ss"))
     df = df.select("*", dates.temporal(t, b, F.col("ss")).alias("when"))
-    return df.select("id", (k.is_placement(t, b) & (F.col("relevance") >= 20)).alias("accepted"), F.array_join(k.technologies(b), ",").alias("technologies"), k.sponsorship(b).alias("sponsorship"),
+    return df.select("id", (k.is_placement(t, b) & (F.col("relevance") >= 20)).alias("accepted"), F.array_join(k.technologies(b), ",").alias("technologies"), sponsorship.state(b).alias("sponsorship"),
                      F.array_join(k.labels(F.concat_ws("\n", t, b, F.lit("")), k.CATEGORIES), ",").alias("categories"), "when.salary", "when.deadline")
 
 

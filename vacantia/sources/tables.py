@@ -30,7 +30,7 @@ DESCRIPTIONS = [
     "Train machine learning models with PyTorch and CUDA.",
     "Accounts payable and financial reporting.",
     "Test automation with Selenium, Playwright and Cypress.",
-    "Fall or autumn placement; winter extension possible. Sponsorship is available.",
+    "Fall or autumn placement; winter extension possible. Employer sponsorship is available.",
     "",
 ]
 HOSTS = ["boards.greenhouse.io", "jobs.lever.co", "www.linkedin.com", "jobright.ai", "acme.wd5.myworkdayjobs.com", "careers.example.com"]
