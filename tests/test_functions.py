@@ -51,6 +51,11 @@ def test_urls(spark):
 NOW = 1_000_000_000_000
 
 
+def test_sanitized_posting_dates(spark):
+    given = [" 2 weeks ago ", "3 days ago" + "x" * 300, "3 days ago self.__next_f.push", "2d className", "text " * 60, "", "  ", None, "6 minutes ago $L12", "a" * 240, "a" * 241]
+    assert one(spark, lambda c: dates.sanitized(c, F.lit("f")), *given) == ["2 weeks ago", "f", "3 days ago", "2d", "f", "f", "f", "f", "f", "a" * 240, "f"]
+
+
 def test_dates(spark):
     day = dates.DAY_MS
     given = ["today", "Tomorrow", "yesterday", "3 days ago", "Posted: 2w", "1mo", "5m", "2001-01-01", "2001-01-01T06:00:00Z", "n/a", "", None, "soon", "2 years ago"]

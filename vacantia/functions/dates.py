@@ -65,6 +65,18 @@ def year_in(*texts: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(t, r"\b(20\d{2})\b", 1), F.lit("")) for t in texts]).cast("int")
 
 
+# Marks of a page's serialized state, and a relative date at the beginning.
+SERIALIZED = r"(?:self\.__next_f|dangerouslySetInnerHTML|job-tag--|className|children|\$L\d+)"
+LEADING_AGE = r"^(?:today|yesterday|\d+\s*(?:hours?|days?|weeks?)\s+ago|\d+\s*[dwmy])\b"
+
+
+def sanitized(c: Column, fallback: Column) -> Column:
+    """A stored posting date as it is if it is short and no serialized page, else the age at its beginning, else ``fallback``; that for null and blank too."""
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = (F.length(text) <= 240) & ~F.regexp_like(text, F.lit(f"(?i){SERIALIZED}"))
+    return F.when(text.isNull() | (text == ""), fallback).when(whole, text).otherwise(F.coalesce(F.nullif(F.regexp_extract(text, f"(?i){LEADING_AGE}", 0), F.lit("")), fallback))
+
+
 #: A time of day after a date, with its zone.
 CLOCK = r"(?i)\b(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?\s*(am|pm)?\b(?:\s*(UTC|GMT|EST|EDT|CST|CDT|MST|MDT|PST|PDT))?"
 

@@ -151,11 +151,12 @@ def j9_identity_with_guard(s, d):
 
 
 @query(_REC + """SELECT id, unnest(list_sort(list_distinct(list_concat(['role:' || c || '|' || role || '|' || place, 'role-city:' || c || '|' || role || '|' || place, 'role-location:' || c || '|' || role || '|' || place], list_transform(ids, lambda x: 'provider-job:' || provider || '|' || c || '|' || x),
+ CASE id % 4 WHEN 0 THEN ['url:https://boards.greenhouse.io/' || c || '/jobs/' || n] WHEN 1 THEN ['url:https://jobs.lever.co/' || c || '/' || n, 'url:https://jobs.lever.co/' || c || '/' || n || '/apply'] WHEN 2 THEN list_filter(['url:https://jobright.ai/info/z' || id || 'z', CASE WHEN id % 8 = 2 THEN 'url:https://boards.greenhouse.io/' || c || '/jobs/' || n END], lambda x: x IS NOT NULL) ELSE ['url:https://www.careers.example.com/jobs/' || n || '?team=' || c] END,
  list_transform(list_filter([jid], lambda x: x IS NOT NULL), lambda x: 'job:' || c || '|' || x), list_transform(list_filter([nid], lambda x: x IS NOT NULL), lambda x: 'embedded:' || c || '|' || x))))) AS key FROM rec""")
 def d14_action_identities(s, d):
-    """Every alias of a listing that an action on it covers: role with all, one and the raw places, providers' requisitions, its own job id and ids embedded in links."""
+    """Every alias of a listing that an action on it covers: links, role with all, one and the raw places, providers' requisitions, its own job id and ids embedded in links."""
     df = ident.described(_records(s, d))
-    return df.select("id", F.explode(ident.action_keys()).alias("key")).filter(~F.startswith("key", F.lit("url:")))
+    return df.select("id", F.explode(ident.action_keys()).alias("key"))
 
 
 @query(_REC + f""", st AS (SELECT * FROM rec WHERE id % 4 <> 2), bo AS (SELECT * FROM rec WHERE id % 4 = 2), hit AS (SELECT b.id, min(a.id) AS home FROM bo b JOIN st a ON a.c = b.c WHERE list_has_any(a.urls, b.urls) OR (list_has_any(a.ids, b.ids) AND (a.provider = b.provider OR (a.role = b.role AND a.place = b.place))) OR (a.role = b.role AND a.place = b.place AND NOT {_APART.format(a='a', b='b')}) GROUP BY b.id)

@@ -47,7 +47,7 @@ def s6_extractor_dispatch(s, d):
 @query(V("listing") + "SELECT id AS page_id, title, company, nation AS location, url, strftime(posted_at, '%Y-%m-%d') AS posted FROM listing WHERE id % 3 = 0")
 def s7_jsonld(s, d):
     """All pages are read; only every third has such data."""
-    return extract.postings(_pages(s, d), (extract.structured,)).select("page_id", "title", "company", "location", "url", "posted")
+    return extract.structured_postings(_pages(s, d)).select("page_id", "title", "company", "location", "url", "posted")
 
 
 @query(V("listing") + "SELECT id AS page_id, title FROM listing WHERE id % 3 = 2")
@@ -66,7 +66,7 @@ def s9_markdown_table(s, d):
 
 @query(V("listing") + "SELECT id AS page_id, title, company, location FROM listing WHERE id % 3 = 1")
 def s10_page_state(s, d):
-    return extract.postings(_pages(s, d), (extract.page_state,)).select("page_id", "title", "company", "location")
+    return extract.state_postings(_pages(s, d)).select("page_id", "title", "company", "location")
 
 
 @query(V("listing") + "SELECT id FROM listing WHERE region IN ('AMERICA', 'ASIA') AND year IN ('2027')")

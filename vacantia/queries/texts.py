@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 from ..functions import classify as k
 from ..functions import dates, sponsorship, text, urls
 from ..functions import requirements as req
+from ..operators import nested
 from ..plans import matching as match
 from ..sources.tables import listing, load, spread
 from ..sources.tables import sql_views as V
@@ -270,10 +271,15 @@ def t6_seasons(s, d):
     return listing(s, d).select("id", F.array_join(dates.seasons(F.concat_ws("\n", "title", "description", "term")), ",").alias("seasons"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 240 THEN trim(text) ELSE 'none' END AS kept FROM documents WHERE NOT contains(text, 'children') AND text = trim(text) AND NOT regexp_matches(text, '^\\s|\\s$')")
+_AGES = ["", "3 Days ago ", "{className: 1} ", "Yesterday, self.__next_f ", "12w children ", "6 minutes ago $L1 ", "\n today. "]
+
+
+@query(rf"""SELECT doc_id, CASE WHEN t = '' THEN 'none' WHEN length(t) <= 240 AND k NOT IN (2, 3, 4, 5) AND NOT regexp_matches(t, '(?i)className|children|job-tag--|\$L\d') THEN t WHEN k = 1 THEN '3 Days ago' WHEN k = 3 THEN 'Yesterday' WHEN k = 4 THEN '12w' WHEN k = 6 THEN 'today' ELSE 'none' END AS kept
+FROM (SELECT doc_id, doc_id % 7 AS k, regexp_replace({_picked(_AGES, "doc_id")} || coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)""")
 def t7_sanitized(s, d):
-    df = docs(s, d).filter(~F.contains("text", F.lit("children")) & (F.trim("text") == F.col("text")) & ~F.regexp_like("text", F.lit(r"^\s|\s$")))
-    return df.select("doc_id", F.when(F.length("text") <= 240, F.trim("text")).otherwise(F.lit("none")).alias("kept"))
+    """Every document's text behind a beginning of seven kinds."""
+    raw = F.concat(F.expr(_picked(_AGES, "doc_id")), F.coalesce("text", F.lit("")))
+    return docs(s, d).select("doc_id", dates.sanitized(raw, F.lit("none")).alias("kept"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (event_id % 90) * 1000 ELSE CAST(least(60000, 1000 * pow(2, event_id % 9)) AS BIGINT) END AS wait_ms FROM events")
@@ -323,16 +329,33 @@ def y3_json_path(s, d):
     return load(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query(V("listing") + "SELECT id, length(concat_ws(chr(10), title, description, term, year)) AS n FROM listing")
+@query(V("listing") + """SELECT id, CASE id % 4 WHEN 0 THEN concat_ws(chr(10), title, region, nation, remote) WHEN 1 THEN concat_ws(chr(10), company, location, title) WHEN 2 THEN title ELSE concat_ws(chr(10), description, term, year) END AS text FROM listing WHERE id % 9 <> 4 AND (id % 4 <> 3 OR description <> '' OR term IS NOT NULL OR year IS NOT NULL OR description IS NOT NULL)""")
 def y4_flattened_text(s, d):
-    nested = F.array(F.array("title", "description"), F.array("term", "year"))
-    return listing(s, d).select("id", F.length(F.array_join(F.array_compact(F.flatten(nested)), "\n")).cast("bigint").alias("n"))
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) % 7 AS second FROM events")
+    """All strings of JSON of four shapes, up to seven levels deep; numbers, truth values and nulls are no text, and a broken body has none."""
+    deep = lambda c, n: c if not n else F.array(deep(c, n - 1))
+    shapes = [
+        F.to_json(F.struct(F.array("title").alias("a"), F.struct(F.struct(F.array("region", "nation").alias("x"), F.lit(1).alias("n")).alias("in"), F.struct(F.array(F.struct("remote")).alias("y")).alias("out")).alias("b"))),
+        F.to_json(F.array(F.struct("company"), F.struct(F.col("location").alias("company")), F.struct(F.col("title").alias("company")))), F.to_json(deep(F.col("title"), 6)),
+        F.to_json(F.struct(F.col("description").alias("a"), F.struct("term", F.struct(F.col("year").alias("y"), F.lit(True).alias("t")).alias("year")).alias("b"))),
+    ]
+    body = F.coalesce(*[F.when(F.col("id") % 4 == k, c) for k, c in enumerate(shapes)])
+    rows = listing(s, d).select("id", F.when(F.col("id") % 9 == 4, F.concat(F.lit("{"), body)).otherwise(body).alias("json"))
+    return nested.texts(rows, ["id"], "json")
+
+
+@query("""WITH e AS (SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS INT) % 7 AS k, event_id % 6 AS m FROM events)
+SELECT id, CASE m WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN 'Item ' || (k + 1) WHEN 2 THEN 'x y' WHEN 5 THEN 'true' END AS found, CASE m WHEN 0 THEN 'a[1].b' WHEN 1 THEN 'list[' || (k + 1) || ']' WHEN 2 THEN 'deep.in[0].c d' WHEN 3 THEN 'range' END AS stands FROM e""")
 def y5_path_resolve(s, d):
-    made = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("b")), F.struct((F.get_json_object("props", "$.k").cast("int") % 7).alias("b"))).alias("a")))
-    return load(s, d, "events").select("event_id", F.get_json_object(made, "$.a[1].b").cast("int").alias("second"))
+    """Paths and evidence that differ by row: what stands at the path, and where the evidence stands after its list has changed."""
+    k, m = (F.get_json_object("props", "$.k").cast("int") % 7), F.col("event_id") % 6
+    items = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda x: F.concat(F.lit("Item "), x.cast("string")))
+    made = F.to_json(F.struct(F.array(F.struct(F.lit(77).alias("b")), F.struct(k.alias("b"))).alias("a"), items.alias("list"), F.struct(F.array(F.struct(F.lit("x y").alias("c d"))).alias("in")).alias("deep"), F.struct(k.alias("min"), (k + 2).alias("max")).alias("range"), F.lit(True).alias("flag")))
+    pick = lambda *cs: F.coalesce(*[F.when(m == n, c) for n, c in enumerate(cs)])
+    text_ = lambda c: c.cast("string")
+    path = pick(F.lit("a[1].b"), F.concat(F.lit("list["), text_(k + 1), F.lit("]")), F.lit("deep.in[0].c d"), F.lit("range"), F.lit("list[99]"), F.lit("flag"))
+    rows = load(s, d, "events").select(F.col("event_id").alias("id"), F.try_parse_json(made).alias("v"), path.alias("path"), pick(F.lit("a[0].b"), F.lit("list[0]"), F.lit("deep.in[3].c d"), F.lit("range"), F.lit("nowhere"), F.lit("list[2]")).alias("was"),
+                                       pick(text_(k), F.concat(F.lit(" ITEM-"), text_(k + 1)), F.lit("X, y"), F.concat_ws("-", text_(k), text_(k + 2)), F.lit("q"), F.lit("Item 77")).alias("said"))
+    return rows.select("id", nested.resolved(F.col("v"), F.col("path")).alias("found"), nested.realigned(F.col("v"), F.col("was"), F.col("said")).alias("stands"))
 
 
 @query(V("listing") + "SELECT id, CASE WHEN remote = 'unknown' THEN lower(coalesce(term, 'none')) ELSE remote END AS chosen FROM listing")

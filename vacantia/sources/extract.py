@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fragment_text
+from ..operators.nested import nodes
 from .selectors import scan
 
 FIELDS = ["title", "company", "location", "url", "posted"]
@@ -97,6 +98,37 @@ def postings(pages: DataFrame, readers: tuple[Callable[[str], list[dict]], ...]
     return pages.filter(may).select(F.col("page_id").cast("bigint"), "html").mapInArrow(run, schema)
 
 
+def _scripts(pages: DataFrame, mark: str) -> DataFrame:
+    """(page_id, script, json) of a page's scripts with that mark."""
+    inner = F.regexp_extract_all("html", F.lit(rf"(?is)<script\b[^>]*{mark}[^>]*>(.*?)</script\s*>"), F.lit(1))
+    rows = pages.filter(F.regexp_like("html", F.lit(f"(?i){mark}"))).select(F.col("page_id").cast("bigint").alias("page_id"), F.posexplode(inner).alias("script", "raw"))
+    plain = F.trim(F.regexp_replace("raw", r"^\s*<!--|-->\s*$", ""))
+    return rows.select("page_id", "script", F.when(F.startswith(plain, F.lit("&")), F.replace(F.replace(plain, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))).otherwise(plain).alias("json"))
+
+
+def _named(v: Column, field: str) -> Column:
+    """A field's text: its own, or the name or place inside it; of several the first."""
+    inside = ["", ".name", ".addressLocality", ".address", ".address.addressLocality", ".address.name"]
+    each = [F.try_variant_get(v, F.lit(f"$.{field}{first}{x}"), "string") for x in inside for first in ("", "[0]")]
+    return F.coalesce(*[F.when(~F.regexp_like(c, F.lit(r"^[\[{]")), c) for c in each])
+
+
+def structured_postings(pages: DataFrame) -> DataFrame:
+    """(page_id, place, title, company, location, url, posted): job postings in JSON-LD, however deep, without Python; malformed scripts have none."""
+    found = nodes(_scripts(pages, r"application/ld\+json"), ["page_id", "script"], "json").filter("kind = 'object'")
+    types = F.coalesce(F.try_variant_get("value", "$['@type']", "array<string>"), F.array(F.try_variant_get("value", "$['@type']", "string")))
+    v = F.col("value")
+    return found.filter(F.array_contains(types, "JobPosting")).select("page_id", F.concat(F.array("script"), "place").alias("place"), _named(v, "title").alias("title"), _named(v, "hiringOrganization").alias("company"), _named(v, "jobLocation").alias("location"), _named(v, "url").alias("url"), _named(v, "datePosted").alias("posted"))
+
+
+def state_postings(pages: DataFrame) -> DataFrame:
+    """(page_id, place, title, company, location, url, posted): objects with a title and a company in a page's serialized state, without Python."""
+    found = nodes(_scripts(pages, "id=[\"']__NEXT_DATA__[\"']"), ["page_id", "script"], "json").filter("kind = 'object'")
+    v = F.col("value")
+    has = lambda f: F.try_variant_get(v, F.lit(f"$.{f}"), "variant").isNotNull()
+    return found.filter(has("title") & has("company")).select("page_id", F.concat(F.array("script"), "place").alias("place"), *[_named(v, f).alias(f) for f in FIELDS])
+
+
 def table_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, company, title, location): rows of Markdown tables ``| company | title | location |`` by SQL functions.
 
