@@ -15,6 +15,7 @@ from ..plans import eligibility, feed
 from ..sources import sinks
 from ..sources.tables import listing, load
 from ..sources.tables import sql_views as V
+from ..streaming import leases
 from ..streaming import sightings as stream
 from .registry import query
 
@@ -147,6 +148,53 @@ def x5_keyed_state(s, d):
     return win.first_of(s.read.parquet(f"{out}/*"), ["id"], F.desc("batch")).select("id", "first_run", "last_run", "misses")
 
 
+_HOUR = 3_600_000
+
+
+def _by_time(s: SparkSession, d: str, parts: int = 3) -> str:
+    """The events as files of a landing folder, by time."""
+    path = folder(s)
+    load(s, d, "events").repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.option("maxRecordsPerFile", 1_000_000).parquet(path)
+    return path
+
+
+def _leases(s: SparkSession, d: str, lease_ms: int, final: bool) -> DataFrame:
+    out = folder(s)
+    rows = s.readStream.schema(_schema(s, d)).parquet(_by_time(s, d)).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    with leases.timed_state(s):
+        leases.leased(rows, lease_ms, final, "1 hour").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", folder(s)).trigger(availableNow=True).start().awaitTermination()
+    return leases.latest(s.read.parquet(out))
+
+
+_GAPS = "WITH e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events), w AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS mark FROM events), g AS (SELECT *, CASE WHEN nxt IS NULL THEN t + {lease} <= mark ELSE nxt - t > {lease} END AS ends FROM e, w) "
+
+
+@query(_GAPS.format(lease=72 * _HOUR) + f"SELECT id, min(t) AS first_ms, max(t) AS last_ms, max(CASE WHEN ends AND nxt IS NULL THEN t + {72 * _HOUR} END) AS ended_ms, count_if(ends) AS times FROM g GROUP BY id")
+def x5_timed_state(s, d):
+    """Listings that close by a timer 72 hours after they were last seen, and open again when they are seen: state over the stream."""
+    return _leases(s, d, 72 * _HOUR, False)
+
+
+@query(_GAPS.format(lease=36 * _HOUR) + f"SELECT id, CASE WHEN count_if(ends) > 0 THEN 'FAILED' ELSE 'RUNNING' END AS status, min(CASE WHEN ends THEN t + {36 * _HOUR} END) AS failed_ms FROM g GROUP BY id")
+def x7_lease_timers(s, d):
+    """Runs that fail by a timer 36 hours after their last heartbeat, and stay failed."""
+    out = _leases(s, d, 36 * _HOUR, True)
+    return out.select("id", F.when(F.col("times") > 0, "FAILED").otherwise("RUNNING").alias("status"), F.col("ended_ms").alias("failed_ms"))
+
+
+@query("""SELECT DISTINCT user_id % 20 AS source_id, event_id // 3 AS identity, CASE WHEN event_id // 3 % 7 = 0 THEN 'new' WHEN event_id // 3 % 7 = 1 THEN 'retryable' WHEN event_id // 3 % 2 = 0 AND event_id // 3 % 3 > 0 THEN 'unchanged' ELSE 'possibly_changed' END AS change FROM events""")
+def x3_stream(s, d):
+    """Sightings of micro-batches, repeated within and across them, each once with its change against the stored listings."""
+    out, k = folder(s), F.floor(F.col("event_id") / 3)
+    rows = s.readStream.schema(_schema(s, d)).option("maxFilesPerTrigger", 1).parquet(_by_time(s, d))
+    rows = rows.select(F.lit(1).alias("run_id"), (F.col("user_id") % 20).alias("source_id"), k.alias("identity"), F.col("ts").cast("timestamp").alias("at"), F.lit("h").alias("hash"))
+    i = F.col("identity")
+    known = load(s, d, "events").select(k.alias("identity")).distinct().filter(i % 7 != 0).select("identity", F.when(i % 2 == 0, "h").otherwise("x").alias("hash"), (i % 3 > 0).alias("is_open"), (i % 7 == 1).alias("retry"))
+    stream.sighting_changes(rows, known, "40 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(s)).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).select("source_id", "identity", "change")
+
+
 @query("SELECT page_id, page_id % 8 IN (5, 6, 7) AS public FROM pages")
 def l8_public_address(s, d):
     hosts = ["http://localhost/x", "http://10.1.2.3/", "http://192.168.0.1:80/", "http://172.20.0.1", "http://printer/", "http://172.32.0.1/", "https://example.com/", "http://8.8.8.8"]

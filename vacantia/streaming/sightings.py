@@ -31,6 +31,18 @@ def distinct_sightings(df: DataFrame) -> DataFrame:
     return first_of(df, ["run_id", "source_id", "identity"], F.col("seq"))
 
 
+def sighting_changes(rows: DataFrame, known: DataFrame, delay: str) -> DataFrame:
+    """(run_id, source_id, identity, at, change) over a stream of sightings (``run_id``, ``source_id``, ``identity``, ``at``, ``hash``): the first that arrives of
+    each run, source and identity, against the stored listings ``known`` (``identity``, ``hash``, ``is_open``, ``retry``).
+
+    What has been seen is forgotten once the watermark has passed it by ``delay``; later repetitions are then too late and dropped as well.
+    """
+    first = rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["run_id", "source_id", "identity"])
+    n, o = first.alias("n"), known.alias("o")
+    change = changed(F.col("o.identity").isNotNull(), validators_match("n", "o", "hash"), F.coalesce("o.is_open", F.lit(False)), F.coalesce("o.retry", F.lit(False)))
+    return n.join(o, F.col("n.identity") == F.col("o.identity"), "left").select("n.run_id", "n.source_id", "n.identity", "n.at", change.alias("change"))
+
+
 def tumbling(df: DataFrame, at: str, key: str, size: str = "15 minutes") -> DataFrame:
     """Rows of each key and window; works on batches and, with a watermark, on streams."""
     return df.groupBy(F.window(at, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("start_ms"), key, "n")
