@@ -1,13 +1,15 @@
 """Main text of web pages by minimum cut.
 
 A page is read once from front to back into elements and blocks (text between block-level tags). The graph of the cut has a
-node for each block and one for each element whose tag, role or names mark it as the article or as boilerplate.
+node for each block; tags, roles and names of the elements round it mark it as the article's or as boilerplate.
 
 * Terminal capacities: a block's are the log-odds that a linear classifier gives its text (share of links, words, sentence end,
-  kind of tag, notice of rights), at most ``MOST`` either way; a marked element is tied to its side.
-* Smoothness edges: adjacency between blocks in page order, DOM proximity between blocks whose elements are siblings or cousins,
-  and between a block and the nearest marked element round it. The last is stronger than all others of a block together, so
-  marks hold where they are and text and neighbours decide where none is.
+  kind of tag, notice of rights), at most ``MOST`` either way, and those of the marked elements round it: ``ARTICLE`` for an article, less ``STRONG`` or
+  ``SOFT`` for the worst sign of boilerplate, and only ``WEAK`` for a name inside an article that might as well be its subject. An element that holds
+  most of the text cannot well be boilerplate, so its cost shrinks with the fourth power of its share (not where the tag itself says what it is).
+* Smoothness edges: adjacency between blocks in page order, and DOM proximity between blocks whose elements are siblings or cousins.
+
+All are costs of one size, and none is a tie: text outweighs a weak name, a strong name outweighs text, and neighbours decide where these are close.
 
 The cut of least cost comes from a maximum flow on every page; blocks on the side of the content are joined in page order.
 
@@ -16,9 +18,7 @@ a sample of pages whose marks tell their label: the ``SAMPLE_PAGES`` pages of le
 each, weighing as ``SAMPLE_WEIGHT`` blocks together.
 
 Names. Of a class or id like ``content-sidebar-wrap`` the last word that is not generic counts; ``has-comments``, ``no-ads`` or
-``wp-share-enabled`` say nothing of the element itself. A boilerplate name does not condemn an element that holds half
-of the article's text (of a page without marked article: most of its text), unless it names comments. An article's
-own header is part of it; a page's header goes, with a heading in it.
+``wp-share-enabled`` say nothing of the element itself. An article's own header is part of it; a page's header goes, with a heading in it.
 
 Cases: a null or empty html gives an empty text. Malformed markup (missing end tags, stray ``<``, unclosed quotes, comments or
 scripts) is read as far as it goes; a tag that never ends is text. Very long pages are read whole, in linear time. Rows are
@@ -69,6 +69,11 @@ BOILERPLATE_NAMES = COMMENT_NAMES | {
 }
 #: These words tell wherever they stand in a name; those of ``STATES`` make a name say nothing of its element.
 TELLING_NAMES = {"cookie", "cookies", "gdpr", "advert", "adverts", "advertisement", "sponsored", "related", "recommended", "newsletter", "disqus", "taboola", "outbrain", "paywall"}
+#: Names that are strong signs inside an article too.
+STRONG_NAMES = COMMENT_NAMES | {
+    "ad", "ads", "adbox", "adsense", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "disqus", "gdpr", "modal", "nav", "navbar", "newsletter", "outbrain", "pager", "pagination",
+    "paywall", "popup", "share", "sharing", "sidebar", "signup", "social", "sponsored", "subscribe", "subscription", "taboola",
+}
 STATES = {"has", "with", "no", "without", "is", "not", "js", "enabled", "disabled", "hide", "show", "supports", "wp"}
 GENERIC = {"wrap", "wrapper", "container", "inner", "outer", "area", "box", "block", "section", "list", "item", "items", "row", "col", "left", "right", "top", "bottom", "text", "body", "content", "links", "buttons", "button", "bar", "unit", "slot", "panel", "zone", "region", "site", "page", "global", "primary", "secondary", "desktop", "mobile", "v", "x"}
 _SMALL_END = re.compile(r"(?:footer|sidebar|navbar|menu|advert|adverts|comments|newsletter|cookies)$")
@@ -77,13 +82,14 @@ _RIGHTS = re.compile(r"(?i)^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b"
 _STOPS = tuple(".!?:\"'”»…。！？")
 #: Weights of a block's features before the fit (one, share of links, log of words, sentence end, rights, heading, paragraph, item), and how many are fitted.
 PRIOR, FITTED = (-0.4, -4.0, 0.6, 1.0, -4.0, 0.6, 0.9, -0.6), 5
-MOST, NEXT_EDGE, SIBLING_EDGE, COUSIN_EDGE, MARK_EDGE, TIED = 3.0, 0.4, 0.4, 0.2, 6.5, 1e9
+MOST, NEXT_EDGE, SIBLING_EDGE, COUSIN_EDGE = 3.0, 0.4, 0.4, 0.2
+ARTICLE, STRONG, SOFT, WEAK = 3.0, 8.0, 4.5, 1.5
 
 
 @lru_cache(8192)
 def _named(names: str) -> tuple[bool, bool, bool]:
-    """Whether a class or id (as written) names an article, boilerplate, comments."""
-    good = bad = comments = False
+    """Whether a class or id (as written) names an article, boilerplate, and that strongly."""
+    good = bad = strong = False
     for name in names.split():
         words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
         if not words or STATES & set(words):
@@ -95,41 +101,42 @@ def _named(names: str) -> tuple[bool, bool, bool]:
         if TELLING_NAMES & set(words) or kind in BOILERPLATE_NAMES:
             if not (kind == "header" and ARTICLE_NAMES & set(words)):  # an entry's own header
                 bad = True
-                comments = comments or kind in COMMENT_NAMES or "disqus" in words
+                strong = strong or kind in STRONG_NAMES or bool(STRONG_NAMES & TELLING_NAMES & set(words))
         elif kind in ARTICLE_NAMES:
             good = True
-    return good, bad, comments
+    return good, bad, strong
 
 
-def _mark(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
-    """1 (article), -1 (boilerplate) or 0, and whether that holds whatever the element contains. inside: it is in an article."""
-    good = tag in ARTICLE_TAGS
-    if tag in HARD_TAGS:
-        return -1, True
-    bad, hard = tag in SOFT_TAGS and not (inside and tag == "header"), False
+def _mark(tag: str, attributes: str, inside: bool) -> tuple[float, float, bool]:
+    """What an element's tag, roles and names say for the article, what against it, and whether its tag alone says that. inside: it is in an article."""
+    good, bad, named = tag in ARTICLE_TAGS, STRONG if tag in HARD_TAGS or tag in ("form", "dialog") else SOFT if tag in SOFT_TAGS and not (inside and tag == "header") else 0.0, 0.0
     if attributes and tag not in ("html", "body") and _TELLING.search(attributes):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
-                article, boilerplate, comments = _named(value)
-                good, bad, hard = good or article and not comments, bad or boilerplate and not article, hard or comments
+                article, boilerplate, strong = _named(value)
+                good = good or article and not strong
+                if boilerplate and (strong or not article):
+                    named = max(named, STRONG if strong else SOFT)
             elif name == "itemprop" and value.lower() == "articlebody":
-                good, bad = True, False
+                good = True
             elif name == "role":
                 value = value.lower()
-                good, bad, hard = good or value in ("main", "article"), bad or value in SOFT_ROLES, hard or value in HARD_ROLES
+                good, bad = good or value in ("main", "article"), max(bad, STRONG if value in HARD_ROLES else SOFT if value in SOFT_ROLES else 0.0)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none", value):
-                bad = True
-    if hard or bad and tag not in ARTICLE_TAGS:
-        return -1, hard
-    return int(good), False
+                bad = STRONG
+    if tag in ARTICLE_TAGS:
+        named = named if named == STRONG else 0.0
+    elif inside and named == SOFT:
+        named = WEAK
+    return float(good) * ARTICLE, max(bad, named), tag in HARD_TAGS
 
 
 class Page:
-    """Elements (tag, parent, mark) and blocks (element, text parts, linked code points) of a page."""
+    """Elements (tag, parent, what marks them) and blocks (element, text parts, linked code points) of a page."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.mark, self.hard = [""], [0], [0], [False]
+        self.tag, self.parent, self.good, self.bad, self.firm = [""], [0], [0.0], [0.0], [False]
         self.at: list[int] = []
         self.parts: list[list[str]] = []
         self.linked: list[int] = []
@@ -232,14 +239,13 @@ class Page:
                 while self.tag[open_[-1]] in closes:
                     close()
                 new = True
-            mark, hard = _mark(tag, attributes, inside > 0)
-            if inside and tag in ARTICLE_TAGS and mark > 0:
-                mark = 0
+            good, bad, firm = _mark(tag, attributes, inside > 0)
             self.parent.append(open_[-1])
             open_.append(len(self.tag))
             self.tag.append(tag)
-            self.mark.append(mark)
-            self.hard.append(hard)
+            self.good.append(good)
+            self.bad.append(bad)
+            self.firm.append(firm)
             count[tag] += 1
             silent += tag in SILENT
             inside += tag in ARTICLE_TAGS
@@ -260,33 +266,29 @@ class Page:
         self.at = [self.at[k] for k in keep]
         return out
 
-    def sides(self, texts: list[str]) -> list[int]:
-        """For each element the nearest marked element round it (or itself), negative for boilerplate; 0 if none."""
-        n = len(self.tag)
-        parent, mark, hard = self.parent, self.mark, self.hard
-        if not any(mark):
-            return [0] * n
-        lost, plus = [False] * n, [False] * n
+    def costs(self, texts: list[str]) -> list[float]:
+        """For each element what the marks round it (and its own) say, positive for the article."""
+        n, parent = len(self.tag), self.parent
+        if not any(self.good) and not any(self.bad):
+            return [0.0] * n
+        plus, bad = [False] * n, [False] * n
         for e in range(1, n):
             p = parent[e]
-            lost[e] = lost[p] or mark[e] < 0 and hard[e]
-            plus[e] = not lost[e] and (mark[e] > 0 or mark[e] == 0 and plus[p])
-        core, total = [0] * n, [0] * n
+            bad[e] = bad[p] or self.bad[e] > WEAK
+            plus[e] = plus[p] or self.good[e] > 0
+        total = [0] * n
+        # shares are of the article's text; of all text where no article is marked outside boilerplate
+        marked = any(plus[e] and not bad[e] for e in self.at)
         for e, t in zip(self.at, texts, strict=True):
-            if not lost[e]:
-                total[e] += len(t)
-                core[e] += len(t) * plus[e]
+            total[e] += len(t) * (plus[e] or not marked)
         for e in range(n - 1, 0, -1):
-            core[parent[e]] += core[e]
             total[parent[e]] += total[e]
-        out = [0] * n
+        out, worst = [0.0] * n, [0.0] * n
         for e in range(1, n):
-            up = out[parent[e]]
-            holds = core[e] >= 0.5 * core[0] if core[0] else total[e] >= 0.8 * total[0] > 0
-            if up < 0 or mark[e] == 0 or mark[e] < 0 and not hard[e] and holds:
-                out[e] = up
-            else:
-                out[e] = e * mark[e]
+            worst[e] = worst[parent[e]]
+            if self.bad[e]:
+                worst[e] = max(worst[e], self.bad[e] * (1 if self.firm[e] else 1 - (total[e] / max(1, total[0])) ** 4))
+            out[e] = ARTICLE * plus[e] - worst[e]
         return out
 
     def features(self, k: int, text: str) -> tuple[float, ...]:
@@ -307,11 +309,10 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def graph_of(page: Page, texts: list[str], weights: tuple[float, ...]) -> tuple[list[float], dict[tuple[int, int], float]]:
-    """Terminal capacities (positive: content) and edges: blocks first, then the marked elements that blocks are in."""
-    scores = [max(-MOST, min(MOST, sum(w * x for w, x in zip(weights, page.features(k, t), strict=True)))) for k, t in enumerate(texts)]
-    sides, parent = page.sides(texts), page.parent
+    """Terminal capacities of the blocks (positive: content), and edges between them."""
+    costs, parent = page.costs(texts), page.parent
+    scores = [max(-MOST, min(MOST, sum(w * x for w, x in zip(weights, page.features(k, t), strict=True)))) + costs[page.at[k]] for k, t in enumerate(texts)]
     edges: dict[tuple[int, int], float] = {}
-    node: dict[int, int] = {}
     last: dict[int, int] = {}
     for k, e in enumerate(page.at):
         up = parent[e]
@@ -320,11 +321,6 @@ def graph_of(page: Page, texts: list[str], weights: tuple[float, ...]) -> tuple[
         if up in last:
             edges[last[up], k] = edges.get((last[up], k), 0.0) + SIBLING_EDGE
         last[up] = k
-        if s := sides[e]:
-            if s not in node:
-                node[s] = len(scores)
-                scores.append(TIED if s > 0 else -TIED)
-            edges[k, node[s]] = MARK_EDGE
     return scores, edges
 
 
@@ -393,15 +389,19 @@ def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
 
 
 def fitted(rows: list[tuple[tuple[float, ...], bool]]) -> tuple[float, ...]:
-    """The weights of greatest posterior for labelled blocks: a logistic model, normal round ``PRIOR``, by Newton's method."""
+    """The weights of greatest posterior for labelled blocks: a logistic model, normal round ``PRIOR``, by Newton's method with steps that are halved until they help."""
     if not rows:
         return PRIOR
     x, y = np.array([f for f, _ in rows]), np.array([label for _, label in rows], float)
     prior, fixed = np.array(PRIOR[:FITTED]), x[:, FITTED:] @ np.array(PRIOR[FITTED:])
     x, share, w = x[:, :FITTED], SAMPLE_WEIGHT / len(rows), prior.copy()
-    for _ in range(25):
+    sign = 2 * y - 1
+    loss = lambda w: share * np.logaddexp(0, -sign * (x @ w + fixed)).sum() + 0.5 * ((w - prior) ** 2).sum()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w + fixed, -30, 30)))
         step = np.linalg.solve(share * (x.T * (p * (1 - p))) @ x + np.eye(FITTED), share * (x.T @ (y - p)) + prior - w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -412,9 +412,9 @@ def labelled(page: str | None, most: int = SAMPLE_BLOCKS) -> list[tuple[tuple[fl
     """Features and label of blocks of a page that marks decide, at most so many, spread over the page."""
     read = Page(page or "")
     texts = read.texts()
-    sides = read.sides(texts)
-    told = [k for k, e in enumerate(read.at) if sides[e]]
-    return [(read.features(k, texts[k]), sides[read.at[k]] > 0) for k in told[:: -(-len(told) // most) or 1]]
+    costs = read.costs(texts)
+    told = [k for k, e in enumerate(read.at) if costs[e]]
+    return [(read.features(k, texts[k]), costs[read.at[k]] > 0) for k in told[:: -(-len(told) // most) or 1]]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
