@@ -164,3 +164,8 @@ def fragment_text(page: str | None) -> str:
     page = re.sub(r"(?i)<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav))\b[^>]*>", "\n", page)
     page = html.unescape(re.sub(r"<[^>]*>", "", page)).replace(" ", " ")
     return re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t]+", " ", page)).strip()
+
+
+def content_hash(fields: list[Column]) -> Column:
+    """The digest of named fields as JSON in their order; nulls stay in it."""
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)

@@ -15,7 +15,7 @@ from ..plans import eligibility, feed
 from ..sources import sinks
 from ..sources.tables import listing, load
 from ..sources.tables import sql_views as V
-from ..streaming import leases
+from ..streaming import leases, versions
 from ..streaming import sightings as stream
 from .registry import query
 
@@ -170,6 +170,35 @@ def _leases(s: SparkSession, d: str, lease_ms: int, final: bool) -> DataFrame:
 _GAPS = "WITH e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events), w AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS mark FROM events), g AS (SELECT *, CASE WHEN nxt IS NULL THEN t + {lease} <= mark ELSE nxt - t > {lease} END AS ends FROM e, w) "
 
 
+def _counted(s: SparkSession, d: str) -> tuple[versions.Versions, int]:
+    """Events of users counted batch by batch."""
+    state = versions.Versions(s, folder(s), "user_id", "user_id bigint, last_event bigint, n bigint", "counts")
+
+    def rule(batch: DataFrame, old: DataFrame) -> DataFrame:
+        new = batch.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("n"))
+        return old.unionByName(new).groupBy("user_id").agg(F.max("last_event").alias("last_event"), F.sum("n").alias("n"))
+
+    path, last = folder(s), []
+    load(s, d, "events").repartitionByRange(3, "event_id").write.parquet(path)
+    rows = s.readStream.schema(_schema(s, d)).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.writeStream.foreachBatch(lambda batch, number: last.append(number) if state.merge(batch, number, rule) is not None else None).option("checkpointLocation", folder(s)).trigger(availableNow=True).start().awaitTermination()
+    return state, last[-1]
+
+
+@query("SELECT user_id, max(event_id) AS last_event, count(*) AS n FROM events GROUP BY user_id")
+def x2_bucketed_merge(s, d):
+    """Only the buckets that a batch touches are read and written anew."""
+    state, last = _counted(s, d)
+    return state.state(last)
+
+
+@query("SELECT user_id, max(event_id) AS last_event, count(*) AS n FROM events GROUP BY user_id")
+def x9_change_log(s, d):
+    """The same state from the log of its changes alone."""
+    state, last = _counted(s, d)
+    return state.replayed(last)
+
+
 @query(_GAPS.format(lease=72 * _HOUR) + f"SELECT id, min(t) AS first_ms, max(t) AS last_ms, max(CASE WHEN ends AND nxt IS NULL THEN t + {72 * _HOUR} END) AS ended_ms, count_if(ends) AS times FROM g GROUP BY id")
 def x5_timed_state(s, d):
     """Listings that close by a timer 72 hours after they were last seen, and open again when they are seen: state over the stream."""

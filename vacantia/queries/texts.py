@@ -109,14 +109,29 @@ def c14_listing_id(s, d):
 
 
 #: Of the stable fields of a listing's content, those that the view has, in order.
-_STABLE = {"company": "company", "title": "title", "location": "location", "remoteStatus": "remote", "applicationUrl": "url", "description": "description", "internshipTerm": "term", "internshipYear": "year", "categories": "[category]", "relevanceScore": "relevance"}
-
-
-@query(V("listing") + "SELECT id, sha256(CAST(to_json(struct_pack(" + ", ".join(f'"{k}" := {v}' for k, v in _STABLE.items()) + ")) AS VARCHAR)) AS hash FROM listing")
+#: The fields whose change makes a listing a changed one, each as an expression of both engines over a listing.
+_STABLE = {
+    "jobId": "CAST(id AS STRING)", "company": "company", "title": "title", "location": "[location, nation]", "remoteStatus": "remote", "applicationUrl": "url", "postingUrl": "concat('https://x.example/', CAST(id AS STRING))", "description": "description", "responsibilities": "[description, region]", "requiredQualifications": "[title, category]",
+    "preferredQualifications": "[stage]", "technologies": "[category, lower(region)]", "educationRequirements": "[concat('degree in ', category)]", "graduationRequirements": "[year]", "experienceRequirements": "[lower(title)]", "workAuthorizationRequirements": "[nation]",
+    "sponsorshipInformation": "CASE WHEN id % 5 = 0 THEN description END", "qualificationDetails": "{sponsorship: lifecycle, years: year}", "internshipTerm": "term", "internshipYear": "year", "duration": "CASE WHEN id % 3 = 0 THEN '4 months' END", "salary": "CASE WHEN id % 7 = 0 THEN '$30 per hour' END",
+    "postingDate": "CAST(CAST(posted_at AS DATE) AS STRING)", "deadline": "CASE WHEN id % 4 = 0 THEN '2027-06-30' END", "categories": "[category]", "relevanceScore": "relevance",
+}
+
+
+def _stable(f: str, spark: bool) -> str:
+    """A field's expression; arrays in brackets and structs in braces are written in each engine's way."""
+    if f[0] == "[":
+        return f"array({f[1:-1]})" if spark else f
+    if f[0] == "{":
+        parts = [p.split(": ") for p in f[1:-1].split(", ")]
+        return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in parts) + ")" if spark else "struct_pack(" + ", ".join(f'"{n}" := {v}' for n, v in parts) + ")"
+    return f
+
+
+@query(V("listing") + "SELECT id, sha256(CAST(to_json(struct_pack(" + ", ".join(f'"{n}" := {_stable(v, False)}' for n, v in _STABLE.items()) + ")) AS VARCHAR)) AS hash FROM listing")
 def c15_content_hash(s, d):
-    """Every listing's hash; nulls stay in the JSON, as a field that goes missing is a change."""
-    fields = [F.array("category").alias(k) if v == "[category]" else F.col(v).alias(k) for k, v in _STABLE.items()]
-    return listing(s, d).select("id", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("hash"))
+    """Every listing's hash over 26 fields; nulls stay in the JSON, as a field that goes missing is a change."""
+    return listing(s, d).select("id", text.content_hash([F.expr(_stable(v, True)).alias(n) for n, v in _STABLE.items()]).alias("hash"))
 
 
 @query("SELECT event_id, event_type || '_total_ms' AS metric FROM events")
