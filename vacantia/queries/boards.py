@@ -193,13 +193,15 @@ def d18_richest_description(s, d):
     return out.select("id", F.length(taken).alias("n_description"))
 
 
-@query(V("listing") + f"""SELECT id, list_sort(list_distinct(list_concat(prior, fresh))) AS facts, score FROM (SELECT id, CASE WHEN id % 3 = 0 THEN ['Legacy'] ELSE [] END AS prior, list_filter([CASE WHEN {_sql_says('description', k.TECHNOLOGIES['Python'])} THEN 'Python' END, CASE WHEN {_sql_says('description', k.TECHNOLOGIES['SQL'])} THEN 'SQL' END, CASE WHEN {_sql_says('description', k.TECHNOLOGIES['C++'])} THEN 'C++' END], lambda x: x IS NOT NULL) AS fresh,
+_EVERY_TECHNOLOGY = ", ".join(f"CASE WHEN {_sql_says('description', p)} THEN '{n}' END" for n, p in k.TECHNOLOGIES.items())
+
+
+@query(V("listing") + f"""SELECT id, list_sort(list_distinct(list_concat(prior, fresh))) AS facts, score FROM (SELECT id, CASE WHEN id % 3 = 0 THEN ['Legacy'] ELSE [] END AS prior, list_filter([{_EVERY_TECHNOLOGY}], lambda x: x IS NOT NULL) AS fresh,
  CASE WHEN {_IS} THEN 1 ELSE 0 END AS score, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS was FROM listing) WHERE score <> was OR len(list_filter(fresh, lambda x: NOT list_contains(prior, x))) > 0""")
 def d20_rederived(s, d):
     """Stored rows classified anew: old and new facts joined; only rows whose payload changes are returned."""
     prior = F.when(F.col("id") % 3 == 0, F.array(F.lit("Legacy"))).otherwise(F.array().cast("array<string>"))
-    few = {n: k.TECHNOLOGIES[n] for n in ("Python", "SQL", "C++")}
-    df = listing(s, d, heavy=True).select("id", prior.alias("prior"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("was"), k.labels(F.col("description"), few).alias("fresh"), k.is_placement(F.col("title"), F.col("description")).cast("int").alias("score"))
+    df = listing(s, d, heavy=True).select("id", prior.alias("prior"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("was"), k.technologies(F.col("description")).alias("fresh"), k.is_placement(F.col("title"), F.col("description")).cast("int").alias("score"))
     df = df.select("*", F.array_sort(F.array_union("prior", "fresh")).alias("facts"))
     digest = lambda facts, score: F.xxhash64(facts, score)
     return df.filter(digest(F.col("facts"), F.col("score")) != digest(F.array_sort("prior"), F.col("was"))).select("id", "facts", "score")
