@@ -140,25 +140,45 @@ def components(prints, distance=3):
 
 
 def licenses(rows, templates, share=0.8, size=5):
-    """Every window of two blocks of each text against every template, by sets of shingles."""
+    """Every template at every offset of every text, by sets of shingles: {(id, license, share, first, last, alternatives)}."""
     def grams(text):
         w = TERM.findall((text or "").translate(LOWER))
         return [tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))] if w else []
 
-    out = []
-    for name, template in templates.items():
-        t = set(grams(template))
-        block = 1 << (len(t) - 1).bit_length()
-        for i, text in rows:
-            g, best, before = grams(text), None, None
-            for n, k in enumerate(range(0, len(g), block)):
-                x = len(t & set(g[k : k + 2 * block])) / len(t)
-                if x >= share:
-                    if best is not None and before != n - 1:
-                        out.append((i, name, *best))
-                        best = None
-                    best = (x, k) if best is None or x > best[0] else best
-                    before = n
-            if best is not None:
-                out.append((i, name, *best))
-    return out
+    def placed(g, t, length):
+        """Disjoint runs, the fullest first: as long as the template, then of the class's size."""
+        block = 1
+        while block < 1.25 * length:
+            block *= 2
+        g, out, known = list(g), [], -1
+        while len(out) > known:
+            known = len(out)
+            for width in (length, block + 1):
+                full = [(-len(t & set(g[k : k + width])), k) for k in range(len(g)) if g[k] in t]
+                taken = []
+                for n, k in sorted(full):
+                    if -n >= share * len(t) - 1e-9 and all(abs(k - b) >= width for b in taken):
+                        taken.append(k)
+                        last = max(q for q in range(k, min(k + width, len(g))) if g[q] in t and g[q] not in g[k:q])
+                        out.append((-n, k, last))
+                for _, k, last in out[known:]:
+                    g[k : last + 1] = [None] * (last + 1 - k)
+        return out
+
+    result = []
+    for i, text in rows:
+        g, found = grams(text), []
+        for name, template in templates.items():
+            t = grams(template)
+            for n, first, last in placed(g, set(t), len(t)) if t else ():
+                found.append((-n, -n / len(set(t)), first, name, last))
+        kept, owner = [], {}
+        for _, x, first, name, last in sorted(found):
+            held = [owner[q] for q in range(first, last + 1) if q in owner]
+            if 2 * len(held) >= last + 1 - first:
+                kept[max(set(held), key=held.count)][-1].add(name)
+            else:
+                owner.update({q: len(kept) for q in range(first, last + 1) if q not in owner})
+                kept.append((i, name, -x, first, min(last + size, len(TERM.findall((text or "").translate(LOWER)))) - 1, set()))
+        result += kept
+    return result

@@ -1,23 +1,28 @@
 """License scans: MinHash bands retrieve templates for text windows, exact containment confirms them.
 
 Words are ASCII letters and digits (lower-cased) and other characters than ASCII. A template's size class is the next power
-of two of its number of five-word shingles; each document is cut into blocks of that many shingles, and every two blocks
-in a row are a window, so that a run as long as a template lies in one. Of each window ``BANDS`` minima are taken, one row
+of two of ``STRETCH`` times its number of five-word shingles; each document is cut into blocks of that many shingles, and every two blocks
+in a row are a window, so that a run a quarter longer than the template lies in one. Of each window minima are taken, one row
 a band, and looked up in the band's index of the templates' minima, so a large list of licenses costs what a small one does. A window
-that contains 0.8 of a template has a Jaccard similarity J of at least 0.8 t / (2 s + 0.2 t) with it, 0.26
-for the worst s < 2 t; one of the bands then agrees with probability 1 - (1 - J) ** 64, over 0.99999999. What
-is retrieved is confirmed by the exact share of the template's shingles that the window has.
+of at most 2 s shingles that contains 0.8 of a template's t has a Jaccard similarity J of at least 0.8 t / (2 s + 0.2 t) with it; a class has as
+many bands b as make (1 - J) ** b at most ``MISSED`` for the worst of its templates. The minima of a class's blocks are made of those of the class before.
+
+What is retrieved is confirmed exactly, at every offset of the windows: an occurrence is a run as long as the template that has 0.8 of its distinct shingles, or a run
+of up to the class's size where none as long as the template has. The fullest runs are taken first, the first of equal ones, and what they hold
+serves no other one: copies in a row are reported each. Where runs of several licenses lie on each other (by half of the shorter one), the one that explains most of the text
+is reported and the others are its ``alternatives``.
 
 Templates are a parameter (a dict, or a DataFrame of ``name`` and ``text`` of at most ``MOST_BYTES``, which travels with the tasks);
 ``TEMPLATES`` are the notices that files of public licenses carry.
 
 Cases: a null or empty text has no words; a text or template of fewer than five words is one shingle, its whole sequence.
-Rows are scanned one by one, so repeated rows are reported each. Every occurrence is reported; of overlapping windows that all
-hold the license the one of the greatest share is, the first of equal ones. Extra columns are ignored.
+Rows are scanned one by one, so repeated rows are reported each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +33,12 @@ from pyspark.sql import functions as F
 
 from .terms import words_of
 
-SHINGLE, SIMILARITY, BANDS = 5, 0.8, 64
+SHINGLE, SIMILARITY, STRETCH = 5, 0.8, 1.25
+#: Chance that the bands miss a window that holds a license.
+MISSED = 1e-6
 #: Bytes of a table of templates.
 MOST_BYTES = 32 << 20
+FOUND = ["doc_id", "license", "containment", "first_word", "last_word", "alternatives"]
 #: Notices of public licenses.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -58,8 +66,6 @@ TEMPLATES = {
     "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
-_ODD = np.random.default_rng(5).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def shingles(words: list[bytes]) -> np.ndarray:
     """Hashes of the text's shingles, in order."""
@@ -76,61 +82,143 @@ def _mix(h: np.ndarray, odd: np.uint64) -> np.ndarray:
     return h * odd
 
 
+def runs(at: np.ndarray, ids: np.ndarray, width: int, least: int) -> list[tuple[int, int, int]]:
+    """(first, last, distinct) of disjoint runs of ``width`` places that have at least ``least`` distinct ids, the fullest first.
+
+    ``at`` are the places of the ids, in order. A run begins with an id and ends with the last one that it has not had before.
+    """
+    if len(at) < least:
+        return []
+    order = np.argsort(ids, kind="stable")
+    again = order[1:][ids[order[1:]] == ids[order[:-1]]]
+    before = np.full(len(at), -1, np.int64)
+    before[again] = at[order[:-1][ids[order[1:]] == ids[order[:-1]]]]
+    # an id counts for the runs that begin after the one before it, and not too early to reach it
+    steps = np.zeros(int(at[-1]) + 2, np.int64)
+    np.add.at(steps, np.maximum(np.maximum(before, at - width) + 1, 0), 1)
+    np.add.at(steps, at + 1, -1)
+    distinct = np.cumsum(steps)[at]
+    out, closed = [], np.zeros(len(steps) + width, bool)
+    full = np.flatnonzero(distinct >= least)
+    for k in full[np.lexsort((full, -distinct[full]))].tolist():
+        first = int(at[k])
+        if not closed[first]:
+            closed[max(0, first - width + 1) : first + width] = True
+            inside = slice(k, int(np.searchsorted(at, first + width)))
+            out.append((first, int(at[inside][before[inside] < first][-1]), int(distinct[k])))
+    return out
+
+
+def occurrences(h: np.ndarray, template: np.ndarray, length: int, size: int) -> list[tuple[int, int, int]]:
+    """(first, last, distinct) of the template's occurrences among the shingles ``h``; ``template`` are its distinct shingles, sorted."""
+    ids = np.minimum(np.searchsorted(template, h), len(template) - 1)
+    at = np.flatnonzero(template[ids] == h)
+    ids, least, out = ids[at], _least(len(template)), []
+    while True:
+        known = len(out)
+        for width in (length, size + 1):
+            for run in runs(at, ids, width, least):
+                out.append(run)
+                free = np.ones(len(at), bool)
+                free[np.searchsorted(at, run[0]) : np.searchsorted(at, run[1] + 1)] = False
+                at, ids = at[free], ids[free]
+        if len(out) == known:
+            return out
+
+
+def _least(n: int) -> int:
+    """Shingles that an occurrence of a template of ``n`` has at least."""
+    return math.ceil(SIMILARITY * n - 1e-9)
+
+
 class Templates:
     """Templates by size class; for each class and band the templates' minima, sorted, and whose they are."""
 
     def __init__(self, texts: dict[str, str]):
-        self.classes: dict[int, list[tuple[str, np.ndarray]]] = {}
+        self.classes: dict[int, list[tuple[str, np.ndarray, int]]] = {}
         for name, text in sorted(texts.items()):
-            found = np.unique(shingles(words_of(text)))
+            found = shingles(words_of(text))
             if len(found):
-                self.classes.setdefault(1 << (len(found) - 1).bit_length(), []).append((name, found))
+                self.classes.setdefault(1 << (math.ceil(STRETCH * len(found)) - 1).bit_length(), []).append((name, np.unique(found), len(found)))
+        self.bands = {s: max(_bands(len(t), s) for _, t, _ in of) for s, of in sorted(self.classes.items())}
+        self.odd = np.random.default_rng(5).integers(1, 1 << 63, max(self.bands.values(), default=0), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.index = {}
         for size, templates in self.classes.items():
-            low = np.array([[_mix(f, o).min() for o in _ODD] for _, f in templates])
+            low = np.array([[_mix(f, o).min() for o in self.odd[: self.bands[size]]] for _, f, _ in templates])
             order = np.argsort(low, axis=0, kind="stable")
-            self.index[size] = [(low[order[:, k], k], order[:, k]) for k in range(BANDS)]
+            self.index[size] = [(low[order[:, k], k], order[:, k]) for k in range(self.bands[size])]
 
-    def scan(self, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, str, float, int]]:
-        """(text, template, share, first shingle of the window) of each occurrence.
-
-        ``h`` are the shingles of all texts one after another; ``starts`` where each begins, and the end.
-        """
-        out: list[tuple[int, str, float, int]] = []
-        if not len(h):
-            return out
-        sizes = np.diff(starts)
-        for size, templates in self.classes.items():
+    def retrieve(self, h: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(class, template, first, end) of the shingles in which the bands find the template: retrieved windows, joined where they follow each other."""
+        sizes, blocks, above = np.diff(starts), {}, None
+        for size in self.bands:
             per = -(-sizes // size)  # blocks of each text
-            first = np.repeat(np.cumsum(per) - per, per)
+            first = np.cumsum(per) - per
             text = np.repeat(np.arange(len(sizes)), per)
-            head = starts[text] + (np.arange(len(text)) - first) * size
-            pair = np.flatnonzero(text[1:] == text[:-1])  # a block and the next
-            found = []
-            for odd, (values, owner) in zip(_ODD, self.index[size], strict=True):
-                low = np.minimum.reduceat(_mix(h, odd), head)
-                low[pair] = np.minimum(low[pair], low[pair + 1])
-                at = np.searchsorted(values, low)
-                hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == low)
+            nth = np.arange(len(text)) - first[text]
+            # where a block begins among those of the class before, or among the shingles
+            inner = starts[text] + nth * size if above is None else above[0][text] + nth * (size // above[1])
+            blocks[size] = text, starts[text] + nth * size, inner, np.flatnonzero(text[1:] == text[:-1]), []
+            above = first, size
+        for k, odd in enumerate(self.odd):
+            low = _mix(h, odd)
+            for size, (_, head, inner, pair, found) in blocks.items():
+                low = np.minimum.reduceat(low, inner)
+                if k >= self.bands[size]:
+                    continue
+                window = low.copy()
+                window[pair] = np.minimum(low[pair], low[pair + 1])
+                values, owner = self.index[size][k]
+                at = np.searchsorted(values, window)
+                hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == window)
                 while len(hit):  # several templates may share a minimum
                     found.append(owner[at[hit]] * len(head) + hit)
                     at[hit] += 1
-                    hit = hit[(at[hit] < len(values)) & (values[np.minimum(at[hit], len(values) - 1)] == low[hit])]
-            last: tuple[int, int, int] | None = None  # template, text and window of the occurrence that is open
-            for code in np.unique(np.concatenate(found)).tolist() if found else ():
-                t, w = divmod(code, len(head))
-                d, a = int(text[w]), int(head[w])
-                share = float(np.isin(templates[t][1], h[a : min(a + 2 * size, int(starts[d + 1]))]).mean())
-                if share < SIMILARITY:
-                    continue
-                row = d, templates[t][0], share, a - int(starts[d])
-                if last == (t, d, w - 1):  # overlaps the window before
-                    if share > out[-1][2]:
-                        out[-1] = row
-                else:
-                    out.append(row)
-                last = t, d, w
-        return sorted(out)
+                    hit = hit[(at[hit] < len(values)) & (values[np.minimum(at[hit], len(values) - 1)] == window[hit])]
+        for size, (text, head, _, _, found) in blocks.items():
+            codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            t, w = codes // len(head), codes % len(head)
+            new = np.ones(len(codes), bool)
+            new[1:] = (np.diff(codes) != 1) | (t[1:] != t[:-1]) | (text[w[1:]] != text[w[:-1]])
+            begin = np.flatnonzero(new)
+            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(codes)], strict=True) if len(codes) else ():
+                yield size, int(t[i]), int(head[w[i]]), int(min(head[w[j - 1]] + 2 * size, starts[text[w[i]] + 1]))
+
+    def scan(self, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, str, float, int, int, list[str]]]:
+        """(text, template, share, first and last shingle, alternatives) of each occurrence.
+
+        ``h`` are the shingles of all texts one after another; ``starts`` where each begins, and the end.
+        """
+        found: dict[int, list[tuple[int, float, int, str, int]]] = {}
+        for size, t, a, b in self.retrieve(h, starts) if len(h) else ():
+            name, template, length = self.classes[size][t]
+            d = int(np.searchsorted(starts, a, "right")) - 1
+            for first, last, n in occurrences(h[a:b], template, length, size):
+                k = a - int(starts[d])
+                found.setdefault(d, []).append((-n, -n / len(template), k + first, name, k + last))
+        return [row for d in sorted(found) for row in _one_each(d, found[d])]
+
+
+def _bands(t: int, size: int) -> int:
+    least = _least(t)
+    return math.ceil(math.log(MISSED) / math.log1p(-least / (2 * size + t - least)))
+
+
+def _one_each(d: int, found: list[tuple[int, float, int, str, int]]) -> list[tuple[int, str, float, int, int, list[str]]]:
+    """The occurrences of one text, one license a place: the one that explains most, then the fullest, the first, by name."""
+    kept: list[tuple[int, str, float, int, int, list[str]]] = []
+    owner = np.full(max(last for *_, last in found) + 1, -1, np.int64)
+    for _, share, first, name, last in sorted(found):
+        there = owner[first : last + 1]
+        taken = there[there >= 0]
+        if 2 * len(taken) >= len(there):
+            others = kept[Counter(taken.tolist()).most_common(1)[0][0]][-1]
+            if name not in others:
+                others.append(name)
+        else:
+            there[there < 0] = len(kept)
+            kept.append((d, name, -share, first, last, []))
+    return sorted((*row[:-1], sorted(row[-1])) for row in kept)
 
 
 def _texts(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
@@ -143,7 +231,7 @@ def _texts(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
-    """(``doc_id``, ``license``, ``containment``, ``first_word`` of the window) of each occurrence of a license in each row."""
+    """(``doc_id``, ``license``, ``containment``, ``first_word``, ``last_word``, ``alternatives``) of each occurrence of a license in each row."""
     texts = _texts(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +239,14 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | DataFrame |
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                each = [shingles(words_of(x)) for x in part.column(1).to_pylist()]
+                terms = [words_of(x) for x in part.column(1).to_pylist()]
+                words, each = [len(x) for x in terms], [shingles(x) for x in terms]
                 starts = np.concatenate(([0], np.cumsum([len(x) for x in each])))
                 rows = known.scan(np.concatenate([*each, np.zeros(0, np.uint64)]), starts)
                 if rows:
-                    d, name, share, at = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(name), pa.array(share), pa.array(at, pa.int64())], ["doc_id", "license", "containment", "first_word"])
+                    d, name, share, first, last, others = zip(*rows, strict=True)
+                    last = [min(x + SHINGLE, n) - 1 for x, n in zip(last, (words[i] for i in d), strict=True)]
+                    columns = [part.column(0).take(pa.array(d)), pa.array(name), pa.array(share), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(others, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, FOUND)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, license string, containment double, first_word bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, license string, containment double, first_word bigint, last_word bigint, alternatives array<string>")
