@@ -150,24 +150,28 @@ class Templates:
 
     def retrieve(self, h: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(class, template, first, end) of the shingles in which the bands find the template: retrieved windows, joined where they follow each other."""
-        sizes, blocks, above = np.diff(starts), {}, None
-        for size in self.bands:
-            per = -(-sizes // size)  # blocks of each text
-            first = np.cumsum(per) - per
+        sizes, halves, classes = np.diff(starts), [], {}
+        count, first, size = sizes, starts[:-1], 1
+        while size < max(self.bands, default=1):  # from the blocks of one size to those of twice that: two each, or a last one alone
+            per = -(-count // 2)
+            end = np.repeat(first + count, per)
+            new = np.cumsum(per) - per
             text = np.repeat(np.arange(len(sizes)), per)
-            nth = np.arange(len(text)) - first[text]
-            # where a block begins among those of the class before, or among the shingles
-            inner = starts[text] + nth * size if above is None else above[0][text] + nth * (size // above[1])
-            blocks[size] = text, starts[text] + nth * size, inner, np.flatnonzero(text[1:] == text[:-1]), []
-            above = first, size
+            left = first[text] + 2 * (np.arange(len(text)) - new[text])
+            halves.append((left, np.minimum(left + 1, end - 1)))
+            count, first, size = per, new, 2 * size
+            if size in self.bands:
+                classes[size] = text, starts[text] + (np.arange(len(text)) - first[text]) * size, np.flatnonzero(np.append(text[1:] != text[:-1], True)), []
         for k, odd in enumerate(self.odd):
-            low = _mix(h, odd)
-            for size, (_, head, inner, pair, found) in blocks.items():
-                low = np.minimum.reduceat(low, inner)
-                if k >= self.bands[size]:
+            low, size = _mix(h, odd), 1
+            for left, right in halves:
+                low, size = np.minimum(low[left], low[right]), 2 * size
+                if size not in classes or k >= self.bands[size]:
                     continue
+                _, head, ends, found = classes[size]
                 window = low.copy()
-                window[pair] = np.minimum(low[pair], low[pair + 1])
+                np.minimum(low[:-1], low[1:], out=window[:-1])
+                window[ends] = low[ends]  # a text's last block is a window of its own
                 values, owner = self.index[size][k]
                 at = np.searchsorted(values, window)
                 hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == window)
@@ -175,7 +179,7 @@ class Templates:
                     found.append(owner[at[hit]] * len(head) + hit)
                     at[hit] += 1
                     hit = hit[(at[hit] < len(values)) & (values[np.minimum(at[hit], len(values) - 1)] == window[hit])]
-        for size, (text, head, _, _, found) in blocks.items():
+        for size, (text, head, _, found) in classes.items():
             codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
             t, w = codes // len(head), codes % len(head)
             new = np.ones(len(codes), bool)
