@@ -11,7 +11,7 @@ from ..functions import places, sections, urls
 from ..operators import relations as rel
 from ..operators import windows as win
 from ..operators.stage import folder
-from ..plans import eligibility, feed
+from ..plans import eligibility, feed, frontier
 from ..sources import sinks
 from ..sources.tables import listing, load
 from ..sources.tables import sql_views as V
@@ -280,3 +280,47 @@ _ALL = "[" + ", ".join(eligibility.CRITERIA) + "]"
 @query("WITH " + _NINE[2:] + f"SELECT id, CASE WHEN list_contains({_ALL}, 'fail') THEN 'not_eligible' WHEN list_contains({_ALL}, 'conflict') THEN 'unclear' WHEN NOT list_contains({_ALL}, 'unknown') THEN 'eligible' ELSE 'likely_eligible' END AS status FROM c")
 def e2_nine_status(s, d):
     return _criteria(s, d).select("id", eligibility.status(F.array(*eligibility.CRITERIA)).alias("status"))
+
+
+# ---- frontier of a crawl
+
+#: Rounds, admitted addresses and pages of a source.
+_DEPTH, _ADMITTED, _PAGES = 4, 60, 40
+#: A source's list pages name each other and its postings; a posting names the applicant system's page, which names all sources' postings, and a stranger's.
+_CRAWL = """WITH line AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+address AS (SELECT o, s, concat('https://src-', s, '.example/jobs?page=', o % 8) AS list, concat('https://src-', s, '.example/jobs/', o) AS own, concat('https://boards.greenhouse.io/c', c, '/jobs/', o) AS ats FROM line),
+page AS (SELECT DISTINCT list AS url FROM address UNION SELECT own FROM address WHERE o % 5 <> 0 UNION SELECT ats FROM address WHERE o % 7 <> 0),
+link AS (SELECT list AS url, own AS link, 80 AS p FROM address UNION SELECT own, ats, 100 FROM address WHERE o % 5 <> 0 UNION SELECT ats, own, 80 FROM address WHERE o % 7 <> 0
+  UNION SELECT DISTINCT list, concat('https://src-', s, '.example/jobs?page=', o % 8 + 1), 50 FROM address),
+r0 AS (SELECT s AS source, min(concat('https://src-', s, '.example')) AS home, concat('https://src-', s, '.example/jobs?page=0') AS url, 0 AS depth, 1 AS place, CAST(NULL AS VARCHAR) AS referrer FROM line GROUP BY s)"""
+_LINES = " UNION ALL ".join(["SELECT * FROM r0", *[f"SELECT * FROM r{k}" for k in range(1, _DEPTH + 1)]])
+
+
+def _round(k: int) -> str:
+    before = " UNION ALL ".join(f"SELECT * FROM r{j}" for j in range(k))
+    return f""", r{k} AS (SELECT source, home, link AS url, {k} AS depth, n + row_number() OVER (PARTITION BY source ORDER BY p DESC, link) AS place, referrer
+ FROM (SELECT source, home, link, max(p) AS p, min(url) AS referrer FROM r{k - 1} JOIN link USING (url) WHERE url IN (SELECT url FROM page) AND place <= {_PAGES}
+  AND (starts_with(link, home) OR starts_with(link, 'https://boards.greenhouse.io/')) GROUP BY ALL) JOIN (SELECT source, count(*) AS n FROM ({before}) GROUP BY source) USING (source)
+ WHERE (source, link) NOT IN (SELECT (source, url) FROM ({before})) QUALIFY place <= {_ADMITTED})"""
+
+
+def _linked_pages(s, d):
+    """The pages as HTML, with the links in the ways that pages write them."""
+    text = lambda c: F.col(c).cast("string")
+    line = load(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct().join(load(s, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")), "o")
+    src = F.concat(F.lit("https://src-"), text("s"), F.lit(".example"))
+    own, ats = F.concat(src, F.lit("/jobs/"), text("o")), F.concat(F.lit("https://boards.greenhouse.io/c"), text("c"), F.lit("/jobs/"), text("o"))
+    anchor = lambda *href: F.concat(F.lit('<li><a class="x" href="'), *href, F.lit('">Intern</a></li>'))
+    every = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "")
+    nr = (F.col("o") % 8).alias("nr")
+    lists = line.groupBy("s", nr).agg(every(anchor(F.lit("/jobs/"), text("o"), F.lit("?utm_source=list#top"))).alias("rows")).select(F.concat(src, F.lit("/jobs?page="), text("nr")).alias("url"), F.concat("rows", anchor(F.lit("?page="), (F.col("nr") + 1).cast("string")), F.lit('<a href="mailto:x@y.example">mail</a>')).alias("html"))
+    details = line.filter("o % 5 <> 0").select(own.alias("url"), F.concat(anchor(ats), F.lit("<A HREF='https://stranger.example/jobs/"), text("o"), F.lit("'>x</A>")).alias("html"))
+    systems = line.filter("o % 7 <> 0").groupBy("c", "o").agg(every(anchor(own)).alias("html")).select(ats.alias("url"), "html")
+    return rel.union_all(lists, details, systems)
+
+
+@query(_CRAWL + "".join(map(_round, range(1, _DEPTH + 1))) + f" SELECT source, url, depth, CAST(place AS INT) AS place, referrer, CASE WHEN place > {_PAGES} THEN 'waiting' WHEN url IN (SELECT url FROM page) THEN 'read' ELSE 'missing' END AS state FROM ({_LINES})")
+def x11_frontier_rounds(s, d):
+    """Each source's crawl from its first list page, in rounds: what it admits, in which order, and what is read."""
+    roots = load(s, d, "lineitem").select(F.col("l_suppkey").alias("source")).distinct().withColumn("url", F.concat(F.lit("https://src-"), F.col("source").cast("string"), F.lit(".example/jobs?page=0")))
+    return frontier.crawl(roots, _linked_pages(s, d), _DEPTH, _ADMITTED, _PAGES)
