@@ -12,7 +12,7 @@ from ..operators import relations as rel
 from ..operators import windows as win
 from ..operators.stage import folder
 from ..plans import eligibility, feed, frontier
-from ..sources import sinks
+from ..sources import search, sinks
 from ..sources.tables import listing, load
 from ..sources.tables import sql_views as V
 from ..streaming import leases, versions
@@ -324,3 +324,16 @@ def x11_frontier_rounds(s, d):
     """Each source's crawl from its first list page, in rounds: what it admits, in which order, and what is read."""
     roots = load(s, d, "lineitem").select(F.col("l_suppkey").alias("source")).distinct().withColumn("url", F.concat(F.lit("https://src-"), F.col("source").cast("string"), F.lit(".example/jobs?page=0")))
     return frontier.crawl(roots, _linked_pages(s, d), _DEPTH, _ADMITTED, _PAGES)
+
+
+# ---- search by an index
+
+_SEARCHES = ["python", "C++ on Linux", "r", "summer 2027 internship for current students", "nowhere at all"]
+
+
+@query(V("listing") + "SELECT q, id FROM listing, (SELECT unnest([" + ", ".join(f"'{q}'" for q in _SEARCHES) + "]) AS q) WHERE contains(lower(concat_ws(' ', title, company, location, description, url)), lower(q))")
+def f13_indexed_search(s, d):
+    """Searches of one letter up to a sentence, through an index of trigrams."""
+    path = folder(s)
+    search.build(listing(s, d), "id", F.concat_ws(" ", "title", "company", "location", "description", "url"), path)
+    return rel.union_all(*[search.search(s, path, q).select(F.lit(q).alias("q"), F.col("key").alias("id")) for q in _SEARCHES])
