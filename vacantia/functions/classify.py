@@ -270,12 +270,13 @@ def closed_reason(status: Column, url: Column, body: Column) -> Column:
     return F.when(status == 404, "HTTP 404").when(status == 410, "HTTP 410 Gone").otherwise(let(page_content(body), reason))
 
 
-def rejected(title: Column, company: Column, description: Column, score: Column, least: int, located: Column, dead: Column) -> Column:
+def rejected(title: Column, company: Column, description: Column, score: Column, least: int, located: Column, dead: Column, unclassified: bool = False) -> Column:
     """Why a posting is not admitted, the first reason that holds: its title, an incomplete page (a description under 80 characters), no placement,
-    the score, the location, a dead link. Null if it is."""
+    the score, no category (unless ``unclassified`` postings are welcome), the location, a dead link. Null if it is."""
+    none = F.lit(False) if unclassified else F.size(categories(F.concat_ws("\n", title, description, F.lit("")), score)) == 0
     return (
         F.when(excluded_title(title).isNotNull(), "title").when((F.coalesce(F.trim(title), F.lit("")) == "") | (F.coalesce(F.trim(company), F.lit("")) == "") | (F.length(F.coalesce(description, F.lit(""))) < 80), "incomplete")
-        .when(~is_placement(title, description), "not a placement").when(score < least, "score").when(~located, "location").when(dead, "dead link")
+        .when(~is_placement(title, description), "not a placement").when(score < least, "score").when(none, "no category").when(~located, "location").when(dead, "dead link")
     )
 
 

@@ -601,7 +601,7 @@ def f21_clearance(s, d):
 
 
 @query(V("listing") + f"""SELECT id, CASE WHEN regexp_matches(title, '(?i)\\bph\\.?\\s*d|new grad') OR (contains(title, '2026') AND NOT contains(title, '2027')) OR contains(title, '12 months') THEN 'title' WHEN length(description) < 80 THEN 'incomplete'
- WHEN NOT ({_IS}) THEN 'not a placement' WHEN relevance < 20 THEN 'score' WHEN region = 'EUROPE' AND remote <> 'remote' THEN 'location' WHEN availability = 'closed' THEN 'dead link' END AS reason FROM listing""")
+ WHEN NOT ({_IS}) THEN 'not a placement' WHEN relevance < 20 THEN 'score' WHEN relevance < 45 AND {_labels_sql(k.CATEGORIES, "concat_ws(chr(10), title, description, '')")} = '' THEN 'no category' WHEN region = 'EUROPE' AND remote <> 'remote' THEN 'location' WHEN availability = 'closed' THEN 'dead link' END AS reason FROM listing""")
 def f26_admission(s, d):
     t, b = F.col("title"), F.col("description")
     dead = k.link_state(F.when(F.col("availability") == "closed", 404).otherwise(200), F.col("url"), F.lit("")) == "closed"
