@@ -225,6 +225,17 @@ def test_simhash(docs, rows):
     assert sorted(i for i in ids if i is not None) == sorted(set(root.values()) - {None}) and ids.count(None) == 3
 
 
+def test_simhash_broadcasts_nothing_that_grows(docs, monkeypatch):
+    from vacantia.llm import components
+
+    plans, stored = [], simhash.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "stored", lambda df: plan(df) or stored(df))
+    plan(simhash.one_of_each(docs))
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("crowd", [20_000, 30, 1])
 def test_simhash_links_dense_families(spark, crowd):
     r = random.Random(5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.stage import folder as shared_dir
 from ..operators.stage import stored
 
-__all__ = ["LOWER", "SPACE", "UPPER", "as_row", "ascii_lower", "others", "release", "shared_dir", "stored"]
+__all__ = ["LOWER", "SPACE", "UPPER", "as_row", "ascii_lower", "others", "release", "shared_dir", "shuffled", "stored"]
 
 #: The white space of all word and line rules: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -27,6 +27,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For a join to a side that grows with the input: it is shuffled, whatever size Spark takes it for.
+
+    A broadcast passes through the driver, and packed files of the threshold's size are many times that in its memory.
+    """
+    return df.hint("merge")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only; texts without other characters take the faster built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

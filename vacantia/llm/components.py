@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffled, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's larger (or not larger) neighbours to its smallest one."""
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    # the minima's node is computed anew, so that they too have a plain exchange and AQE can split a node of very many edges
+    joined = both.join(shuffled(least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m")), "u")
     if large:
         return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")

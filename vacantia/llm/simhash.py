@@ -12,6 +12,8 @@ fingerprints share are not joined at all: their fingerprints, and those one bit
 differs from them in one bit or in two. A common one of which some are one bit away links all that have it, through its
 least component, without a pair being formed.
 
+All sides of joins that grow with the fingerprints are shuffled; none is broadcast through the driver.
+
 Cases: a null or empty text has no words and fingerprint zero, linked like any other. A row with a null ``doc_id`` is
 fingerprinted and given the component of its fingerprint (null if only such rows have it), but links nothing. Repeated rows
 are one node. Extra columns are ignored.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_row, stored
+from .common import as_row, shuffled, stored
 from .components import components
 
 SEED, CHUNK = 42, 1 << 16
@@ -85,7 +87,7 @@ def _neighbours(crowd: DataFrame) -> DataFrame:
     two = bits.filter("b > 0").select("fp", "component", "b", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("c"))
     codes = one.union(two.select(F.expr("fp ^ shiftleft(1L, b) ^ shiftleft(1L, c)"), "component", F.lit(False)))
     least = codes.groupBy("code").agg(F.min("component").alias("v"), F.max("component").alias("most"), F.bool_or("near").alias("near")).filter("near and v < most").select("code", "v")
-    return codes.join(least, "code").filter("component <> v").select(F.col("component").alias("u"), "v").distinct()
+    return codes.join(shuffled(least), "code").filter("component <> v").select(F.col("component").alias("u"), "v").distinct()
 
 
 def links(nodes: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
@@ -95,21 +97,21 @@ def links(nodes: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
     tables = [nodes.select(F.lit(t).alias("t"), _segment(F.col("fp"), t).alias("seg"), "fp", "node") for t in (0, 1)]
     table = tables[0].unionByName(tables[1])
     shared = stored(table.groupBy("t", "seg").agg(F.count("*").alias("n")).filter("n > 1"))
-    family = stored(table.join(shared.select("t", "seg"), ["t", "seg"]).select("fp", "node").distinct())
+    family = stored(table.join(shuffled(shared.select("t", "seg")), ["t", "seg"]).select("fp", "node").distinct())
     flips = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
     near = family.select(F.col("node").alias("u"), "fp", F.explode(flips).alias("bit")).filter(F.col("fp").bitwiseAND(F.col("bit")) == 0)
-    near = near.select("u", F.col("fp").bitwiseOR(F.col("bit")).alias("fp")).join(family, "fp").select("u", F.col("node").alias("v"))
+    near = near.select("u", F.col("fp").bitwiseOR(F.col("bit")).alias("fp")).join(shuffled(family), "fp").select("u", F.col("node").alias("v"))
     near = stored(near)
     group = components(near)
-    nodes = stored(nodes.join(group, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")))
+    nodes = stored(nodes.join(shuffled(group), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")))
     # each pair once: the segment with a clear bit probes the one with it set; equal segments by order of fp
     tables = [nodes.select(F.lit(t).alias("t"), _segment(F.col("fp"), t).alias("seg"), "fp", "component") for t in (0, 1)]
     table = tables[0].unionByName(tables[1])
     ball = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(32)])
-    crowded = shared.filter(F.col("n") > crowd).select("t", "seg")
+    crowded = shared.filter(F.col("n") > crowd).select("t", "seg")  # at most two for each ``crowd`` fingerprints
     if crowded.limit(1).count():
-        round_ = crowded.select("t", F.explode(ball).alias("bit"), "seg").select("t", F.col("seg").bitwiseXOR(F.col("bit")).alias("seg")).distinct()
-        near = near.union(_neighbours(table.join(round_, ["t", "seg"]).select("fp", "component").distinct()))
+        round_ = stored(crowded.select("t", F.explode(ball).alias("bit"), "seg").select("t", F.col("seg").bitwiseXOR(F.col("bit")).alias("seg")).distinct())
+        near = near.union(_neighbours(table.join(shuffled(round_), ["t", "seg"]).select("fp", "component").distinct()))
         pairs = table.join(crowded, ["t", "seg"], "left_anti")
     else:
         pairs = table
@@ -118,7 +120,7 @@ def links(nodes: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
     probe = probe.select("t", F.col("seg").bitwiseOR(F.col("bit")).alias("seg"), (F.col("bit") == 0).alias("same"), "p_fp", "u")
     found = (
         probe.alias("p")
-        .join(pairs.alias("q"), (F.col("p.t") == F.col("q.t")) & (F.col("p.seg") == F.col("q.seg")) & (F.col("u") != F.col("component"))
+        .join(shuffled(pairs).alias("q"), (F.col("p.t") == F.col("q.t")) & (F.col("p.seg") == F.col("q.seg")) & (F.col("u") != F.col("component"))
               & (_distance("p_fp", "fp") <= distance) & (~F.col("same") | (F.col("p_fp") < F.col("fp"))))
         .select("u", F.col("component").alias("v"))
     )
@@ -130,14 +132,14 @@ def near_duplicates(documents: DataFrame, distance: int = 3, words: int = 3) ->
     prints = stored(fingerprints(documents, words))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     group = components(links(nodes.filter("node is not null"), distance))
-    known = stored(nodes.join(group, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = stored(nodes.join(shuffled(group), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    return prints.join(shuffled(known), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, distance: int = 3) -> DataFrame:
     """``documents`` with one row of each group of near duplicates, that of its smallest ``doc_id``; rows without id stay."""
     first = near_duplicates(documents, distance).filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("t"), as_row(documents).alias("row"))
-    named = rows.filter("id is not null").join(first, "id", "left_semi")
+    named = rows.filter("id is not null").join(shuffled(first), "id", "left_semi")
     named = named.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("t"))).filter("k = 1")
     return named.select("row").union(rows.filter("id is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
