@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,19 @@ def test_dates(spark):
     assert soon.agg(dates.next_refresh(F.col("d"), F.lit(NOW)).alias("x")).first().x == NOW + 1
 
 
+def test_lists_are_cleaned_once(spark):
+    """Items that need no cleaning are left; a long list takes no time that grows with its square of patterns."""
+    rows = [["A", "a.", "B!"], ["  a  b\t", "a b;", "\u00a0x\u00a0", "x"], ["\u2022 one", "- One", "2) one.", "12.5 hours", "3 days"], ["", " ", None, "\n", "x\n\ny", "x y"], ["ends \u2028", "ends"], None, []]
+    want = [["A", "B!"], ["a b", "x"], ["one", "5 hours", "3 days"], ["x y"], None, None, []]
+    got = [r.u for r in spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v array<string>").orderBy("i").select(text.unique_items(F.col("v")).alias("u")).collect()]
+    plain = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v array<string>").orderBy("i").select(F.filter(F.transform("v", text.list_item), lambda x: x != "").alias("u")).collect()
+    assert [g for g, w in zip(got, want, strict=True) if w is not None] == [w for w in want if w is not None] and got[5] is None
+    assert got[4] == list(dict.fromkeys(plain[4].u))
+    many = spark.range(1).select(F.size(text.unique_items(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda k: F.concat(F.lit("item "), k.cast("string"))))).alias("n"))
+    began = time.perf_counter()
+    assert many.first().n == 4000 and time.perf_counter() - began < 15
+
+
 def test_milliseconds_are_the_nearest(spark):
     """As ``epoch_ms`` of the SQL: an event within half a millisecond of a bucket's end is the next one's; halves go away from 1970."""
     want = {"2024-01-01 00:14:59.999499": 1704068099999, "2024-01-01 00:14:59.999500": 1704068100000, "2024-01-01 00:14:59.999999": 1704068100000, "2024-01-01 00:15:00.000499": 1704068100000, "1969-12-31 23:59:59.9995": -1, "1969-12-31 23:59:59.999501": 0, "1969-12-31 23:44:59.9995": -900001, "9999-12-31 23:59:59.9984": 253402300799998}

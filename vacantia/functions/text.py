@@ -58,12 +58,16 @@ def truncated(c: Column, most: int) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, max(0, most - 1))), F.lit("…")))
 
 
+#: What ``list_item`` changes has one of these: a bullet, number or blank in front, a blank at the end, a blank that is none, or two.
+_UNCLEAN = r"^[\s•·▪◦*\-\d]|[\t\n\u00a0]|  |\s$"
+
+
 def unique_items(items: Column) -> Column:
     """Cleaned items, the first of those that differ only in case or in punctuation at the end, in order."""
-    clean = F.filter(F.transform(items, list_item), lambda x: x != "")
-    key = lambda x: F.regexp_replace(F.lower(x), r"[.!;:]+$", "")
-    keys = F.transform(clean, key)
-    return F.filter(clean, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    clean = F.filter(F.transform(items, lambda x: F.when(F.regexp_like(x, F.lit(_UNCLEAN)), list_item(x)).otherwise(x)), lambda x: x != "")
+    keys = lambda c: F.transform(c, lambda x: F.regexp_replace(F.lower(x), r"[.!;:]+$", ""))
+    return once(clean, lambda c: once(keys(c), lambda ks: F.filter(c, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
 
 
 def lines(c: Column) -> Column:

@@ -68,21 +68,23 @@ def without_form(link: Column) -> Column:
 
 def job_id(url: Column) -> Column:
     """The requisition's id: a known parameter, else what the path's last parts show; null if none."""
-    pairs = F.transform(F.split(part(url, 5), "&"), lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
-
-    def of(k: str) -> Column:
-        return F.try_element_at(F.transform(F.filter(pairs, lambda p: (p["k"] == k) & (p["v"] != "")), lambda p: p["v"]), F.lit(1))
-
+    asked = F.array(*map(F.lit, ID_KEYS))
+    # the least by key, then by place, of the parameters that name an id
+    pairs = F.transform(F.split(part(url, 5), "&"), lambda p, i: F.struct(F.array_position(asked, F.lower(F.substring_index(p, "=", 1))).alias("rank"), i.alias("i"), F.trim(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    named = F.array_min(F.filter(pairs, lambda p: (p["rank"] > 0) & (p["v"] != "")))["v"]
     found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    last = F.try_element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), F.lit(-1))
-    return F.coalesce(
-        *map(of, ID_KEYS),
-        found(F.coalesce(last, F.lit("")), r"(?:^|[_-])((?i:jr|req|rq|r)[-_]?[A-Za-z0-9]+(?:_[A-Za-z0-9]+)?)(?:[-_]\d+)?$"),
-        found(path(url), r"/(?i:jobs?|positions?|requisitions?|postings?)/(?:[^/]+/)?([A-Za-z]?[0-9]{3,})/?$"),
-        found(path(url), r"/(?i:jobs?|positions?|requisitions?)/(?:[^/]+/)?([A-Za-z0-9_-]{3,})/?$"),
-        found(path(url), r"/(?i:job)/[^/]+/([A-Za-z0-9_-]{3,})/?$"),
-        found(path(url), r"/([JRjr]?[0-9]{4,})/?$"),
-    )
+
+    def shown(way: Column) -> Column:
+        last = F.try_element_at(F.filter(F.split(way, "/"), lambda s: s != ""), F.lit(-1))
+        return F.coalesce(
+            found(F.coalesce(last, F.lit("")), r"(?:^|[_-])((?i:jr|req|rq|r)[-_]?[A-Za-z0-9]+(?:_[A-Za-z0-9]+)?)(?:[-_]\d+)?$"),
+            found(way, r"/(?i:jobs?|positions?|requisitions?|postings?)/(?:[^/]+/)?([A-Za-z]?[0-9]{3,})/?$"),
+            found(way, r"/(?i:jobs?|positions?|requisitions?)/(?:[^/]+/)?([A-Za-z0-9_-]{3,})/?$"),
+            found(way, r"/(?i:job)/[^/]+/([A-Za-z0-9_-]{3,})/?$"),
+            found(way, r"/([JRjr]?[0-9]{4,})/?$"),
+        )
+
+    return F.coalesce(F.when(part(url, 5) != "", named), F.get(F.transform(F.array(path(url)), shown), F.lit(0)))
 
 
 def host_class(url: Column) -> Column:

@@ -48,10 +48,14 @@ def described(records: DataFrame) -> DataFrame:
     ``aggregator`` (either link is one), ``posting_aggregator`` and ``application_aggregator``.
     """
     own = F.lower("job_id")
-    # each stage names what the next one uses more than once
-    df = records.select("*", *[urls.canonical(F.col(c)).alias(f"link{i}") for i, c in enumerate(("posting_url", "application_url"))], text.company_identity(F.col("company")).alias("company_key"), text.role_identity(F.col("title")).alias("title_key"))
-    df = df.select("*", *[urls.without_form(F.col(f"link{i}")).alias(f"form{i}") for i in (0, 1)], *[urls.host_class(F.col(f"link{i}")).alias(f"class{i}") for i in (0, 1)], *[urls.is_landing(F.col(f"link{i}")).alias(f"landing{i}") for i in (0, 1)])
-    df = df.select("*", *[F.lower(F.coalesce(urls.job_id(F.col(f"form{i}")), urls.job_id(F.col(f"link{i}")))).alias(f"id{i}") for i in (0, 1)], *[F.coalesce(F.col(f"class{i}") == "aggregator", F.lit(False)).alias(f"agg{i}") for i in (0, 1)])
+    # each stage names what the next one uses more than once; a form's link that is the posting's own is not read again
+    again = lambda c, value: F.when(F.col("again"), F.col(f"{c}0")).otherwise(value).alias(f"{c}1")
+    df = records.select("*", F.col("application_url").eqNullSafe(F.col("posting_url")).alias("again"), urls.canonical(F.col("posting_url")).alias("link0"), text.company_identity(F.col("company")).alias("company_key"), text.role_identity(F.col("title")).alias("title_key"))
+    of = {"form": urls.without_form, "class": urls.host_class, "landing": urls.is_landing}
+    df = df.select("*", again("link", urls.canonical(F.col("application_url"))), *[f(F.col("link0")).alias(f"{c}0") for c, f in of.items()])
+    number = lambda i: F.lower(F.coalesce(urls.job_id(F.col(f"form{i}")), F.when(F.col(f"form{i}") != F.col(f"link{i}"), urls.job_id(F.col(f"link{i}")))))
+    df = df.select("*", *[again(c, f(F.col("link1"))) for c, f in of.items()], number(0).alias("id0"))
+    df = df.select("*", again("id", number(1)), *[F.coalesce(F.col(f"class{i}") == "aggregator", F.lit(False)).alias(f"agg{i}") for i in (0, 1)])
     direct = [F.when(~F.col(f"agg{i}") & ~F.coalesce(f"landing{i}", F.lit(False)), F.col(f"id{i}")) for i in (0, 1)]
     shown = [F.when(~F.col(f"landing{i}"), F.col(c)) for i in (0, 1) for c in (f"link{i}", f"form{i}")]
     return df.select(
@@ -346,6 +350,22 @@ SETS = ("urls", "ids", "direct", "url_ids", "direct_url_ids", "places")
 _KEPT = {"company": "string", "title": "string", "posting_url": "string", "job_id": "string", "locations": "array<string>", **{c: t for c, (t, _) in PAYLOAD.items()}}
 
 
+def _plain_values(a: pa.Array) -> list:
+    """A column's values; structs as tuples, moments as whole numbers. Lists are cut from their flat values, which costs a fraction of ``to_pylist``."""
+    if pa.types.is_list(a.type):
+        ends = a.offsets.to_numpy()
+        flat, first = _plain_values(a.values[ends[0] : ends[-1]]), ends[0]
+        places = (ends - first).tolist()
+        full = [True] * len(a) if a.null_count == 0 else a.is_valid().to_pylist()
+        return [flat[i:j] if some else None for i, j, some in zip(places[:-1], places[1:], full, strict=True)]
+    if pa.types.is_struct(a.type):
+        return list(zip(*map(_plain_values, a.flatten()), strict=True))
+    if pa.types.is_timestamp(a.type):
+        a = a.cast(pa.int64())
+    quick = pa.types.is_string(a.type) or (pa.types.is_primitive(a.type) and a.null_count == 0)
+    return a.to_numpy(zero_copy_only=False).tolist() if quick else a.to_pylist()
+
+
 def deduplicated(records: DataFrame, block: str) -> DataFrame:
     """(merged_id, members, and the merged record's fields) by the ordered fold inside each block of described ``records``.
 
@@ -357,31 +377,40 @@ def deduplicated(records: DataFrame, block: str) -> DataFrame:
     schema = StructType.fromDDL("merged_id bigint, members array<bigint>, " + ", ".join(f"{c} {t}" for c, t in _KEPT.items()))
     kinds = to_arrow_schema(schema)
 
-    def folded(rows: list[dict]) -> pa.RecordBatch:
+    def folded(rows: list[dict]) -> list[Record]:
         for v in rows:
             for c in SETS:
                 v[c] = set(v[c])
             v["locations"] = v["locations"] or []
-            v["provenance"] = [(e["field"], e["value"], e["page"]) for e in v["provenance"] or ()]
             v["quality"] = _quality(v)
-        found = fold(rows)
+        return fold(rows)
+
+    def batch(found: list[Record]) -> pa.RecordBatch:
         for r in found:
-            r.v["provenance"] = [dict(zip(("field", "value", "page"), e, strict=True)) for e in r.v["provenance"]]
+            r.v["provenance"] = [dict(zip(("field", "value", "page"), e, strict=True)) for e in r.v["provenance"] or ()]
         data = {"merged_id": [r.members[0] for r in found], "members": [r.members for r in found]} | {c: [r.v[c] for r in found] for c in _KEPT}
-        return pa.RecordBatch.from_arrays([pa.array(data[c], kinds.field(c).type) for c in out_names], names=out_names)
+        kind = lambda c: kinds.field(c).type
+        return pa.RecordBatch.from_arrays([pa.array(data[c], pa.int64()).cast(kind(c)) if pa.types.is_timestamp(kind(c)) else pa.array(data[c], kind(c)) for c in out_names], names=out_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block and id: one block is held at a time."""
-        now, held = None, []
-        for b in batches:
-            for v in b.to_pylist():
+        """Rows sorted by block and id: one block is held at a time, and the records of small blocks until a batch of them goes out."""
+        now, held, found = None, [], []
+        for b in filter(len, batches):
+            names = b.schema.names
+            for row in zip(*map(_plain_values, b.columns), strict=True):
+                v = dict(zip(names, row, strict=True))
                 if v["block"] != now and held:
-                    yield folded(held)
+                    found += folded(held)
                     held = []
+                    if len(found) >= 2000:
+                        yield batch(found)
+                        found = []
                 now = v["block"]
                 held.append(v)
         if held:
-            yield folded(held)
+            found += folded(held)
+        if found:
+            yield batch(found)
 
     clean = {c: text.unique_items(F.col(c)) for c in ("locations", *LISTS)}
     rows = records.withColumns(clean).select(F.col(block).alias("block"), *columns)
