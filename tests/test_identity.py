@@ -141,3 +141,15 @@ def test_store_matches(spark):
     # 12 is an aggregator's copy: of the role's direct records the one in its place; 13 is direct: the only copy of its role, though elsewhere
     assert found == {(11, 1, "url"), (11, 1, "provider"), (12, 2, "role"), (13, 3, "role")}
     assert {r.id: r.old for r in identity.existing(n, o).collect()} == {11: 1, 12: 2, 13: 3}
+
+
+def test_stores_hold_what_matching_reads(spark):
+    """The payload of a listing is neither made nor stored for it, nor are listings that are in no store."""
+    from vacantia.queries import plans
+
+    new, old = plans._stores(spark, "/root/testdata/sf0.001")
+    assert set(new.columns) == {*identity.STORE, "availability"} and not set(new.columns) & set(identity.PAYLOAD)
+    want = {r.availability: r["count"] for r in plans._records(spark, "/root/testdata/sf0.001").groupBy("availability").count().collect()}
+    assert (new.count(), old.count()) == (want["open"], want["closed"]) and set(want) > {"open", "closed"}
+    whole = new.sparkSession.read.parquet(new.inputFiles()[0].rsplit("/", 1)[0])
+    assert {r.availability for r in whole.select("availability").distinct().collect()} == {"open", "closed"}

@@ -134,6 +134,10 @@ def store_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     return by(F.col("urls"), "url").unionByName(by(jobs, "provider")).unionByName(role)
 
 
+#: What ``store_matches`` and ``existing`` read of a described record.
+STORE = ["id", "urls", "ids", "direct", "provider_key", "company_key", "title_key", "places", "application_aggregator", "job_id", "first_seen"]
+
+
 def existing(new: DataFrame, old: DataFrame) -> DataFrame:
     """(id, old): the stored record that each new one is, if any: by link, else the oldest of its store matches, else by requisition of the
     company, else company, role and all places, else company, role and a common place; the last two unless requisitions conflict."""

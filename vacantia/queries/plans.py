@@ -177,7 +177,7 @@ _STORE = _REC + f""", n AS (SELECT * FROM rec WHERE availability = 'open'), o AS
 
 
 def _stores(s, d):
-    df = stored(ident.described(_records(s, d)))
+    df = stored(ident.described(_records(s, d).filter("availability IN ('open', 'closed')")).select(*ident.STORE, "availability"))
     return df.filter("availability = 'open'"), df.filter("availability = 'closed'")
 
 
