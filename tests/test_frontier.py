@@ -61,6 +61,21 @@ def test_links_as_pages_write_them(spark):
     assert list(ranks.first()) == [100, 80, 50, 10] and urls.host(F.lit("x")) is not None
 
 
+def test_links_are_completed_once(spark):
+    """The expression that completes a link stands once in the plan: neither filters nor the canonical form compute it anew."""
+    page = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: F.concat(F.lit("<a href='/jobs/"), k.cast("string"), F.lit("?x=1&amp;ref=2#t'>"))), "")
+    links = frontier.page_links(spark.range(1).select(F.lit("https://a.example/jobs").alias("url"), page.alias("html")))
+    assert links._jdf.queryExecution().analyzed().toString().count("^[A-Za-z][A-Za-z0-9+.-]*:") == 1
+    assert tuple(links.agg(F.count("*"), F.min("link"), F.min("priority")).first()) == (20_000, "https://a.example/jobs/10000?x=1", 80)
+
+
+def test_canonical_links_stay(spark):
+    same = ["https://a.example/", "http://a.example/x/y", "https://a-b.example/jobs/7//8"]
+    other = {"https://a.example": "https://a.example/", "https://A.example/x": "https://a.example/x", "https://a.example/x/": "https://a.example/x", "https://a.example//": "https://a.example", "HTTPS://a.example/x": "https://a.example/x", "https://a.example:443/x": "https://a.example/x", "https://a.example/x#y": "https://a.example/x", "https://a.example/x?": "https://a.example/x", "https://a.example/x?token=1&b=2&a=1&&utm_source=z": "https://a.example/x?a=1&b=2", "x": None}
+    df = spark.createDataFrame([(u,) for u in [*same, *other, None]], "u string").select("u", urls.canonical(F.col("u")).alias("c"))
+    assert {r.u: r.c for r in df.collect()} == {u: u for u in same} | other | {None: None}
+
+
 def test_nothing_to_crawl(spark):
     none = spark.createDataFrame([], "source int, url string")
     assert frontier.crawl(none, spark.createDataFrame([], "url string, html string"), 3, 5, 5).count() == 0

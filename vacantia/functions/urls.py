@@ -17,6 +17,9 @@ AGGREGATOR_HOSTS = ["applybolt.app", "dreamworkhq.com", "hiringcafe.com", "inter
 PROVIDERS = {"greenhouse.io": "greenhouse", "lever.co": "lever", "myworkdayjobs.com": "workday", "ashbyhq.com": "ashby", "smartrecruiters.com": "smartrecruiters", "jobvite.com": "jobvite", "icims.com": "icims", "taleo.net": "taleo", "eightfold.ai": "eightfold", "github.com": "github", "raw.githubusercontent.com": "github"}
 _URL = r"^(?i:(https?)://)([^/?#:]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
+#: An address that is canonical as it stands: most are.
+_CANONICAL = r"^https?://[a-z0-9._-]+/(?:[^?#]*[^?#/])?\z"
+
 
 def part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, group)
@@ -45,15 +48,20 @@ def canonical(url: Column) -> Column:
     web address. The key ``ref`` selects a branch on code hosts, where it stays."""
     name = host(url)
     scheme, port = F.lower(part(url, 1)), part(url, 3)
-    pairs = F.filter(F.split(part(url, 5), "&"), lambda p: p != "")
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
     code = is_under(name, ["github.com", "raw.githubusercontent.com"])
     drops = lambda p: (key(p).isin(TRACKING) & ~key(p).isin(IDENTIFYING) & ~(code & (key(p) == "ref"))) | key(p).isin(SENSITIVE)
-    kept = F.transform(F.array_sort(F.transform(F.filter(pairs, lambda p: ~drops(p)), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
+
+    def query(text: Column) -> Column:
+        pairs = F.filter(F.split(text, "&"), lambda p: (p != "") & ~drops(p))
+        kept = F.transform(F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
+        shown = F.array_join(kept, "&")
+        return F.get(F.transform(F.array(shown), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))), F.lit(0))
+
     way = F.when(F.length(path(url)) > 1, F.regexp_replace(path(url), r"/+$", "")).otherwise(F.lit("/"))
     shown = F.when((port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
-    return F.when(name != "", F.concat(scheme, F.lit("://"), name, shown, way, query))
+    asked = F.when(F.contains(url, F.lit("?")), query(part(url, 5))).otherwise(F.lit(""))
+    return F.when(F.regexp_like(url, F.lit(_CANONICAL)), url).when(name != "", F.concat(scheme, F.lit("://"), name, shown, way, asked))
 
 
 def job_url(url: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,29 +15,55 @@ from ..operators.stage import stored
 _HREF = r"(?i)<a\b[^>]*\bhref=[\"']?([^\"'\s>]+)"
 
 
+#: A posting's address: its path ends in a posting of a known kind.
+_POSTING = r"(?i)^https?://[^/?#:]+(?::\d+)?[^?#]*/(?:jobs?|positions?|careers?)/[^/?#]+/?(?:\?[^#]*)?(?:#.*)?$"
+
+
 def priority(link: Column) -> Column:
     """What is read first: postings of applicant systems, other postings, further list pages, the rest."""
-    posting = F.regexp_like(urls.path(link), F.lit(r"(?i)/(?:jobs?|positions?|careers?)/[^/]+/?$"))
-    return F.when(posting & urls.is_under(urls.host(link), urls.ATS_HOSTS), 100).when(posting, 80).when(F.regexp_like(link, F.lit(r"[?&]page=\d+")), 50).otherwise(10)
+    own = F.when(urls.is_under(urls.host(link), urls.ATS_HOSTS), 100).otherwise(80)
+    return F.when(F.regexp_like(link, F.lit(_POSTING)), own).when(F.regexp_like(link, F.lit(r"[?&]page=\d+")), 50).otherwise(10)
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _base(url: Column) -> Column:
+    """What links of a page are completed by: its scheme, host, root, path and the folder in which it lies."""
+    scheme, way = F.lower(urls.part(url, 1)), urls.path(url)
+    root = F.concat(scheme, F.lit("://"), urls.host(url), F.when(urls.part(url, 3) == "", "").otherwise(F.concat(F.lit(":"), urls.part(url, 3))))
+    folder = F.regexp_replace(F.when(way == "", "/").otherwise(way), r"[^/]*$", "")
+    return F.struct(scheme.alias("scheme"), urls.host(url).alias("host"), root.alias("root"), way.alias("path"), folder.alias("folder"))
+
+
+def _completed(base: Column, href: Column) -> Column:
+    def of(bare: Column) -> Column:
+        return (
+            F.when((bare == "") | (base["host"] == ""), None).when(F.regexp_like(bare, F.lit(r"^(?i:https?)://")), bare).when(F.regexp_like(bare, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), None)
+            .when(bare.startswith("//"), F.concat(base["scheme"], F.lit(":"), bare)).when(bare.startswith("/"), F.concat(base["root"], bare))
+            .when(bare.startswith("?"), F.concat(base["root"], base["path"], bare)).otherwise(F.concat(base["root"], base["folder"], bare))
+        )
+
+    return _once(F.regexp_replace(F.replace(href, F.lit("&amp;"), F.lit("&")), "#.*$", ""), of)
 
 
 def absolute(base: Column, href: Column) -> Column:
     """A link as an address without fragment: whole, of the base's scheme, below its host, a query of its page, or beside it. Null for other schemes and mere fragments."""
-    root = F.concat(F.lower(urls.part(base, 1)), F.lit("://"), urls.host(base), F.when(urls.part(base, 3) == "", "").otherwise(F.concat(F.lit(":"), urls.part(base, 3))))
-    bare = F.regexp_replace(F.regexp_replace(href, "&amp;", "&"), "#.*$", "")
-    folder = F.regexp_replace(F.when(urls.path(base) == "", "/").otherwise(urls.path(base)), r"[^/]*$", "")
-    return (
-        F.when((bare == "") | (urls.host(base) == ""), None).when(F.regexp_like(bare, F.lit(r"^(?i:https?)://")), bare).when(F.regexp_like(bare, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), None)
-        .when(bare.startswith("//"), F.concat(F.lower(urls.part(base, 1)), F.lit(":"), bare)).when(bare.startswith("/"), F.concat(root, bare))
-        .when(bare.startswith("?"), F.concat(root, urls.path(base), bare)).otherwise(F.concat(root, folder, bare))
-    )
+    return _once(_base(base), lambda b: _completed(b, href))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(``url``, ``link``, ``priority``): the distinct links of each page (``url``, ``html``)."""
-    hrefs = pages.filter(F.contains(F.lower("html"), F.lit("href"))).select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)))).alias("href"))
-    links = hrefs.select("url", urls.canonical(absolute(F.col("url"), F.col("href"))).alias("link")).filter("link is not null and link <> url").distinct()
-    return links.withColumn("priority", priority(F.col("link")))
+    """(``url``, ``link``, ``priority``): the distinct links of each page (``url``, ``html``).
+
+    A page's address is taken apart once, and each link completed once and made canonical once, inside the array: as columns, filters would compute them anew.
+    """
+    hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)))
+    read = pages.filter(F.contains(F.lower("html"), F.lit("href"))).select("url", hrefs.alias("hrefs"), _base(F.col("url")).alias("base"))
+    links = F.transform("hrefs", lambda h: _once(_completed(F.col("base"), h), urls.canonical))
+    links = F.filter(links, lambda to: to.isNotNull() & (to != F.col("url")))
+    return read.select("url", F.explode(F.array_distinct(links)).alias("link")).distinct().withColumn("priority", priority(F.col("link")))
 
 
 def crawl(roots: DataFrame, pages: DataFrame, depth: int, most_admitted: int, most_pages: int) -> DataFrame:
@@ -49,7 +76,7 @@ def crawl(roots: DataFrame, pages: DataFrame, depth: int, most_admitted: int, mo
     What a source admits of a round is cut to its bound before rows are shuffled by source, so a source that holds most links costs a task no more than that. Each
     round is stored; the set of admitted addresses is the union of the rounds. Sources and addresses that are null are left out; repeated rows count once.
     """
-    landed = pages.select("url").filter("url is not null").distinct()
+    landed = stored(pages.select("url").filter("url is not null").distinct())
     links = stored(page_links(pages))
 
     def admitted(candidates: DataFrame, before: DataFrame, at: int) -> DataFrame:
